@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +33,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iter
     """Cut record batches so that each piece holds at most SLICE_CHARS bytes of text, or one row. Null texts become ''."""
     for batch in batches:
         col = batch.column(column)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         ends, start, total = [], 0, 0
         for i, n in enumerate(sizes.tolist()):
             if total and total + n > SLICE_CHARS:
