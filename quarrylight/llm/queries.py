@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylight.llm.decontamination import op1_spaced_seeds
 from quarrylight.llm.licenses import op5_signature_rules
+from quarrylight.llm.neighbours import op9_shifted_curves
 from quarrylight.llm.packing import op2_nnls_packing
 from quarrylight.llm.secrets import op6_credential_links
 from quarrylight.llm.sharding import op8_virtual_slots
@@ -14,10 +16,12 @@ from quarrylight.llm.sharding import op8_virtual_slots
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_spaced_seeds": op1_spaced_seeds,
         "op2_nnls_packing": op2_nnls_packing,
         "op5_signature_rules": op5_signature_rules,
         "op6_credential_links": op6_credential_links,
         "op8_virtual_slots": op8_virtual_slots,
+        "op9_shifted_curves": op9_shifted_curves,
     }
 
 
