@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.llm.decontamination import op1_spaced_seeds
 from quarrylight.llm.licenses import op5_signature_rules
+from quarrylight.llm.neardup import op3_odd_sketches
 from quarrylight.llm.neighbours import op9_shifted_curves
 from quarrylight.llm.packing import op2_nnls_packing
 from quarrylight.llm.secrets import op6_credential_links
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spaced_seeds": op1_spaced_seeds,
         "op2_nnls_packing": op2_nnls_packing,
+        "op3_odd_sketches": op3_odd_sketches,
         "op5_signature_rules": op5_signature_rules,
         "op6_credential_links": op6_credential_links,
         "op8_virtual_slots": op8_virtual_slots,
