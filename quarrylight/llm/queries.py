@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.llm.decontamination import op1_spaced_seeds
+from quarrylight.llm.languages import op4_chain_field
 from quarrylight.llm.licenses import op5_signature_rules
 from quarrylight.llm.neardup import op3_odd_sketches
 from quarrylight.llm.neighbours import op9_shifted_curves
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_spaced_seeds": op1_spaced_seeds,
         "op2_nnls_packing": op2_nnls_packing,
         "op3_odd_sketches": op3_odd_sketches,
+        "op4_chain_field": op4_chain_field,
         "op5_signature_rules": op5_signature_rules,
         "op6_credential_links": op6_credential_links,
         "op8_virtual_slots": op8_virtual_slots,
