@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -48,6 +49,10 @@ class ChunkTokenizer(dict):
         super().__init__()
         self.tokenizer, self.bound = Tokenizer.from_file(path), bound
         self.tokenizer.encode_special_tokens = True
+        # The byte-level alphabet: printable Latin-1 stands for itself, every other byte for a character from 256 on.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = (256 + i for i in range(256))
+        self.signs = [chr(b if b in plain else next(others)) for b in range(256)]
         self.reset()
 
     def reset(self) -> None:
@@ -63,21 +68,36 @@ class ChunkTokenizer(dict):
         self.pending.append(chunk)
         return code
 
+    def letters(self, chunk: bytes) -> str | None:
+        """What the tokenizer's model sees of a chunk of letters that its normaliser leaves alone; None of any other."""
+        if chunk.isalpha():
+            return chunk.decode()
+        word = chunk.decode("utf-8", "replace")
+        if word.isalpha() and word.lower() == word and unicodedata.is_normalized("NFC", word):
+            return "".join(map(self.signs.__getitem__, chunk))
+        return None
+
     def learn(self) -> None:
         """Tokenise what is new as one text, and deal its tokens out by the place where they begin.
 
         A run of ASCII punctuation after a letter is a token run of its own, so a word is tokenised once for all its endings.
         """
         parts = [(m[1], m[2]) if (m := ENDING.fullmatch(c)) else (c,) for c in self.pending]
-        new = list(dict.fromkeys(p for x in parts for p in x if p not in self.stems))
-        texts = [c.decode("utf-8", "replace") for c in new]
+        new = [p for p in dict.fromkeys(p for x in parts for p in x) if p not in self.stems]
+        other = []
+        for stem in new:
+            if (letters := self.letters(stem)) is None:
+                other.append(stem)
+            else:
+                self.stems[stem] = [t.id for t in self.tokenizer.model.tokenize(letters)]
+        texts = [c.decode("utf-8", "replace") for c in other]
         begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
         found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         ids = found.ids
         owner = np.searchsorted(begins, np.array([a for a, _ in found.offsets], np.int64), "right")
-        ends = np.searchsorted(owner, np.arange(len(new)) + 1, "right").tolist()
+        ends = np.searchsorted(owner, np.arange(len(other)) + 1, "right").tolist()
         begin = 0
-        for stem, end in zip(new, ends, strict=True):
+        for stem, end in zip(other, ends, strict=True):
             self.stems[stem] = ids[begin:end]
             begin = end
         made = [sum((self.stems[p] for p in x), []) for x in parts]
