@@ -43,7 +43,7 @@ def word_features(word: str, lexicon: set[str], slots: int) -> list[int]:
     """Slots of a word's prefixes, suffixes, inner n-grams, and of the word itself if the lexicon has it."""
     w = word if len(word) <= 24 else word[:12] + word[-12:]
     names = [f"p{w[:k]}" for k in range(1, min(4, len(w)) + 1)] + [f"s{w[-k:]}" for k in range(1, min(4, len(w)) + 1)]
-    names += [f"g{w[i : i + 3]}" for i in range(len(w) - 2)] + [f"b{w[i : i + 2]}" for i in range(len(w) - 1)]
+    names += [f"g{w[i : i + 3]}" for i in range(len(w) - 2)]
     if word in lexicon:
         names.append(f"w{word}")
     return [xxhash.xxh3_64_intdigest(x) % slots for x in dict.fromkeys(names)]

@@ -11,9 +11,11 @@ from quarrylight.llm.languages import op4_chain_field
 from quarrylight.llm.licenses import op5_signature_rules
 from quarrylight.llm.neardup import op3_odd_sketches
 from quarrylight.llm.neighbours import op9_shifted_curves
+from quarrylight.llm.pages import op10_style_tree
 from quarrylight.llm.packing import op2_nnls_packing
 from quarrylight.llm.secrets import op6_credential_links
 from quarrylight.llm.sharding import op8_virtual_slots
+from quarrylight.llm.toxicity import op7_kneser_ney
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,8 +26,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chain_field": op4_chain_field,
         "op5_signature_rules": op5_signature_rules,
         "op6_credential_links": op6_credential_links,
+        "op7_kneser_ney": op7_kneser_ney,
         "op8_virtual_slots": op8_virtual_slots,
         "op9_shifted_curves": op9_shifted_curves,
+        "op10_style_tree": op10_style_tree,
     }
 
 
