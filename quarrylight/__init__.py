@@ -1,0 +1 @@
+"""Corpus and evaluation analytics on Spark: DataFrame in, DataFrame out."""
