@@ -6,8 +6,8 @@ closely where it is high. Candidates that the sketches let pass are confirmed on
 the start, so copies of one text are never compared.
 
 Links are found in two rounds. First every block of a band's bucket proposes a spanning forest of its likely links, which is
-linear in the block. Then buckets that still hold more than one component propose every likely link across components that
-has not been tried, so that no link is lost whatever the forests missed.
+linear in the block. Then buckets that still hold more than one component bring their members' sets together in pairs of
+blocks, and every likely link across components is tested there, so that none is lost whatever the forests missed.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
         if size >= words:
             out.append(np.unique(keys[begin : end - words + 1]))
         elif size:
-            whole = np.array([(tokens[begin:end] * _ODD[:size]).sum(dtype=np.uint64) + np.uint64(size) * _ODD[60]], np.uint64)
+            whole = np.array([(tokens[begin:end] * _ODD[:size]).sum(dtype=np.uint64)]) + _ODD[64 - size :][:1]
             out.append(mixed(whole))
         else:
             out.append(np.zeros(0, np.uint64))
@@ -177,31 +177,59 @@ def _forests(p: NearDup):
 
 
 def _crossings(p: NearDup):
-    """All likely links between strays and others of another component in each group."""
+    """Confirmed links between strays and members of other components in each group; a forest of them is enough.
 
-    def propose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A pair is looked at only in the first band that it shares, so once in all; what the sketches let pass is compared on the
+    full sets here, where both sets are at hand.
+    """
+
+    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches, "gid"):
-            gid, rep, n, comp, stray, bits = *(np.asarray(batch.column(c)) for c in ("gid", "rep", "n", "comp", "stray")), _bitmaps(batch.column("sketch"))
+            gid, rep, n, comp, stray, band = (np.asarray(batch.column(c)) for c in ("gid", "rep", "n", "comp", "stray", "band"))
+            bits, keys = _bitmaps(batch.column("sketch")), np.asarray(batch.column("bands").flatten()).reshape(len(gid), -1)
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
             starts = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]]))
             a, b = [], []
             for s, e in zip(starts.tolist(), np.append(starts[1:], len(gid)).tolist(), strict=True):
-                for i in range(s, e):
-                    if stray[i]:
-                        ok = (comp[s:e] != comp[i]) & _alike(n[s:e], n[i], p.percent)
-                        at = s + np.flatnonzero(ok)
-                        at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64) <= p.farthest]
-                        a.append(np.full(len(at), rep[i]))
-                        b.append(rep[at])
+                for i in (s + np.flatnonzero(stray[s:e])).tolist():
+                    ok = (comp[s:e] != comp[i]) & _alike(n[s:e], n[i], p.percent)
+                    at = s + np.flatnonzero(ok)
+                    at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64) <= p.farthest]
+                    at = at[~(keys[at, : band[i]] == keys[i, : band[i]]).any(1)]
+                    if not len(at):
+                        continue
+                    every, own = np.concatenate([sets[j] for j in at]), sets[i]
+                    found = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+                    both = np.add.reduceat(found.astype(np.int64), np.cumsum([0] + [len(sets[j]) for j in at[:-1]]))
+                    at = at[100 * both >= p.percent * (n[at] + n[i] - both)]
+                    at = at[np.unique(comp[at], return_index=True)[1]]
+                    a.append(np.full(len(at), rep[i]))
+                    b.append(rep[at])
             yield _pair_batch(a, b)
 
-    return propose
+    return link
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents whose doc_id is in ids (distinct)."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
+
+
+def _shingles_of(texts: DataFrame, p: NearDup) -> DataFrame:
+    """(rep, n, shingles) of texts with their doc_id."""
+
+    def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in text_slices(batches):
+            sets = shingle_sets(rows, p.words)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "n", "shingles"])
+
+    return texts.mapInArrow(extract, "rep long, n long, shingles binary").filter("n > 0")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full sets are similar enough."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ends = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ends, "doc_id", "left_semi")
+    own = _texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -230,14 +258,14 @@ def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame
     found = cut_lineage(features(docs, p))
     known = found.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut_lineage(known.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("x")).select("set_hash", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), "x.bands", "x.sketch"))
-    reps = classes.select("rep", "n", "sketch").dropDuplicates(["rep", "sketch"])
-    banded = classes.select(F.explode("bands").alias("bkey"), "rep")
+    reps = classes.select("rep", "n", "sketch", "bands").dropDuplicates(["rep", "sketch"])
+    banded = classes.select(F.posexplode("bands").alias("band", "bkey"), "rep")
     shared = banded.groupBy("bkey").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = cut_lineage(banded.join(shared, "bkey"))
 
     block = F.pmod(F.xxhash64("rep", "bkey"), F.ceil(F.col("size") / p.block)).alias("blk")
     lists = members.groupBy("bkey", block).agg(F.array_sort(F.collect_list("rep")).alias("ids")).filter("size(ids) > 1").select("ids").distinct()
-    rows = lists.select(F.xxhash64("ids").alias("gid"), F.explode("ids").alias("rep")).join(reps, "rep")
+    rows = lists.select(F.xxhash64("ids").alias("gid"), F.explode("ids").alias("rep")).join(reps.drop("bands"), "rep")
     tried = cut_lineage(rows.repartition("gid").sortWithinPartitions("gid").select("gid", "rep", "n", "sketch").mapInArrow(_forests(p), "a long, b long").filter("a <> b").distinct())
     links = cut_lineage(confirmed(tried, docs, p))
 
@@ -248,13 +276,13 @@ def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame
     open_ = named.join(split, "bkey").withColumn("stray", F.col("comp") != F.col("main"))
     cell = lambda name, n: F.pmod(F.xxhash64("rep", "bkey", F.lit(name)), F.ceil(F.col(n) / p.block)).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / p.block).cast("long") - 1))
-    one = open_.select("bkey", "rep", "comp", F.lit(False).alias("stray"), cell("all", "size").alias("i"), every("strays").alias("j"))
-    two = open_.filter("stray").select("bkey", "rep", "comp", "stray", every("size").alias("i"), cell("stray", "strays").alias("j"))
-    crossing = one.unionByName(two).select(F.xxhash64("bkey", "i", "j").alias("gid"), "rep", "comp", "stray").join(reps, "rep")
-    fresh = crossing.repartition("gid").sortWithinPartitions("gid").select("gid", "rep", "n", "comp", "stray", "sketch").mapInArrow(_crossings(p), "a long, b long").filter("a <> b").distinct()
-    fresh = cut_lineage(fresh.join(tried, ["a", "b"], "left_anti"))
-    if not fresh.isEmpty():
-        links = links.unionByName(cut_lineage(confirmed(fresh, docs, p)))
+    one = open_.select("bkey", "band", "rep", "comp", F.lit(False).alias("stray"), cell("all", "size").alias("i"), every("strays").alias("j"))
+    two = open_.filter("stray").select("bkey", "band", "rep", "comp", "stray", every("size").alias("i"), cell("stray", "strays").alias("j"))
+    cells = cut_lineage(one.unionByName(two).select(F.xxhash64("bkey", "i", "j").alias("gid"), "band", "rep", "comp", "stray"))
+    sets = _shingles_of(_texts_of(docs, cells.select(F.col("rep").alias("doc_id")).distinct()), p).dropDuplicates(["rep", "shingles"])
+    crossing = cells.join(reps.join(sets, ["rep", "n"]), "rep").repartition("gid").sortWithinPartitions("gid")
+    across = crossing.select("gid", "rep", "n", "comp", "stray", "band", "sketch", "bands", "shingles").mapInArrow(_crossings(p), "a long, b long").distinct()
+    links = links.unionByName(cut_lineage(across))
 
     twice = known.groupBy("doc_id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).filter("lo <> hi").select("doc_id")
     same = known.join(twice, "doc_id", "left_semi").select("doc_id", "set_hash").distinct().join(classes.select("set_hash", "rep"), "set_hash").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
