@@ -49,6 +49,17 @@ def seed_keys(tokens: np.ndarray, chosen: np.ndarray, span: int) -> np.ndarray:
     return mixed(key)
 
 
+def short_masks(n: int) -> list[str]:
+    """Seeds for items of n words, fewer than a long mask spans, that miss no overlap with the agreement asked for.
+
+    Where one word may differ, each seed ignores one position; where two may, one of three parts must agree.
+    """
+    if n - math.ceil(AGREEMENT * n) <= 1:
+        return ["1" * i + "0" + "1" * (n - 1 - i) for i in range(n)]
+    cuts = [round(n * i / 3) for i in range(4)]
+    return ["0" * a + "1" * (b - a) + "0" * (n - b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 @dataclass
 class SeedIndex:
     """Benchmark items as tokens, and for each seed the sorted keys with their places and a bitmap of the keys."""
@@ -67,15 +78,15 @@ class SeedIndex:
         tokens = hasher.of([x for _, w in items for x in w])
         first = np.cumsum(size) - size
         item = np.repeat(np.arange(len(items)), size)
-        shapes = [m for m in MASKS] + ["1" * n for n in sorted({int(s) for s in size if s < len(MASKS[-1])})]
+        shapes = [(m, 0) for m in MASKS] + [(m, n) for n in sorted({int(s) for s in size if s < len(MASKS[0])}) for m in short_masks(n)]
         seeds = []
-        for shape in shapes:
+        for shape, only in shapes:
             chosen, span = np.flatnonzero([c == "1" for c in shape]), len(shape)
             keys = seed_keys(tokens, chosen, span)
             places = np.arange(len(keys))
             inside = places + span <= (first + size)[item[places]]
-            if set(shape) == {"1"} and span < len(MASKS[-1]):
-                inside &= size[item[places]] == span
+            if only:
+                inside &= size[item[places]] == only
             keys, places = keys[inside], places[inside]
             order = np.argsort(keys, kind="stable")
             bitmap = np.zeros(1 << _BITS, bool)

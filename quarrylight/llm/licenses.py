@@ -113,7 +113,7 @@ def rules() -> list[Rule]:
         for priority, frame in FRAMES:
             made.append((label, key, priority, frame.format(x=name)))
             for v in versions:
-                made.append((f"{label}-{v.replace(' clause', '').replace(' ', '.')}", key, priority + 5, frame.format(x=name) + rf"(?: ?,?)(?: version| v)? {v}"))
+                made.append((f"{label}-{v.replace(' clause', '').replace(' ', '.')}", key, priority + 5, frame.format(x=name) + rf" (?:version |v ?)?{v}"))
     order = sorted(range(len(made)), key=lambda i: (-made[i][2], i))
     return [Rule(made[i][0], made[i][1], made[i][2], re.compile(rb"(?<![^ ])(?:" + made[i][3].encode() + rb")(?![^ ])")) for i in order]
 
