@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 from quarrylight.llm.common import cut_lineage
 
 
+def _ends(to: DataFrame) -> DataFrame:
+    """(id, to) with every pointer followed to its end."""
+    while True:
+        after = to.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        doubled = cut_lineage(to.join(after, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.coalesce(F.col("next") != F.col("to"), F.lit(False)).alias("moved")))
+        to = doubled.select("id", "to")
+        if doubled.filter("moved").isEmpty():
+            return to
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for each end of the edges (a, b), long; component is the smallest id of its component.
 
-    Each round points every vertex to the smallest of itself and its neighbours and contracts the graph along these pointers.
-    Local minima are at most half of the vertices that have edges, so the rounds are logarithmic. Then the pointers are
-    composed from the last round back.
+    Each round points every vertex to the smallest of itself and its neighbours, follows these pointers to their ends by
+    doubling, and contracts the graph to the ends. Those are local minima, at most half of the vertices that have edges, so
+    the rounds are logarithmic. Then the pointers are composed from the last round back.
     """
     edges = edges.select("a", "b").filter("a <> b").distinct()
     pointers = []
@@ -22,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         to = cut_lineage(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("to")))
         if to.isEmpty():
             break
+        to = _ends(to)
         pointers.append(to)
         left, right = to.select(F.col("id").alias("a"), F.col("to").alias("ta")), to.select(F.col("id").alias("b"), F.col("to").alias("tb"))
         edges = cut_lineage(edges.join(left, "a").join(right, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a <> b").distinct())
