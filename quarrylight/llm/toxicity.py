@@ -29,7 +29,7 @@ class ToxicityParams:
     order, so the model's size is fixed. prior is the weight of the shared model beside each class's counts."""
 
     order: int = 5
-    class_orders: int = 3
+    class_orders: int = 4
     slot_bits: int = 18
     window: int = 4
     prior: float = 4.0
@@ -37,6 +37,9 @@ class ToxicityParams:
     calibrate_rows: int = 6000
 
 
+#: Labels up to which they are broadcast to the texts (two numbers each, 64 MB in all); beyond it the texts are shuffled.
+BROADCAST_LABELS = 2_000_000
+
 _ODD = mixed(np.arange(301, 320, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -144,7 +147,8 @@ def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic of the labelled rows outside the held-out fifth. A doc_id labelled twice is toxic if any says so."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").filter(~held_out())
-    return own.join(marks.filter(~held_out()), "doc_id")
+    marks = cut_lineage(marks.filter(~held_out()))
+    return own.join(F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks, "doc_id")
 
 
 def held_out():
@@ -255,8 +259,9 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
-    """Weights of a ridge logistic regression by damped Newton steps."""
-    w, weight = np.zeros(x.shape[1]), np.full(len(y), 1 / len(y))
+    """Weights of a ridge logistic regression by damped Newton steps; a class weighs as the root of its size."""
+    w, weight = np.zeros(x.shape[1]), np.where(y == 1, 1 / np.sqrt(max(1, y.sum())), 1 / np.sqrt(max(1, (1 - y).sum())))
+    weight = weight / weight.sum()
     for _ in range(steps):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (weight * (y - q)) - 1e-4 * w
