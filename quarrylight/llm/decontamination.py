@@ -20,8 +20,13 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.common import WordHasher, mixed, read_table, text_slices
 
-# Seeds; 1 is a position that is compared.
-MASKS = ("110100110111", "111011001011", "101111010101", "1111111")
+# Seeds; 1 is a position that is compared. Each set was searched by enumeration, so that one of its seeds, shifted
+# within the window, hits every pattern of the substitutions that the rule allows.
+#: Three changed words of 15, and so three of 16, which hold a window of 15: for items of 15 words and more.
+MASKS = ("11110111", "11101000111", "1110011011", "1101001001011", "110010101011")
+#: Two changed words of 12, and so two of 13 and 14: for items of 12 to 14 words.
+MIDDLE_MASKS = ("11101011", "1101000111", "1010001111")
+MIDDLE, LONG = 12, 15
 
 #: Tokens of benchmark text that are searched for at one time; a larger benchmark is taken in blocks of this size.
 BLOCK_TOKENS = 2_000_000
@@ -50,7 +55,7 @@ def seed_keys(tokens: np.ndarray, chosen: np.ndarray, span: int) -> np.ndarray:
 
 
 def short_masks(n: int) -> list[str]:
-    """Seeds for items of n words, fewer than a long mask spans, that miss no overlap with the agreement asked for.
+    """Seeds for items of n words, fewer than MIDDLE, that miss no overlap with the agreement asked for.
 
     Where one word may differ, each seed ignores one position; where two may, one of three parts must agree.
     """
@@ -60,6 +65,12 @@ def short_masks(n: int) -> list[str]:
     return ["0" * a + "1" * (b - a) + "0" * (n - b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def shapes_for(sizes: Iterable[int]) -> list[tuple[str, int, int]]:
+    """Seeds for items of these sizes, each with the least and the greatest size of the items that it is for."""
+    short = sorted({int(n) for n in sizes if n < MIDDLE})
+    return [(m, LONG, 1 << 62) for m in MASKS] + [(m, MIDDLE, LONG - 1) for m in MIDDLE_MASKS] + [(m, n, n) for n in short for m in short_masks(n)]
+
+
 @dataclass
 class SeedIndex:
     """Benchmark items as tokens, and for each seed the sorted keys with their places and a bitmap of the keys."""
@@ -78,16 +89,15 @@ class SeedIndex:
         tokens = hasher.of([x for _, w in items for x in w])
         first = np.cumsum(size) - size
         item = np.repeat(np.arange(len(items)), size)
-        shapes = [(m, 0) for m in MASKS] + [(m, n) for n in sorted({int(s) for s in size if s < len(MASKS[0])}) for m in short_masks(n)]
         seeds = []
-        for shape, only in shapes:
+        for shape, least, most in shapes_for(size):
             chosen, span = np.flatnonzero([c == "1" for c in shape]), len(shape)
             keys = seed_keys(tokens, chosen, span)
             places = np.arange(len(keys))
-            inside = places + span <= (first + size)[item[places]]
-            if only:
-                inside &= size[item[places]] == only
+            inside = (places + span <= (first + size)[item[places]]) & (size[item[places]] >= least) & (size[item[places]] <= most)
             keys, places = keys[inside], places[inside]
+            if not len(keys):
+                continue
             order = np.argsort(keys, kind="stable")
             bitmap = np.zeros(1 << _BITS, bool)
             bitmap[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True

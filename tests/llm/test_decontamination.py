@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import pytest
 from helpers import awkward, documents, empty
 
 from quarrylight.llm import decontamination as D
@@ -65,3 +67,30 @@ def test_awkward(spark):
         assert D.drop_contaminated(docs, bench).columns == docs.columns
         assert D.find_overlaps(empty(spark), bench).count() == 0
     assert [r["doc_id"] for r in D.find_overlaps(docs, bench).filter("contaminated").collect()] == [5]
+
+
+@pytest.mark.parametrize("n", range(D.LEAST_WORDS, D.OVERLAP + 1))
+def test_seeds_hit_every_allowed_pattern(n):
+    masks = [m for m, least, most in D.shapes_for([n]) if least <= n <= most]
+    placed = [{at + i for i, c in enumerate(m) if c == "1"} for m in masks for at in range(n - len(m) + 1)]
+    changed = n - -(-8 * n // 10)
+    assert [x for x in itertools.combinations(range(n), changed) if not any(p.isdisjoint(x) for p in placed)] == []
+
+
+def test_no_overlap_is_missed(spark):
+    rng = random.Random(8)
+    items = [(n, phrase(rng, n)) for n in (*range(D.LEAST_WORDS, 21), 30, 60, 120)]
+    rows = []
+    for n, text in items:
+        w = min(D.OVERLAP, n)
+        places = [(i * 5,) for i in range(w // 5)] + [tuple(range(0, n, 5))] + [tuple(rng.sample(range(n), n // 5)) for _ in range(10)]
+        places += [(0, 5), (0, 5, 10), (0, 6, 11)] if n >= 12 else []
+        for at in places:
+            words = text.split()
+            for i in at:
+                words[i] = "changed"
+            rows.append((len(rows), " ".join(["before", *words, "after"])))
+    want = {i: [k for k, t in items if brute(x, t)] for i, x in rows}
+    assert sum(map(bool, want.values())) > 200
+    got = {r["doc_id"]: r["items"] for r in D.find_overlaps(documents(spark, rows), benchmark(spark, items)).collect()}
+    assert got == want
