@@ -25,12 +25,11 @@ WORD = re.compile(r"[^\W_]+")
 @dataclass(frozen=True)
 class ToxicityParams:
     """Counts cover all labelled training rows but those that `calibrate` (one in `calibrate_of` by hash, at most
-    `calibrate_rows` of each class) keeps back for the logistic curve. Tables have `1 << slot_bits` hashed slots for each
-    order, so the model's size is fixed. prior is the weight of the shared model beside each class's counts."""
+    `calibrate_rows` of each class) keeps back for the logistic curve; once it is fitted, those are counted too. Counts
+    are kept by full 64-bit keys, in tables that grow with the corpus. prior is the weight of the shared model beside each class's counts."""
 
     order: int = 5
     class_orders: int = 4
-    slot_bits: int = 18
     window: int = 4
     prior: float = 4.0
     calibrate_of: int = 8
@@ -40,6 +39,12 @@ class ToxicityParams:
 #: Labels up to which they are broadcast to the texts (two numbers each, 64 MB in all); beyond it the texts are shuffled.
 BROADCAST_LABELS = 2_000_000
 
+#: Rows of the model's table up to which it is broadcast (a key and five numbers each, 100 MB in all); beyond it words are joined.
+BROADCAST_GRAMS = 2_000_000
+
+#: Kinds of rows in the model's table: n for n-grams, CONTEXT + n for what precedes the last character of one, and the two lowest.
+CONTEXT, FOLLOWS, FOLLOWED = 100, 200, 201
+
 _ODD = mixed(np.arange(301, 320, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -51,12 +56,12 @@ def characters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.cumsum(sizes) - sizes
 
 
-def gram_slots(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """The slot of the n characters that end at each place; places with fewer before them wrap and must be masked."""
+def gram_keys(codes: np.ndarray, n: int) -> np.ndarray:
+    """The key of the n characters that end at each place; places with fewer before them wrap and must be masked."""
     key = np.full(len(codes), _ODD[8 + n])
     for i in range(n):
         key += np.roll(codes, i) * _ODD[i]
-    return (mixed(key) >> np.uint64(64 - bits)).astype(np.int64)
+    return mixed(key).view(np.int64)
 
 
 def _depth(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -66,38 +71,68 @@ def _depth(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.arange(len(codes)) - np.maximum.accumulate(first)
 
 
+def asked(words: list[str], p: ToxicityParams) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, places in the characters of all words, keys) of the rows that the words' ratios need."""
+    codes, starts = characters(words)
+    depth, low, before = _depth(codes, starts), p.order - p.class_orders, np.roll(codes, 1)
+    yield FOLLOWS, np.arange(len(codes)), gram_keys(codes, low)
+    yield FOLLOWED, np.arange(len(codes)), gram_keys(before, low - 1)
+    for n in range(low + 1, p.order + 1):
+        here = np.flatnonzero(depth >= n - 1)
+        yield n, here, gram_keys(codes, n)[here]
+        yield CONTEXT + n, here, gram_keys(before, n - 1)[here]
+
+
 @dataclass
 class ToxicityModel:
-    """counts[n]: slots x 2 classes; contexts[n]: slots x (total, types) x 2 classes; shared_types[n]: of both together."""
+    """tables[kind]: sorted keys, and for each (toxic, ordinary, toxic types, ordinary types, types); absent keys count 0."""
 
     params: ToxicityParams
-    counts: dict[int, np.ndarray]
-    contexts: dict[int, np.ndarray]
-    shared_types: dict[int, np.ndarray]
+    tables: dict[int, tuple[np.ndarray, np.ndarray]]
     discounts: dict[int, float]
-    follows: np.ndarray
-    followed: np.ndarray
     curve: np.ndarray | None = None
 
+    def found(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        if kind not in self.tables:
+            return np.zeros((len(keys), 5))
+        known, values = self.tables[kind]
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where((known[at] == keys)[:, None], values[at], 0)
+
     def ratios(self, words: list[str]) -> np.ndarray:
         """Each word's toxic minus ordinary log-likelihood."""
+        if not words:
+            return np.zeros(0)
         p = self.params
-        codes, starts = characters(words)
-        depth, low = _depth(codes, starts), p.order - p.class_orders
-        two, one = gram_slots(codes, low, p.slot_bits), gram_slots(np.roll(codes, 1), low - 1, p.slot_bits)
-        shared = (self.follows[two] + 0.05) / (self.followed[one] + 0.05 * 200)
+        _, starts = characters(words)
+        rows = {kind: (here, self.found(kind, keys)) for kind, here, keys in asked(words, p)}
+        shared = (rows[FOLLOWS][1][:, 4] + 0.05) / (rows[FOLLOWED][1][:, 4] + 0.05 * 200)
         prob = np.stack([shared, shared], 1)
-        for n in range(low + 1, p.order + 1):
-            here = np.flatnonzero(depth >= n - 1)
-            slot, context = gram_slots(codes, n, p.slot_bits)[here], gram_slots(np.roll(codes, 1), n - 1, p.slot_bits)[here]
-            count, total, types, d = self.counts[n][slot], self.contexts[n][context, 0], self.contexts[n][context, 1], self.discounts[n]
+        for n in range(p.order - p.class_orders + 1, p.order + 1):
+            (here, own), (_, context) = rows[n], rows[CONTEXT + n]
+            count, total, types, d = own[:, :2], context[:, :2], context[:, 2:4], self.discounts[n]
             both = total.sum(1)
-            pooled = (np.maximum(count.sum(1) - d, 0) + d * self.shared_types[n][context] * shared[here]) / np.maximum(both, 1)
+            pooled = (np.maximum(count.sum(1) - d, 0) + d * context[:, 4] * shared[here]) / np.maximum(both, 1)
             shared[here] = np.where(both > 0, pooled, shared[here])
             prob[here] = (np.maximum(count - d, 0) + (d * types + p.prior) * shared[here][:, None]) / (total + p.prior)
         logs = np.log(np.maximum(prob, 1e-12))
         logs[starts] = 0
-        return np.add.reduceat(logs[:, 0] - logs[:, 1], starts) if len(starts) else np.zeros(0)
+        return np.add.reduceat(logs[:, 0] - logs[:, 1], starts)
+
+
+@dataclass
+class JoinedModel:
+    """A model whose table is too large to broadcast: value has all but the table."""
+
+    value: ToxicityModel
+    table: DataFrame
+
+
+def _tables(kind: np.ndarray, key: np.ndarray, values: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    order = np.lexsort((key, kind))
+    kind, key, values = kind[order], key[order], values[order]
+    cuts = np.flatnonzero(np.append(True, kind[1:] != kind[:-1])) if len(kind) else np.zeros(0, np.int64)
+    return {int(kind[a]): (key[a:b], values[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(kind)), strict=True)}
 
 
 #: Features of a text, with a constant.
@@ -129,20 +164,25 @@ class Scorer(dict):
             self.sizes = np.concatenate([self.sizes, [len(w) + 1 for w in self.pending]])
             self.pending = []
         ratio, size, out, begin = self.table[codes], self.sizes[codes], np.zeros((len(texts), WIDTH)), 0
-        out[:, -1] = 1
         for i, x in enumerate(split):
             end = begin + len(x)
-            if x:
-                r, s = np.cumsum(np.append(0, ratio[begin:end])), np.cumsum(np.append(0, size[begin:end]))
-                w = min(self.model.params.window, len(x))
-                own, per = ratio[begin:end], ratio[begin:end] / size[begin:end]
-                second = -2 if len(x) > 1 else -1
-                at = np.argpartition(own, second)
-                out[i, :-1] = own.max() / 10, own[at[second]] / 10, per.max(), np.partition(per, second)[second], ((r[w:] - r[:-w]) / (s[w:] - s[:-w])).max(), r[-1] / s[-1], np.log(len(x)) / 10
+            out[i] = features_of(ratio[begin:end], size[begin:end], self.model.params.window)
             begin = end
         return out
 
 
+def features_of(own: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
+    """The features of one text, by the ratios and sizes of its words."""
+    out = np.zeros(WIDTH)
+    out[-1] = 1
+    if len(own):
+        r, s, w = np.cumsum(np.append(0, own)), np.cumsum(np.append(0, size)), min(window, len(own))
+        per, second = own / size, -2 if len(own) > 1 else -1
+        at = np.argpartition(own, second)
+        out[:-1] = own.max() / 10, own[at[second]] / 10, per.max(), np.partition(per, second)[second], ((r[w:] - r[:-w]) / (s[w:] - s[:-w])).max(), r[-1] / s[-1], np.log(len(own)) / 10
+    return out
+
+
 def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic of the labelled rows outside the held-out fifth. A doc_id labelled twice is toxic if any says so."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -180,8 +220,8 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 def gram_counts(words: DataFrame, p: ToxicityParams) -> DataFrame:
-    """(n, slot, context, suffix, middle, toxic, ordinary) for every class order, summed over all words."""
-    names = ["n", "slot", "context", "suffix", "middle", "toxic", "ordinary"]
+    """(n, gram, context, suffix, middle, toxic, ordinary) for every class order, summed over all words."""
+    names = ["n", "gram", "context", "suffix", "middle", "toxic", "ordinary"]
     low = p.order - p.class_orders
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,11 +234,11 @@ def gram_counts(words: DataFrame, p: ToxicityParams) -> DataFrame:
             owner = np.repeat(np.arange(len(each)), np.diff(np.append(starts, len(codes))))
             toxic, ordinary = np.asarray(batch.column("toxic")), np.asarray(batch.column("ordinary"))
             before = np.roll(codes, 1)
-            suffix, middle = gram_slots(codes, low, p.slot_bits), gram_slots(before, low - 1, p.slot_bits)
+            suffix, middle = gram_keys(codes, low), gram_keys(before, low - 1)
             for n in range(low + 1, p.order + 1):
                 at = np.flatnonzero(depth >= n - 1)
                 lowest = n == low + 1
-                key = np.stack([gram_slots(codes, n, p.slot_bits)[at], gram_slots(before, n - 1, p.slot_bits)[at], suffix[at] if lowest else np.zeros(len(at), np.int64), middle[at] if lowest else np.zeros(len(at), np.int64)], 1)
+                key = np.stack([gram_keys(codes, n)[at], gram_keys(before, n - 1)[at], suffix[at] if lowest else np.zeros(len(at), np.int64), middle[at] if lowest else np.zeros(len(at), np.int64)], 1)
                 order = np.lexsort(key.T[::-1])
                 key, who = key[order], owner[at][order]
                 if not len(key):
@@ -210,52 +250,121 @@ def gram_counts(words: DataFrame, p: ToxicityParams) -> DataFrame:
     return words.mapInArrow(count, ", ".join(f"{c} long" for c in names)).groupBy(*names[:5]).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
+def model_table(grams: DataFrame, p: ToxicityParams) -> DataFrame:
+    """(kind, key, toxic, ordinary, toxic_types, ordinary_types, types): all that the model knows."""
+    none = [F.lit(0).cast("long").alias(c) for c in ("toxic", "ordinary", "toxic_types", "ordinary_types", "types")]
+    own = grams.select(F.col("n").alias("kind"), F.col("gram").alias("key"), "toxic", "ordinary", *none[2:])
+    kinds = [F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count_if(F.col("toxic") > 0).alias("toxic_types"), F.count_if(F.col("ordinary") > 0).alias("ordinary_types"), F.count(F.lit(1)).alias("types")]
+    contexts = grams.groupBy((F.col("n") + CONTEXT).alias("kind"), F.col("context").alias("key")).agg(*kinds)
+    lowest = grams.filter(F.col("n") == p.order - p.class_orders + 1)
+    follows, followed = (lowest.groupBy(F.lit(kind).cast("long").alias("kind"), F.col(name).alias("key")).agg(F.count(F.lit(1)).alias("types")).select("kind", "key", *none[:4], "types") for kind, name in ((FOLLOWS, "suffix"), (FOLLOWED, "middle")))
+    return own.unionByName(contexts).unionByName(follows).unionByName(followed)
+
+
+def fitted(words: DataFrame, p: ToxicityParams):
+    """The model of these words, broadcast or joined by the size of its table; None if a class has no row."""
+    grams = cut_lineage(gram_counts(words, p))
+    seen = lambda k: F.sum(sum((F.when(F.col(c) == k, 1).otherwise(0) for c in ("toxic", "ordinary")), F.lit(0)))
+    sums = {r["n"]: r for r in grams.groupBy("n").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), seen(1).alias("once"), seen(2).alias("twice")).collect()}
+    orders = range(p.order - p.class_orders + 1, p.order + 1)
+    if not sums or not all(n in sums and sums[n]["toxic"] and sums[n]["ordinary"] for n in orders):
+        return None
+    discounts = {n: float(sums[n]["once"] / max(1, sums[n]["once"] + 2 * sums[n]["twice"])) or 0.5 for n in orders}
+    table = cut_lineage(model_table(grams, p))
+    if table.count() > BROADCAST_GRAMS:
+        return JoinedModel(ToxicityModel(p, {}, discounts), table)
+    t = table.toArrow()
+    values = np.stack([np.asarray(t.column(c)).astype(float) for c in t.column_names[2:]], 1)
+    return table.sparkSession.sparkContext.broadcast(ToxicityModel(p, _tables(np.asarray(t.column("kind")), np.asarray(t.column("key")), values), discounts))
+
+
 def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None):
-    """The broadcast model, or a broadcast None if a class has no training row."""
+    """The model, broadcast or joined, or a broadcast None if a class has no training row."""
     p = params or ToxicityParams()
     sc = docs.sparkSession.sparkContext
     rows = _training(docs, labels).withColumn("back", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(p.calibrate_of)) == 0)
-    grams = cut_lineage(gram_counts(word_counts(rows.filter("NOT back")), p))
-    size, low = 1 << p.slot_bits, p.order - p.class_orders
-    by_slot = grams.groupBy("n", "slot").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
-    kinds = [F.count(F.lit(1)).alias("types"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count_if(F.col("toxic") > 0).alias("toxic_types"), F.count_if(F.col("ordinary") > 0).alias("ordinary_types")]
-    by_context = grams.groupBy("n", "context").agg(*kinds).toArrow()
-    lowest = grams.filter(F.col("n") == low + 1)
-    follows, followed = np.zeros(size, np.float32), np.zeros(size, np.float32)
-    for name, out in (("suffix", follows), ("middle", followed)):
-        t = lowest.groupBy(name).count().toArrow()
-        out[np.asarray(t.column(name))] = np.asarray(t.column("count"))
-    counts, contexts, shared_types, discounts = {}, {}, {}, {}
-    n_slot, n_context = np.asarray(by_slot.column("n")), np.asarray(by_context.column("n"))
-    for n in range(low + 1, p.order + 1):
-        mine, table = np.flatnonzero(n_slot == n), np.zeros((size, 2), np.float32)
-        for j, c in enumerate(("toxic", "ordinary")):
-            table[np.asarray(by_slot.column("slot"))[mine], j] = np.asarray(by_slot.column(c))[mine]
-        once, twice = (table == 1).sum(), (table == 2).sum()
-        counts[n], discounts[n] = table, float(once / max(1, once + 2 * twice)) or 0.5
-        mine, table = np.flatnonzero(n_context == n), np.zeros((size, 2, 2), np.float32)
-        for j, c in enumerate(("toxic", "ordinary")):
-            at = np.asarray(by_context.column("context"))[mine]
-            table[at, 0, j], table[at, 1, j] = np.asarray(by_context.column(c))[mine], np.asarray(by_context.column(f"{c}_types"))[mine]
-        contexts[n], shared_types[n] = table, np.zeros(size, np.float32)
-        shared_types[n][np.asarray(by_context.column("context"))[mine]] = np.asarray(by_context.column("types"))[mine]
-    if not len(n_slot) or not all((t.sum(0) > 0).all() for t in counts.values()):
+    words = cut_lineage(word_counts(rows.filter("NOT back")))
+    first = fitted(words, p)
+    every = words.unionByName(word_counts(rows.filter("back"))).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    last = fitted(every, p)
+    if last is None:
         return sc.broadcast(None)
-    model = ToxicityModel(p, counts, contexts, shared_types, discounts, follows, followed)
-    shared = sc.broadcast(model)
-    few = rows.filter("back").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.calibrate_rows)
+    curve = np.array([2.0, 4.0, 0, 0, 0, 0, 0, -4.0])
+    if first is not None:
+        few = rows.filter("back").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.calibrate_rows)
+        table = with_features(few.select("toxic", "text"), first).select("toxic", "features").toArrow()
+        x, y = np.array(table.column("features").to_pylist(), float).reshape(-1, WIDTH), np.asarray(table.column("toxic")).astype(float)
+        if 0 < y.sum() < len(y):
+            curve = logistic(x, y)
+    model = last.value
+    model.curve = curve
+    if not isinstance(first, JoinedModel) and first is not None:
+        first.unpersist()
+    if isinstance(last, JoinedModel):
+        return last
+    last.unpersist()
+    return sc.broadcast(model)
+
+
+def with_features(docs: DataFrame, shared) -> DataFrame:
+    """The rows, their columns but the text, and the text's features; by a model that is broadcast or joined."""
+    kept = [c for c in docs.columns if c != "text"]
+    if isinstance(shared, JoinedModel):
+        marked = docs.withColumn("mark", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+        return marked.join(joined_features(marked, shared), "mark", "left").select(*kept, F.coalesce("features", F.array(*[F.lit(0.0)] * (WIDTH - 1), F.lit(1.0))).alias("features"))
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"] + ["features array<double>"])
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
         for part, texts in text_slices(batches):
-            f = scorer.features(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(part.column("toxic")), *(pa.array(f[:, j]) for j in range(f.shape[1]))], ["toxic", *(f"f{j}" for j in range(f.shape[1]))])
+            f = pa.array(list(scorer.features(texts)), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), f], [*kept, "features"])
 
-    table = few.select("toxic", "text").mapInArrow(measure, "toxic int, " + ", ".join(f"f{j} double" for j in range(WIDTH))).toArrow()
-    x, y = np.column_stack([np.asarray(table.column(f"f{j}")) for j in range(WIDTH)]), np.asarray(table.column("toxic")).astype(float)
-    model.curve = logistic(x, y) if 0 < y.sum() < len(y) else np.array([2.0, 4.0, 0, 0, 0, 0, 0, -4.0])
-    shared.unpersist()
-    return sc.broadcast(model)
+    return docs.mapInArrow(measure, ddl)
+
+
+def joined_features(marked: DataFrame, shared: JoinedModel) -> DataFrame:
+    """(mark, features) of every text with words; no table is broadcast or collected.
+
+    Distinct words are joined with the rows that they ask for, and their ratios with the words of the texts.
+    """
+    model = shared.value
+    values = shared.table.columns[2:]
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches):
+            for mark, t in zip(part.column("mark").to_pylist(), texts, strict=True):
+                words = WORD.findall(t.lower())
+                yield pa.RecordBatch.from_arrays([pa.array([mark] * len(words), pa.string()), pa.array(range(len(words)), pa.int64()), pa.array(words, pa.string())], ["mark", "place", "word"])
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            if not words:
+                continue
+            codes, starts = characters(words)
+            owner = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(codes))))
+            for kind, here, keys in asked(words, model.params):
+                yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(owner[here])), pa.array(np.full(len(here), kind, np.int64)), pa.array(keys)], ["word", "kind", "key"])
+
+    def rate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            rows = {(r["kind"], r["key"]): [r[c] for c in values] for x in batch.column("rows").to_pylist() for r in x if r["types"] is not None}
+            at = np.array(list(rows), np.int64).reshape(-1, 2)
+            own = ToxicityModel(model.params, _tables(at[:, 0], at[:, 1], np.array(list(rows.values()), float).reshape(-1, 5)), model.discounts)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(own.ratios(words)), pa.array([len(w) + 1.0 for w in words], pa.float64())], ["word", "ratio", "size"])
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features_of(np.array([r["ratio"] for r in x]), np.array([r["size"] for r in x]), model.params.window) for x in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(found, pa.list_(pa.float64()))], ["mark", "features"])
+
+    words = marked.select("mark", "text").mapInArrow(split, "mark string, place long, word string")
+    rows = words.select("word").distinct().mapInArrow(ask, "word string, kind long, key long").distinct().join(shared.table, ["kind", "key"], "left")
+    ratios = rows.groupBy("word").agg(F.collect_list(F.struct("kind", "key", *values)).alias("rows")).mapInArrow(rate, "word string, ratio double, size double")
+    texts = words.join(ratios, "word").groupBy("mark").agg(F.array_sort(F.collect_set(F.struct("place", "ratio", "size"))).alias("words"))
+    return texts.mapInArrow(gather, "mark string, features array<double>")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
@@ -292,17 +401,15 @@ def score_documents(docs: DataFrame, shared) -> DataFrame:
     Repeated rows give repeated rows. Only the text decides.
     """
 
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared)
-        for part, texts in text_slices(batches):
-            if scorer is None:
-                s = np.zeros(len(texts))
-            else:
-                f = scorer.features(texts)
-                s = np.where(np.abs(f[:, :-1]).sum(1) > 0, 1 / (1 + np.exp(-np.clip(f @ scorer.model.curve, -30, 30))), 0.0)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s)], ["doc_id", "score"])
-
-    found = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(score, "doc_id long, score double")
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    if shared.value is None:
+        found = own.select("doc_id", F.lit(0.0).alias("score"))
+    else:
+        f, curve = F.col("features"), [float(x) for x in shared.value.curve]
+        total = sum((f[j] * c for j, c in enumerate(curve)), F.lit(0.0))
+        some = sum((F.abs(f[j]) for j in range(WIDTH - 1)), F.lit(0.0)) > 0
+        curved = 1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(30.0)), F.lit(-30.0))))
+        found = with_features(own, shared).select("doc_id", F.when(some, curved).otherwise(0.0).alias("score"))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -62,3 +62,32 @@ def test_awkward(spark):
         assert {r["score"] for r in T.score_documents(odd, none).collect()} == {0.0}
     twice = labels.unionByName(labels).unionByName(spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int"))
     assert T.train(docs, twice).value is not None
+
+
+def test_counts_grow_with_the_corpus_and_share_nothing(spark):
+    rng = random.Random(2)
+    words = list({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(60_000)})
+    frame = spark.createDataFrame([(w, i % 2, 1) for i, w in enumerate(words)], "word string, toxic long, ordinary long")
+    p = T.ToxicityParams()
+    want = {f"\x01{w}\x02"[i : i + 5] for w in words for i in range(len(w) - 2)}
+    assert len(want) > 1 << 18
+    got = T.gram_counts(frame, p).filter(f"n = {p.order}").groupBy("gram").count()
+    assert got.count() == len(want)
+
+
+def test_every_training_row_is_counted(spark):
+    docs, labels = corpus(spark)
+    back = T._training(docs, labels).filter("toxic = 1 AND pmod(xxhash64(doc_id, 'curve'), 8) = 0").first()["doc_id"]
+    extra = documents(spark, [(back, "vyxquorb vyxquorb vyxquorb")])
+    docs = docs.filter(f"doc_id <> {back}").unionByName(extra)
+    assert T.train(docs, labels).value.ratios(["vyxquorb"])[0] > 3
+
+
+def test_a_joined_model_scores_as_a_broadcast_one(spark, monkeypatch):
+    docs, labels = corpus(spark, 200)
+    docs = docs.unionByName(documents(spark, [(900, ""), (901, None), (902, "zog"), (902, "zog")]))
+    scores = lambda shared: sorted((r["doc_id"], round(r["score"], 9)) for r in T.score_documents(docs, shared).collect())
+    want = scores(T.train(docs, labels))
+    monkeypatch.setattr(T, "BROADCAST_GRAMS", 10)
+    joined = T.train(docs, labels)
+    assert isinstance(joined, T.JoinedModel) and scores(joined) == want
