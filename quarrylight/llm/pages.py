@@ -32,6 +32,10 @@ MARKED = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 # Tags that hold an article's own text.
 TEXTUAL = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt figcaption".split())
+#: Flow content that ends a head whose end tag is left out.
+FLOW = CLOSES_P | frozenset("body li dl dt dd td tr a b i em strong span img br".split())
+#: A class or id word marks no element that holds this share of the page's text or more.
+MOST = 0.5
 #: Containers of an article, in which a header tag or a heading belongs to the text.
 MAIN = frozenset(("article", "main"))
 
@@ -53,6 +57,7 @@ class Block:
     furniture: bool
     main: bool
     pieces: list[str] = field(default_factory=list)
+    marks: tuple[int, ...] = ()  # the numbers of the elements around it that a class or id word marks
 
     @property
     def textual(self) -> bool:
@@ -69,30 +74,37 @@ class _Reader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, path, silent, furniture, main
+        self.stack: list[tuple[str, str, bool, bool, bool, tuple[int, ...]]] = []  # tag, path, silent, furniture, main, marks
         self.blocks: list[Block] = []
         self.fresh = True
+        self.marked = 0
 
-    def _top(self) -> tuple[str, str, bool, bool, bool]:
-        return self.stack[-1] if self.stack else ("", "", False, False, False)
+    def _top(self) -> tuple[str, str, bool, bool, bool, tuple[int, ...]]:
+        return self.stack[-1] if self.stack else ("", "", False, False, False, ())
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
             self.fresh = True
+        if tag in FLOW and any(x[0] == "head" for x in self.stack) and not any(x[0] in SILENT - {"head"} for x in self.stack):
+            self._close("head")
         if tag in VOID:
             return
         if tag in CLOSES_P:
             self._close("p", stop=FURNITURE | MAIN | {"div", "section", "td", "li", "blockquote"})
         elif tag in ("li", "option", "tr", "td", "th", "dt", "dd"):
             self._close(tag, stop={"ul", "ol", "table", "dl", "select"})
-        _, path, silent, furniture, main = self._top()
+        _, path, silent, furniture, main, around = self._top()
         named = dict(attrs)
         marks = f"{named.get('class') or ''} {named.get('id') or ''}".strip()
         role = (named.get("role") or "").lower()
         hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in (named.get("style") or "").replace(" ", "").lower()
-        own = tag in FURNITURE and not (tag == "header" and main) or bool(marks and MARKED.search(marks)) and tag not in ("html", "body") or role in ROLES or hidden
+        own = tag in FURNITURE and not (tag == "header" and main) or role in ROLES or hidden
+        is_main = tag in MAIN or role in ("main", "article")
+        if marks and MARKED.search(marks) and tag not in ("html", "body") and not is_main:
+            self.marked += 1
+            around = (*around, self.marked)
         style = path if tag in INLINE else f"{path}/{tag}" + (f".{'.'.join(sorted(marks.lower().split()))}" if marks else "")
-        self.stack.append((tag, style[-400:], silent or tag in SILENT, furniture or own, main or tag in MAIN or role in ("main", "article")))
+        self.stack.append((tag, style[-400:], silent or tag in SILENT, furniture or own, main or is_main, around))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -116,12 +128,12 @@ class _Reader(HTMLParser):
             self._close(tag, stop=("html", "body") if tag in INLINE else ())
 
     def handle_data(self, data: str) -> None:
-        _, path, silent, furniture, main = self._top()
+        _, path, silent, furniture, main, marks = self._top()
         if silent:
             return
         last = self.blocks[-1] if self.blocks else None
-        if last is None or self.fresh or (last.furniture, last.main) != (furniture, main):
-            self.blocks.append(Block(path, furniture, main))
+        if last is None or self.fresh or (last.furniture, last.main, last.marks) != (furniture, main, marks):
+            self.blocks.append(Block(path, furniture, main, marks=marks))
             self.fresh = False
         self.blocks[-1].pieces.append(data)
 
@@ -134,7 +146,18 @@ def blocks_of(html: str) -> list[Block]:
     rest = reader.rawdata
     if not rest.startswith("<"):
         reader.close()
-    return [b for b in reader.blocks if b.text]
+    blocks = [b for b in reader.blocks if b.text]
+    held: dict[int, int] = {}
+    total = 0
+    for b in blocks:
+        if not b.furniture:
+            n = len(b.text)
+            total += n
+            for m in b.marks:
+                held[m] = held.get(m, 0) + n
+    for b in blocks:
+        b.furniture = b.furniture or any(held[m] < MOST * total for m in b.marks)
+    return blocks
 
 
 def host_of(url: str | None) -> str:

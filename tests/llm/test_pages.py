@@ -59,3 +59,16 @@ def test_awkward(spark):
         by = {r["page_id"]: r for r in got}
         assert len(got) == 6 and by[1]["text"] == by[2]["text"] == "" and by[3]["text"] == "é ü" and by[3]["n_chars"] == 3 and by[4]["n_chars"] == 999_999
     assert P.extract_main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_class_words_do_not_empty_an_article():
+    story = "<p>" + "A story of many words. " * 9 + "</p>"
+    for marks in ("content with-sidebar", "has-sidebar", "article-body no-comments", "entry comments-open", "post category-legal", "story tag-social"):
+        for tag in ("article", "main", "div"):
+            got = text(f"{HEAD}<nav>x</nav><div class='sidebar'>Side</div><{tag} class='{marks}'>{story}<div class='share'>Share</div></{tag}>")
+            assert got == ("A story of many words. " * 9).strip(), (tag, marks)
+
+
+def test_head_without_an_end():
+    assert text("<html><head><title>T</title><body><p>Kept</p></body></html>") == "Kept"
+    assert text("<head><title>T</title><style>p{}</style><div><p>Kept</p></div>") == "Kept"
