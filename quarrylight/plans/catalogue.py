@@ -442,6 +442,12 @@ def categorise(spark, d):
     return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", code_text.category(F.col("text"), F.col("source")).alias("category"))
 
 
+@query()
+def categorise_all(spark, d):
+    """The cascade over documents of every language and of none; tests hold it against brute force."""
+    return table(spark, d, "documents").select("doc_id", code_text.category(F.col("text"), F.col("source")).alias("category"))
+
+
 @query()
 def complexity(spark, d):
     return table(spark, d, "documents").select("doc_id", code_text.complexity(F.col("text")).alias("complexity"))

@@ -1,8 +1,11 @@
 """Every catalogue query against its SQL in DuckDB, on whole tables."""
 
+import re
+
 import duckdb
 import pytest
 
+from quarrylight.functions import code_text
 from quarrylight.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,3 +47,16 @@ def test_entry(spark):
 def test_scans_are_pruned(spark, sf_dir):
     plan = catalogue.queries()["kill_rate_wilson"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_type:string,value:double>" in plan
+
+
+def test_categories_of_every_language(spark, sf_dir, duck):
+    def category(text, source):
+        both = f"{text} {source or ''}".lower() if text is not None else ""
+        for name, keys in code_text.CATEGORIES:
+            if any(k in both for k in keys):
+                return name
+        return "complex_loops" if re.search(r"\b(for|while)\b.*\b(for|while)\b", text or "") else "general"
+
+    docs = duck.sql("SELECT doc_id, text, source FROM documents").fetchall()
+    want = rows((i, category(t, s)) for i, t, s in docs)
+    assert rows(map(tuple, catalogue.queries()["categorise_all"](spark, sf_dir).collect())) == want
