@@ -2,29 +2,48 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker holds as words at one time; one longer text is taken alone.
 SLICE_CHARS = 1_500_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Only a local session without one (tests) gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="quarrylight-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder in spark.checkpoint.dir; a session without one (tests) gets a temporary folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Checkpoint to the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrylight-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,23 +66,68 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iter
             yield part, ["" if t is None else t for t in part.column(column).to_pylist()]
 
 
-class WordHasher(dict):
-    """64-bit hashes of words (bytes), remembered for at most `bound` distinct words."""
+_KEPT: dict[Any, Any] = {}
+
+
+def worker_cache(key: Any, make: Callable[[], Any]) -> Any:
+    """What one operator remembers in this Python worker. Workers serve many tasks; another operator's memory goes first."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _KEPT[key] = make()
+    return _KEPT[key]
 
-    def __init__(self, bound: int = 400_000) -> None:
+
+#: Bytes that a remembered word takes beside its letters: the entry, its key and its value.
+ENTRY_BYTES = 200
+
+
+class Remembered(dict):
+    """Codes of words, 0, 1, 2 ... in the order of their first use, remembered up to a bound in bytes.
+
+    `full` says that the bound is passed; whoever asks then forgets everything before the next slice of text, so that the
+    bound is passed by at most one slice's words.
+    """
+
+    def __init__(self, bound: int = 48_000_000) -> None:
         super().__init__()
-        self.bound = bound
+        self.bound, self.taken, self.pending = bound, 0, []
+
+    def __missing__(self, word: Any) -> int:
+        code = self[word] = len(self)
+        self.taken += ENTRY_BYTES + len(word)
+        self.pending.append(word)
+        return code
+
+    @property
+    def full(self) -> bool:
+        return self.taken > self.bound
+
+    def forget(self) -> None:
+        self.clear()
+        self.taken, self.pending = 0, []
+
+
+class WordHasher(Remembered):
+    """64-bit hashes of words (bytes)."""
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)
+        self.taken += ENTRY_BYTES + len(word)
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.bound:
-            self.clear()
+        if self.full:
+            self.forget()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def hasher() -> WordHasher:
+    """The hasher of this Python worker."""
+    return worker_cache("words", WordHasher)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (shift, multiply) that spreads every input bit."""
     x = x ^ (x >> np.uint64(33))
@@ -76,3 +140,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def plain_words(text: str) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+#: 64-bit cells of an id filter: 2 ** 18 of them, 16.8 million bits in 4 MB, at any number of ids.
+FILTER_CELLS = 1 << 18
+
+
+def passing(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose `column` (long) may be among `ids` (a column of that name): all that are, and few others while the ids are few.
+
+    A bitmap of fixed size, OR-ed on the executors and broadcast, spares a shuffle rows that no join needs. It decides
+    nothing: the exact join follows. With very many ids it fills up, and more rows travel.
+    """
+    h, cell, bits = f"xxhash64(`{column}`)", fresh(rows, "cell"), fresh(rows, "bits")
+    place, bit = f"cast(pmod(shiftrightunsigned({h}, 6), {FILTER_CELLS}) AS int)", f"cast(pmod({h}, 64) AS int)"
+    cells = ids.groupBy(F.expr(place).alias(cell)).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias(bits))
+    return rows.withColumn(cell, F.expr(place)).join(F.broadcast(cells), cell).filter(f"shiftrightunsigned(`{bits}`, {bit}) & 1 = 1").drop(cell, bits)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import WordHasher, mixed, read_table, text_slices
+from quarrylight.llm.common import WordHasher, cut_lineage, hasher, mixed, read_table, text_slices
 
 # Seeds; 1 is a position that is compared. Each set was searched by enumeration, so that one of its seeds, shifted
 # within the window, hits every pattern of the substitutions that the rule allows.
@@ -32,11 +32,10 @@ MIDDLE, LONG = 12, 15
 BLOCK_TOKENS = 2_000_000
 #: Words that two texts must have side by side, and the share of them that must agree.
 OVERLAP, AGREEMENT = 16, 0.8
-#: A benchmark item with fewer words is no evidence and is not searched for.
-LEAST_WORDS = 5
 
 _SEPARATE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+#: Most bits of the number of cells in a seed's bitmap; a seed of few keys has a small one.
 _BITS = 23
 
 
@@ -57,9 +56,11 @@ def seed_keys(tokens: np.ndarray, chosen: np.ndarray, span: int) -> np.ndarray:
 def short_masks(n: int) -> list[str]:
     """Seeds for items of n words, fewer than MIDDLE, that miss no overlap with the agreement asked for.
 
-    Where one word may differ, each seed ignores one position; where two may, one of three parts must agree.
+    Where no word may differ, the whole item is the seed. Where one may, each seed ignores one position; where two may, one of three parts must agree.
     """
-    if n - math.ceil(AGREEMENT * n) <= 1:
+    if n == math.ceil(AGREEMENT * n):
+        return ["1" * n]
+    if n - math.ceil(AGREEMENT * n) == 1:
         return ["1" * i + "0" + "1" * (n - 1 - i) for i in range(n)]
     cuts = [round(n * i / 3) for i in range(4)]
     return ["0" * a + "1" * (b - a) + "0" * (n - b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -80,7 +81,7 @@ class SeedIndex:
     first: np.ndarray  # of each item, its first token
     size: np.ndarray
     ids: np.ndarray
-    seeds: list[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]]
+    seeds: list[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray, int]]
 
     @staticmethod
     def of(items: list[tuple[int, list[bytes]]]) -> SeedIndex:
@@ -99,18 +100,19 @@ class SeedIndex:
             if not len(keys):
                 continue
             order = np.argsort(keys, kind="stable")
-            bitmap = np.zeros(1 << _BITS, bool)
-            bitmap[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            seeds.append((chosen, span, keys[order], places[order], bitmap))
+            bits = min(_BITS, max(10, int(len(keys)).bit_length() + 5))
+            bitmap = np.zeros(1 << bits, bool)
+            bitmap[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
+            seeds.append((chosen, span, keys[order], places[order], bitmap, 64 - bits))
         return SeedIndex(tokens, item, first, size, np.array([i for i, _ in items], np.int64), seeds)
 
     def overlaps(self, tokens: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text's number, item id, first word, words, agreeing words) of verified overlaps in texts that end at `ends`."""
         begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         found = []
-        for chosen, span, keys, places, bitmap in self.seeds:
+        for chosen, span, keys, places, bitmap, shift in self.seeds:
             probe = seed_keys(tokens, chosen, span)
-            at = np.flatnonzero(bitmap[(probe >> np.uint64(64 - _BITS)).astype(np.int64)])
+            at = np.flatnonzero(bitmap[(probe >> np.uint64(shift)).astype(np.int64)])
             lo, hi = np.searchsorted(keys, probe[at], "left"), np.searchsorted(keys, probe[at], "right")
             n = hi - lo
             p = np.repeat(at, n)
@@ -136,24 +138,21 @@ class SeedIndex:
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[SeedIndex]:
-    """The benchmark in blocks of bounded size; at least one, maybe empty."""
-    items, total, any_block = [], 0, False
+    """The benchmark in blocks of bounded size (one item more than BLOCK_TOKENS has a block of its own); none without words."""
+    items, total = [], 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL AND item_id IS NOT NULL").toLocalIterator():
         words = words_of(r["text"])
-        if len(words) < LEAST_WORDS:
+        if not words:
             continue
         if items and total + len(words) > BLOCK_TOKENS:
             yield SeedIndex.of(items)
-            items, total, any_block = [], 0, True
+            items, total = [], 0
         items.append((r["item_id"], words))
         total += len(words)
-    if items or not any_block:
+    if items:
         yield SeedIndex.of(items)
 
 
-_HASHER = WordHasher()
-
-
 def _searched(index: SeedIndex, texts: list[str]) -> list[list[tuple[int, int, int, int, int]]]:
     """For each text, its overlaps without repeats, in order."""
     out: list[list] = [[] for _ in texts]
@@ -163,7 +162,7 @@ def _searched(index: SeedIndex, texts: list[str]) -> list[list[tuple[int, int, i
     for t in texts:
         words += words_of(t)
         ends.append(len(words))
-    for x in index.overlaps(_HASHER.of(words), np.array(ends, np.int64)):
+    for x in index.overlaps(hasher().of(words), np.array(ends, np.int64)):
         out[x[0]].append(x[1:])
     return [sorted(set(x)) for x in out]
 
@@ -172,42 +171,56 @@ SPANS = "array<struct<item_id:long,start:long,words:long,agreeing:long>>"
 _SPANS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("agreeing", pa.int64())]))
 
 
+def _mark(text: str):
+    """A text's identity: rows of one doc_id and one text have the same findings."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, contaminated, items (distinct item ids in order), overlaps.
 
-    Null, empty and short texts have no overlap; null or short benchmark items are not searched for; an empty benchmark finds
-    nothing. Repeated rows give repeated rows, except that rows which share a doc_id share the findings of all blocks where
-    the benchmark needs more than one. Other columns are ignored. Blocks of benchmark text have a fixed greatest size, and
-    each is broadcast by itself.
+    Null and empty texts have no overlap; a benchmark item without words is not searched for, and one of fewer than 16 words
+    must agree as a whole; an empty benchmark finds nothing. Repeated rows give repeated rows. Other columns are ignored.
+
+    The benchmark comes in blocks of bounded size. Each block is broadcast by itself, its findings (only rows that have any)
+    are checkpointed under the document's id and its text's hash, and its broadcast is dropped, so that neither the driver nor
+    a worker ever holds more than one block. Findings are then joined with the documents; the texts are never shuffled.
     """
     spark = docs.sparkSession
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("overlaps", _SPANS)])
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("overlaps", _SPANS)])
 
-    def finder(shared, everyone: bool):
+    def finder(shared):
         def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, texts in text_slices(batches):
-                rows = [
-                    {"doc_id": i, "overlaps": [dict(zip(("item_id", "start", "words", "agreeing"), x, strict=True)) for x in found]}
-                    for i, found in zip(part.column("doc_id").to_pylist(), _searched(shared.value, texts), strict=True)
-                    if everyone or found
-                ]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                hits = [(k, [dict(zip(("item_id", "start", "words", "agreeing"), x, strict=True)) for x in found]) for k, found in enumerate(_searched(shared.value, texts)) if found]
+                if hits:
+                    rows = part.take(pa.array([k for k, _ in hits]))
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text").cast(pa.string()), pa.array([x for _, x in hits], _SPANS)], schema=schema)
 
         return find
 
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark)]
-    parts = [own.mapInArrow(finder(b, len(blocks) == 1), f"doc_id long, overlaps {SPANS}") for b in blocks]
-    if len(parts) == 1:
-        found = parts[0]
+    parts = []
+    for block in _blocks(benchmark):
+        shared = spark.sparkContext.broadcast(block)
+        found = own.mapInArrow(finder(shared), f"doc_id long, text string, overlaps {SPANS}")
+        parts.append(cut_lineage(found.select(F.col("doc_id").alias("same"), _mark("text").alias("mark"), "overlaps").dropDuplicates(["same", "mark"])))
+        shared.destroy()
+    named = own.select("doc_id", _mark("text").alias("mark_"))
+    if parts:
+        every = reduce(DataFrame.unionByName, parts).groupBy("same", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("overlaps")))).alias("overlaps"))
+        named = named.join(every, F.col("doc_id").eqNullSafe(F.col("same")) & (F.col("mark_") == F.col("mark")), "left").select("doc_id", F.coalesce("overlaps", F.array().cast(SPANS)).alias("overlaps"))
     else:
-        every = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("overlaps")))).alias("overlaps"))
-        found = own.select("doc_id").join(every.withColumnRenamed("doc_id", "same"), F.col("doc_id").eqNullSafe(F.col("same")), "left").select("doc_id", F.coalesce("overlaps", F.array().cast(SPANS)).alias("overlaps"))
-    return found.select("doc_id", (F.size("overlaps") > 0).alias("contaminated"), F.array_sort(F.array_distinct(F.transform("overlaps", lambda x: x["item_id"]))).alias("items"), "overlaps")
+        named = named.select("doc_id", F.array().cast(SPANS).alias("overlaps"))
+    return named.select("doc_id", (F.size("overlaps") > 0).alias("contaminated"), F.array_sort(F.array_distinct(F.transform("overlaps", lambda x: x["item_id"]))).alias("items"), "overlaps")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, that overlap no benchmark item."""
+    """The rows of docs, with all columns, that overlap no benchmark item; nulls and empty texts stay, repeated rows too.
+
+    Each block of the benchmark is one pass that drops rows and shuffles none; between two blocks what is left is
+    checkpointed, so that only one block is held at a time.
+    """
     spark = docs.sparkSession
 
     def keeper(shared):
@@ -217,10 +230,16 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return keep
 
+    shared = None
     for block in _blocks(benchmark):
-        docs = docs.mapInArrow(keeper(spark.sparkContext.broadcast(block)), docs.schema)
+        if shared is not None:
+            docs = cut_lineage(docs)
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(block)
+        docs = docs.mapInArrow(keeper(shared), docs.schema)
     return docs
 
 
 def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items."""
     return find_overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -7,7 +7,8 @@ the start, so copies of one text are never compared.
 
 Links are found in two rounds. First every block of a band's bucket proposes a spanning forest of its likely links, which is
 linear in the block. Then buckets that still hold more than one component bring their members' sets together in pairs of
-blocks, and every likely link across components is tested there, so that none is lost whatever the forests missed.
+blocks, and every likely link across components is tested there, so that none is lost whatever the forests missed. Sketches
+go first: a set is fetched only for a document that has a likely partner in its cell.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import WordHasher, cut_lineage, mixed, plain_words, read_table, text_slices
+from quarrylight.llm.common import cut_lineage, fresh, hasher, mixed, passing, plain_words, read_table, text_slices
 from quarrylight.llm.graph import components
 
-#: Distinct ids up to which a semi-join broadcasts them (8 MB); beyond it they are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Shingles that weigh as much as a row when buckets are cut into blocks, so that a block of long texts has fewer rows.
+ROW_SHINGLES = 1024
 
 
 @dataclass(frozen=True)
@@ -50,14 +51,13 @@ class NearDup:
 
 
 _ODD = mixed(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
-_HASHER = WordHasher()
 
 
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingles of each text; a text of fewer words is one shingle; without words, none."""
     split = [plain_words(t) for t in texts]
     ends = np.cumsum([len(x) for x in split])
-    tokens = _HASHER.of([w for x in split for w in x])
+    tokens = hasher().of([w for x in split for w in x])
     n = max(0, len(tokens) - words + 1)
     keys = np.zeros(n, np.uint64)
     for i in range(words):
@@ -117,17 +117,19 @@ def features(docs: DataFrame, p: NearDup) -> DataFrame:
 
 
 def _whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by key, cut anew so that each holds whole groups."""
-    kept: pa.Table | None = None
+    """Batches sorted by key, cut anew so that each holds whole groups; only the group that a batch ends in is held back."""
+    kept: list[pa.RecordBatch] = []
     for batch in batches:
-        table = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
-        keys = np.asarray(table.column(key).combine_chunks())
-        cut = int(np.searchsorted(keys == keys[-1], True)) if len(keys) else 0
-        if cut:
-            yield table.slice(0, cut).combine_chunks().to_batches()[0]
-        kept = table.slice(cut)
-    if kept is not None and kept.num_rows:
-        yield kept.combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        keys = np.asarray(batch.column(key))
+        cut = int(np.searchsorted(keys == keys[-1], True))
+        if cut or (kept and kept[0].column(key)[0].as_py() != keys[-1]):
+            yield pa.concat_batches([*kept, batch.slice(0, cut)])
+            kept = []
+        kept.append(batch.slice(cut))
+    if kept:
+        yield pa.concat_batches(kept)
 
 
 def _bitmaps(column: pa.Array) -> np.ndarray:
@@ -176,31 +178,62 @@ def _forests(p: NearDup):
     return propose
 
 
-def _crossings(p: NearDup):
-    """Confirmed links between strays and members of other components in each group; a forest of them is enough.
+def _likely(s: int, e: int, i: int, n: np.ndarray, comp: np.ndarray, bits: np.ndarray, keys: np.ndarray, band: np.ndarray, p: NearDup) -> np.ndarray:
+    """The rows s to e of a group that row i may have a link with, across components.
 
-    A pair is looked at only in the first band that it shares, so once in all; what the sketches let pass is compared on the
-    full sets here, where both sets are at hand.
+    A pair is looked at only in the first band that it shares, so once in all.
     """
+    ok = (comp[s:e] != comp[i]) & _alike(n[s:e], n[i], p.percent)
+    at = s + np.flatnonzero(ok)
+    at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64) <= p.farthest]
+    return at[~(keys[at, : band[i]] == keys[i, : band[i]]).any(1)]
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    gid = np.asarray(batch.column("gid"))
+    starts = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]]))
+    yield from zip(starts.tolist(), np.append(starts[1:], len(gid)).tolist(), strict=True)
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    rep, n, comp, stray, band = (np.asarray(batch.column(c)) for c in ("rep", "n", "comp", "stray", "band"))
+    return rep, n, comp, stray, band, _bitmaps(batch.column("sketch")), np.asarray(batch.column("bands").flatten()).reshape(len(rep), -1)
+
+
+def _partners(p: NearDup):
+    """(gid, rep) of the rows that have a likely partner across components in their cell, by the sketches alone."""
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, "gid"):
+            _, n, comp, stray, band, bits, keys = _columns(batch)
+            seen = np.zeros(batch.num_rows, bool)
+            for s, e in _groups(batch):
+                for i in (s + np.flatnonzero(stray[s:e])).tolist():
+                    at = _likely(s, e, i, n, comp, bits, keys, band, p)
+                    seen[at] = True
+                    seen[i] |= len(at) > 0
+            yield batch.select(["gid", "rep"]).filter(pa.array(seen))
+
+    return find
+
+
+def _crossings(p: NearDup):
+    """Confirmed links between strays and members of other components in each cell, on full sets; a forest of them is enough."""
 
     def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches, "gid"):
-            gid, rep, n, comp, stray, band = (np.asarray(batch.column(c)) for c in ("gid", "rep", "n", "comp", "stray", "band"))
-            bits, keys = _bitmaps(batch.column("sketch")), np.asarray(batch.column("bands").flatten()).reshape(len(gid), -1)
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
-            starts = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]]))
+            rep, n, comp, stray, band, bits, keys = _columns(batch)
+            held = batch.column("shingles")
+            set_of = lambda j: np.frombuffer(held[j].as_buffer(), np.uint64)  # noqa: B023, E731
             a, b = [], []
-            for s, e in zip(starts.tolist(), np.append(starts[1:], len(gid)).tolist(), strict=True):
+            for s, e in _groups(batch):
                 for i in (s + np.flatnonzero(stray[s:e])).tolist():
-                    ok = (comp[s:e] != comp[i]) & _alike(n[s:e], n[i], p.percent)
-                    at = s + np.flatnonzero(ok)
-                    at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64) <= p.farthest]
-                    at = at[~(keys[at, : band[i]] == keys[i, : band[i]]).any(1)]
+                    at = _likely(s, e, i, n, comp, bits, keys, band, p)
                     if not len(at):
                         continue
-                    every, own = np.concatenate([sets[j] for j in at]), sets[i]
-                    found = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
-                    both = np.add.reduceat(found.astype(np.int64), np.cumsum([0] + [len(sets[j]) for j in at[:-1]]))
+                    own, sets = set_of(i), [set_of(int(j)) for j in at]
+                    found = [np.count_nonzero(own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x) for x in sets]
+                    both = np.array(found, np.int64)
                     at = at[100 * both >= p.percent * (n[at] + n[i] - both)]
                     at = at[np.unique(comp[at], return_index=True)[1]]
                     a.append(np.full(len(at), rep[i]))
@@ -211,9 +244,9 @@ def _crossings(p: NearDup):
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents whose doc_id is in ids (distinct)."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
+    """doc_id and text of the documents whose doc_id is in ids (distinct). One plan at every size: a filter, then a shuffle join."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return passing(own, ids, "doc_id").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
 
 
 def _shingles_of(texts: DataFrame, p: NearDup) -> DataFrame:
@@ -229,7 +262,7 @@ def _shingles_of(texts: DataFrame, p: NearDup) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full sets are similar enough."""
-    own = _texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    own = _texts_of(docs, cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -259,8 +292,9 @@ def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame
     known = found.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut_lineage(known.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("x")).select("set_hash", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), "x.bands", "x.sketch"))
     reps = classes.select("rep", "n", "sketch", "bands").dropDuplicates(["rep", "sketch"])
-    banded = classes.select(F.posexplode("bands").alias("band", "bkey"), "rep")
-    shared = banded.groupBy("bkey").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    weight = (1 + F.col("n") / ROW_SHINGLES).alias("w")
+    banded = classes.select(F.posexplode("bands").alias("band", "bkey"), "rep", weight)
+    shared = banded.groupBy("bkey").agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("size")).filter("rows > 1").drop("rows")
     members = cut_lineage(banded.join(shared, "bkey"))
 
     block = F.pmod(F.xxhash64("rep", "bkey"), F.ceil(F.col("size") / p.block)).alias("blk")
@@ -271,17 +305,21 @@ def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame
 
     own = components(links).withColumnsRenamed({"id": "rep", "component": "comp"})
     named = members.join(own, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    groups = named.groupBy("bkey", "comp").agg(F.count(F.lit(1)).alias("m"))
-    split = groups.groupBy("bkey").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), (F.sum("m") - F.max("m")).alias("strays")).filter("comps > 1")
+    groups = named.groupBy("bkey", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("w").alias("w"))
+    split = groups.groupBy("bkey").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), (F.sum("w") - F.max_by("w", F.struct("m", "comp"))).alias("strays")).filter("comps > 1")
     open_ = named.join(split, "bkey").withColumn("stray", F.col("comp") != F.col("main"))
     cell = lambda name, n: F.pmod(F.xxhash64("rep", "bkey", F.lit(name)), F.ceil(F.col(n) / p.block)).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / p.block).cast("long") - 1))
     one = open_.select("bkey", "band", "rep", "comp", F.lit(False).alias("stray"), cell("all", "size").alias("i"), every("strays").alias("j"))
     two = open_.filter("stray").select("bkey", "band", "rep", "comp", "stray", every("size").alias("i"), cell("stray", "strays").alias("j"))
     cells = cut_lineage(one.unionByName(two).select(F.xxhash64("bkey", "i", "j").alias("gid"), "band", "rep", "comp", "stray"))
-    sets = _shingles_of(_texts_of(docs, cells.select(F.col("rep").alias("doc_id")).distinct()), p).dropDuplicates(["rep", "shingles"])
-    crossing = cells.join(reps.join(sets, ["rep", "n"]), "rep").repartition("gid").sortWithinPartitions("gid")
-    across = crossing.select("gid", "rep", "n", "comp", "stray", "band", "sketch", "bands", "shingles").mapInArrow(_crossings(p), "a long, b long").distinct()
+    marked = cells.join(reps, "rep")
+    columns = ["gid", "rep", "n", "comp", "stray", "band", "sketch", "bands"]
+    met = marked.repartition("gid").sortWithinPartitions("gid").select(columns).mapInArrow(_partners(p), "gid long, rep long").distinct()
+    met = cut_lineage(met)
+    sets = _shingles_of(_texts_of(docs, cut_lineage(met.select(F.col("rep").alias("doc_id")).distinct())), p).dropDuplicates(["rep", "shingles"])
+    crossing = marked.join(met, ["gid", "rep"], "left_semi").join(sets, ["rep", "n"]).repartition("gid").sortWithinPartitions("gid")
+    across = crossing.select(*columns, "shingles").mapInArrow(_crossings(p), "a long, b long").distinct()
     links = links.unionByName(cut_lineage(across))
 
     twice = known.groupBy("doc_id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).filter("lo <> hi").select("doc_id")
@@ -296,18 +334,22 @@ def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame
 def deduplicated(docs: DataFrame, params: NearDup | None = None) -> DataFrame:
     """One row of docs, with all columns, for each component; rows without shingles or doc_id stay.
 
-    Of rows that share a kept doc_id one stays, the first by text. A row without doc_id is not compared.
+    Of rows that share a kept doc_id one stays, the first by text. A row without doc_id is not compared. Names that this
+    operator needs for a while give way to those of docs, so no column of docs clashes. An empty table stays empty.
     """
-    dropped = near_duplicates(docs, params).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rest = docs.join(dropped.withColumnRenamed("doc_id", "dropped_"), F.col("doc_id") == F.col("dropped_"), "left_anti")
-    again = rest.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows_")).filter("rows_ > 1")
-    if again.isEmpty():
+    gone, nth, again = fresh(docs, "gone"), fresh(docs, "nth"), fresh(docs, "again")
+    dropped = near_duplicates(docs, params).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(gone)).distinct()
+    key = F.col("doc_id").cast("long")
+    rest = docs.join(dropped, key == F.col(gone), "left_anti")
+    repeated = rest.filter("doc_id IS NOT NULL").groupBy(key.alias(again)).agg(F.count(F.lit(1)).alias(nth)).filter(F.col(nth) > 1).select(again)
+    repeated = cut_lineage(repeated)
+    if repeated.isEmpty():
         return rest
-    order = Window.partitionBy("doc_id").orderBy("text")
-    repeated = rest.join(again.select("doc_id"), "doc_id", "left_semi").withColumn("nth_", F.row_number().over(order)).filter("nth_ = 1").drop("nth_")
-    alone = rest.join(again.select(F.col("doc_id").alias("again_")), F.col("doc_id") == F.col("again_"), "left_anti")
-    return alone.unionByName(repeated)
+    order = Window.partitionBy(key).orderBy("text")
+    one = rest.join(repeated, key == F.col(again), "left_semi").withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).drop(nth)
+    return rest.join(repeated, key == F.col(again), "left_anti").unionByName(one)
 
 
 def op3_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by distinct shingles of four words, linked at a similarity of 0.8."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), NearDup(words=4))

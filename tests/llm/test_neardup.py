@@ -97,3 +97,29 @@ def test_one_id_with_two_texts_is_one_document(spark):
     a, b = "a b c d e f g h i j", "k l m n o p q r s t"
     got = {(r["doc_id"], r["component_id"]) for r in N.near_duplicates(documents(spark, [(5, a), (5, b), (7, a), (9, b)])).collect()}
     assert got == {(5, 5), (7, 5), (9, 5)}
+
+
+def test_columns_that_clash_stay(spark):
+    names = ("gone", "nth", "again", "cell", "bits", "dropped_", "a", "b", "w", "size")
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "other words stand in this one"), (3, "other words stand in this one")]
+    docs = documents(spark, rows).withColumns({c: F.col("doc_id") * 10 for c in names})
+    kept = N.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], *(r[c] for c in names)) for r in kept.collect()) == [(i, *[i * 10] * len(names)) for i in (1, 3)]
+
+
+def test_links_across_components_are_found(spark):
+    """Blocks of two rows: forests see few pairs, so that most links are found between components."""
+    rng = random.Random(11)
+    rows = list(enumerate(near_copies(rng, 40, 60, 8) + near_copies(rng, 30, 400, 60)))
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(documents(spark, rows), N.NearDup(block=2)).collect()}
+    assert got == brute(rows, 5)
+
+
+def test_a_filter_of_ids_loses_none(spark):
+    from quarrylight.llm.common import passing
+
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    ids = spark.range(0, 20_000, 7).select(F.col("id").alias("doc_id"))
+    got = {r["doc_id"] for r in passing(rows, ids, "doc_id").collect()}
+    assert set(range(0, 20_000, 7)) <= got and len(got) < 4_000
