@@ -18,18 +18,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import read_table, text_slices
+from quarrylight.llm.common import Remembered, read_table, text_slices, worker_cache
 
 WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """The field is fitted on at most `rows_each` labelled rows of each language, chosen by a hash of doc_id, and a window of
-    `chars` characters of each, at a place that the hash chooses too. Prediction reads whole texts."""
+    """The field is fitted on whole texts of at most `rows_each` labelled rows of each language, taken in the order of a hash
+    until they hold `chars_each` characters. Prediction reads whole texts. A run of letters longer than LONGEST is
+    several words, one after another."""
 
-    rows_each: int = 500
-    chars: int = 1500
+    rows_each: int = 400
+    chars_each: int = 900_000
     slots: int = 1 << 16
     lexicon: int = 3
     steps: int = 30
@@ -39,33 +40,39 @@ class LanguageParams:
     seed: int = 4
 
 
-def word_features(word: str, lexicon: set[str], slots: int) -> list[int]:
+#: Letters of a word at most; a longer run of letters (text without spaces) is several words.
+LONGEST = 24
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case, long ones cut into consecutive words."""
+    found = WORD.findall(text.lower())
+    if max(map(len, found), default=0) > LONGEST:
+        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
+    return found
+
+
+def word_features(w: str, lexicon: set[str], slots: int) -> list[int]:
     """Slots of a word's prefixes, suffixes, inner n-grams, and of the word itself if the lexicon has it."""
-    w = word if len(word) <= 24 else word[:12] + word[-12:]
     names = [f"p{w[:k]}" for k in range(1, min(4, len(w)) + 1)] + [f"s{w[-k:]}" for k in range(1, min(4, len(w)) + 1)]
     names += [f"g{w[i : i + 3]}" for i in range(len(w) - 2)]
-    if word in lexicon:
-        names.append(f"w{word}")
+    if w in lexicon:
+        names.append(f"w{w}")
     return [xxhash.xxh3_64_intdigest(x) % slots for x in dict.fromkeys(names)]
 
 
-class Posteriors(dict):
+class Posteriors(Remembered):
     """Word scores of a fitted field, remembered for a bounded number of words, and forward-backward over texts."""
 
-    def __init__(self, model: LanguageModel, bound: int = 400_000) -> None:
+    def __init__(self, model: LanguageModel) -> None:
         super().__init__()
-        self.model, self.bound, self.pending = model, bound, []
+        self.model = model
         self.table = np.zeros((0, len(model.languages)))
 
-    def __missing__(self, word: str) -> int:
-        code = self[word] = len(self)
-        self.pending.append(word)
-        return code
-
     def emissions(self, words: list[str]) -> np.ndarray:
-        if len(self) > self.bound:
-            self.clear()
-            self.table = self.table[:0]
+        if self.full:
+            self.forget()
+            self.table = np.zeros((0, len(self.model.languages)))
         codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.pending:
             m = self.model
@@ -148,7 +155,7 @@ def fit(rows: list[tuple[str, str]], p: LanguageParams) -> LanguageModel | None:
     one or two texts, and its words carry the languages of their texts; that teaches the transitions. AdaGrad climbs the
     conditional log-likelihood.
     """
-    texts = [(w, lang) for text, lang in rows if (w := WORD.findall(text.lower()))]
+    texts = [(w, lang) for text, lang in rows if (w := words_of(text))]
     languages = sorted({lang for _, lang in texts})
     if not languages:
         return None
@@ -208,13 +215,25 @@ def fit(rows: list[tuple[str, str]], p: LanguageParams) -> LanguageModel | None:
 
 
 def training_rows(docs: DataFrame, p: LanguageParams) -> list[tuple[str, str]]:
-    """The bounded sample to fit on, from rows with text, lang and doc_id outside the held-out quarter."""
+    """The bounded sample to fit on, from rows with text and lang outside the held-out quarter.
+
+    Rows of each language are counted; a threshold on a hash of the row lets about four times as many pass as are needed, at
+    any size of the corpus; repeated rows are one; and only of those are the first taken in hash order. The driver gets one
+    number for each language, and the sample.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    own = own.filter("text IS NOT NULL AND lang IS NOT NULL").filter(~held_out())
-    place = F.greatest(F.lit(1), (F.pmod(F.xxhash64("doc_id", F.lit("place")), F.lit(1000)) / 1000 * (F.length("text") - p.chars)).cast("int") + 1)
-    few = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    own = own.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", place, F.lit(p.chars)).alias("text"))
-    return [(r["text"], r["lang"]) for r in own.withColumn("n", F.row_number().over(few)).filter(F.col("n") <= p.rows_each).select("text", "lang").collect()]
+    own = own.filter("lang IS NOT NULL").filter(~held_out())
+    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()
+    if not sizes:
+        return []
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * p.rows_each / r["rows"])) for r in sizes], "lang string, share double")
+    h = F.xxhash64("doc_id", "text")
+    likely = own.filter("text IS NOT NULL").withColumn("h", h).join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    first = likely.dropDuplicates(["lang", "doc_id", "h"]).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= p.rows_each)
+    before = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    taken = first.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < p.chars_each)
+    return [(r["text"], r["lang"]) for r in taken.orderBy("lang", "n").select("text", "lang").collect()]
 
 
 def held_out():
@@ -224,7 +243,7 @@ def held_out():
 
 def _predictions(posteriors: Posteriors | None, texts: list[str]) -> list[tuple[str, float, int]]:
     """(language, score, words in another language) of each text."""
-    words = [WORD.findall(t.lower()) for t in texts]
+    words = [words_of(t) for t in texts]
     some = [i for i, w in enumerate(words) if w and (w[0].isalpha() or any(c.isalpha() for c in texts[i]))] if posteriors is not None else []
     out = [("und", 0.0, 0)] * len(texts)
     if some:
@@ -236,18 +255,10 @@ def _predictions(posteriors: Posteriors | None, texts: list[str]) -> list[tuple[
     return out
 
 
-_SCORERS: dict[int, Posteriors] = {}
-
-
 def _scorer(shared) -> Posteriors | None:
-    """The latest broadcast model's scorer, one for each Python worker, which serves many tasks."""
+    """The broadcast model's scorer; a Python worker keeps the latest."""
     model = shared.value
-    if model is None:
-        return None
-    if id(model) not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[id(model)] = Posteriors(model)
-    return _SCORERS[id(model)]
+    return None if model is None else worker_cache(("language", id(model)), lambda: Posteriors(model))
 
 
 def fitted(docs: DataFrame, params: LanguageParams | None = None):
@@ -274,8 +285,36 @@ def identify(docs: DataFrame, shared) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_switched")
 
 
+RUNS = "array<struct<start:long,words:long,lang:string>>"
+
+
+def label_words(docs: DataFrame, shared) -> DataFrame:
+    """One row per document: doc_id and runs, the stretches of words that forward-backward gives one language.
+
+    start counts words (runs of letters) from 0; the runs follow one another and cover all words. A null text, one without
+    words, and every text if nothing could be learned, has no runs. Repeated rows give repeated rows.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("lang", pa.string())])))])
+
+    def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(shared)
+        for part, texts in text_slices(batches):
+            words = [words_of(t) if scorer is not None else [] for t in texts]
+            runs = []
+            for post in scorer.of(words) if scorer is not None else [np.zeros((0, 1))] * len(texts):
+                best = post.argmax(1)
+                starts = np.flatnonzero(np.append(True, best[1:] != best[:-1])) if len(best) else np.zeros(0, np.int64)
+                runs.append([{"start": a, "words": b - a, "lang": scorer.model.languages[best[a]]} for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(best)], strict=True)] if len(best) else [])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(runs, schema.field("runs").type)], schema=schema)
+
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(label, f"doc_id long, runs {RUNS}")
+
+
 def keep_identified(docs: DataFrame, shared, least: float = 0.35) -> DataFrame:
-    """The rows of docs, with all columns, whose language is known with at least this score."""
+    """The rows of docs, with all columns, whose language is known with at least this score.
+
+    Null texts, texts without letters, and all texts if nothing could be learned, go. Repeated rows stay repeated.
+    """
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
@@ -286,5 +325,6 @@ def keep_identified(docs: DataFrame, shared, least: float = 0.35) -> DataFrame:
 
 
 def op4_chain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a field fitted on the rows that are not held out."""
     docs = read_table(spark, sf_dir, "documents")
     return identify(docs, fitted(docs))

@@ -48,15 +48,60 @@ def test_held_out_accuracy_and_switches(spark):
     mixed = documents(spark, [(1, text(rng, "aa", 40) + " " + text(rng, "bb", 12) + " " + text(rng, "aa", 40))])
     r = L.identify(mixed, shared).first()
     assert r["lang_pred"] == "aa" and 8 <= r["n_switched"] <= 16
+    runs = L.label_words(mixed, shared).first()["runs"]
+    assert [x["lang"] for x in runs] == ["aa", "bb", "aa"] and abs(runs[1]["start"] - 40) <= 3 and sum(x["words"] for x in runs) == 92
     assert L.keep_identified(docs, shared).count() >= 148
 
 
+def test_result_equals_a_plain_forward_backward(spark):
+    """The whole prediction against sums over the words' paths, one text at a time, without caches or batches."""
+    docs = corpus(spark, 40)
+    shared = L.fitted(docs, L.LanguageParams(steps=5))
+    m = shared.value
+    k = len(m.languages)
+    for r in L.identify(docs, shared).join(docs.select("doc_id", "text"), "doc_id").collect():
+        words = L.words_of(r["text"])
+        e = np.array([m.weights[L.word_features(w, m.lexicon, len(m.weights))].astype(float).sum(0) for w in words])
+        ahead = [m.first + e[0]]
+        for x in e[1:]:
+            ahead.append(x + np.array([np.logaddexp.reduce(ahead[-1] + m.transitions[:, j]) for j in range(k)]))
+        back = [np.zeros(k)]
+        for x in e[:0:-1]:
+            back.append(np.array([np.logaddexp.reduce(m.transitions[i] + x + back[-1]) for i in range(k)]))
+        post = np.array(ahead) + np.array(back[::-1])
+        post = np.exp(post - post.max(1, keepdims=True))
+        p = m.decide(post / post.sum(1, keepdims=True))
+        assert r["lang_pred"] == m.languages[int(p.argmax())] and abs(r["score"] - p.max()) < 1e-4
+
+
+def test_training_sample_is_bounded_and_whole(spark):
+    docs = corpus(spark, 150)
+    hot = documents(spark, [(999, "hot text of one row", "aa")] * 500)
+    rows = L.training_rows(docs.unionByName(hot), L.LanguageParams(rows_each=20))
+    texts = {r["text"] for r in docs.collect()} | {"hot text of one row"}
+    assert len(rows) <= 60 and all(t in texts for t, _ in rows) and sum(t.startswith("hot") for t, _ in rows) <= 1
+    few = L.training_rows(docs, L.LanguageParams(chars_each=200))
+    assert 3 <= len(few) < 30
+    assert not any(int(r["doc_id"]) < 0 for r in docs.collect()) and L.training_rows(docs.filter("lang IS NULL"), L.LanguageParams()) == []
+
+
+def test_runs_without_spaces_are_read_whole():
+    assert L.words_of("Ab" * 30 + " c1d") == ["ab" * 12, "ab" * 12, "ab" * 6, "c", "d"]
+
+
+def test_ties_and_repeats(spark):
+    docs = documents(spark, [(i, "same words here", "aa" if i % 2 else "bb") for i in range(40)])
+    rows = L.identify(docs, L.fitted(docs)).collect()
+    assert len({(r["lang_pred"], r["score"]) for r in rows}) == 1 and len(rows) == 40
+
+
 def test_awkward(spark):
     shared = L.fitted(corpus(spark, 60), L.LanguageParams(steps=3))
     docs = awkward(spark)
     by = {r["doc_id"]: r for r in L.identify(docs, shared).collect()}
     assert [by[i]["lang_pred"] for i in (1, 2, 3, 8)] == ["und"] * 4 and by[1]["score"] == 0.0
     assert by[5]["lang_pred"] != "und" and not by[None]["held_out"]
+    assert {r["doc_id"]: len(r["runs"]) for r in L.label_words(docs, shared).collect()}[1] == 0
     kept = L.keep_identified(docs, shared, 0.0)
     assert kept.columns == docs.columns and kept.count() == 6
     assert L.identify(empty(spark), shared).count() == 0
