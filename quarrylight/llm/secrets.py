@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
@@ -53,40 +53,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH) -> list[tuple[int, int, int]]:
+Span = tuple[int, int, int]
+
+
+class Near:
+    """The interval join of one text: which parts begin or end within `reach` characters of a part, or overlap it.
+
+    Parts are sorted by start, with the greatest end of each one and all before it, so that a lookup is one bisection and a
+    long part that begins early is seen as far as it reaches.
+    """
+
+    def __init__(self, parts: Iterable[Span], reach: int) -> None:
+        ordered = sorted(parts)
+        self.starts, self.reach = [a for a, _, _ in ordered], reach
+        self.ends = list(accumulate((b for _, _, b in ordered), max))
+
+    def __call__(self, x: Span) -> bool:
+        i = bisect_right(self.starts, x[2] + self.reach)
+        return i > 0 and self.ends[i - 1] >= x[0] - self.reach
+
+
+def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     """Weak parts that stand within `reach` characters of a complementary part.
 
-    Parts are sorted by start; each weak part looks up, by bisection, whether a part of another role begins or ends within
-    reach. An identifier needs a secret. A bare random string needs an identifier or an endpoint. An endpoint needs both an
+    An identifier needs a secret. A bare random string needs an identifier or an endpoint. An endpoint needs both an
     identifier and a secret. Base access keys count as identifiers; base assignments and hex runs as secrets.
     """
     weak = [(m.start(1), 3, m.end(1)) for m in IDENTIFIER.finditer(text)]
     ends = [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)] if "://" in text else []
-    access = [(a, k, b) for a, k, b in base if k == 1]
+    access = [x for x in base if x[1] == 1]
     if not weak and not ends and not access:
         return []
-    inside = sorted((a, b) for a, _, b in [*base, *ends, *weak])
-    starts = [a for a, _ in inside]
-    reached = list(accumulate((b for _, b in inside), max, initial=0))
-
-    def free(a: int, b: int) -> bool:
-        return reached[bisect_right(starts, b - 1)] <= a
-
-    bare = [(m.start(), 4, m.end()) for m in RANDOM.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and entropy(m[0]) >= ENTROPY and free(m.start(), m.end())]
-    identifiers = sorted([*weak, *access])
-    strong = sorted((a, k, b) for a, k, b in base if k != 1)
-    secrets = sorted([*strong, *bare])
-
-    def near(x: tuple[int, int, int], others: list[tuple[int, int, int]]) -> bool:
-        i = bisect_left(others, (x[0] - reach,))
-        if i and others[i - 1][2] >= x[0] - reach:
-            return True
-        return i < len(others) and any(o != x for o in others[i : i + 2]) and others[i][0] <= x[2] + reach
-
-    out = [x for x in weak if near(x, secrets)]
-    out += [x for x in bare if near(x, identifiers) or near(x, ends)]
-    out += [x for x in ends if near(x, identifiers) and near(x, secrets)]
-    return out
+    taken = Near([*base, *ends, *weak], -1)  # parts that share a character
+    bare = [x for m in RANDOM.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and entropy(m[0]) >= ENTROPY and not taken(x := (m.start(), 4, m.end()))]
+    identifier, endpoint = Near([*weak, *access], reach), Near(ends, reach)
+    secret = Near([*(x for x in base if x[1] != 1), *bare], reach)
+    return [*filter(secret, weak), *(x for x in bare if identifier(x) or endpoint(x)), *(x for x in ends if identifier(x) and secret(x))]
 
 
 def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -148,4 +150,5 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op6_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with base patterns and linked parts."""
     return scan_secrets(read_table(spark, sf_dir, "documents"))

@@ -8,12 +8,13 @@ Everything that touches records is DataFrame code; the driver sees one row per s
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import cut_lineage, read_table
+from quarrylight.llm.common import cut_lineage, read_table, shared_folder
 
 SLOTS = 4096
 SHARDS = 16
@@ -96,7 +97,7 @@ class SlotMap:
 
     def lookup(self, slot: Column) -> Column:
         """The shard of a slot, from a literal that Catalyst folds into one array of `slots` integers."""
-        return F.split(F.lit(",".join(map(str, self.shard_of))), ",").getItem(slot).cast("int")
+        return F.split(F.lit(",".join(map(str, self.shard_of))), ",")[slot].cast("int")
 
 
 def _best_exchange(top: set[int], low: set[int], load: list[int], gap: int) -> tuple[int, int | None] | None:
@@ -114,9 +115,9 @@ def _best_exchange(top: set[int], low: set[int], load: list[int], gap: int) -> t
     return best
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """The virtual slot of a key; a null key has a slot of its own choosing like any other value."""
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def slot_of(*keys: Column | str, slots: int = SLOTS) -> Column:
+    """The virtual slot of a record's keys together; a null is a value like any other."""
+    return F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
 
 
 def slot_loads(records: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -130,8 +131,9 @@ def slot_loads(records: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
     """Rows of documents with their size, virtual slot, shard and gapless position in the shard, and the slot map.
 
-    Size is the text's UTF-8 bytes plus 1; a null text has size 1 and crc 0. Equal rows (same doc_id, size and crc)
-    are counted before the shuffle and expanded at the end, so that a hot document is never gathered. A null doc_id
+    Size is the text's UTF-8 bytes plus 1; a null text has size 1 and crc 0. A row's slot comes from its doc_id, size and
+    crc, so that many texts under one doc_id, or under none, spread over all slots. Equal rows (in all three) are counted
+    before the shuffle and expanded at the end, so that a hot document is never gathered; they share a slot. A null doc_id
     is a key like others. No row is dropped; an empty table gives an empty result and version 2 of the initial map.
     Columns other than doc_id and text are ignored.
     """
@@ -140,7 +142,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
         docs.select(F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
         .groupBy("doc_id", "size", "text_crc32")
         .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("vslot", slot_of(F.col("doc_id"), slots))
+        .withColumn("vslot", slot_of("doc_id", "size", "text_crc32", slots=slots))
     )
     records = cut_lineage(records)
     load, rows = slot_loads(records, slots)
@@ -151,7 +153,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
         first[shard] += rows[s]
     vslot = F.col("vslot")
     ahead = Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.split(F.lit(",".join(map(str, base))), ",").getItem(vslot).cast("long") + F.coalesce(F.sum("copies").over(ahead), F.lit(0))
+    start = F.split(F.lit(",".join(map(str, base))), ",")[vslot].cast("long") + F.coalesce(F.sum("copies").over(ahead), F.lit(0))
     placed = (
         records.withColumn("start", start)
         .withColumn("slot", F.explode(F.expr("sequence(start, start + copies - 1)")))
@@ -161,21 +163,38 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
 
 
 def write_slot_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
-    """Append this version of the map to a Parquet table partitioned by version."""
-    slots = spark.range(len(slot_map.shard_of)).select(F.col("id").cast("int").alias("slot"))
-    slots.select("slot", slot_map.lookup(F.col("slot")).alias("shard"), F.lit(slot_map.shards).alias("shards"), F.lit(slot_map.version).alias("version")).write.mode("append").partitionBy("version").parquet(path)
+    """Write this version of the map and the edits that led to it, each into the version's own folder.
+
+    A folder is overwritten as a whole, so a write that is tried again leaves the same rows. Its slots come last: a version
+    without them isn't there yet.
+    """
+    before = list(slot_map.shard_of)
+    for version, slot, old, _ in slot_map.edits:
+        if version == slot_map.version:
+            before[slot] = old
+    slots = spark.range(len(before)).coalesce(1).select(F.col("id").cast("int").alias("slot"))
+    old, new = (SlotMap(0, 0, tuple(x)).lookup(F.col("slot")) for x in (before, slot_map.shard_of))
+    edits = slots.select("slot", old.alias("old_shard"), new.alias("new_shard")).filter("old_shard <> new_shard")
+    edits.write.mode("overwrite").parquet(f"{path}/edits/version={slot_map.version}")
+    slots.select("slot", slot_map.lookup(F.col("slot")).alias("shard"), F.lit(slot_map.shards).alias("shards")).write.mode("overwrite").parquet(f"{path}/slots/version={slot_map.version}")
 
 
 def read_slot_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-    """A stored version of the map, the latest by default."""
-    table = spark.read.parquet(path)
+    """A stored version of the map, the latest by default, with all edits up to it."""
+    table = spark.read.parquet(f"{path}/slots")
     if version is None:
         version = table.agg(F.max("version")).first()[0]
     rows = table.filter(F.col("version") == version).orderBy("slot").collect()
-    return SlotMap(version, rows[0]["shards"], tuple(r["shard"] for r in rows))
+    edits = spark.read.schema("slot int, old_shard int, new_shard int, version int").parquet(f"{path}/edits").filter(F.col("version") <= version).orderBy("version", "slot")
+    return SlotMap(version, rows[0]["shards"], tuple(r["shard"] for r in rows), tuple((r["version"], r["slot"], r["old_shard"], r["new_shard"]) for r in edits.collect()))
 
 
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 16 shards of near equal bytes."""
-    placed, _ = shard_documents(read_table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+    """All documents in 16 shards of near equal bytes, by the stored map: its first version and its edit are written, the latest is read."""
+    placed, slot_map = shard_documents(read_table(spark, sf_dir, "documents"))
+    path = f"{shared_folder(spark)}/slot-maps/{uuid.uuid4().hex}"
+    write_slot_map(spark, SlotMap.initial(), path)
+    write_slot_map(spark, slot_map, path)
+    stored = read_slot_map(spark, path)
+    shard = stored.lookup(F.col("virtual_slot")).alias("shard")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), shard, "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(stored.version).alias("map_version"))

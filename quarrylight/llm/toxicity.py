@@ -17,16 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import cut_lineage, mixed, read_table, text_slices
+from quarrylight.llm.common import Remembered, cut_lineage, mixed, passing, read_table, text_slices, worker_cache
 
 WORD = re.compile(r"[^\W_]+")
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """Counts cover all labelled training rows but those that `calibrate` (one in `calibrate_of` by hash, at most
-    `calibrate_rows` of each class) keeps back for the logistic curve; once it is fitted, those are counted too. Counts
-    are kept by full 64-bit keys, in tables that grow with the corpus. prior is the weight of the shared model beside each class's counts."""
+    """Counts cover all labelled training rows. A first model leaves out one doc_id in `calibrate_of` by hash; the logistic
+    curve is fitted on `calibrate_rows` rows of those at most, both classes together, and the last model counts them too.
+    Counts are kept by full 64-bit keys, in tables that grow with the corpus. prior is the weight of the shared model
+    beside each class's counts."""
 
     order: int = 5
     class_orders: int = 4
@@ -36,11 +37,8 @@ class ToxicityParams:
     calibrate_rows: int = 6000
 
 
-#: Labels up to which they are broadcast to the texts (two numbers each, 64 MB in all); beyond it the texts are shuffled.
-BROADCAST_LABELS = 2_000_000
-
-#: Rows of the model's table up to which it is broadcast (a key and five numbers each, 100 MB in all); beyond it words are joined.
-BROADCAST_GRAMS = 2_000_000
+#: Rows of the model's table up to which it is broadcast (28 bytes each, 112 MB in all); beyond it words are joined.
+BROADCAST_GRAMS = 4_000_000
 
 #: Kinds of rows in the model's table: n for n-grams, CONTEXT + n for what precedes the last character of one, and the two lowest.
 CONTEXT, FOLLOWS, FOLLOWED = 100, 200, 201
@@ -97,7 +95,7 @@ class ToxicityModel:
             return np.zeros((len(keys), 5))
         known, values = self.tables[kind]
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where((known[at] == keys)[:, None], values[at], 0)
+        return np.where((known[at] == keys)[:, None], values[at], 0).astype(float)
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """Each word's toxic minus ordinary log-likelihood."""
@@ -139,24 +137,19 @@ def _tables(kind: np.ndarray, key: np.ndarray, values: np.ndarray) -> dict[int,
 WIDTH = 8
 
 
-class Scorer(dict):
+class Scorer(Remembered):
     """Remembers the ratios of a bounded number of words."""
 
-    def __init__(self, model: ToxicityModel, bound: int = 400_000) -> None:
+    def __init__(self, model: ToxicityModel) -> None:
         super().__init__()
-        self.model, self.bound, self.pending = model, bound, []
+        self.model = model
         self.table, self.sizes = np.zeros(0), np.zeros(0)
 
-    def __missing__(self, word: str) -> int:
-        code = self[word] = len(self)
-        self.pending.append(word)
-        return code
-
     def features(self, texts: list[str]) -> np.ndarray:
         """For each text: the two greatest ratios of words, whole and per character, that of a window, the mean, and log words."""
-        if len(self) > self.bound:
-            self.clear()
-            self.table, self.sizes = self.table[:0], self.sizes[:0]
+        if self.full:
+            self.forget()
+            self.table, self.sizes = np.zeros(0), np.zeros(0)
         split = [WORD.findall(t.lower()) for t in texts]
         codes = np.fromiter((self[w] for x in split for w in x), np.int64, sum(map(len, split)))
         if self.pending:
@@ -183,12 +176,17 @@ def features_of(own: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the labelled rows outside the held-out fifth. A doc_id labelled twice is toxic if any says so."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def _marks(labels: DataFrame, p: ToxicityParams) -> DataFrame:
+    """doc_id, toxic, back of the labelled ids outside the held-out fifth. An id labelled twice is toxic if any label says so."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
+    back = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(p.calibrate_of)) == 0
+    return marks.filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("back", back)
+
+
+def _training(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """doc_id, text, toxic, back of the documents with a mark. One plan at every size: a filter of fixed size, then a shuffle join."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").filter(~held_out())
-    marks = cut_lineage(marks.filter(~held_out()))
-    return own.join(F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks, "doc_id")
+    return passing(own, marks.select("doc_id"), "doc_id").join(marks.hint("shuffle_hash"), "doc_id")
 
 
 def held_out():
@@ -196,27 +194,33 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+COUNTS = ("toxic", "ordinary", "toxic_back", "ordinary_back")
+
+
 def word_counts(training: DataFrame) -> DataFrame:
-    """(word, toxic, ordinary): how often each class has each word, over all rows."""
+    """(word, toxic, ordinary, toxic_back, ordinary_back): how often each class has each word, over all rows and over those kept back."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = Counter(), Counter()
+        seen: dict[tuple[int, bool], Counter] = {(y, back): Counter() for y in (0, 1) for back in (False, True)}
 
         def flush() -> pa.RecordBatch:
-            words = list(seen[0].keys() | seen[1].keys())
-            made = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], ["word", "toxic", "ordinary"])
-            seen[0].clear()
-            seen[1].clear()
+            words = list(set().union(*seen.values()))
+            back = {y: [seen[y, True][w] for w in words] for y in (0, 1)}
+            every = {y: [seen[y, False][w] + n for w, n in zip(words, back[y], strict=True)] for y in (0, 1)}
+            made = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array(x, pa.int64()) for x in (every[1], every[0], back[1], back[0]))], ["word", *COUNTS])
+            for c in seen.values():
+                c.clear()
             return made
 
         for part, texts in text_slices(batches):
-            for t, y in zip(texts, part.column("toxic").to_pylist(), strict=True):
-                seen[y].update(WORD.findall(t.lower()))
-            if len(seen[0]) + len(seen[1]) > 300_000:
+            for t, y, back in zip(texts, part.column("toxic").to_pylist(), part.column("back").to_pylist(), strict=True):
+                seen[y, back].update(WORD.findall(t.lower()))
+            if sum(map(len, seen.values())) > 300_000:
                 yield flush()
         yield flush()
 
-    return training.select("toxic", "text").mapInArrow(count, "word string, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    counted = training.select("toxic", "back", "text").mapInArrow(count, "word string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
 def gram_counts(words: DataFrame, p: ToxicityParams) -> DataFrame:
@@ -274,7 +278,7 @@ def fitted(words: DataFrame, p: ToxicityParams):
     if table.count() > BROADCAST_GRAMS:
         return JoinedModel(ToxicityModel(p, {}, discounts), table)
     t = table.toArrow()
-    values = np.stack([np.asarray(t.column(c)).astype(float) for c in t.column_names[2:]], 1)
+    values = np.stack([np.asarray(t.column(c)).astype(np.float32) for c in t.column_names[2:]], 1)
     return table.sparkSession.sparkContext.broadcast(ToxicityModel(p, _tables(np.asarray(t.column("kind")), np.asarray(t.column("key")), values), discounts))
 
 
@@ -282,17 +286,19 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
     """The model, broadcast or joined, or a broadcast None if a class has no training row."""
     p = params or ToxicityParams()
     sc = docs.sparkSession.sparkContext
-    rows = _training(docs, labels).withColumn("back", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(p.calibrate_of)) == 0)
-    words = cut_lineage(word_counts(rows.filter("NOT back")))
-    first = fitted(words, p)
-    every = words.unionByName(word_counts(rows.filter("back"))).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    last = fitted(every, p)
+    marks = cut_lineage(_marks(labels, p))
+    words = cut_lineage(word_counts(_training(docs, marks)))
+    first = fitted(words.select("word", *((F.col(c) - F.col(f"{c}_back")).alias(c) for c in COUNTS[:2])).filter("toxic + ordinary > 0"), p)
+    last = fitted(words.select("word", *COUNTS[:2]), p)
     if last is None:
         return sc.broadcast(None)
     curve = np.array([2.0, 4.0, 0, 0, 0, 0, 0, -4.0])
     if first is not None:
-        few = rows.filter("back").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.calibrate_rows)
-        table = with_features(few.select("toxic", "text"), first).select("toxic", "features").toArrow()
+        h = F.xxhash64("doc_id")
+        few = marks.filter("back").orderBy(h, "doc_id").limit(p.calibrate_rows)
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+        measured = with_features(own.join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text"), first)
+        table = measured.orderBy(h, "doc_id", "features").limit(p.calibrate_rows).select("toxic", "features").toArrow()
         x, y = np.array(table.column("features").to_pylist(), float).reshape(-1, WIDTH), np.asarray(table.column("toxic")).astype(float)
         if 0 < y.sum() < len(y):
             curve = logistic(x, y)
@@ -380,18 +386,10 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return w
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _scorer(shared) -> Scorer | None:
-    """The latest broadcast model's scorer, one for each Python worker."""
+    """The broadcast model's scorer; a Python worker keeps the latest."""
     model = shared.value
-    if model is None:
-        return None
-    if id(model) not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[id(model)] = Scorer(model)
-    return _SCORERS[id(model)]
+    return None if model is None else worker_cache(("toxicity", id(model)), lambda: Scorer(model))
 
 
 def score_documents(docs: DataFrame, shared) -> DataFrame:
@@ -414,5 +412,6 @@ def score_documents(docs: DataFrame, shared) -> DataFrame:
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, learned from the labels that are not held out."""
     docs = read_table(spark, sf_dir, "documents")
     return score_documents(docs, train(docs, read_table(spark, sf_dir, "labels")))

@@ -32,9 +32,11 @@ def test_held_out_accuracy(spark):
 
 def test_counts_equal_a_plain_count(spark):
     docs, labels = corpus(spark, 60)
-    words = T.word_counts(T._training(docs, labels))
+    training = T._training(docs, T._marks(labels, T.ToxicityParams()))
+    words = T.word_counts(training)
     want = {}
-    for r in T._training(docs, labels).collect():
+    assert 30 < training.count() < 60
+    for r in training.collect():
         for w in T.WORD.findall(r["text"].lower()):
             want.setdefault(w, [0, 0])[r["toxic"]] += 1
     assert {r["word"]: [r["ordinary"], r["toxic"]] for r in words.collect()} == want
@@ -77,7 +79,7 @@ def test_counts_grow_with_the_corpus_and_share_nothing(spark):
 
 def test_every_training_row_is_counted(spark):
     docs, labels = corpus(spark)
-    back = T._training(docs, labels).filter("toxic = 1 AND pmod(xxhash64(doc_id, 'curve'), 8) = 0").first()["doc_id"]
+    back = T._marks(labels, T.ToxicityParams()).filter("toxic = 1 AND back").first()["doc_id"]
     extra = documents(spark, [(back, "vyxquorb vyxquorb vyxquorb")])
     docs = docs.filter(f"doc_id <> {back}").unionByName(extra)
     assert T.train(docs, labels).value.ratios(["vyxquorb"])[0] > 3
