@@ -1,10 +1,13 @@
+import math
+import random
+
 from quarrylight.llm import pages as P
 
 HEAD = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body>"
 
 
 def text(html, low=frozenset()):
-    return P.main_text(P.blocks_of(html), low)
+    return P.main_text(P.parsed(html)[1], low)
 
 
 def test_article():
@@ -45,10 +48,125 @@ def test_tree_removes_what_repeats(spark):
     assert {r["text"] for r in P.extract_main_text(copies).collect()} == {"All the same"}
 
 
-def test_importance(spark):
-    tree = P.style_tree(spark.createDataFrame(site(8), "page_id long, url string, html string"), P.PageParams())
-    got = sorted((r["pages"], round(r["importance"], 6)) for r in tree.collect())
-    assert got == [(8, 0.0), (8, 0.0), (8, 1.0)]
+def brute_tree(rows, p):
+    """(nodes, contents) of every host, from element trees, by plain recursion over all pages."""
+    hosts = {}
+    for _, url, html in rows:
+        nodes, blocks = P.parsed(html or "")
+        sites = hosts.setdefault(P.host_of(url), {})
+        sites.setdefault("\n".join(b.text for b in blocks), []).append((nodes, blocks))
+    nodes_out, contents_out = {}, {}
+    for host, pages in hosts.items():
+        has, styles, texts, kids = {}, {}, {}, {}
+        for page, versions in pages.items():
+            for nodes, blocks in versions:
+                for n in nodes:
+                    has.setdefault(n.key, set()).add(page)
+                    styles.setdefault(n.key, {}).setdefault(tuple(n.children), set()).add(page)
+                    kids.setdefault(n.parent, set()).add(n.key)
+                for b in blocks:
+                    key = b.keys[-1] if b.keys else 0
+                    has.setdefault(key, set()).add(page) if not b.keys else None
+                    texts.setdefault(key, {}).setdefault(b.content, set()).add(page)
+
+        def importance(key, has=has, styles=styles, texts=texts, kids=kids):
+            """(importance, whether there is anything in it, peak)"""
+            m = len(has[key])
+            below = [(importance(k), len(has[k])) for k in sorted(kids.get(key, ())) if k != key]
+            tops = [t for (_, full, t), _ in below if full]
+            below = [(v, w) for (v, full, _), w in below if full]
+            seen = [len(x) for x in texts.get(key, {}).values()]
+            full = bool(below or seen)
+            if m < p.pages:
+                return 1.0, full, 1.0
+            logs = lambda ns: sum(n * math.log(n) for n in ns) / sum(ns) / math.log(m)
+            text = 1 - logs(seen) if seen else None
+            if not below:
+                return (text or 0.0), full, (text or 0.0)
+            counts = [len(x) for x in styles.get(key, {}).values()]
+            parts = below + ([(text, m)] if seen else [])
+            under = sum(v * w for v, w in parts) / sum(w for _, w in parts)
+            if not counts:
+                return under, full, max([under, text or 0.0, *tops])
+            own = min(1.0, (math.log(sum(counts)) - logs(counts) * math.log(m)) / math.log(m))
+            share = p.gamma ** len(counts)
+            v = (1 - share) * own + share * under
+            return v, full, max([v, text or 0.0, *tops])
+
+        for key in has:
+            v, _, peak = importance(key)
+            nodes_out[host, key] = (len(has[key]), v, peak)
+        for key, found in texts.items():
+            m = len(has[key])
+            for content, on in found.items():
+                contents_out[host, key, content] = (len(on), 1.0 if m < p.pages else 1 - math.log(len(on)) / math.log(m))
+    return nodes_out, contents_out
+
+
+def assert_tree(spark, rows, p):
+    nodes, contents = P.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string"), p)
+    mask = (1 << 64) - 1
+    want_nodes, want_contents = brute_tree(rows, p)
+    got_nodes = {(r["host"], r["key"] & mask): (r["pages"], r["importance"], r["peak"]) for r in nodes.collect()}
+    got_contents = {(r["host"], r["key"] & mask, r["content"] & mask): (r["pages"], r["importance"]) for r in contents.collect()}
+    for got, want in ((got_nodes, want_nodes), (got_contents, want_contents)):
+        assert got.keys() == want.keys()
+        for k, values in want.items():
+            assert all(abs(x - y) < 1e-9 for x, y in zip(got[k], values, strict=True)), (k, got[k], values)
+    return want_nodes
+
+
+def test_tree_equals_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        items = "".join(f"<li><a>{rng.choice('one two three four'.split())}</a>" for _ in range(rng.randint(1, 4)))
+        story = "".join(f"<p>Line {rng.randrange(40)} <b>of</b> a story" for _ in range(rng.randint(1, 3)))
+        rows.append((i, f"http://{rng.choice(['a.example', 'b.example'])}/{i}", f"{HEAD}<ul class=nav>{items}</ul>loose text<div class=box><div>{story}</div>{'<section>More</section>' * rng.randint(0, 1)}</div>"))
+    rows += [(100, None, "no tags"), (101, None, ""), (102, None, None), (103, "http://a.example/x", rows[0][2])]
+    want = assert_tree(spark, rows, P.PageParams())
+    assert min(v for _, v, _ in want.values()) < 0.5 < 0.9 < max(v for _, v, _ in want.values())
+
+
+def test_tree_of_the_pages_table_equals_brute_force(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()
+    rows = [tuple(r) for r in pages]
+    assert_tree(spark, rows, P.PageParams(pages=2))
+    p = P.PageParams(pages=2)
+    nodes, contents = brute_tree(rows, p)
+    got = {r["page_id"]: r for r in P.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), p).collect()}
+    assert len(got) == len(rows)
+    mains = {}
+    for _, url, html in rows:
+        for n in P.parsed(html or "")[0]:
+            mains[P.host_of(url), n.key] = n.main
+    low = {}
+    for (host, key), (m, _, v) in nodes.items():
+        if m >= p.pages and v < (p.least_within if mains.get((host, key)) else p.least):
+            low.setdefault(host, set()).add(key)
+    for (host, _, content), (m, v) in contents.items():
+        if m >= p.pages and v < p.least_within:
+            low.setdefault(host, set()).add(content)
+    for page_id, url, html in rows:
+        assert got[page_id]["text"] == P.main_text(P.parsed(html or "")[1], low.get(P.host_of(url), set()))
+
+
+def test_a_sentence_on_most_pages_goes_from_articles_and_copies_stay(spark):
+    schema = "page_id long, url string, html string"
+    story = lambda i: f"<p>{' '.join(f'w{i}x{j}' for j in range(30))}</p>"
+    rows = [(i, f"http://n/{i}", f"{HEAD}<article><h1>Title {i}</h1>{story(i)}<p>Sign up for our letter</p></article>") for i in range(20)]
+    rows += [(100 + i, f"http://c/{i}", f"{HEAD}<div class=ad>ad {i}</div><article><h1>Title</h1>{story(0)}</article>") for i in range(20)]
+    got = {r["page_id"]: r for r in P.extract_main_text(spark.createDataFrame(rows, schema)).collect()}
+    assert all(r["text"] == f"Title {i} " + " ".join(f"w{i}x{j}" for j in range(30)) and r["n_low"] == 1 for i, r in got.items() if i < 20)
+    assert all(r["text"] == "Title " + " ".join(f"w0x{j}" for j in range(30)) for i, r in got.items() if i >= 100)
+
+
+def test_paths_of_any_length_are_told_apart(spark):
+    deep = "".join(f"<div class='{'very-long-name-' * 20}{i}'>" for i in range(60))
+    nodes, blocks = P.parsed(f"{deep}<p class=x>One</p><p class=y>Two</p>")
+    assert len({n.key for n in nodes}) == P.DEPTH and len(blocks) == 2
+    nodes, blocks = P.parsed(f"<div class='{'long ' * 500}'><p class=x>One</p></div><div class='{'long ' * 500}z'><p class=x>Two</p></div>")
+    assert blocks[0].keys[-1] != blocks[1].keys[-1]
 
 
 def test_awkward(spark):
