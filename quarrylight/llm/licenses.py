@@ -135,7 +135,8 @@ RULES = (
     ("zlib", "zlib", 55, r"zlib(?: libpng)? licen[sc]e"),
     ("zlib", "zlib", 75, r"spdx licen[sc]e identifier zlib"),
     ("zlib", "without any express", 80, r"this software is provided as is without any express or implied warranty"),
-    ("libpng", "libpng", 55, r"(?:png reference library|libpng) licen[sc]e"),
+    ("libpng", "libpng", 55, r"libpng licen[sc]e"),
+    ("libpng", "png reference", 55, r"png reference library licen[sc]e"),
     ("boost-1.0", "bsl 1 0", 82, r"bsl 1 0"),
     ("boost-1.0", "boost", 80, r"boost software licen[sc]e (?:v|version |v )?1 0"),
     ("boost", "boost", 55, r"boost(?: software)? licen[sc]e"),
@@ -250,7 +251,8 @@ RULES = (
     ("cdla-sharing", "cdla", 80, r"cdla sharing 1 0"),
     ("lppl-1.3", "latex project", 78, r"latex project public licen[sc]e(?: (?:v|version |v )?1 3c?)?"),
     ("ogl-uk-3.0", "open government", 78, r"open government licen[sc]e(?: (?:v|version |v )?3 0)?"),
-    ("etalab-2.0", "etalab", 75, r"(?:etalab )?(?:licence ouverte|open licence)(?: (?:v|version |v )?2 0)?"),
+    ("etalab-2.0", "licence ouverte", 75, r"(?:etalab )?licence ouverte(?: (?:v|version |v )?2 0)?"),
+    ("etalab-2.0", "etalab", 75, r"etalab open licence(?: (?:v|version |v )?2 0)?"),
     ("dl-de-by-2.0", "datenlizenz", 78, r"datenlizenz deutschland namensnennung (?:version )?2 0"),
     # Creative Commons
     ("cc-by-nc-nd", "cc by", 90, r"cc by nc nd(?: [1-4] [05])?"),
