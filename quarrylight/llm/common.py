@@ -20,7 +20,7 @@ SLICE_CHARS = 1_500_000
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only a local session without one (tests) gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder."""
     sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
+    if sc.getCheckpointDir() is None:  # the session's setting has not reached the context yet
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
