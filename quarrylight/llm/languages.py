@@ -64,8 +64,8 @@ def word_features(w: str, lexicon: set[str], slots: int) -> list[int]:
 class Posteriors(Remembered):
     """Word scores of a fitted field, remembered for a bounded number of words, and forward-backward over texts."""
 
-    def __init__(self, model: LanguageModel) -> None:
-        super().__init__()
+    def __init__(self, model: LanguageModel, bound: int = 96_000_000) -> None:
+        super().__init__(bound)
         self.model = model
         self.table = np.zeros((0, len(model.languages)))
 

@@ -15,7 +15,6 @@ import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import cut_lineage, read_table, text_slices
+from quarrylight.llm.common import Remembered, cut_lineage, read_table, text_slices, worker_cache
 
 WINDOW = 4096
 UNIT = 8
@@ -35,38 +34,46 @@ ENDING = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
-class ChunkTokenizer(dict):
+class ChunkTokenizer(Remembered):
     """Token ids by chunk between ASCII white space, each distinct chunk tokenised once and remembered up to a bound.
 
     The tokenizer drops white space, never merges across it and lower-cases, so chunk by chunk, with A-Z lower-cased
-    before, gives the ids of the whole text.
+    before, gives the ids of the whole text. Its added tokens are found in the text as it stands, before all that; what
+    stands between them is tokenised as plain text.
     """
 
-    def __init__(self, path: str, bound: int = 500_000) -> None:
+    def __init__(self, path: str, bound: int = 96_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.bound = Tokenizer.from_file(path), bound
-        self.tokenizer.encode_special_tokens = True
+        super().__init__(bound)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.between = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.tokenizer.encode_special_tokens = True  # for the plain text in between
         # The byte-level alphabet: printable Latin-1 stands for itself, every other byte for a character from 256 on.
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = (256 + i for i in range(256))
-        self.signs = [chr(b if b in plain else next(others)) for b in range(256)]
+        self.signs = {b: chr(b if b in plain else next(others)) for b in range(256)}
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
+        """Forget all chunks; code 0 is the end id, and each added token has the code after it."""
+        self.forget()
         self[None] = 0
-        self.pending: list[bytes] = []
-        self.stems: dict[bytes, list[int]] = {}
-        self.pool = np.array([END_ID], np.uint32)
-        self.first, self.size = np.array([0]), np.array([1])
-
-    def __missing__(self, chunk: bytes) -> int:
-        code = self[chunk] = len(self)
-        self.pending.append(chunk)
-        return code
+        for i, content in enumerate(self.added):
+            self[content] = i + 1
+        self.pool = np.array([END_ID, *self.added.values()], np.uint32)
+        self.first, self.size = np.arange(len(self.pool)), np.ones(len(self.pool), np.int64)
+
+    def chunks(self, text: str) -> list[bytes | str]:
+        """The text's chunks (bytes) and added tokens (str)."""
+        if self.between is None or not any(x in text for x in self.added):
+            return text.encode("utf-8", "replace").lower().split()
+        out: list[bytes | str] = []
+        for i, part in enumerate(self.between.split(text)):
+            out += [part] if i % 2 else part.encode("utf-8", "replace").lower().split()
+        return out
 
     def letters(self, chunk: bytes) -> str | None:
         """What the tokenizer's model sees of a chunk of letters that its normaliser leaves alone; None of any other."""
@@ -74,7 +81,7 @@ class ChunkTokenizer(dict):
             return chunk.decode()
         word = chunk.decode("utf-8", "replace")
         if word.isalpha() and word.lower() == word and unicodedata.is_normalized("NFC", word):
-            return "".join(map(self.signs.__getitem__, chunk))
+            return chunk.decode("latin-1").translate(self.signs)
         return None
 
     def learn(self) -> None:
@@ -82,14 +89,15 @@ class ChunkTokenizer(dict):
 
         A run of ASCII punctuation after a letter is a token run of its own, so a word is tokenised once for all its endings.
         """
-        parts = [(m[1], m[2]) if (m := ENDING.fullmatch(c)) else (c,) for c in self.pending]
-        new = [p for p in dict.fromkeys(p for x in parts for p in x) if p not in self.stems]
-        other = []
-        for stem in new:
+        parts = [(c, None) if c.isalpha() else (m[1], m[2]) if (m := ENDING.fullmatch(c)) else (c, None) for c in self.pending]
+        stems: dict[bytes | None, list[int]] = dict.fromkeys(chain.from_iterable(parts), [])
+        stems.pop(None, None)
+        tokenize, other = self.tokenizer.model.tokenize, []
+        for stem in stems:
             if (letters := self.letters(stem)) is None:
                 other.append(stem)
             else:
-                self.stems[stem] = [t.id for t in self.tokenizer.model.tokenize(letters)]
+                stems[stem] = [t.id for t in tokenize(letters)]
         texts = [c.decode("utf-8", "replace") for c in other]
         begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
         found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
@@ -98,9 +106,9 @@ class ChunkTokenizer(dict):
         ends = np.searchsorted(owner, np.arange(len(other)) + 1, "right").tolist()
         begin = 0
         for stem, end in zip(other, ends, strict=True):
-            self.stems[stem] = ids[begin:end]
+            stems[stem] = ids[begin:end]
             begin = end
-        made = [sum((self.stems[p] for p in x), []) for x in parts]
+        made = [stems[word] if ending is None else stems[word] + stems[ending] for word, ending in parts]
         size = np.fromiter(map(len, made), np.int64, len(made))
         self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
@@ -109,12 +117,12 @@ class ChunkTokenizer(dict):
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text closed by END_ID, and where each text ends."""
-        if len(self) > self.bound:
+        if self.full:
             self.reset()
-        chunks: list[bytes | None] = []
+        chunks: list[bytes | str | None] = []
         ends = []
         for t in texts:
-            chunks += t.encode("utf-8", "replace").lower().split()
+            chunks += self.chunks(t)
             chunks.append(None)
             ends.append(len(chunks))
         codes = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
@@ -126,10 +134,8 @@ class ChunkTokenizer(dict):
         return ids, done[np.array(ends, np.int64) - 1]
 
 
-@lru_cache(maxsize=1)
 def _coder(path: str) -> ChunkTokenizer:
-    """One for each Python worker, which serves many tasks."""
-    return ChunkTokenizer(path)
+    return worker_cache(("tokens", path), lambda: ChunkTokenizer(path))
 
 
 def _crc_multiply(a: int, b: int) -> int:
@@ -375,4 +381,5 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, toke
 
 
 def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
     return pack_documents(read_table(spark, sf_dir, "documents"))

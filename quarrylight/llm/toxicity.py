@@ -140,8 +140,8 @@ WIDTH = 8
 class Scorer(Remembered):
     """Remembers the ratios of a bounded number of words."""
 
-    def __init__(self, model: ToxicityModel) -> None:
-        super().__init__()
+    def __init__(self, model: ToxicityModel, bound: int = 96_000_000) -> None:
+        super().__init__(bound)
         self.model = model
         self.table, self.sizes = np.zeros(0), np.zeros(0)
 

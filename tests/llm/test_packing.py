@@ -1,15 +1,26 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from helpers import awkward, documents, empty
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
 from quarrylight.llm import packing as P
 
 
+#: The truth: the tokenizer as its file gives it.
+TRUTH = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def ids_of(text):
-    t = P.ChunkTokenizer(P.TOKENIZER).tokenizer
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, P.END_ID], "<u4")
+    return np.array([*TRUTH.encode(text or "", add_special_tokens=False).ids, P.END_ID], "<u4")
+
+
+CODER = P.ChunkTokenizer(P.TOKENIZER, bound=5000)
 
 
 def check(rows, texts, window):
@@ -34,7 +45,7 @@ def check(rows, texts, window):
 
 
 def test_chunks_give_the_ids_of_the_text():
-    texts = ["", "Hello, World!! don't it's", "É é É Straße ǅ ΣΑΣ İ ſ", "a\x1cb\x85c\xa0d　e", "<|endoftext|> x", "½² 12,34 ...", "日本語 テスト", "x" * 3000]
+    texts = ["", "Hello, World!! don't it's", "É é É Straße ǅ ΣΑΣ İ ſ", "a\x1cb\x85c\xa0d　e", "<|endoftext|> x", "a <|endoftext|> b", "x<|endoftext|>y", "<|ENDOFTEXT|>", "A<|startoftext|><|endoftext|>b<|endoftext", "<|endoftext|>", "e<|endoftext|>\u0301", "½² 12,34 ...", "日本語 テスト", "x" * 3000]
     coder = P.ChunkTokenizer(P.TOKENIZER, bound=4)
     for _ in range(2):
         ids, ends = coder.encode(texts)
@@ -44,6 +55,17 @@ def test_chunks_give_the_ids_of_the_text():
             begin = int(e)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("aB 'st.,<|>\n")), max_size=30), st.sampled_from(["", "<|endoftext|>", " <|startoftext|>", "<|EndOfText|>"]), st.text(max_size=10))
+def test_any_text_has_the_ids_of_the_tokenizer(a, special, b):
+    try:
+        (text := a + special + b).encode()
+    except UnicodeEncodeError:
+        return
+    ids, _ = CODER.encode([text])
+    assert ids.tolist() == ids_of(text).tolist()
+
+
 def test_crc_of_rest():
     data = bytes(range(256)) * 9
     for cut in (0, 1, 100, len(data)):
