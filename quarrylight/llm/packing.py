@@ -9,6 +9,7 @@ their rank in their bin, which each partition counts for itself.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import unicodedata
@@ -31,6 +32,8 @@ UNIT = 8
 END_ID = 2
 #: A chunk that ends in ASCII punctuation, other than an apostrophe, after a letter.
 ENDING = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+#: The commonest endings, one sign long.
+ONE = frozenset((b".", b",", b";", b":", b"!", b"?"))
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -77,8 +80,6 @@ class ChunkTokenizer(Remembered):
 
     def letters(self, chunk: bytes) -> str | None:
         """What the tokenizer's model sees of a chunk of letters that its normaliser leaves alone; None of any other."""
-        if chunk.isalpha():
-            return chunk.decode()
         word = chunk.decode("utf-8", "replace")
         if word.isalpha() and word.lower() == word and unicodedata.is_normalized("NFC", word):
             return chunk.decode("latin-1").translate(self.signs)
@@ -89,12 +90,13 @@ class ChunkTokenizer(Remembered):
 
         A run of ASCII punctuation after a letter is a token run of its own, so a word is tokenised once for all its endings.
         """
-        parts = [(c, None) if c.isalpha() else (m[1], m[2]) if (m := ENDING.fullmatch(c)) else (c, None) for c in self.pending]
+        parts = [(c, None) if c.isalpha() else (c[:-1], c[-1:]) if c[-1:] in ONE and c[:-1].isalpha() else (m[1], m[2]) if (m := ENDING.fullmatch(c)) else (c, None) for c in self.pending]
         stems: dict[bytes | None, list[int]] = dict.fromkeys(chain.from_iterable(parts), [])
         stems.pop(None, None)
         tokenize, other = self.tokenizer.model.tokenize, []
         for stem in stems:
-            if (letters := self.letters(stem)) is None:
+            letters = stem.decode() if stem.isalpha() else self.letters(stem)
+            if letters is None:
                 other.append(stem)
             else:
                 stems[stem] = [t.id for t in tokenize(letters)]
@@ -127,7 +129,11 @@ class ChunkTokenizer(Remembered):
             ends.append(len(chunks))
         codes = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
         if self.pending:
-            self.learn()
+            gc.disable()  # many short lists and no cycle among them
+            try:
+                self.learn()
+            finally:
+                gc.enable()
         size = self.size[codes]
         done = np.cumsum(size)
         ids = self.pool[np.repeat(self.first[codes] - done + size, size) + np.arange(done[-1] if len(done) else 0)]
@@ -176,6 +182,7 @@ def tokenised_pieces(docs: DataFrame, window: int, unit: int, tokenizer: str) ->
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, seen, pid = _coder(tokenizer), np.zeros(window // unit + 1, np.int64), TaskContext.get().partitionId()
+        units, whole = [slice(4 * x, 4 * (x + unit)) for x in range(0, window, unit)], slice(None)
         for part, texts in text_slices(batches):
             ids, ends = coder.encode(texts)
             data = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
@@ -184,13 +191,10 @@ def tokenised_pieces(docs: DataFrame, window: int, unit: int, tokenizer: str) ->
             for doc_id, end in zip(part.column("doc_id").to_pylist(), ends.tolist(), strict=True):
                 for a in range(begin, end, window):
                     n = min(window, end - a)
-                    crc, found = 0, []
-                    if n < window:
-                        for x in range(a, a + n, unit):
-                            crc = zlib.crc32(data[4 * x : 4 * min(x + unit, a + n)], crc)
-                            found.append(crc)
-                    else:
-                        found.append(zlib.crc32(data[4 * a : 4 * (a + n)]))
+                    piece, crc, found = data[4 * a : 4 * (a + n)], 0, []
+                    for u in units[: -(-n // unit)] if n < window else (whole,):
+                        crc = zlib.crc32(piece[u], crc)
+                        found.append(crc)
                     b = -(-n // unit)
                     doc.append(doc_id)
                     start.append(a - begin)
