@@ -239,17 +239,23 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+#: Rows of the merged trees that one partition holds where they are composed, level by level.
+ROWS_A_PART = 200_000
+
 #: Kinds of rows in a host's tree: a page has a node; a page shows a style of it; a page has a content at it.
 HAS, STYLE, CONTENT = 0, 1, 2
 _ROWS = pa.schema([("host", pa.string()), ("key", pa.int64()), ("kind", pa.int32()), ("what", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()), ("main", pa.bool_()), ("page", pa.int64())])
 
 
 def tree_rows(url: str | None, html: str) -> set[tuple]:
-    """What one page adds to its host's tree. `page` is a hash of all its text, by which copies of a page count once."""
+    """What one page adds to its host's tree: the nodes that show any text there, their styles and contents. `page` is a hash of all its text, by which copies of a page count once."""
     nodes, blocks = parsed(html)
     host, page = host_of(url), _signed(_key(0, "\n".join(b.text for b in blocks)))
     rows = set()
+    shown = {key for b in blocks for key in b.keys}
     for n in nodes:
+        if n.key not in shown:
+            continue
         style = _key(len(n.children), ",".join(map(str, n.children)))
         rows.add((host, _signed(n.key), HAS, 0, _signed(n.parent), n.depth, n.main, page))
         rows.add((host, _signed(n.key), STYLE, _signed(style), 0, 0, False, page))
@@ -280,31 +286,31 @@ def style_tree(pages: DataFrame, p: PageParams) -> tuple[DataFrame, DataFrame]:
     shown = pages.select(pages["url"].cast("string"), pages["html"].cast("string")).mapInArrow(nodes, ddl)
     place = [F.max("parent").alias("parent"), F.max("depth").alias("depth"), F.max("main").alias("main")]
     merged = cut_lineage(shown.groupBy("host", "key", "kind", "what", "page").agg(*place).groupBy("host", "key", "kind", "what").agg(F.count(F.lit(1)).alias("n"), *place))
-    has = merged.filter(F.col("kind") == HAS).select("host", "key", "parent", "depth", "main", F.col("n").alias("m"))
-    total, n = F.sum("n"), F.col("n")
-    entropy = F.log(total) - F.sum(n * F.log(n)) / total
-    styles = merged.filter(F.col("kind") == STYLE).groupBy("host", "key").agg(F.count(F.lit(1)).alias("styles"), entropy.alias("entropy"))
-    texts = merged.filter(F.col("kind") == CONTENT).groupBy("host", "key").agg((F.sum(n * F.log(n)) / total).alias("logs"))
+    n, kind = F.col("n"), F.col("kind")
+    of = lambda k, value: F.sum(F.when(kind == k, value))
+    logs = lambda k: of(k, n * F.log(n)) / of(k, n)
     m = F.col("m")
     unit = F.log(F.greatest(m, F.lit(2)))
-    own = has.join(styles, ["host", "key"], "left").join(texts, ["host", "key"], "left")
-    own = own.select("host", "key", "parent", "depth", "main", "m", "styles", F.least(F.lit(1.0), F.col("entropy") / unit).alias("own"), (1 - F.col("logs") / unit).alias("text"))
-    own = cut_lineage(own)
-    deepest = own.agg(F.max("depth")).first()[0] or 0
+    own = merged.groupBy("host", "key").agg(of(HAS, n).alias("m"), *(F.max(F.when(kind == HAS, F.col(c))).alias(c) for c in ("parent", "depth", "main")), F.count_if(kind == STYLE).alias("styles"), (F.log(of(STYLE, n)) - logs(STYLE)).alias("entropy"), logs(CONTENT).alias("logs"))
+    own = cut_lineage(own.select("host", "key", "parent", "depth", "main", "m", "styles", F.least(F.lit(1.0), F.col("entropy") / unit).alias("own"), (1 - F.col("logs") / unit).alias("text")))
+    size = own.agg(F.max("depth"), F.count(F.lit(1))).first()
+    parts = max(1, -(-size[1] // ROWS_A_PART))
+    own = cut_lineage(own.repartition(parts, "host", "key"))
     below, levels = None, []
-    for d in range(deepest, -1, -1):
-        level = own.filter(F.col("depth") == d)
+    for d in range(size[0] or 0, -1, -1):
+        level = own.filter(F.col("depth") == d).repartition(parts, "host", "key")
         level = level.withColumns({"weight": F.lit(0).cast("long"), "sum": F.lit(0.0), "top": F.lit(0.0)}) if below is None else level.join(below, ["host", "key"], "left").fillna({"weight": 0, "sum": 0.0, "top": 0.0})
         share = F.pow(F.lit(p.gamma), F.col("styles"))
-        held = (F.col("sum") + F.when(F.col("text").isNotNull(), F.col("text") * m).otherwise(0.0)) / F.greatest(F.col("weight") + F.when(F.col("text").isNotNull(), m).otherwise(0), F.lit(1))
+        held = (F.col("sum") + F.coalesce(F.col("text") * m, F.lit(0.0))) / F.greatest(F.col("weight") + F.when(F.col("text").isNotNull(), m).otherwise(0), F.lit(1))
         composite = F.when(m < p.pages, 1.0).when(F.col("weight") == 0, F.coalesce("text", F.lit(0.0))).otherwise(F.coalesce((1 - share) * F.col("own"), F.lit(0.0)) + F.coalesce(share, F.lit(1.0)) * held)
         text = F.when(m < p.pages, 1.0).otherwise(F.coalesce("text", F.lit(0.0)))
-        level = cut_lineage(level.select("host", "key", "parent", "depth", "main", m.alias("pages"), composite.alias("importance"), F.greatest(composite, text, "top").alias("peak"), ((F.col("weight") > 0) | F.col("text").isNotNull()).alias("full")))
+        level = cut_lineage(level.select("host", "key", "parent", "depth", "main", m.alias("pages"), composite.alias("importance"), F.greatest(composite, text, "top").alias("peak")))
         levels.append(level.select("host", "key", "depth", "main", "pages", "importance", "peak"))
-        below = level.filter("full AND depth > 0").groupBy("host", F.col("parent").alias("key")).agg(F.sum("pages").alias("weight"), F.sum(F.col("importance") * F.col("pages")).alias("sum"), F.max("peak").alias("top"))
-    contents = merged.filter(F.col("kind") == CONTENT).join(has.select("host", "key", "m"), ["host", "key"])
-    importance = F.when(m < p.pages, 1.0).otherwise(1 - F.log(n) / unit)
-    return reduce(DataFrame.unionByName, levels), contents.select("host", "key", F.col("what").alias("content"), n.alias("pages"), importance.alias("importance"))
+        above = level.filter("depth > 0").select("host", F.col("parent").alias("key"), "pages", "importance", "peak").repartition(parts, "host", "key")
+        below = above.groupBy("host", "key").agg(F.sum("pages").alias("weight"), F.sum(F.col("importance") * F.col("pages")).alias("sum"), F.max("peak").alias("top"))
+    contents = merged.filter(kind == CONTENT).select("host", "key", F.col("what").alias("content"), n.alias("pages")).join(own.select("host", "key", "m"), ["host", "key"])
+    importance = F.when(m < p.pages, 1.0).otherwise(1 - F.log("pages") / unit)
+    return reduce(DataFrame.unionByName, levels), contents.select("host", "key", "content", "pages", importance.alias("importance"))
 
 
 def low_branches(pages: DataFrame, p: PageParams) -> DataFrame:
@@ -341,7 +347,7 @@ def extract_main_text(pages: DataFrame, params: PageParams | None = None) -> Dat
 
     if low.limit(p.broadcast_rows + 1).count() <= p.broadcast_rows:
         known: dict[str, set[int]] = {}
-        for r in low.toLocalIterator():
+        for r in low.collect():
             known.setdefault(r["host"], set()).add(r["key"] & mask)
         shared = spark.sparkContext.broadcast(known)
 

@@ -61,6 +61,8 @@ def brute_tree(rows, p):
         for page, versions in pages.items():
             for nodes, blocks in versions:
                 for n in nodes:
+                    if not any(n.key in b.keys for b in blocks):
+                        continue
                     has.setdefault(n.key, set()).add(page)
                     styles.setdefault(n.key, {}).setdefault(tuple(n.children), set()).add(page)
                     kids.setdefault(n.parent, set()).add(n.key)
