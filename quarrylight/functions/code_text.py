@@ -29,22 +29,33 @@ def normalized_code(c: Column) -> Column:
     return F.concat(F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"(?U)^\s+|\s+$", ""), F.lit("\n"))
 
 
+#: What stands between words; every character beyond ASCII is part of one.
+BETWEEN = r"[^A-Za-z0-9_\x{80}-\x{10FFFF}]+"
+
+
+def count_words(code: Column, words: tuple[str, ...]) -> Column:
+    """How many words of the text are among these."""
+    return F.size(F.filter(F.split(code, BETWEEN), lambda w: w.isin(*words)))
+
+
 def category(code: Column, doc: Column) -> Column:
     text = F.lower(F.concat(code, F.lit(" "), F.coalesce(doc, F.lit(""))))
     out = None
     for name, keys in CATEGORIES:
         hit = text.rlike("|".join(keys))
         out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.when(code.rlike(r"\b(for|while)\b.*\b(for|while)\b"), "complex_loops").otherwise("general")
+    nested = F.exists(F.split(code, "\n"), lambda line: count_words(line, ("for", "while")) > 1)
+    return out.when(nested, "complex_loops").otherwise("general")
 
 
 def complexity(code: Column) -> Column:
     """Lines, loops, branches, recursion and containers, each capped, as 1 to 10."""
     count = lambda p: F.regexp_count(code, F.lit(p)).cast("double")
     lines = F.size(F.split(code, "\n")).cast("double")
-    recursion = F.when(code.rlike(r"def\s+\w+"), 2.0).otherwise(0.0)
-    score = F.least(lines / 5, F.lit(3.0)) + F.least(count(r"\b(for|while)\b"), F.lit(2.0)) + F.least(count(r"\b(if|elif|else)\b") / 2, F.lit(2.0)) + recursion
-    score = score + F.least((count(r"\[.*\]") + count(r"\{.*\}")) / 3, F.lit(1.0))
+    words = lambda *w: count_words(code, w).cast("double")
+    recursion = F.when(code.rlike(r"def\s+[A-Za-z0-9_]"), 2.0).otherwise(0.0)
+    score = F.least(lines / 5, F.lit(3.0)) + F.least(words("for", "while"), F.lit(2.0)) + F.least(words("if", "elif", "else") / 2, F.lit(2.0)) + recursion
+    score = score + F.least((count(r"\[[^\n]*\]") + count(r"\{[^\n]*\}")) / 3, F.lit(1.0))
     return F.greatest(F.lit(1), F.least(F.lit(10), score.cast("int")))
 
 

@@ -61,6 +61,8 @@ def _node_fault(node: ast.AST) -> str:
         return "imports_not_allowed"
     if isinstance(node, ast.Name) and (node.id in DENIED_NAMES or node.id.startswith("__")):
         return f"disallowed_name:{node.id}"
+    if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr in DENIED_NAMES:
+        return f"disallowed_call:{node.func.attr}"
     if isinstance(node, ast.Attribute) and (node.attr in DENIED_NAMES or node.attr.startswith("__")):
         return f"disallowed_attribute:{node.attr}"
     if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in DENIED_NAMES:
@@ -172,7 +174,10 @@ _OFF_BY_ONE = tuple((re.compile(p), r) for p, r in OFF_BY_ONE)
 
 
 def logic_lines(code: str) -> set[int]:
-    """Numbers (from 0) of the lines of statements in functions, without signatures, docstrings, imports and decorators."""
+    """Numbers (from 0) of the lines of statements in functions, without signatures, docstrings, imports and decorators.
+
+    A choice: lines come from the syntax tree, so that a docstring or a string of several lines is never taken for code.
+    """
     try:
         tree = ast.parse(code)
     except (SyntaxError, ValueError):
@@ -197,8 +202,8 @@ def mutants(code: str | None) -> list[tuple[int, str, str]]:
     for i in sorted(logic_lines(code)):
         made = [(t, lines[i][: m.start()] + r + lines[i][m.end() :]) for p, r, t in _REWRITES for m in p.finditer(lines[i])]
         made += [("off_by_one", p.sub(r, lines[i], count=1)) for p, r in _OFF_BY_ONE if p.search(lines[i])]
-        value = re.fullmatch(r"(\s*return )(.*?)\s*", lines[i])
-        made += [("return", value[1] + b) for a, b in RETURNS if value and value[2] == a]
+        value = re.match(r"\s*return ", lines[i])
+        made += [("return", value[0] + b + lines[i][value.end() + len(a) :]) for a, b in RETURNS if value and lines[i].startswith(a, value.end())]
         for kind, line in made:
             new = "\n".join([*lines[:i], line, *lines[i + 1 :]])
             if new not in seen and semantic(new) is not None:
@@ -248,9 +253,6 @@ class Mutants:
 
 def with_mutants(functions, code: str = "code"):
     """functions with one row for each mutant, joined laterally."""
-    spark = functions.sparkSession
-    spark.udtf.register("quarrylight_mutants", Mutants)
-    functions.createOrReplaceTempView("quarrylight_functions")
-    return spark.sql(f"SELECT f.*, m.* FROM quarrylight_functions f, LATERAL quarrylight_mutants(f.{code}) m")
+    return functions.lateralJoin(Mutants(F.col(code).outer()))
 
 

@@ -6,6 +6,7 @@ import ast
 import json
 import subprocess
 import sys
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,6 +27,13 @@ DENIED_SOURCE_NAMES = frozenset(
     "pathlib pickle requests resource setattr shutil signal socket subprocess sys tempfile threading vars".split()
 )
 
+# Builtins that code under test may use, beside the exceptions.
+ALLOWED_BUILTINS = (
+    "__build_class__ abs all any ascii bin bool bytearray bytes callable chr classmethod complex dict divmod enumerate filter float "
+    "format frozenset hash hex int isinstance issubclass iter len list map max min next object oct ord pow print property range repr "
+    "reversed round set slice sorted staticmethod str sum super tuple type zip"
+).split()
+
 
 def source_violations(source: str) -> list[str]:
     """Why a source may not run: imports, names, attributes and calls, sorted and each once; empty if it may."""
@@ -62,8 +70,8 @@ for name in allowed:
         plain(name)
     except ImportError:
         pass
-banned = {"open", "eval", "exec", "compile", "input", "breakpoint", "exit", "quit", "help", "globals", "locals", "vars", "memoryview"}
-safe = {k: v for k, v in vars(builtins).items() if k not in banned} | {"__import__": importer, "__name__": "builtins"}
+safe = {k: getattr(builtins, k) for k in job["builtins"]} | {k: v for k, v in vars(builtins).items() if isinstance(v, type) and issubclass(v, BaseException)}
+safe |= {"__import__": importer, "__name__": "builtins", "True": True, "False": False, "None": None}
 def late(*_):
     raise TimeoutError("TIMEOUT")
 signal.signal(signal.SIGALRM, late)
@@ -94,9 +102,10 @@ def classify(tests: list[str], golden: str, mutant: str, timeout: float = 1.0) -
         return []
     if faults := source_violations(golden) + source_violations(mutant):
         return [(t, False, False, faults[0]) for t in tests]
-    job = json.dumps({"tests": tests, "golden": golden, "mutant": mutant, "timeout": timeout, "imports": ALLOWED_IMPORTS})
+    job = json.dumps({"tests": tests, "golden": golden, "mutant": mutant, "timeout": timeout, "imports": ALLOWED_IMPORTS, "builtins": ALLOWED_BUILTINS})
     try:
-        done = subprocess.run([sys.executable, "-I", "-S", "-c", _CHILD], input=job, capture_output=True, text=True, timeout=max(1, timeout * len(tests) * 2) + 5, check=False)
+        with tempfile.TemporaryDirectory() as empty:  # of this process alone; nothing of it is read again
+            done = subprocess.run([sys.executable, "-I", "-S", "-c", _CHILD], input=job, capture_output=True, text=True, timeout=max(1, timeout * len(tests) * 2) + 5, check=False, env={"PYTHONHASHSEED": "0"}, cwd=empty)
         rows = json.loads(done.stdout.rsplit("\n", 1)[-1])
     except subprocess.TimeoutExpired:
         rows = [["TIMEOUT", ""]] * len(tests)

@@ -3,21 +3,53 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.operators.lineage import checkpointed, fresh
+
+
+#: Groups up to which their first places are broadcast (a key and a number each).
+BROADCAST_GROUPS = 100_000
+
 
 def with_position(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
     """Add the 0-based place in a total order, without one task that sees all rows.
 
-    A range exchange sorts; the counts of its partitions, one small row each, give each partition's start.
+    A range exchange sorts once; the rows are checkpointed with their partition and their place in it, so that the counts and
+    the rows come from the same partitions. One small row for each partition gives its start.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    part, inside = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
-    sizes = parts.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    return parts.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn(name, F.col("_s") + inside).drop("_m", "_p", "_s")
+    m, p, s = fresh(df, "_m"), fresh(df, "_p"), fresh(df, "_s")
+    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(m, F.monotonically_increasing_id()))
+    part, inside = F.shiftright(m, 33), F.col(m).bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias(p)).agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select(p, F.coalesce(F.sum("n").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(s))
+    return placed.withColumn(p, part).join(F.broadcast(starts), p).withColumn(name, F.col(s) + inside).drop(m, p, s)
+
+
+def with_rank(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
+    """Add the 0-based place within the group of `keys`, also where a few groups hold all rows: places of the whole order, less
+    the group's first one."""
+    pos, first = fresh(df, "_pos"), fresh(df, "_first")
+    placed = checkpointed(with_position(df, [*keys, *order], pos))
+    firsts = placed.groupBy(*keys).agg(F.min(pos).alias(first))
+    named = firsts.select(*(F.col(k).alias(f"{first}{i}") for i, k in enumerate(keys)), first)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{first}{i}")) for i, k in enumerate(keys)])
+    side = F.broadcast(named) if firsts.count() <= BROADCAST_GROUPS else named
+    return placed.join(side, same).withColumn(name, F.col(pos) - F.col(first)).drop(pos, first, *(f"{first}{i}" for i in range(len(keys))))
+
+
+def rolling(df: DataFrame, keys: list[str], order: list, rows: int, block: int = 4096) -> DataFrame:
+    """Rows with `part`, blocks of their group, so that a window over (keys, part) by `rank` sees the `rows` before each row.
+
+    A block also holds the last rows of the one before, marked by own = false: filter them out after the window.
+    """
+    ranked = with_rank(df, keys, order)
+    at = F.floor(F.col("rank") / block)
+    parts = F.when(F.col("rank") % block >= block - rows, F.array(at, at + 1)).otherwise(F.array(at))
+    return ranked.withColumn("part", F.explode(parts)).withColumn("own", F.col("part") == at)
 
 
 def evenly_spaced(df: DataFrame, k: int, order: list) -> DataFrame:
@@ -43,7 +75,7 @@ def stratified(df: DataFrame, keys: list[str], k: int, order: list) -> DataFrame
     m = min(k, len(groups))
     at = range(len(groups)) if m >= len(groups) else [len(groups) // 2] if m == 1 else [round(i * (len(groups) - 1) / (m - 1)) for i in range(m)]
     picks = df.sparkSession.createDataFrame([(i, *groups[j][:-1], groups[j][-1] // 2) for i, j in enumerate(at)], ", ".join(["place long", *(f"{b} string" for b in by), "middle long"]))
-    ranked = named.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    ranked = with_rank(named, by, order, "_r")
     initial = ranked.join(F.broadcast(picks), by).filter("_r = middle").drop("middle", "_r", *by).withColumn("phase", F.lit(0))
     if k <= m:
         return initial
@@ -81,29 +113,27 @@ def balanced_repeat(df: DataFrame, group: str, target: int, cap: int, order: lis
     m + j before it; slots in order of (size, group) are the greedy order, and slot j copies row j modulo m.
     """
     named = df.withColumn("_g", F.coalesce(F.nullif(F.col(group).cast("string"), F.lit("")), F.lit("unknown")))
-    sizes = named.groupBy("_g").agg(F.count(F.lit(1)).alias("m"))
-    n = named.count()
+    sizes = checkpointed(named.groupBy("_g").agg(F.count(F.lit(1)).alias("m")))
+    n = sizes.agg(F.sum("m")).first()[0] or 0
     wanted = max(n, min(target, n * cap)) - n
-    slots = sizes.filter(F.lit(cap > 1)).select("_g", "m", F.explode(F.expr(f"sequence(0L, m * {max(cap - 1, 1)} - 1)")).alias("j"))
-    level = F.col("m") + F.col("j")
-    per = slots.groupBy(level.alias("size")).count()
-    below = with_position_small(per, "size")
-    cut = below.filter(F.col("before") < wanted).agg(F.max("size").alias("top"), F.max(F.struct("size", "before"))["before"].alias("before")).first()
     originals = named.withColumn("copy", F.lit(0))
-    if wanted <= 0 or cut is None or cut["top"] is None:
+    if wanted <= 0 or cap < 2:
         return originals.drop("_g")
-    at_top = Window.orderBy("_g")
-    full = slots.filter(level < cut["top"]).select("_g", "m", "j")
-    edge = slots.filter(level == cut["top"]).withColumn("r", F.row_number().over(at_top)).filter(F.col("r") <= wanted - cut["before"]).select("_g", "m", "j")
-    taken = full.unionByName(edge).groupBy("_g", "m", (F.col("j") % F.col("m")).alias("row")).agg(F.count(F.lit(1)).alias("copies"))
-    ranked = named.withColumn("row", (F.row_number().over(Window.partitionBy("_g").orderBy(*order)) - 1).cast("long"))
-    copies = ranked.join(taken.drop("m"), ["_g", "row"]).withColumn("copy", F.explode(F.expr("sequence(1, cast(copies AS int))"))).drop("row", "copies")
-    return originals.unionByName(copies).drop("_g")
-
-
-def with_position_small(df: DataFrame, order: str) -> DataFrame:
-    """Running count before each row of a small aggregate."""
-    return df.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    below = lambda level: F.greatest(F.lit(0), F.least(F.col("m") * (cap - 1), F.lit(level) - F.col("m")))
+    low, high = 0, n * cap + 1  # the greatest level with fewer than `wanted` slots below it
+    while high - low > 1:
+        middle = (low + high) // 2
+        if sizes.agg(F.sum(below(middle))).first()[0] < wanted:
+            low = middle
+        else:
+            high = middle
+    before = sizes.agg(F.sum(below(low))).first()[0]
+    at_level = sizes.filter((F.col("m") <= low) & (F.col("m") * cap > low)).orderBy("_g").limit(wanted - before).select("_g", F.lit(1).alias("edge"))
+    taken = sizes.join(at_level, "_g", "left").select("_g", "m", (below(low) + F.coalesce("edge", F.lit(0))).alias("slots")).filter("slots > 0")
+    ranked = with_rank(named, ["_g"], order, "_r").join(F.broadcast(taken) if taken.count() <= BROADCAST_GROUPS else taken, "_g")
+    copies = F.floor((F.col("slots") + F.col("m") - 1 - F.col("_r")) / F.col("m")).cast("int")
+    repeated = ranked.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).drop("_r", "copies", "m", "slots")
+    return originals.unionByName(repeated).drop("_g")
 
 
 def uniform_repeat(df: DataFrame, wanted: int, cap: int) -> DataFrame:
@@ -119,7 +149,7 @@ def padding_places(n: int, p: int) -> list[int]:
 
 def round_robin(df: DataFrame, group: Column, order: list) -> DataFrame:
     """Adds depth, the place in the group; ordering by (depth, group) interleaves the groups."""
-    return df.withColumn("grp", F.lower(group)).withColumn("depth", F.row_number().over(Window.partitionBy("grp").orderBy(*order)))
+    return with_rank(df.withColumn("grp", F.lower(group)), ["grp"], order, "depth").withColumn("depth", (F.col("depth") + 1).cast("int"))
 
 
 def first_per_key(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -146,17 +176,20 @@ def fraction_split(df: DataFrame, key: list, train: float = 0.8, val: float = 0.
     return with_position(df, key).withColumn("split", F.when(pos < a, "train").when(pos < a + b, "val").otherwise("test")).drop("pos")
 
 
-def group_split(df: DataFrame, group: str, order: Column) -> DataFrame:
+def group_split(df: DataFrame, group: str, order: Column, limit: int = 1_000_000) -> DataFrame:
     """Whole groups to train, val and test, each in turn to the split that lacks most; ties to the smaller one, then in that order.
 
-    The fold runs on the driver over one row for each group; for more groups than that holds, use bucket_split.
+    The fold runs on the driver over one row for each group, at most `limit` of them; beyond that it raises, and bucket_split
+    is the way. The groups' splits are broadcast, which `limit` bounds too.
     """
-    groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(order, group).collect()
-    total = sum(r["n"] for r in groups)
+    found = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(order, group).limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} groups; use bucket_split")
+    total = sum(r["n"] for r in found)
     want = {"train": int(total * 0.8), "val": int(total * 0.1)}
     want["test"] = total - sum(want.values())
     have, rows = dict.fromkeys(want, 0), []
-    for r in groups:
+    for r in found:
         to = max(want, key=lambda s: (want[s] - have[s], -have[s]))
         have[to] += r["n"]
         rows.append((r[group], to))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.operators.lineage import checkpointed
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -53,14 +59,46 @@ def novelty(queries: DataFrame, base: DataFrame, ident: str, vector: str, thresh
     return found.select(ident, F.coalesce("best", F.lit(0.0)).alias("best"), (F.col("best").isNull() | (F.col("best") < threshold)).alias("novel"))
 
 
+def similar_pairs(vectors: DataFrame, ident: str, vector: str, threshold: float) -> DataFrame:
+    """(a, b), a < b, of the ids whose vectors' inner product reaches the threshold; null vectors have none.
+
+    All pairs are compared, as the definition asks: block by block of at most BLOCK vectors, which the driver passes on one at a
+    time, each against all rows in one matrix product for each batch.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    rows = checkpointed(vectors.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL"))
+    matrix = lambda column, n: np.asarray(column.flatten(), np.float64).reshape(n, -1)
+
+    def against(shared):
+        def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, own = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    other = np.asarray(batch.column("id"))
+                    i, j = np.nonzero(matrix(batch.column("v"), batch.num_rows) @ own.T >= threshold)
+                    later = other[i] < ids[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(other[i][later]), pa.array(ids[j][later])], schema=schema)
+
+        return compare
+
+    out = vectors.sparkSession.createDataFrame([], "a long, b long")
+    for block in _blocks(rows, "id"):
+        table = block.toArrow().combine_chunks()
+        if table.num_rows:
+            v = table.column("v").combine_chunks()
+            shared = vectors.sparkSession.sparkContext.broadcast((np.asarray(table.column("id")), matrix(v, table.num_rows)))
+            out = out.unionByName(checkpointed(rows.mapInArrow(against(shared), "a long, b long")))
+            shared.destroy()
+    return out
+
+
 def novelty_insert(vectors: DataFrame, ident: str, vector: str, threshold: float) -> DataFrame:
     """Which vectors a store accepts that takes one only if nothing accepted before is as similar as the threshold.
 
     That is the lexicographically first independent set of the graph of similar pairs: in rounds, a vector without an open
     earlier neighbour is accepted and its later neighbours are rejected.
     """
-    a, b = vectors.select(F.col(ident).alias("a"), F.col(vector).alias("va")), vectors.select(F.col(ident).alias("b"), F.col(vector).alias("vb"))
-    edges = a.join(b, (F.col("a") < F.col("b")) & (dot(F.col("va"), F.col("vb")) >= threshold)).select("a", "b").persist()
+    edges = checkpointed(similar_pairs(vectors, ident, vector, threshold))
     state = vectors.select(F.col(ident).alias("id"), F.lit("open").alias("state"))
     while True:
         live = edges.join(state.filter("state = 'open'").select(F.col("id").alias("a")), "a", "left_semi")
@@ -72,13 +110,3 @@ def novelty_insert(vectors: DataFrame, ident: str, vector: str, threshold: float
         state = checkpointed(state)
         if state.filter("state = 'open'").isEmpty():
             return state.select(F.col("id").alias(ident), (F.col("state") == "accepted").alias("accepted"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder in spark.checkpoint.dir; a session without one gets a temporary folder."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrylight-checkpoint-"))
-    return df.checkpoint(eager=True)

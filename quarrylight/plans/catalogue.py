@@ -119,9 +119,11 @@ def semantic_repair(spark, d):
     return evaluation.semantic_repair(docs, "k", "source", "split", "doc_id").select("doc_id", "source", "split", "new_split")
 
 
-@query(f"SELECT source, count(DISTINCT {_ROWSPLIT}) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT {_ROWSPLIT}) > 1")
+@query("SELECT o_custkey, count(DISTINCT CASE WHEN o_orderkey % 10 < 8 THEN 'train' WHEN o_orderkey % 10 = 8 THEN 'val' ELSE 'test' END) AS n FROM orders GROUP BY 1 HAVING n > 1")
 def group_leakage(spark, d):
-    return evaluation.conflicts(table(spark, d, "documents").withColumn("split", _row_split()), "source", "split")
+    """Customers whose orders fall into more than one split: most of them do."""
+    key = F.col("o_orderkey") % 10
+    return evaluation.conflicts(table(spark, d, "orders").select("o_custkey", F.when(key < 8, "train").when(key == 8, "val").otherwise("test").alias("split")), "o_custkey", "split")
 
 
 @query(f"SELECT min(doc_id) AS doc_id, count(*) - 1 AS removed FROM documents GROUP BY {_NORMAL}")
@@ -129,9 +131,10 @@ def exact_dedupe(spark, d):
     return table(spark, d, "documents").groupBy(F.xxhash64(key := code_text.normalized_text(F.col("text"))), key.alias("k")).agg(F.min("doc_id").alias("doc_id"), (F.count(F.lit(1)) - 1).alias("removed")).select("doc_id", "removed")
 
 
-@query(f"SELECT sha256({_NORMAL}) AS k, count(DISTINCT lang) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1")
+@query("SELECT p_brand || '/' || (p_partkey % 50) AS k, count(DISTINCT p_type) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
 def conflict_gate(spark, d):
-    return evaluation.conflicts(table(spark, d, "documents").select(F.sha2(code_text.normalized_text(F.col("text")), 256).alias("k"), "lang"), "k", "lang")
+    """Keys with more than one distinct value."""
+    return evaluation.conflicts(table(spark, d, "part").select(F.concat_ws("/", "p_brand", (F.col("p_partkey") % 50).cast("string")).alias("k"), "p_type"), "k", "p_type")
 
 
 @query("SELECT DISTINCT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)")
@@ -184,7 +187,25 @@ def stratified_subset(spark, d):
     return selection.stratified(docs, ["lang", "source"], 40, ["doc_id"]).select("doc_id", "phase")
 
 
-@query()
+def _stratified_sql(name: str, rows: str, key: str, size: str) -> str:
+    """CTEs that end in {name}(doc_id): `size` rows of `rows` over the strata of `key`, all if there are no more."""
+    return f"""{name}_k AS (SELECT coalesce(nullif({key}, ''), 'unknown') AS s, count(*) AS n, row_number() OVER (ORDER BY coalesce(nullif({key}, ''), 'unknown')) - 1 AS g, count(*) OVER () AS m FROM {rows} GROUP BY 1),
+    {name}_w AS (SELECT least({size}, max(m)) AS w, max(m) AS m, {size} AS k, (SELECT count(*) FROM {rows}) AS t FROM {name}_k),
+    {name}_p AS (SELECT DISTINCT CASE WHEN w >= m THEN i WHEN w = 1 THEN m // 2 ELSE round_even(i::DOUBLE * (m - 1) / (w - 1), 0) END::BIGINT AS g FROM {name}_w, range(60) r(i) WHERE i < w),
+    {name}_r AS (SELECT doc_id, coalesce(nullif({key}, ''), 'unknown') AS s, row_number() OVER (PARTITION BY coalesce(nullif({key}, ''), 'unknown') ORDER BY doc_id) - 1 AS q FROM {rows}),
+    {name}_f AS (SELECT doc_id FROM {name}_r JOIN {name}_k USING (s) JOIN {name}_p USING (g) WHERE q = n // 2),
+    {name}_o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM {rows} WHERE doc_id NOT IN (SELECT doc_id FROM {name}_f)),
+    {name}_l AS (SELECT k - (SELECT count(*) FROM {name}_f) AS f FROM {name}_w),
+    {name} AS (SELECT doc_id FROM {rows}, {name}_w WHERE t <= k UNION ALL SELECT {name}_f.doc_id FROM {name}_f, {name}_w WHERE t > k
+      UNION ALL SELECT doc_id FROM {name}_o, {name}_w WHERE t > k AND pos IN (SELECT CASE WHEN f = 1 THEN n // 2 ELSE round_even(i::DOUBLE * (n - 1) / (f - 1), 0)::BIGINT END FROM {name}_l, range(60) r(i), (SELECT max(n) AS n FROM {name}_o) WHERE i < f))"""
+
+
+@query(
+    f"""WITH x AS (SELECT l.doc_id, quality, lang, source FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+    c AS (SELECT count(*) FILTER (quality = 0) AS r, count(*) FILTER (quality <> 0) AS s FROM x), q AS (SELECT least(s, 60 - least(r, greatest(2, ceil(3 * 0.1::DOUBLE * 60 / (3 * (1 - 0.1::DOUBLE) + 3 * 0.1::DOUBLE)))::BIGINT, 59)) AS synth, r FROM c), z AS (SELECT synth, least(r, 60 - synth) AS repo FROM q),
+    xs AS (SELECT * FROM x WHERE quality <> 0), xr AS (SELECT * FROM x WHERE quality = 0), {_stratified_sql("a", "xs", "lang", "(SELECT synth FROM z)")}, {_stratified_sql("b", "xr", "source", "(SELECT repo FROM z)")}
+    SELECT doc_id, quality, lang FROM x WHERE (SELECT count(*) FROM x) <= 60 OR doc_id IN (SELECT doc_id FROM a UNION ALL SELECT doc_id FROM b)"""
+)
 def bounded_selection(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
     return selection.bounded_mix(rows, F.col("quality") == 0, 60, (["lang"], ["source"]), ["doc_id"]).select("doc_id", "quality", "lang")
@@ -273,7 +294,12 @@ def novelty_flag(spark, d):
     return similarity.novelty(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 0.45).select("vec_id", F.round("best", 6).alias("best"), "novel")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT b.vec_id AS b, list(a.vec_id) AS near FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.45 GROUP BY 1),
+    o AS (SELECT vec_id, coalesce(near, []) AS near, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings LEFT JOIN e ON b = vec_id),
+    r AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL SELECT o.n, CASE WHEN list_has_any(r.kept, o.near) THEN r.kept ELSE list_append(r.kept, o.vec_id) END FROM r JOIN o ON o.n = r.n + 1)
+    SELECT vec_id, list_contains((SELECT kept FROM r ORDER BY n DESC LIMIT 1), vec_id) AS accepted FROM embeddings"""
+)
 def novelty_insert(spark, d):
     return similarity.novelty_insert(table(spark, d, "embeddings"), "vec_id", "embedding", 0.45)
 
@@ -299,24 +325,26 @@ def preference_pairs(spark, d):
     return evaluation.preference_pairs(side(1, "chosen"), side(0, "rejected"), "lang", "h")
 
 
-@query("SELECT r_name, n_name FROM region, nation WHERE n_regionkey <> r_regionkey AND n_nationkey % 2 = 0")
+@query("SELECT r_name, n_name FROM region, nation WHERE n_regionkey <> r_regionkey")
 def cross_pairs(spark, d):
     """Winners with losers of other groups: a bounded side in a join on its own condition."""
-    r, n = table(spark, d, "region"), table(spark, d, "nation").filter("n_nationkey % 2 = 0")
+    r, n = table(spark, d, "region"), table(spark, d, "nation")
     return n.join(F.broadcast(r), F.col("n_regionkey") != F.col("r_regionkey")).select("r_name", "n_name")
 
 
 @query(
     """WITH m AS (SELECT max(event_id) // 2 AS m FROM events), a AS (SELECT user_id, bool_or(value > 200) AS f FROM events, m WHERE event_id <= m GROUP BY 1),
-    b AS (SELECT user_id, bool_or(value > 200) AS f FROM events, m WHERE event_id > m GROUP BY 1)
-    SELECT coalesce(bool_and(a.f IS NOT NULL AND b.f IS NOT NULL), false) AS available, count(*) FILTER (NOT a.f AND b.f) AS improved, count(*) FILTER (a.f AND NOT b.f) AS regressed, count(*) FILTER (a.f = b.f) AS unchanged
+    b AS (SELECT user_id, bool_or(value > 200) AS f FROM events, m WHERE event_id > m GROUP BY 1),
+    x AS (SELECT count(*) FILTER (NOT a.f AND b.f) AS i, count(*) FILTER (a.f AND NOT b.f) AS r FROM a FULL JOIN b ON a.user_id = b.user_id),
+    p AS (SELECT CASE WHEN max(i + r) = 0 THEN 1.0 ELSE least(1.0, 2 * sum(exp(lgamma(i + r + 1) - lgamma(k + 1) - lgamma(i + r - k + 1) - (i + r) * ln(2)))) END AS p FROM (SELECT i, r, unnest(range(least(i, r) + 1)) AS k FROM x))
+    SELECT round((SELECT p FROM p), 9)::DOUBLE AS p_value, coalesce(bool_and(a.f IS NOT NULL AND b.f IS NOT NULL), false) AS available, count(*) FILTER (NOT a.f AND b.f) AS improved, count(*) FILTER (a.f AND NOT b.f) AS regressed, count(*) FILTER (a.f = b.f) AS unchanged
     FROM a FULL JOIN b ON a.user_id = b.user_id"""
 )
 def paired_transitions(spark, d):
     e = table(spark, d, "events")
     half = e.agg(F.max("event_id")).first()[0] // 2
     runs = [e.filter(c).groupBy("user_id").agg(F.bool_or(F.col("value") > 200).alias("f")) for c in (F.col("event_id") <= half, F.col("event_id") > half)]
-    return evaluation.transitions(*runs, "user_id", "f").drop("p_value")
+    return evaluation.transitions(*runs, "user_id", "f")
 
 
 @query(
@@ -346,9 +374,10 @@ def patience_gate(spark, d):
     SELECT event_id, sum(cents) OVER w::BIGINT AS cents, count(*) OVER w AS n FROM c WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)"""
 )
 def rolling_rate(spark, d):
-    """Sum and count of the last 200 of each type; integers, so that no order of addition shows."""
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(-199, 0)
-    return table(spark, d, "events").select("event_id", F.sum(F.round(F.col("value") * 100).cast("long")).over(w).alias("cents"), F.count(F.lit(1)).over(w).alias("n"))
+    """Sum and count of the last 200 of each type, in blocks of each type; integers, so that no order of addition shows."""
+    e = selection.rolling(table(spark, d, "events").select("event_type", "event_id", F.round(F.col("value") * 100).cast("long").alias("c")), ["event_type"], ["event_id"], 199)
+    w = Window.partitionBy("event_type", "part").orderBy("rank").rowsBetween(-199, 0)
+    return e.select("event_id", "own", F.sum("c").over(w).alias("cents"), F.count(F.lit(1)).over(w).alias("n")).filter("own").drop("own")
 
 
 @query(
@@ -432,23 +461,32 @@ def prompt_render(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x["line"]), "\n").alias("prompt"), F.count(F.lit(1)).alias("turns"))
 
 
+_SQL_WORDS = r"regexp_split_to_array({x}, '[^A-Za-z0-9_\x{{80}}-\x{{10FFFF}}]+')"
+
+
+def _count_sql(x: str, words: str) -> str:
+    return f"len(list_filter({_SQL_WORDS.format(x=x)}, lambda w: w IN ({words})))"
+
+
 def _category_sql() -> str:
-    whens = " ".join(f"WHEN regexp_matches(lower(text || ' ' || source), '{'|'.join(keys)}') THEN '{name}'" for name, keys in code_text.CATEGORIES)
-    return rf"SELECT doc_id, CASE {whens} WHEN regexp_matches(text, '\b(for|while)\b.*\b(for|while)\b') THEN 'complex_loops' ELSE 'general' END AS category FROM documents WHERE lang = 'en'"
+    whens = " ".join(f"WHEN regexp_matches(lower(text || ' ' || coalesce(source, '')), '{'|'.join(keys)}') THEN '{name}'" for name, keys in code_text.CATEGORIES)
+    nested = f"len(list_filter(string_split(text, chr(10)), lambda l: {_count_sql('l', repr('for') + ', ' + repr('while'))} > 1)) > 0"
+    return f"SELECT doc_id, CASE {whens} WHEN {nested} THEN 'complex_loops' ELSE 'general' END AS category FROM documents"
 
 
 @query(_category_sql())
 def categorise(spark, d):
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", code_text.category(F.col("text"), F.col("source")).alias("category"))
-
-
-@query()
-def categorise_all(spark, d):
-    """The cascade over documents of every language and of none; tests hold it against brute force."""
+    """The keyword cascade over documents of every language and of none."""
     return table(spark, d, "documents").select("doc_id", code_text.category(F.col("text"), F.col("source")).alias("category"))
 
 
-@query()
+@query(
+    rf"""WITH c AS (SELECT doc_id, least(len(string_split(text, chr(10))) / 5.0, 3.0) + least({_count_sql("text", "'for', 'while'")}, 2.0) + least({_count_sql("text", "'if', 'elif', 'else'")} / 2.0, 2.0)
+    + CASE WHEN regexp_matches(text, 'def\s+[A-Za-z0-9_]') THEN 2.0 ELSE 0.0 END + least((len(regexp_extract_all(text, '\[[^
+]*\]')) + len(regexp_extract_all(text, '\{{[^
+]*\}}'))) / 3.0, 1.0) AS score FROM documents)
+    SELECT doc_id, greatest(1, least(10, floor(score)))::INT AS complexity FROM c"""
+)
 def complexity(spark, d):
     return table(spark, d, "documents").select("doc_id", code_text.complexity(F.col("text")).alias("complexity"))
 
@@ -483,10 +521,16 @@ def validity_filter(spark, d):
     return rows.join(first, "k", "left").select("doc_id", F.when(F.col("reason").isNull() & (F.col("doc_id") != F.col("first")), "duplicate_text").otherwise(F.col("reason")).alias("reason"))
 
 
-@query("SELECT doc_id % 16 AS part, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY 1")
+@query(
+    """WITH b AS (SELECT doc_id // 1024 AS block, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS x, count(*) AS n FROM documents GROUP BY 1)
+    SELECT block // 1024 AS part, sha256(string_agg(x, ',' ORDER BY block)) AS digest, sum(n)::BIGINT AS n FROM b GROUP BY 1"""
+)
 def ordered_digest(spark, d):
-    ids = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string"))
-    return table(spark, d, "documents").groupBy((F.col("doc_id") % 16).alias("part")).agg(F.sha2(F.array_join(ids, ","), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    """Digests of blocks of 1,024 ids, then of 1,024 blocks each: no list is longer, whatever the table's size."""
+    blocks = table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 1024).alias("block")).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    blocks = blocks.select("block", F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("x"), F.size("ids").cast("long").alias("n"))
+    parts = blocks.groupBy(F.floor(F.col("block") / 1024).alias("part")).agg(F.array_sort(F.collect_list(F.struct("block", "x"))).alias("xs"), F.sum("n").alias("n"))
+    return parts.select("part", F.sha2(F.array_join("xs.x", ","), 256).alias("digest"), "n")
 
 
 @query("SELECT coalesce(lang, 'all') AS lang, coalesce(source, 'all') AS source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
@@ -527,14 +571,27 @@ def unique_gate(spark, d):
     return evaluation.repeated(table(spark, d, "events"), ["user_id"]).select("user_id", (F.col("n") - 1).alias("removed"))
 
 
-@query(f"SELECT DISTINCT 'group_in_two_splits' AS gate, source AS id FROM documents GROUP BY source HAVING count(DISTINCT {_ROWSPLIT}) > 1 UNION ALL SELECT 'label_without_document', l.doc_id::VARCHAR FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL UNION ALL SELECT 'document_without_text', doc_id::VARCHAR FROM documents WHERE text IS NULL OR text = ''")
+@query(
+    """SELECT 'customer_in_two_splits' AS gate, o_custkey::VARCHAR AS id FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderkey % 2) > 1
+    UNION ALL SELECT 'document_without_label', d.doc_id::VARCHAR FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL
+    UNION ALL SELECT 'document_without_text', doc_id::VARCHAR FROM documents WHERE text IS NULL OR length(text) < 60"""
+)
 def corpus_gates(spark, d):
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    leaks = evaluation.conflicts(docs.withColumn("split", _row_split()), "source", "split")
-    return evaluation.violations([("group_in_two_splits", leaks, "source"), ("label_without_document", labels.join(docs, "doc_id", "left_anti"), "doc_id"), ("document_without_text", docs.filter("text IS NULL OR text = ''"), "doc_id")])
+    """Three named gates, each with violations in these tables."""
+    docs, labels, orders = table(spark, d, "documents"), table(spark, d, "labels"), table(spark, d, "orders")
+    leaks = evaluation.conflicts(orders.select("o_custkey", (F.col("o_orderkey") % 2).alias("split")), "o_custkey", "split")
+    return evaluation.violations([("customer_in_two_splits", leaks, "o_custkey"), ("document_without_label", docs.join(labels, "doc_id", "left_anti"), "doc_id"), ("document_without_text", docs.filter("text IS NULL OR length(text) < 60"), "doc_id")])
 
 
-@query()
+@query(
+    """WITH RECURSIVE g AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY sha256(source || ':42'), source) AS i, sum(n) OVER () AS t FROM g),
+    w AS (SELECT max(t)::BIGINT AS t, floor(max(t) * 0.8)::BIGINT AS a, floor(max(t) * 0.1)::BIGINT AS b FROM o),
+    r AS (SELECT 0::BIGINT AS i, 0::BIGINT AS x, 0::BIGINT AS y, 0::BIGINT AS z, ''::VARCHAR AS split, ''::VARCHAR AS source UNION ALL
+      SELECT q.i, q.x + CASE WHEN q.s = 'train' THEN q.n ELSE 0 END, q.y + CASE WHEN q.s = 'val' THEN q.n ELSE 0 END, q.z + CASE WHEN q.s = 'test' THEN q.n ELSE 0 END, q.s, q.source FROM (
+        SELECT o.i, o.n, r.x, r.y, r.z, o.source, (['train', 'val', 'test'])[list_position(l, list_reverse_sort(l)[1])] AS s
+        FROM r JOIN o ON o.i = r.i + 1, w, (SELECT 1), LATERAL (SELECT [(w.a - r.x) * 1000000000 - r.x, (w.b - r.y) * 1000000000 - r.y, (w.t - w.a - w.b - r.z) * 1000000000 - r.z] AS l)) q)
+    SELECT d.doc_id, d.source, r.split FROM documents d JOIN r ON r.source = d.source AND r.i > 0"""
+)
 def group_disjoint_split(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
     return selection.group_split(docs, "source", code_text.seeded_order(F.col("source"), 42)).select("doc_id", "source", "split")

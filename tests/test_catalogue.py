@@ -59,4 +59,4 @@ def test_categories_of_every_language(spark, sf_dir, duck):
 
     docs = duck.sql("SELECT doc_id, text, source FROM documents").fetchall()
     want = rows((i, category(t, s)) for i, t, s in docs)
-    assert rows(map(tuple, catalogue.queries()["categorise_all"](spark, sf_dir).collect())) == want
+    assert rows(map(tuple, catalogue.queries()["categorise"](spark, sf_dir).collect())) == want
