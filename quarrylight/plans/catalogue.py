@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.functions import code_text, pycode
+from quarrylight.functions import code_text
 from quarrylight.functions.stats import rate, wilson
-from quarrylight.operators import evaluation, sandbox, selection, similarity
+from quarrylight.operators import evaluation, selection, similarity
 from quarrylight.sources.tables import table
 from quarrylight.streaming import events as streams
 
@@ -33,10 +33,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from quarrylight.plans import ledgers  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from quarrylight.plans import ledgers  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -613,37 +617,3 @@ def set_equality(spark, d):
 @query(r"SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.-]+', '__', 'g') AS slug, substr(md5(url), 1, 8) AS short FROM pages")
 def slugs(spark, d):
     return table(spark, d, "pages").select("page_id", code_text.slug(F.col("url")).alias("slug"), F.substring(F.md5("url"), 1, 8).alias("short"))
-
-
-# Built-in code fixtures for the operators that parse or run Python.
-_CODE = [
-    ("add", "def add(a, b):\n    total = a + b\n    return total\n", "def add(a, b):\n    total = a - b\n    return total\n", ["assert add(1, 2) == 3", "assert add(0, 0) == 0", "assert add(1, 1) == 5", "import os", "assert open('x')", "assert sub(1) == 1"]),
-    ("clip", "def clip(x, low, high):\n    if x < low:\n        return low\n    if x > high:\n        return high\n    return x\n", "def clip(x, low, high):\n    if x > low:\n        return low\n    if x > high:\n        return high\n    return x\n", ["assert clip(5, 0, 3) == 3", "assert clip(-1, 0, 3) == 0", "assert clip(2, 0, 3) == 2"]),
-    ("spin", "def spin(n):\n    while n > 0:\n        n = n - 1\n    return n\n", "def spin(n):\n    while n >= 0:\n        n = n - 0\n    return n\n", ["assert spin(3) == 0", "assert spin(-1) == -1"]),
-]
-
-
-def _code(spark):
-    return spark.createDataFrame(_CODE, "id string, golden_code string, mutant_code string, test_cases array<string>").withColumn("entry_point", F.col("id"))
-
-
-@query()
-def policy_check(spark, d):
-    tests = _code(spark).select("id", "entry_point", F.explode("test_cases").alias("test"))
-    return tests.select("id", "test", pycode.policy_column("test", "entry_point").alias("reason"))
-
-
-@query()
-def code_mutants(spark, d):
-    return pycode.with_mutants(_code(spark).select("id", F.col("golden_code").alias("code"))).select("id", "line", "mutation_type", "mutant_code")
-
-
-@query()
-def code_identity(spark, d):
-    c = _code(spark)
-    return c.select("id", pycode.identity_column("golden_code", "entry_point").alias("group_id"), pycode.semantic_hash("mutant_code").alias("mutant_hash"))
-
-
-@query()
-def sandbox_labels(spark, d):
-    return sandbox.evaluate_pairs(_code(spark), 0.5)

@@ -90,7 +90,7 @@ def test_positions_of_wide_rows(spark):
     """Half a million rows with a wide column over many partitions: no row is lost and places are 0 to n - 1 in order."""
     n = 500_000
     rows = spark.range(0, n, 1, 24).select(F.sha2(F.col("id").cast("string"), 256).alias("h"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 3).alias("wide"))
-    placed = S.with_position(rows, ["h"])
+    placed = selection.with_position(rows, ["h"])
     got = placed.agg(F.count(F.lit(1)), F.count_distinct("pos"), F.min("pos"), F.max("pos"), F.count_if(F.length("wide") != 384)).first()
     assert tuple(got) == (n, n, 0, n - 1, 0)
     before = placed.select("pos", "h").join(placed.select((F.col("pos") + 1).alias("pos"), F.col("h").alias("last")), "pos")
@@ -102,10 +102,10 @@ def test_ranks_and_windows_within_a_few_groups(spark):
     every = {}
     for r in rows.orderBy("x").collect():
         every.setdefault(r["g"], []).append((r["x"], r["v"]))
-    ranked = {(r["g"], r["x"]): r["rank"] for r in S.with_rank(rows, ["g"], ["x"]).collect()}
+    ranked = {(r["g"], r["x"]): r["rank"] for r in selection.with_rank(rows, ["g"], ["x"]).collect()}
     assert ranked == {(g, x): i for g, own in every.items() for i, (x, _) in enumerate(own)}
     from pyspark.sql import Window
 
     w = Window.partitionBy("g", "part").orderBy("rank").rowsBetween(-9, 0)
-    got = {(r["g"], r["x"]): r["s"] for r in S.rolling(rows, ["g"], ["x"], 9, block=50).select("*", F.sum("v").over(w).alias("s")).filter("own").collect()}
+    got = {(r["g"], r["x"]): r["s"] for r in selection.rolling(rows, ["g"], ["x"], 9, block=50).select("*", F.sum("v").over(w).alias("s")).filter("own").collect()}
     assert got == {(g, x): sum(v for _, v in own[max(0, i - 9) : i + 1]) for g, own in every.items() for i, (x, _) in enumerate(own)}

@@ -1,5 +1,5 @@
 from quarrylight.sources.tables import table
-from quarrylight.streaming import events
+from quarrylight.streaming import events, state
 
 
 def drain(df, name, mode="append"):
@@ -33,3 +33,43 @@ def test_overlay_is_idempotent(spark, tmp_path):
     write(batch, 0)
     write(batch, 0)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path)).select("k", "seq", "v").collect()] == [(1, 2, "new")]
+
+
+def files(spark, tmp_path, batches, schema):
+    """A stream that reads one file for each batch, in order."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+
+
+def test_buffers_fill_and_wait(spark, tmp_path):
+    source = files(spark, tmp_path, [[("a", i) for i in range(5)], [("a", i) for i in range(5, 12)] + [("b", 1)], [("a", i) for i in range(12, 20)]], "k string, i long")
+    got = {(r["key"], r["nth"]): list(r["ids"]) for r in drain(state.buffered(source, "k", "i"), "buffered").collect()}
+    assert sorted(got) == [("a", 0), ("a", 1)] and all(len(v) == 8 for v in got.values())
+    assert len({x for v in got.values() for x in v}) == 16
+
+
+def test_novelty_grows(spark, tmp_path):
+    source = files(spark, tmp_path, [[("a", 1, [1.0, 0.0])], [("a", 2, [0.99, 0.1]), ("a", 3, [0.0, 1.0]), ("b", 4, [1.0, 0.0])]], "k string, i long, v array<double>")
+    got = {r["id"]: r["accepted"] for r in drain(state.novel(source, "k", "i", "v", 0.9), "novel").collect()}
+    assert set(got) == {1, 2, 3, 4} and got[3] and got[4] and got[1] != got[2]
+
+
+def test_runs_stop_early(spark, tmp_path):
+    values = [1.0, 2.0, 2.0, 1.5, 2.0, 9.0]
+    source = files(spark, tmp_path, [[("r", i, v) for i, v in enumerate(values)]], "r string, s long, v double")
+    got = {r["step"]: (r["best"], r["waited"], r["stop"]) for r in drain(state.early_stop(source, "r", "s", "v", 0.5, 3), "stops").collect()}
+    assert got == {0: (1.0, 0, False), 1: (2.0, 0, False), 2: (2.0, 1, False), 3: (2.0, 2, False), 4: (2.0, 3, True), 5: (2.0, 3, True)}
+
+
+def test_batches_resume_and_replace_themselves(spark, tmp_path):
+    source = files(spark, tmp_path, [[(1,)], [(2,)], [(3,)], [(4,)]], "i long")
+    write = state.batch_writer(str(tmp_path / "out"), every=2)
+    for _ in range(2):  # the second query finds nothing left to do
+        q = source.writeStream.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).foreachBatch(write).start()
+        q.awaitTermination()
+    write(spark.createDataFrame([(9,)], "i long"), 1)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    write(spark.createDataFrame([(9,)], "i long"), 2)
+    write(spark.createDataFrame([(9,)], "i long"), 2)
+    assert spark.read.parquet(str(tmp_path / "out")).filter("batch = 2").count() == 1
