@@ -62,3 +62,33 @@ def test_awkward(spark, n):
     bad = [(100, None, "x"), (120, [0.0, 0.0], "x"), (140, [float("nan"), 1.0], "x"), (160, [None, 1.0], "x"), (180, [float("inf"), 1.0], "x"), (None, [1.0, 1.0], "x"), *good[:1]]
     got = answers(A.search(spark.createDataFrame(good + bad, SCHEMA)))
     assert {q: [i for i, _ in v] for q, v in got.items()} == ({} if n < 2 else {0: [20, 40], 20: [40, 0], 40: [20, 0]})
+
+
+def test_windows_follow_the_data(spark, monkeypatch):
+    """Vectors that lie near a few directions need a far smaller part of the ranks than vectors spread evenly."""
+    rng, seen = np.random.default_rng(5), []
+    plain = A.fitted_window
+    monkeypatch.setattr(A, "fitted_window", lambda *a: seen.append(plain(*a)) or seen[-1])
+    centres = rng.normal(size=(120, 24))
+    for x in (centres[np.arange(4800) % 120] + 0.15 * rng.normal(size=(4800, 24)), rng.normal(size=(4800, 24))):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        rows = [(i, v.astype(np.float32)) for i, v in enumerate(x)]
+        frame = spark.createDataFrame([(i, v.tolist(), "x") for i, v in rows], SCHEMA)
+        got, want = answers(A.search(frame, every=60, index=A.CurveIndex(least_window=16))), brute(rows, every=60)
+        assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+    assert 2 * seen[0] < seen[1], seen
+
+
+def test_columns_that_clash_are_ignored(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, [1.0, float(i), float(i * i % 7)], "x") for i in range(60)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    odd = frame.withColumns({c: F.lit("clash") for c in ("cid", "ids", "asked", "rank", "score", "curve", "pos", "kind", "block", "query_id")})
+    assert answers(A.search(odd)) == answers(A.search(frame))
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], "x") for i in range(80)]
+    got = answers(A.search(spark.createDataFrame(rows, SCHEMA)))
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i in range(0, 80, 2) if i != q][:20] for q in (0, 20, 40, 60)}
