@@ -19,6 +19,9 @@ _SQL: dict[str, str] = {}
 
 Z = "1.959964"
 
+#: Passages that are broadcast at one time.
+LEAK_PASSAGES = 20_000
+
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name, with the SQL that gives the same rows."""
@@ -145,17 +148,26 @@ def conflict_gate(spark, d):
 def leak_contains(spark, d):
     """Documents that contain a passage: an equi-join on the passage's second to sixth word, then the whole passage.
 
-    A passage of fewer than seven words has no such handle; the benchmark is a stated query set, and those few are looked for in
-    every document.
+    Passages and their handles are broadcast up to LEAK_PASSAGES of them, so that no window of a text is shuffled; beyond that
+    the handles are joined. A passage of fewer than seven words has no such handle; the benchmark is a stated query set, and
+    those few are looked for in every document, block by block.
     """
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), F.split("text", r"\s+").alias("w"))
     docs = table(spark, d, "documents").select("doc_id", "text")
     handles = b.filter("size(w) >= 7").select("item_id", "passage", F.expr("xxhash64(slice(w, 2, 5))").alias("h"))
-    windows = docs.withColumn("w", F.split("text", r"\s+")).filter("size(w) >= 5").select("doc_id", F.explode(F.array_distinct(F.expr("transform(sequence(1, size(w) - 4), i -> xxhash64(slice(w, i, 5)))"))).alias("h"))
-    likely = windows.join(handles.select("h").distinct(), "h", "left_semi").join(handles, "h").select("doc_id", "item_id", "passage")
-    whole = likely.join(docs, "doc_id").filter(F.contains("text", "passage")).select("doc_id", "item_id")
-    short = docs.join(F.broadcast(b.filter("size(w) < 7")), F.contains("text", "passage")).select("doc_id", "item_id")
-    return whole.unionByName(short).distinct()
+    words = docs.withColumn("w", F.split("text", r"\s+")).filter("size(w) >= 5")
+    windows = F.explode(F.array_distinct(F.expr("transform(sequence(1, size(w) - 4), i -> xxhash64(slice(w, i, 5)))"))).alias("h")
+    if b.count() <= LEAK_PASSAGES:
+        whole = words.select("doc_id", "text", windows).join(F.broadcast(handles), "h").filter(F.contains("text", "passage")).select("doc_id", "item_id")
+    else:
+        likely = words.select("doc_id", windows).join(handles, "h").select("doc_id", "item_id", "passage")
+        whole = likely.join(docs, "doc_id").filter(F.contains("text", "passage")).select("doc_id", "item_id")
+    short = b.filter("size(w) < 7").select("item_id", "passage")
+    blocks = -(-short.count() // LEAK_PASSAGES)
+    for i in range(blocks):
+        block = short.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
+        whole = whole.unionByName(docs.join(F.broadcast(block), F.contains("text", "passage")).select("doc_id", "item_id"))
+    return whole.distinct()
 
 
 @query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")

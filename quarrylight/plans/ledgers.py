@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import outcomes, pycode
 from quarrylight.functions.pycode import group_identity
-from quarrylight.operators import ledger, records, sandbox
+from quarrylight.operators import ledger, records, sandbox, selection, staging
 from quarrylight.plans.catalogue import query
 from quarrylight.schemas import RECORDS
 from quarrylight.sources.tables import table
@@ -444,3 +444,124 @@ def code_mutants(spark, d):
     """First-order mutants of every function; of those, the arithmetic ones."""
     found = pycode.with_mutants(_functions(spark, d).select("id", F.col("golden_code").alias("code")))
     return found.select("id", "line", "mutation_type", "mutant_code").filter("mutation_type = 'arithmetic'")
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'not_accepted' WHEN o_orderkey % 7 = 0 THEN 'hash_differs' WHEN o_custkey % 5 = 0 THEN 'no_evidence' WHEN o_orderkey % 11 = 0 THEN 'selector_not_failing' WHEN o_totalprice > 300000 THEN 'over_token_limit' END AS reason FROM orders"""
+)
+def staged_gates(spark, d):
+    """The first gate that a staged record fails, on records made of orders."""
+    k = F.col("o_orderkey")
+    hashed = F.sha2(F.col("o_orderkey").cast("string"), 256)
+    recorded = F.when(k % 7 == 0, "stale").otherwise(hashed)
+    evidence = F.struct(F.when(F.col("o_custkey") % 5 == 0, 0).otherwise(1).alias("buggy"), F.lit(0).alias("fixed"))
+    failing = F.when(k % 11 == 0, F.array(F.lit("other"))).otherwise(F.array(F.lit("other"), F.concat(F.lit("t::test_"), k)))
+    rules = [("not_accepted", F.col("o_orderstatus") != "P"), ("hash_differs", recorded == hashed), ("no_evidence", (evidence["fixed"] == 0) & (evidence["buggy"] != 0)), ("selector_not_failing", F.array_contains(failing, F.concat(F.lit("t::test_"), k))), ("over_token_limit", F.col("o_totalprice") <= 300000)]
+    return table(spark, d, "orders").select("o_orderkey", staging.first_failure(rules).alias("reason"))
+
+
+@query(
+    """WITH x AS (SELECT o_orderkey AS id, o_custkey AS k, (o_orderkey % 2)::VARCHAR AS p, CASE WHEN o_orderstatus = 'P' THEN 'unparsable' WHEN o_orderpriority = '5-LOW' THEN 'no_evidence' END AS r FROM orders),
+    b AS (SELECT c_custkey AS k, (c_custkey % 2)::VARCHAR AS p FROM customer WHERE c_custkey % 4 = 0), f AS (SELECT k, min(id) AS f FROM x WHERE r IS NULL GROUP BY 1),
+    y AS (SELECT id, r, coalesce(r, CASE WHEN b.p IS NOT NULL THEN CASE WHEN b.p = x.p THEN 'repeats_baseline' ELSE 'conflicts_with_baseline' END END, CASE WHEN f <> id THEN 'repeats_batch' END) AS reason FROM x LEFT JOIN b USING (k) LEFT JOIN f USING (k))
+    SELECT id, CASE WHEN r IS NOT NULL THEN 'excluded' WHEN reason IS NOT NULL THEN 'audit_excluded' ELSE 'accepted' END AS route, reason FROM y"""
+)
+def audit_routing(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 2).cast("string").alias("p"), "o_orderstatus", "o_orderpriority")
+    base = table(spark, d, "customer").filter("c_custkey % 4 = 0").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 2).cast("string").alias("p"))
+    return staging.routed_audit(rows, base, "id", "k", "p", F.col("o_orderstatus") != "P", F.col("o_orderpriority") != "5-LOW")
+
+
+@query(
+    """SELECT coalesce(o_custkey, c_custkey) AS id, CASE WHEN status = 'completed' OR done THEN 'done' WHEN c_custkey IS NOT NULL AND call_id IS NOT NULL THEN 'wait' WHEN c_custkey IS NOT NULL THEN 'submit' ELSE 'cancel' END AS action
+    FROM (SELECT o_custkey, CASE WHEN o_custkey % 3 > 0 THEN 'c' || o_custkey END AS call_id, CASE WHEN o_custkey % 10 = 0 THEN 'completed' ELSE 'open' END AS status FROM (SELECT DISTINCT o_custkey FROM orders)) l
+    FULL JOIN (SELECT c_custkey FROM customer WHERE c_nationkey < 20) s ON o_custkey = c_custkey LEFT JOIN (SELECT DISTINCT user_id, true AS done FROM events WHERE value > 100) e ON user_id = coalesce(o_custkey, c_custkey)"""
+)
+def submission_ledger(spark, d):
+    k = F.col("o_custkey")
+    known = table(spark, d, "orders").select("o_custkey").distinct().select(k.alias("id"), F.when(k % 3 > 0, F.concat(F.lit("c"), k)).alias("call_id"), F.when(k % 10 == 0, "completed").otherwise("open").alias("status"))
+    selected = table(spark, d, "customer").filter("c_nationkey < 20").select(F.col("c_custkey").alias("id"))
+    return staging.submissions(known, selected, table(spark, d, "events").filter("value > 100").select(F.col("user_id").alias("id")), "id")
+
+
+@query(
+    """SELECT event_type, n, list_filter(['enough_rows', 'enough_users', 'some_killed', 'rate_in_range', 'no_single_user', 'value_bounded'], lambda x: NOT CASE x WHEN 'enough_rows' THEN n >= 100 WHEN 'enough_users' THEN u >= 50 WHEN 'some_killed' THEN k > 0
+    WHEN 'rate_in_range' THEN k::DOUBLE / n BETWEEN 0.01 AND 0.2 WHEN 'no_single_user' THEN u > 1 ELSE m < 500 END) AS failed FROM (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS u, count(*) FILTER (value > 100) AS k, max(value) AS m FROM events GROUP BY 1)"""
+)
+def baseline_conditions(spark, d):
+    """All conditions that a stored result fails before it may be a baseline."""
+    runs = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("u"), F.count_if(F.col("value") > 100).alias("k"), F.max("value").alias("m"))
+    n, u, k, m = (F.col(c) for c in "nukm")
+    rules = [("enough_rows", n >= 100), ("enough_users", u >= 50), ("some_killed", k > 0), ("rate_in_range", (k / n).between(0.01, 0.2)), ("no_single_user", u > 1), ("value_bounded", m < 500)]
+    return runs.select("event_type", "n", staging.failures(rules).alias("failed"))
+
+
+@query("SELECT s_suppkey, 'b' || s_suppkey AS buggy, 'f' || s_nationkey AS fixed, 'pytest t' || s_suppkey || '.py' AS command, CASE WHEN s_suppkey % 4 = 0 THEN ['a.py', 'b.py'] ELSE []::VARCHAR[] END AS test_files, 'locked' AS status FROM supplier WHERE s_suppkey % 3 <> 0 AND s_nationkey > 4")
+def task_rows(spark, d):
+    """Tasks with both commits and a command, from key=value texts."""
+    k = F.col("s_suppkey")
+    commits = F.concat(F.when(k % 3 != 0, F.concat(F.lit('buggy_commit_id="b'), k, F.lit('"\n'))).otherwise(""), F.lit('fixed_commit_id="'), F.when(F.col("s_nationkey") > 4, F.concat(F.lit("f"), F.col("s_nationkey"))).otherwise(""))
+    text = F.concat(F.lit('python_version="3.8"\n'), commits, F.lit('"\nrun_test=pytest t'), k, F.lit(".py\n"), F.when(k % 4 == 0, 'test_file="a.py;;b.py"').otherwise(""))
+    return staging.tasks(table(spark, d, "supplier").select("s_suppkey", text.alias("text")), "s_suppkey", "text", locked=True)
+
+
+@query("SELECT 'p' || n_regionkey || '_' || n_nationkey AS id, 'fixed ' || n_name AS code, 'f' AS entry_point, CASE WHEN n_nationkey % 2 = 0 THEN 'c' ELSE 'real_world_bug' END AS category, 5 AS complexity_score FROM nation")
+def bug_functions(spark, d):
+    k = F.col("n_nationkey")
+    bugs = table(spark, d, "nation").select(F.concat(F.lit("p"), F.col("n_regionkey")).alias("project"), k.cast("string").alias("bug_id"), F.concat(F.lit("buggy "), "n_name").alias("buggy_code"), F.concat(F.lit("fixed "), "n_name").alias("fixed_code"), F.lit("f").alias("entry_point"), F.when(k % 2 == 0, "c").alias("category"))
+    return staging.bug_functions(bugs, use_buggy=False)
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment ELSE 'x' END AS name, 'r' || c_nationkey AS project FROM customer")
+def canonical_names(spark, d):
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select("c_custkey", F.when(k % 3 == 0, F.col("c_name")).alias("a"), F.when(k % 3 == 1, F.col("c_mktsegment")).alias("b"), F.lit("x").alias("c"), F.concat(F.lit("org/team/r"), F.col("c_nationkey")).alias("repo"))
+    return staging.canonical_names(rows, "c_custkey", ["a", "b", "c"], "repo")
+
+
+_NUMBER = "('0x' || substr(sha256(p_partkey || '/' || nth || ':42:' || {i}), 1, 8))::BIGINT"
+
+
+@query(
+    f"""WITH f AS (SELECT p_partkey, unnest(range(3)) AS nth FROM part), n AS (SELECT *, {_NUMBER.format(i=0)} AS a, {_NUMBER.format(i=1)} AS b, {_NUMBER.format(i=2)} AS c FROM f)
+    SELECT p_partkey, nth::INT AS nth, 'f' || p_partkey || '(' || (a % 21 - 10) || ', ' || chr(39) || repeat('ab', (b % 4)::INT) || chr(39) || CASE p_partkey % 2 WHEN 0 THEN ', [' || (c % 21 - 10) || ', ' || (c % 5) || ']' ELSE '' END || ')' AS call FROM n"""
+)
+def seeded_calls(spark, d):
+    """Three seeded calls of each function, with literals by the kinds of its parameters."""
+    kinds = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("int"), F.lit("str"), F.lit("list"))).otherwise(F.array(F.lit("int"), F.lit("str")))
+    f = table(spark, d, "part").select("p_partkey", F.concat(F.lit("f"), "p_partkey").alias("entry"), kinds.alias("kinds"))
+    return staging.seeded_calls(f, "p_partkey", "entry", "kinds", 3, 42)
+
+
+@query(r"SELECT conv_id, turn, repeat('assert True is True' || chr(10), ceil(len(string_split_regex(trim(text), '\s+')) / 4.0)::INT) AS loser FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 2")
+def inert_losers(spark, d):
+    return staging.inert_losers(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", "assert True is True").select("conv_id", "turn", "loser")
+
+
+@query(
+    """WITH c AS (SELECT p_partkey, 'if a < ' || p_size || ' and b == 1:' || CASE WHEN p_partkey % 2 = 0 THEN ' return a + b + 1' ELSE ' return b == 1' END AS x FROM part)
+    SELECT p_partkey, 'comparison' AS type, regexp_replace(x, '==', '!=') AS mutant FROM c UNION ALL SELECT p_partkey, 'logical', regexp_replace(x, ' and ', ' or ') FROM c UNION ALL SELECT p_partkey, 'arithmetic', regexp_replace(x, ' [+] ', ' - ') FROM c WHERE p_partkey % 2 = 0"""
+)
+def first_rewrites(spark, d):
+    """Each rule at the first place where it applies."""
+    code = F.concat(F.lit("if a < "), F.col("p_size"), F.lit(" and b == 1:"), F.when(F.col("p_partkey") % 2 == 0, " return a + b + 1").otherwise(" return b == 1"))
+    rules = [("==", "!=", "comparison"), (" and ", " or ", "logical"), (" + ", " - ", "arithmetic"), (" * ", " / ", "arithmetic")]
+    return staging.first_rewrites(table(spark, d, "part").select("p_partkey", code.alias("code")), "p_partkey", "code", rules)
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders), p AS (SELECT o_orderkey FROM o WHERE pos IN (SELECT round_even(i::DOUBLE * (n - 1) / 49, 0)::BIGINT FROM range(50) r(i), (SELECT max(n) AS n FROM o)))
+    SELECT sha256(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS digest, count(*) AS n FROM p"""
+)
+def locked_panel(spark, d):
+    """A panel of 50 evenly spaced orders, and the digest that locks it."""
+    panel = selection.evenly_spaced(table(spark, d, "orders").select("o_orderkey"), 50, ["o_orderkey"])
+    ids = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string"))
+    return panel.agg(F.sha2(F.array_join(ids, ","), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_nationkey, sha256('adapter=' || n_name || ':split=val:pairs=' || n_regionkey || ':scope=' || sha256(n_name)) AS identity FROM nation")
+def run_identity(spark, d):
+    """The identity that keys reuse of a result: equal only where all that made it is."""
+    parts = F.concat_ws(":", F.concat(F.lit("adapter="), "n_name"), F.lit("split=val"), F.concat(F.lit("pairs="), "n_regionkey"), F.concat(F.lit("scope="), F.sha2("n_name", 256)))
+    return table(spark, d, "nation").select("n_nationkey", F.sha2(parts, 256).alias("identity"))
