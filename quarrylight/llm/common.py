@@ -36,6 +36,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffles and checkpoints that nothing refers to any more; it learns of them when the driver collects."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df.columns}

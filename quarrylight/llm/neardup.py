@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import cut_lineage, fresh, hasher, mixed, passing, plain_words, read_table, text_slices
+from quarrylight.llm.common import cut_lineage, fresh, hasher, mixed, passing, plain_words, read_table, release, text_slices
 from quarrylight.llm.graph import components
 
 #: Shingles that weigh as much as a row when buckets are cut into blocks, so that a block of long texts has fewer rows.
@@ -302,6 +302,7 @@ def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame
     rows = lists.select(F.xxhash64("ids").alias("gid"), F.explode("ids").alias("rep")).join(reps.drop("bands"), "rep")
     tried = cut_lineage(rows.repartition("gid").sortWithinPartitions("gid").select("gid", "rep", "n", "sketch").mapInArrow(_forests(p), "a long, b long").filter("a <> b").distinct())
     links = cut_lineage(confirmed(tried, docs, p))
+    release(docs.sparkSession)  # the texts that were shuffled to confirm the forests
 
     own = components(links).withColumnsRenamed({"id": "rep", "component": "comp"})
     named = members.join(own, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -313,6 +314,7 @@ def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame
     one = open_.select("bkey", "band", "rep", "comp", F.lit(False).alias("stray"), cell("all", "size").alias("i"), every("strays").alias("j"))
     two = open_.filter("stray").select("bkey", "band", "rep", "comp", "stray", every("size").alias("i"), cell("stray", "strays").alias("j"))
     cells = cut_lineage(one.unionByName(two).select(F.xxhash64("bkey", "i", "j").alias("gid"), "band", "rep", "comp", "stray"))
+    release(docs.sparkSession)  # what the components and the cells were made of
     marked = cells.join(reps, "rep")
     columns = ["gid", "rep", "n", "comp", "stray", "band", "sketch", "bands"]
     met = marked.repartition("gid").sortWithinPartitions("gid").select(columns).mapInArrow(_partners(p), "gid long, rep long").distinct()
@@ -321,6 +323,7 @@ def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame
     crossing = marked.join(met, ["gid", "rep"], "left_semi").join(sets, ["rep", "n"]).repartition("gid").sortWithinPartitions("gid")
     across = crossing.select(*columns, "shingles").mapInArrow(_crossings(p), "a long, b long").distinct()
     links = links.unionByName(cut_lineage(across))
+    release(docs.sparkSession)  # sets and sketches in cells
 
     twice = known.groupBy("doc_id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).filter("lo <> hi").select("doc_id")
     same = known.join(twice, "doc_id", "left_semi").select("doc_id", "set_hash").distinct().join(classes.select("set_hash", "rep"), "set_hash").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
