@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylight.llm.clusters import OP13_SQL, op13_hamerly_bounds
 from quarrylight.llm.decontamination import op1_spaced_seeds
+from quarrylight.llm.infilling import OP12_SQL, op12_split_infilling
+from quarrylight.llm.jaccard import OP11_SQL, op11_signature_trees, sql
 from quarrylight.llm.languages import op4_chain_field
 from quarrylight.llm.licenses import op5_signature_rules
 from quarrylight.llm.neardup import op3_odd_sketches
@@ -30,8 +33,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_virtual_slots": op8_virtual_slots,
         "op9_shifted_curves": op9_shifted_curves,
         "op10_style_tree": op10_style_tree,
+        "op11_signature_trees": op11_signature_trees,
+        "op12_split_infilling": op12_split_infilling,
+        "op13_hamerly_bounds": op13_hamerly_bounds,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_odd_sketches": f"SELECT *, doc_id = component_id AS kept FROM ({sql(4, 80)})",
+        "op11_signature_trees": OP11_SQL,
+        "op12_split_infilling": OP12_SQL,
+        "op13_hamerly_bounds": OP13_SQL,
+    }
