@@ -27,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import cut_lineage, read_table, release, text_slices
+from quarrylight.llm.common import cut_lineage, mixed, read_table, release, text_slices, word_hashes
 from quarrylight.llm.graph import components
-from quarrylight.llm.neardup import ROW_SHINGLES, _shingles_of, _texts_of, _whole_groups, confirmed, shingle_sets
+from quarrylight.llm.neardup import ROW_SHINGLES, _texts_of, _whole_groups
 
 #: The sketch of frequencies: 2 ** 20 counters, in rows of 2 ** 14.
 COUNTERS, COUNTERS_A_ROW = 1 << 20, 1 << 14
@@ -50,6 +50,39 @@ class JaccardJoin:
     block: int = 512
 
 
+_ODD = mixed(np.arange(1, 130, dtype=np.uint64)) | np.uint64(1)
+
+
+def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
+    """The sorted distinct 64-bit shingles of each text; a text of fewer words is one shingle; without words, none."""
+    tokens, counts = word_hashes(texts)
+    n = max(0, len(tokens) - words + 1)
+    keys = np.zeros(n, np.uint64)
+    for i in range(words):
+        keys += tokens[i : i + n] * _ODD[i]
+    keys, out, begin = mixed(keys), [], 0
+    for size in counts.tolist():
+        if size >= words:
+            out.append(np.unique(keys[begin : begin + size - words + 1]))
+        elif size:
+            out.append(mixed((tokens[begin : begin + size] * _ODD[:size]).sum(dtype=np.uint64)[None] + _ODD[64 - size]))
+        else:
+            out.append(np.zeros(0, np.uint64))
+        begin += size
+    return out
+
+
+def _shingles_of(texts: DataFrame, p: JaccardJoin) -> DataFrame:
+    """(rep, n, shingles) of texts with their doc_id."""
+
+    def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in text_slices(batches):
+            sets = shingle_sets(rows, p.words)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "n", "shingles"])
+
+    return texts.mapInArrow(extract, "rep long, n long, shingles binary").filter("n > 0")
+
+
 # ---- order of shingles
 
 
@@ -236,11 +269,11 @@ def _trees(batch: pa.RecordBatch, p: JaccardJoin, across: bool) -> Iterator[tupl
             a = b
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_PAIRS = pa.schema([("gid", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIRS)
+def _pairs(gid: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(gid), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIRS)
 
 
 def _forests(p: JaccardJoin):
@@ -248,27 +281,64 @@ def _forests(p: JaccardJoin):
 
     def propose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches, "gid"):
-            rep = np.asarray(batch.column("rep"))
+            gid, rep = np.asarray(batch.column("gid")), np.asarray(batch.column("rep"))
             for s, e, i, j in _trees(batch, p, across=False):
                 keep = forest(e - s, i, j)
-                yield _pairs(rep[s:e][i[keep]], rep[s:e][j[keep]])
+                yield _pairs(gid[s + i[keep]], rep[s + i[keep]], rep[s + j[keep]])
 
     return propose
 
 
+#: A cell with more likely pairs than this for each of its rows is dense.
+DENSE = 8
+
+
 def _partners(p: JaccardJoin):
-    """(gid, rep) of the rows that have a likely partner of another component in their cell."""
+    """The likely pairs across components of each cell. A dense cell names its rows instead, each with itself, and its pairs are
+    tested where its sets are."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches, "gid"):
-            seen = np.zeros(batch.num_rows, bool)
-            for s, _, i, j in _trees(batch, p, across=True):
-                seen[s + i] = seen[s + j] = True
-            yield batch.select(["gid", "rep"]).filter(pa.array(seen))
+            gid, rep = np.asarray(batch.column("gid")), np.asarray(batch.column("rep"))
+            for s, e, i, j in _trees(batch, p, across=True):
+                _, of, rows = np.unique(gid[s:e], return_inverse=True, return_counts=True)
+                dense = (np.bincount(of[i], minlength=len(rows)) > DENSE * rows)[of[i]] if len(i) else np.zeros(0, bool)
+                seen = s + np.unique(np.concatenate([i[dense], j[dense]]))
+                i, j = s + i[~dense], s + j[~dense]
+                yield _pairs(np.concatenate([gid[i], gid[seen]]), np.concatenate([rep[i], rep[seen]]), np.concatenate([rep[j], rep[seen]]))
 
     return find
 
 
+def _verified(pairs: DataFrame, docs: DataFrame, p: JaccardJoin) -> DataFrame:
+    """The pairs (gid, a, b) that link by their full sets, as (a, b).
+
+    Each pair is tested once, in the group of its smallest gid, so that pairs that were found together share their texts; a
+    group with more than a block of pairs is parted by a.
+    """
+    once = pairs.groupBy("a", "b").agg(F.min("gid").alias("gid"))
+    sizes = once.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
+    part = F.xxhash64("gid", F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / p.block)))
+    dealt = cut_lineage(once.join(sizes, "gid").select(part.alias("gid"), "a", "b"))
+    ends = dealt.select("gid", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = _texts_of(docs, cut_lineage(ends.select("doc_id").distinct())).join(ends, "doc_id").select(F.col("gid").alias("of"), "doc_id", "text")
+
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both > 0 and 100 * both >= p.percent * (len(x) + len(y) - both)
+
+    def test(asked: pa.Table, held: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for rows, own in text_slices(held.to_batches()):
+            for i, x in zip(rows.column("doc_id").to_pylist(), shingle_sets(own, p.words), strict=True):
+                sets.setdefault(i, []).append(x)
+        ends_ = zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True)
+        keep = [any(linked(x, y) for x in sets.get(a, ()) for y in sets.get(b, ())) for a, b in ends_]
+        return asked.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return dealt.groupBy("gid").cogroup(texts.groupBy("of")).applyInArrow(test, "a long, b long").distinct()
+
+
 def _crossings(p: JaccardJoin):
     """A forest of the confirmed links across components in each cell, on full sets."""
 
@@ -298,7 +368,7 @@ def _crossings(p: JaccardJoin):
                         name[max(c, d)] = min(c, d)
                         a.append(rep[x])
                         b.append(rep[y])
-            yield _pairs(np.array(a, np.int64), np.array(b, np.int64))
+            yield _pairs(np.zeros(len(a), np.int64), np.array(a, np.int64), np.array(b, np.int64)).select(["a", "b"])
 
     return link
 
@@ -330,7 +400,7 @@ def _cells(open_: DataFrame, p: JaccardJoin) -> DataFrame:
     A small bucket is one group, and buckets of the same members are taken once. In a large one the strays, all rows but those
     of its greatest component, meet every row in a grid of cells.
     """
-    small = open_.filter(F.col("size") <= p.block).groupBy("bkey").agg(F.array_sort(F.collect_list(F.struct("rep", "comp"))).alias("rows")).select("rows").distinct()
+    small = open_.filter(F.col("size") <= p.block).groupBy("bkey").agg(F.array_sort(F.collect_set(F.struct("rep", "comp"))).alias("rows")).select("rows").distinct()
     whole = small.select(F.xxhash64("rows").alias("gid"), F.inline("rows")).select("gid", "rep", "comp", F.lit(True).alias("stray"))
     large = open_.filter(F.col("size") > p.block).withColumn("stray", F.col("comp") != F.col("main"))
     cell = lambda name, n: F.pmod(F.xxhash64("rep", "bkey", F.lit(name)), F.ceil(F.col(n) / p.block)).cast("long")
@@ -359,15 +429,15 @@ def jaccard_join(docs: DataFrame, params: JaccardJoin | None = None) -> DataFram
     shared = cut_lineage(keyed.repartitionByRange("bkey", "rep").sortWithinPartitions("bkey").mapInArrow(_repeated, "bkey long, rep long, early boolean"))
     release(spark)  # the prefixes
     weights = classes.groupBy("rep").agg(F.max(1 + F.col("n") / ROW_SHINGLES).alias("w"))
-    weighed = shared.distinct().join(weights, "rep")
+    weighed = shared.join(weights, "rep")
     buckets = weighed.groupBy("bkey").agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("size"), F.coalesce(F.sum(F.when(F.col("early"), F.col("w"))), F.lit(0.0)).alias("firsts")).filter("rows > 1").drop("rows")
     members = cut_lineage(weighed.join(buckets, "bkey"))
 
     block = F.pmod(F.xxhash64("rep", "bkey"), F.ceil(F.col("firsts") / p.block)).alias("blk")
-    lists = members.filter("early").groupBy("bkey", block).agg(F.array_sort(F.collect_list("rep")).alias("ids")).filter("size(ids) > 1").select("ids").distinct()
+    lists = members.filter("early").groupBy("bkey", block).agg(F.array_sort(F.collect_set("rep")).alias("ids")).filter("size(ids) > 1").select("ids").distinct()
     rows = lists.select(F.xxhash64("ids").alias("gid"), F.explode("ids").alias("rep")).join(reps, "rep")
-    tried = cut_lineage(rows.repartition("gid").sortWithinPartitions("gid", "n").select("gid", "rep", "n", "bits").mapInArrow(_forests(p), "a long, b long").filter("a <> b").distinct())
-    links = cut_lineage(confirmed(tried, docs, p))
+    tried = cut_lineage(rows.repartition("gid").sortWithinPartitions("gid", "n").select("gid", "rep", "n", "bits").mapInArrow(_forests(p), "gid long, a long, b long").filter("a <> b"))
+    links = cut_lineage(_verified(tried, docs, p))
     release(spark)
 
     named = members.join(components(links).withColumnsRenamed({"id": "rep", "component": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -377,9 +447,12 @@ def jaccard_join(docs: DataFrame, params: JaccardJoin | None = None) -> DataFram
     cells = cut_lineage(_cells(named.join(split, "bkey"), p))
     release(spark)
     marked = cells.join(reps, "rep").select("gid", "rep", "n", "comp", "stray", "bits")
-    met = cut_lineage(marked.repartition("gid").sortWithinPartitions("gid", "n").mapInArrow(_partners(p), "gid long, rep long").distinct())
-    sets = _shingles_of(_texts_of(docs, cut_lineage(met.select(F.col("rep").alias("doc_id")).distinct())), p).dropDuplicates(["rep", "shingles"])
-    crossing = marked.join(met, ["gid", "rep"], "left_semi").join(sets, ["rep", "n"]).repartition("gid").sortWithinPartitions("gid", "n")
+    met = cut_lineage(marked.repartition("gid").sortWithinPartitions("gid", "n").mapInArrow(_partners(p), "gid long, a long, b long"))
+    links = links.unionByName(cut_lineage(_verified(met.filter("a <> b"), docs, p)))
+    release(spark)
+    dense = met.filter("a = b").select("gid", F.col("a").alias("rep")).distinct()
+    sets = _shingles_of(_texts_of(docs, cut_lineage(dense.select(F.col("rep").alias("doc_id")).distinct())), p).dropDuplicates(["rep", "shingles"])
+    crossing = marked.join(dense, ["gid", "rep"], "left_semi").join(sets, ["rep", "n"]).repartition("gid").sortWithinPartitions("gid", "n")
     across = cut_lineage(crossing.mapInArrow(_crossings(p), "a long, b long").distinct())
     release(spark)
 

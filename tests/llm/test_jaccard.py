@@ -102,6 +102,24 @@ def test_forest_spans_without_circles():
         assert all(find(x) == find(y) for x, y in zip(i.tolist(), j.tolist(), strict=True))
 
 
+def test_words_are_hashed_as_they_are_split(monkeypatch):
+    from quarrylight.llm import common
+
+    rng = random.Random(9)
+    letters = ["a", "B", "b", "ß", "é", "日", "\U0001f600", "\x00", "\x85", "\u2003", " ", "\n", "\t", "\x0b", "\x0c", "\r", "  "]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(300)] + ["", " ", "x" * 5000, "ab ba aab aba baa"]
+    for window in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(common, "WINDOW", window)
+        hashes, counts = common.word_hashes(texts)
+        words = [common.plain_words(t) for t in texts]
+        assert counts.tolist() == [len(w) for w in words]
+        of: dict = {}
+        for w, h in zip([w for x in words for w in x], hashes.tolist(), strict=True):
+            assert of.setdefault(w, h) == h
+        assert len(set(of.values())) == len(of) > 100
+    assert [len(x) for x in common.word_hashes([])] == [0, 0]
+
+
 def test_runs_are_found_over_batches():
     import pyarrow as pa
 
