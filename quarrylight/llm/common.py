@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -36,6 +37,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read again. In loops of joins this takes the place of a checkpoint, which keeps the
+    estimated size of its plan: joins multiply those, so that the estimate grows exponentially with the rounds."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffles and checkpoints that nothing refers to any more; it learns of them when the driver collects."""
     gc.collect()

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import cut_lineage
+from quarrylight.llm.common import stored
 
 
 def _ends(to: DataFrame) -> DataFrame:
     """(id, to) with every pointer followed to its end."""
     while True:
         after = to.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        doubled = cut_lineage(to.join(after, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.coalesce(F.col("next") != F.col("to"), F.lit(False)).alias("moved")))
+        doubled = stored(to.join(after, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.coalesce(F.col("next") != F.col("to"), F.lit(False)).alias("moved")))
         to = doubled.select("id", "to")
         if doubled.filter("moved").isEmpty():
             return to
@@ -29,17 +29,17 @@ def components(edges: DataFrame) -> DataFrame:
     pointers = []
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = cut_lineage(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("to")))
+        to = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("to")))
         if to.isEmpty():
             break
         to = _ends(to)
         pointers.append(to)
         left, right = to.select(F.col("id").alias("a"), F.col("to").alias("ta")), to.select(F.col("id").alias("b"), F.col("to").alias("tb"))
-        edges = cut_lineage(edges.join(left, "a").join(right, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a <> b").distinct())
+        edges = stored(edges.join(left, "a").join(right, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a <> b").distinct())
     if not pointers:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     labels = pointers.pop().select("id", F.col("to").alias("component"))
     while pointers:
         after = labels.select(F.col("id").alias("to"), "component")
         labels = pointers.pop().join(after, "to", "left").select("id", F.coalesce("component", "to").alias("component"))
-    return cut_lineage(labels)
+    return stored(labels)
