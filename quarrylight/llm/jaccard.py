@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.common import cut_lineage, mixed, read_table, release, text_slices, word_hashes
 from quarrylight.llm.graph import components
-from quarrylight.llm.neardup import ROW_SHINGLES, _texts_of, _whole_groups
+from quarrylight.llm.neardup import ROW_SHINGLES, _texts_of, _whole_groups, verified
 
 #: The sketch of frequencies: 2 ** 20 counters, in rows of 2 ** 14.
 COUNTERS, COUNTERS_A_ROW = 1 << 20, 1 << 14
@@ -310,35 +310,6 @@ def _partners(p: JaccardJoin):
     return find
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, p: JaccardJoin) -> DataFrame:
-    """The pairs (gid, a, b) that link by their full sets, as (a, b).
-
-    Each pair is tested once, in the group of its smallest gid, so that pairs that were found together share their texts; a
-    group with more than a block of pairs is parted by a.
-    """
-    once = pairs.groupBy("a", "b").agg(F.min("gid").alias("gid"))
-    sizes = once.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
-    part = F.xxhash64("gid", F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / p.block)))
-    dealt = cut_lineage(once.join(sizes, "gid").select(part.alias("gid"), "a", "b"))
-    ends = dealt.select("gid", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = _texts_of(docs, cut_lineage(ends.select("doc_id").distinct())).join(ends, "doc_id").select(F.col("gid").alias("of"), "doc_id", "text")
-
-    def linked(x: np.ndarray, y: np.ndarray) -> bool:
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return both > 0 and 100 * both >= p.percent * (len(x) + len(y) - both)
-
-    def test(asked: pa.Table, held: pa.Table) -> pa.Table:
-        sets: dict[int, list[np.ndarray]] = {}
-        for rows, own in text_slices(held.to_batches()):
-            for i, x in zip(rows.column("doc_id").to_pylist(), shingle_sets(own, p.words), strict=True):
-                sets.setdefault(i, []).append(x)
-        ends_ = zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True)
-        keep = [any(linked(x, y) for x in sets.get(a, ()) for y in sets.get(b, ())) for a, b in ends_]
-        return asked.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return dealt.groupBy("gid").cogroup(texts.groupBy("of")).applyInArrow(test, "a long, b long").distinct()
-
-
 def _crossings(p: JaccardJoin):
     """A forest of the confirmed links across components in each cell, on full sets."""
 
@@ -437,7 +408,7 @@ def jaccard_join(docs: DataFrame, params: JaccardJoin | None = None) -> DataFram
     lists = members.filter("early").groupBy("bkey", block).agg(F.array_sort(F.collect_set("rep")).alias("ids")).filter("size(ids) > 1").select("ids").distinct()
     rows = lists.select(F.xxhash64("ids").alias("gid"), F.explode("ids").alias("rep")).join(reps, "rep")
     tried = cut_lineage(rows.repartition("gid").sortWithinPartitions("gid", "n").select("gid", "rep", "n", "bits").mapInArrow(_forests(p), "gid long, a long, b long").filter("a <> b"))
-    links = cut_lineage(_verified(tried, docs, p))
+    links = cut_lineage(verified(tried, docs, p, shingle_sets))
     release(spark)
 
     named = members.join(components(links).withColumnsRenamed({"id": "rep", "component": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -448,7 +419,7 @@ def jaccard_join(docs: DataFrame, params: JaccardJoin | None = None) -> DataFram
     release(spark)
     marked = cells.join(reps, "rep").select("gid", "rep", "n", "comp", "stray", "bits")
     met = cut_lineage(marked.repartition("gid").sortWithinPartitions("gid", "n").mapInArrow(_partners(p), "gid long, a long, b long"))
-    links = links.unionByName(cut_lineage(_verified(met.filter("a <> b"), docs, p)))
+    links = links.unionByName(cut_lineage(verified(met.filter("a <> b"), docs, p, shingle_sets)))
     release(spark)
     dense = met.filter("a = b").select("gid", F.col("a").alias("rep")).distinct()
     sets = _shingles_of(_texts_of(docs, cut_lineage(dense.select(F.col("rep").alias("doc_id")).distinct())), p).dropDuplicates(["rep", "shingles"])

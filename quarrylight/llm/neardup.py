@@ -14,7 +14,7 @@ go first: a set is fetched only for a document that has a likely partner in its
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -136,12 +136,12 @@ def _bitmaps(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_PAIRS = pa.schema([("gid", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _pair_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=_PAIRS)
+def _pair_batch(gid: list[np.ndarray], a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    g, x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (gid, a, b))
+    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=_PAIRS)
 
 
 def _alike(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -159,7 +159,7 @@ def _forests(p: NearDup):
             sizes = np.diff(np.append(starts, len(gid)))
             two = starts[sizes == 2]
             ok = (np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1, dtype=np.int64) <= p.farthest) & _alike(n[two], n[two + 1], p.percent)
-            a, b = [rep[two[ok]]], [rep[two[ok] + 1]]
+            a, b, g = [rep[two[ok]]], [rep[two[ok] + 1]], [gid[two[ok]]]
             for s, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 own, size, ids = bits[s : s + m], n[s : s + m], rep[s : s + m]
                 near, by, left = np.full(m, p.bits + 1), np.zeros(m, np.int64), np.ones(m, bool)
@@ -173,7 +173,8 @@ def _forests(p: NearDup):
                     if near[at] <= p.farthest:
                         a.append(ids[at : at + 1])
                         b.append(ids[by[at] : by[at] + 1])
-            yield _pair_batch(a, b)
+                        g.append(gid[s : s + 1])
+            yield _pair_batch(g, a, b)
 
     return propose
 
@@ -238,7 +239,7 @@ def _crossings(p: NearDup):
                     at = at[np.unique(comp[at], return_index=True)[1]]
                     a.append(np.full(len(at), rep[i]))
                     b.append(rep[at])
-            yield _pair_batch(a, b)
+            yield _pair_batch(a, a, b).select(["a", "b"])
 
     return link
 
@@ -260,24 +261,33 @@ def _shingles_of(texts: DataFrame, p: NearDup) -> DataFrame:
     return texts.mapInArrow(extract, "rep long, n long, shingles binary").filter("n > 0")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets are similar enough."""
-    own = _texts_of(docs, cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
+def verified(pairs: DataFrame, docs: DataFrame, p: NearDup, sets_of: Callable[[list[str], int], list[np.ndarray]] = shingle_sets) -> DataFrame:
+    """The pairs (gid, a, b) that link by their full sets, as (a, b).
 
-    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for part, texts in text_slices(batches, "text_b"):
-            a, first = part.column("a").to_pylist(), part.column("text_a").to_pylist()
-            keep = []
-            for x, t, y in zip(a, first, shingle_sets(texts, p.words), strict=True):
-                if last[0] != (x, t):
-                    last = (x, t), shingle_sets([t or ""], p.words)[0]
-                both = len(np.intersect1d(last[1], y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= p.percent * (len(last[1]) + len(y) - both))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    Each pair is tested once, in the group of its smallest gid, so that pairs that were found together share their texts; a
+    group with more than a block of pairs is parted by a.
+    """
+    once = pairs.groupBy("a", "b").agg(F.min("gid").alias("gid"))
+    sizes = once.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
+    part = F.xxhash64("gid", F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / p.block)))
+    dealt = cut_lineage(once.join(sizes, "gid").select(part.alias("gid"), "a", "b"))
+    ends = dealt.select("gid", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = _texts_of(docs, cut_lineage(ends.select("doc_id").distinct())).join(ends, "doc_id").select(F.col("gid").alias("of"), "doc_id", "text")
+
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both > 0 and 100 * both >= p.percent * (len(x) + len(y) - both)
+
+    def test(asked: pa.Table, held: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for rows, own in text_slices(held.to_batches()):
+            for i, x in zip(rows.column("doc_id").to_pylist(), sets_of(own, p.words), strict=True):
+                sets.setdefault(i, []).append(x)
+        ends_ = zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True)
+        keep = [any(linked(x, y) for x in sets.get(a, ()) for y in sets.get(b, ())) for a, b in ends_]
+        return asked.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(own.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").join(own.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
+    return dealt.groupBy("gid").cogroup(texts.groupBy("of")).applyInArrow(test, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame:
@@ -300,8 +310,8 @@ def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame
     block = F.pmod(F.xxhash64("rep", "bkey"), F.ceil(F.col("size") / p.block)).alias("blk")
     lists = members.groupBy("bkey", block).agg(F.array_sort(F.collect_list("rep")).alias("ids")).filter("size(ids) > 1").select("ids").distinct()
     rows = lists.select(F.xxhash64("ids").alias("gid"), F.explode("ids").alias("rep")).join(reps.drop("bands"), "rep")
-    tried = cut_lineage(rows.repartition("gid").sortWithinPartitions("gid").select("gid", "rep", "n", "sketch").mapInArrow(_forests(p), "a long, b long").filter("a <> b").distinct())
-    links = cut_lineage(confirmed(tried, docs, p))
+    tried = cut_lineage(rows.repartition("gid").sortWithinPartitions("gid").select("gid", "rep", "n", "sketch").mapInArrow(_forests(p), "gid long, a long, b long").filter("a <> b"))
+    links = cut_lineage(verified(tried, docs, p))
     release(docs.sparkSession)  # the texts that were shuffled to confirm the forests
 
     own = components(links).withColumnsRenamed({"id": "rep", "component": "comp"})
