@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.common import cut_lineage, mixed, read_table, release, text_slices, word_hashes
 from quarrylight.llm.graph import components
-from quarrylight.llm.neardup import ROW_SHINGLES, _texts_of, _whole_groups, verified
+from quarrylight.llm.neardup import ROW_SHINGLES, _texts_of, _whole_groups, dealt, verified
 
 #: The sketch of frequencies: 2 ** 20 counters, in rows of 2 ** 14.
 COUNTERS, COUNTERS_A_ROW = 1 << 20, 1 << 14
@@ -138,10 +138,30 @@ def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return np.packbits(flat.reshape(len(sets), bits), axis=1)
 
 
+def fine_bitmap(shingles: np.ndarray, bits: int) -> bytes | None:
+    """A bitmap with two bits for each shingle at least, for sets that `bits` are too few for."""
+    if 2 * len(shingles) <= bits:
+        return None
+    return bitmaps([shingles], 1 << (2 * len(shingles) - 1).bit_length())[0].tobytes()
+
+
+def folded(bitmap: bytes, size: int) -> np.ndarray:
+    """A bitmap of fewer bytes: bits whose numbers are equal modulo its length are OR-ed."""
+    return np.bitwise_or.reduce(np.frombuffer(bitmap, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def may_link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    """Whether sets of n and m shingles with these bitmaps can overlap enough."""
+    size = min(len(x), len(y))
+    a, b = folded(x, size), folded(y, size)
+    spare = min(n - int(np.bitwise_count(a).sum()), m - int(np.bitwise_count(b).sum()))
+    return (100 + percent) * (int(np.bitwise_count(a & b).sum()) + spare) >= percent * (n + m)
+
+
 def _signed(docs: DataFrame, levels: np.ndarray, p: JaccardJoin) -> DataFrame:
-    """(set_hash, doc_id, n, prefix, bits) of the documents that have shingles."""
+    """(set_hash, doc_id, n, prefix, bits, fine) of the documents that have shingles."""
     held = docs.sparkSession.sparkContext.broadcast(levels)
-    schema = pa.schema([("set_hash", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
+    schema = pa.schema([("set_hash", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary()), ("fine", pa.binary())])
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
@@ -155,10 +175,10 @@ def _signed(docs: DataFrame, levels: np.ndarray, p: JaccardJoin) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes)))
             ids = part.column("doc_id").take(pa.array(full))
             hashes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), ids, pa.array([len(s) for s in sets], pa.int64()), lists, pa.array([b.tobytes() for b in bitmaps(sets, p.bits)], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), ids, pa.array([len(s) for s in sets], pa.int64()), lists, pa.array([b.tobytes() for b in bitmaps(sets, p.bits)], pa.binary()), pa.array([fine_bitmap(s, p.bits) for s in sets], pa.binary())], schema=schema)
 
     own = docs.filter("doc_id IS NOT NULL").select(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    return own.mapInArrow(sign, "set_hash binary, doc_id long, n long, prefix array<long>, bits binary")
+    return own.mapInArrow(sign, "set_hash binary, doc_id long, n long, prefix array<long>, bits binary, fine binary")
 
 
 # ---- trees
@@ -290,7 +310,7 @@ def _forests(p: JaccardJoin):
 
 
 #: A cell with more likely pairs than this for each of its rows is dense.
-DENSE = 8
+DENSE = 64
 
 
 def _partners(p: JaccardJoin):
@@ -310,6 +330,23 @@ def _partners(p: JaccardJoin):
     return find
 
 
+def _screened(pairs: DataFrame, classes: DataFrame, p: JaccardJoin) -> DataFrame:
+    """The pairs (gid, a, b), each once, that bitmaps as fine as the sets ask for let pass. Long sets, for which the bitmaps of
+    the trees are too few bits, are told apart here, before their texts travel."""
+    asked = dealt(pairs, p.block)
+    ends = asked.select(F.col("gid").alias("of"), F.explode(F.array("a", "b")).alias("rep")).distinct()
+    fine = classes.select("rep", "n", F.coalesce("fine", "bits").alias("fine")).join(ends, "rep").select("of", "rep", "n", "fine")
+
+    def screen(asked: pa.Table, held: pa.Table) -> pa.Table:
+        sets: dict[int, list[tuple[int, bytes]]] = {}
+        for r in held.to_pylist():
+            sets.setdefault(r["rep"], []).append((r["n"], r["fine"]))
+        pass_ = [any(may_link(*x, *y, p.percent) for x in sets[a] for y in sets[b]) for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True)]
+        return asked.select(["gid", "a", "b"]).filter(pa.array(pass_, pa.bool_()))
+
+    return cut_lineage(asked.groupBy("gid").cogroup(fine.groupBy("of")).applyInArrow(screen, "gid long, a long, b long"))
+
+
 def _crossings(p: JaccardJoin):
     """A forest of the confirmed links across components in each cell, on full sets."""
 
@@ -391,8 +428,8 @@ def jaccard_join(docs: DataFrame, params: JaccardJoin | None = None) -> DataFram
     p, spark = params or JaccardJoin(), docs.sparkSession
     counted = cut_lineage(_measured(docs, p))
     found = counted.filter("part IS NULL").select("doc_id", "n_shingles", "set_hash")
-    first = F.min(F.struct("doc_id", "n", "prefix", "bits")).alias("x")
-    classes = cut_lineage(_signed(docs, _rarity(counted), p).groupBy("set_hash").agg(first).select("set_hash", F.col("x.doc_id").alias("rep"), "x.n", "x.prefix", "x.bits"))
+    first = F.min(F.struct("doc_id", "n", "prefix", "bits", "fine")).alias("x")
+    classes = cut_lineage(_signed(docs, _rarity(counted), p).groupBy("set_hash").agg(first).select("set_hash", F.col("x.doc_id").alias("rep"), "x.n", "x.prefix", "x.bits", "x.fine"))
     reps = classes.select("rep", "n", "bits")
     release(spark)
 
@@ -408,7 +445,7 @@ def jaccard_join(docs: DataFrame, params: JaccardJoin | None = None) -> DataFram
     lists = members.filter("early").groupBy("bkey", block).agg(F.array_sort(F.collect_set("rep")).alias("ids")).filter("size(ids) > 1").select("ids").distinct()
     rows = lists.select(F.xxhash64("ids").alias("gid"), F.explode("ids").alias("rep")).join(reps, "rep")
     tried = cut_lineage(rows.repartition("gid").sortWithinPartitions("gid", "n").select("gid", "rep", "n", "bits").mapInArrow(_forests(p), "gid long, a long, b long").filter("a <> b"))
-    links = cut_lineage(verified(tried, docs, p, shingle_sets))
+    links = cut_lineage(verified(_screened(tried, classes, p), docs, p, shingle_sets))
     release(spark)
 
     named = members.join(components(links).withColumnsRenamed({"id": "rep", "component": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -419,7 +456,7 @@ def jaccard_join(docs: DataFrame, params: JaccardJoin | None = None) -> DataFram
     release(spark)
     marked = cells.join(reps, "rep").select("gid", "rep", "n", "comp", "stray", "bits")
     met = cut_lineage(marked.repartition("gid").sortWithinPartitions("gid", "n").mapInArrow(_partners(p), "gid long, a long, b long"))
-    links = links.unionByName(cut_lineage(verified(met.filter("a <> b"), docs, p, shingle_sets)))
+    links = links.unionByName(cut_lineage(verified(_screened(met.filter("a <> b"), classes, p), docs, p, shingle_sets)))
     release(spark)
     dense = met.filter("a = b").select("gid", F.col("a").alias("rep")).distinct()
     sets = _shingles_of(_texts_of(docs, cut_lineage(dense.select(F.col("rep").alias("doc_id")).distinct())), p).dropDuplicates(["rep", "shingles"])

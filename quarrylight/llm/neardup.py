@@ -261,17 +261,21 @@ def _shingles_of(texts: DataFrame, p: NearDup) -> DataFrame:
     return texts.mapInArrow(extract, "rep long, n long, shingles binary").filter("n > 0")
 
 
+def dealt(pairs: DataFrame, block: int) -> DataFrame:
+    """Pairs (gid, a, b), each once, in the group of its smallest gid; a group with more than a block of pairs is parted by a."""
+    once = pairs.groupBy("a", "b").agg(F.min("gid").alias("gid"))
+    sizes = once.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
+    part = F.xxhash64("gid", F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / block)))
+    return cut_lineage(once.join(sizes, "gid").select(part.alias("gid"), "a", "b"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, p: NearDup, sets_of: Callable[[list[str], int], list[np.ndarray]] = shingle_sets) -> DataFrame:
     """The pairs (gid, a, b) that link by their full sets, as (a, b).
 
-    Each pair is tested once, in the group of its smallest gid, so that pairs that were found together share their texts; a
-    group with more than a block of pairs is parted by a.
+    Each pair is tested once, in the group of its smallest gid, so that pairs that were found together share their texts.
     """
-    once = pairs.groupBy("a", "b").agg(F.min("gid").alias("gid"))
-    sizes = once.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
-    part = F.xxhash64("gid", F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / p.block)))
-    dealt = cut_lineage(once.join(sizes, "gid").select(part.alias("gid"), "a", "b"))
-    ends = dealt.select("gid", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    asked_ = dealt(pairs, p.block)
+    ends = asked_.select("gid", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = _texts_of(docs, cut_lineage(ends.select("doc_id").distinct())).join(ends, "doc_id").select(F.col("gid").alias("of"), "doc_id", "text")
 
     def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -287,7 +291,7 @@ def verified(pairs: DataFrame, docs: DataFrame, p: NearDup, sets_of: Callable[[l
         keep = [any(linked(x, y) for x in sets.get(a, ()) for y in sets.get(b, ())) for a, b in ends_]
         return asked.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return dealt.groupBy("gid").cogroup(texts.groupBy("of")).applyInArrow(test, "a long, b long").distinct()
+    return asked_.groupBy("gid").cogroup(texts.groupBy("of")).applyInArrow(test, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame:

@@ -70,6 +70,23 @@ def test_trees_lose_no_pair_and_prune():
     assert some == {(i, j) for i, j in got if comp[i] != comp[j] and (stray[i] or stray[j])}
 
 
+def test_fine_bitmaps_let_every_linked_pair_pass():
+    rng = np.random.default_rng(5)
+    apart = 0
+    for n in (3, 600, 1100, 1400, 5000, 20_000):
+        x = np.unique(rng.integers(0, 2**63, n, np.uint64))
+        for gone in (0, n // 9, n // 6, n // 2, n):
+            y = np.unique(np.concatenate([x[gone:], rng.integers(0, 2**63, rng.integers(0, n // 5 + 1), np.uint64)]))
+            if not len(y):
+                continue
+            both = len(np.intersect1d(x, y))
+            fine = [J.fine_bitmap(z, 2048) or J.bitmaps([z], 2048)[0].tobytes() for z in (x, y)]
+            ok = J.may_link(len(x), fine[0], len(y), fine[1], 80)
+            assert ok or 100 * both < 80 * (len(x) + len(y) - both)
+            apart += not ok
+    assert apart >= 10
+
+
 def test_prefixes_of_linked_sets_meet_in_any_order():
     rng = np.random.default_rng(6)
     levels = rng.integers(0, 40, J.COUNTERS).astype(np.uint8)
