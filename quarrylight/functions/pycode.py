@@ -6,11 +6,12 @@ import ast
 import hashlib
 import json
 import re
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 # Limits of a candidate.
 MAX_BYTES, MAX_NODES, MAX_DEPTH, MAX_ITEMS, MAX_STRING, MAX_INTEGER = 4096, 160, 24, 128, 2048, 10**12
@@ -123,54 +124,57 @@ def assertions(source: str | None, entry_point: str) -> list[str]:
     return list(dict.fromkeys(ast.unparse(n) for n in found))
 
 
-# Line rewrites as (pattern, replacement, type).
+# Line rewrites as (pattern, replacement, type, description).
 REWRITES = (
-    (r"(?<![->])\+(?!=)", "-", "arithmetic"),
-    (r"(?<![<>!=])-(?![>])", "+", "arithmetic"),
-    (r"\*(?!\*)", "/", "arithmetic"),
-    (r"(?<!\*)\/(?!\/)", "*", "arithmetic"),
-    (r"\/\/", "%", "arithmetic"),
-    (r"(?<!\/)%", "//", "arithmetic"),
-    (r"\*\*", "*", "arithmetic"),
-    (r"<=", ">=", "comparison"),
-    (r"(?<!=)<(?!=)", ">", "comparison"),
-    (r">=", "<=", "comparison"),
-    (r"(?<!=)>(?!=)", "<", "comparison"),
-    (r"==", "!=", "comparison"),
-    (r"!=", "==", "comparison"),
-    (r"\band\b", "or", "logical"),
-    (r"\bor\b", "and", "logical"),
-    (r"\bnot ", "", "negate_removal"),
-    (r"\bTrue\b", "False", "boolean"),
-    (r"\bFalse\b", "True", "boolean"),
-    (r"(?<!\d\.)(?<!\d)\b0\b(?!\.)", "1", "boundary"),
-    (r"(?<!\d\.)(?<!\d)\b1\b(?!\.\d)", "0", "boundary"),
-    (r"(?<!\d\.)(?<!\d)\b1\b(?!\.\d)", "2", "boundary"),
-    (r"\[0\]", "[1]", "index"),
-    (r"\[-1\]", "[-2]", "index"),
-    (r"\[-1\]", "[0]", "index"),
-    (r" in ", " not in ", "membership"),
-    (r" not in ", " in ", "membership"),
-    (r" is not ", " is ", "identity"),
-    (r" is ", " is not ", "identity"),
-    (r"\.strip\(\)", "", "string"),
-    (r"\.lower\(\)", ".upper()", "string"),
-    (r"\.upper\(\)", ".lower()", "string"),
-    (r"\.append\(", ".extend([", "collection"),
+    (r"(?<![->])\+(?!=)", "-", "arithmetic", "+ -> -"),
+    (r"(?<![<>!=])-(?![>])", "+", "arithmetic", "- -> +"),
+    (r"\*(?!\*)", "/", "arithmetic", "* -> /"),
+    (r"(?<!\*)\/(?!\/)", "*", "arithmetic", "/ -> *"),
+    (r"\/\/", "%", "arithmetic", "// -> %"),
+    (r"(?<!\/)%", "//", "arithmetic", "% -> //"),
+    (r"\*\*", "*", "arithmetic", "** -> *"),
+    (r"<=", ">=", "comparison", "<= -> >="),
+    (r"(?<!=)<(?!=)", ">", "comparison", "< -> >"),
+    (r">=", "<=", "comparison", ">= -> <="),
+    (r"(?<!=)>(?!=)", "<", "comparison", "> -> <"),
+    (r"==", "!=", "comparison", "== -> !="),
+    (r"!=", "==", "comparison", "!= -> =="),
+    (r"\band\b", "or", "logical", "and -> or"),
+    (r"\bor\b", "and", "logical", "or -> and"),
+    (r"\bnot ", "", "negate_removal", "remove not"),
+    (r"\bTrue\b", "False", "boolean", "True -> False"),
+    (r"\bFalse\b", "True", "boolean", "False -> True"),
+    (r"(?<!\d\.)(?<!\d)\b0\b(?!\.)", "1", "boundary", "0 -> 1"),
+    (r"(?<!\d\.)(?<!\d)\b1\b(?!\.\d)", "0", "boundary", "1 -> 0"),
+    (r"(?<!\d\.)(?<!\d)\b1\b(?!\.\d)", "2", "boundary", "1 -> 2"),
+    (r"\[0\]", "[1]", "index", "[0] -> [1]"),
+    (r"\[-1\]", "[-2]", "index", "[-1] -> [-2]"),
+    (r"\[-1\]", "[0]", "index", "[-1] -> [0]"),
+    (r" in ", " not in ", "membership", "in -> not in"),
+    (r" not in ", " in ", "membership", "not in -> in"),
+    (r" is not ", " is ", "identity", "is not -> is"),
+    (r" is ", " is not ", "identity", "is -> is not"),
+    (r"\.strip\(\)", "", "string", "remove .strip()"),
+    (r"\.lower\(\)", ".upper()", "string", ".lower -> .upper"),
+    (r"\.upper\(\)", ".lower()", "string", ".upper -> .lower"),
+    (r"\.append\(", ".extend([", "collection", ".append -> .extend"),
 )
-# Off-by-one rewrites of a line's first match.
+# Off-by-one rewrites of a line's first match, as (pattern, replacement, description).
 OFF_BY_ONE = (
-    (r"range\(len\((\w+)\)\)", r"range(len(\1) - 1)"),
-    (r"range\((?!len\))([a-zA-Z_]\w*)\)", r"range(\1 - 1)"),
-    (r"range\((\w+),\s*(\w+)\)", r"range(\1, \2 - 1)"),
-    (r"(\w+)\s*\+\s*1\b", r"\1"),
-    (r"(\w+)\s*-\s*1\b", r"\1"),
+    (r"range\(len\((\w+)\)\)", r"range(len(\1) - 1)", r"range(len(\1)) -> range(len(\1)-1)"),
+    (r"range\((?!len\))([a-zA-Z_]\w*)\)", r"range(\1 - 1)", r"range(\1) -> range(\1-1)"),
+    (r"range\((\w+),\s*(\w+)\)", r"range(\1, \2 - 1)", r"range(\1,\2) -> range(\1,\2-1)"),
+    (r"(\w+)\s*\+\s*1\b", r"\1", r"\1+1 -> \1"),
+    (r"(\w+)\s*-\s*1\b", r"\1", r"\1-1 -> \1"),
 )
 # What a returned value becomes.
 RETURNS = (("True", "False"), ("False", "True"), ("0", "1"), ("1", "0"), ("[]", "None"), ("None", "0"), ('""', "None"))
 
-_REWRITES = tuple((re.compile(p), r, t) for p, r, t in REWRITES)
-_OFF_BY_ONE = tuple((re.compile(p), r) for p, r in OFF_BY_ONE)
+# What a template leaves behind when it isn't filled in.
+ARTEFACTS = ("\\1", "\\2", "\\3")
+
+_REWRITES = tuple((re.compile(p), r, t, d) for p, r, t, d in REWRITES)
+_OFF_BY_ONE = tuple((re.compile(p), r, d) for p, r, d in OFF_BY_ONE)
 
 
 def logic_lines(code: str) -> set[int]:
@@ -194,24 +198,40 @@ def logic_lines(code: str) -> set[int]:
     return {i for i in out if (x := lines[i].strip()) and not x.startswith(("#", "def ", "async def ", "@", "import ", "from "))}
 
 
-def mutants(code: str | None) -> list[tuple[int, str, str]]:
-    """(line, type, mutated code) of every first-order mutant that parses and differs from the source and from those before."""
+def is_clean(code: str, mutant: str) -> bool:
+    """Whether a mutant differs, parses, and holds no artefact of a template that the source hasn't."""
+    return mutant != code and not any(a in mutant and a not in code for a in ARTEFACTS) and semantic(mutant) is not None
+
+
+def described_mutants(code: str | None) -> list[tuple[int, str, str, str]]:
+    """(line, type, description, mutated code) of every clean first-order mutant, line by line and rule by rule.
+
+    Two rules that come to the same code both count. A source of fewer than 30 characters has none.
+    """
     if not code or len(code.strip()) < 30:
         return []
-    lines, seen, out = code.split("\n"), {code}, []
+    lines, out = code.split("\n"), []
     for i in sorted(logic_lines(code)):
-        made = [(t, lines[i][: m.start()] + r + lines[i][m.end() :]) for p, r, t in _REWRITES for m in p.finditer(lines[i])]
-        made += [("off_by_one", p.sub(r, lines[i], count=1)) for p, r in _OFF_BY_ONE if p.search(lines[i])]
-        value = re.match(r"\s*return ", lines[i])
-        made += [("return", value[0] + b + lines[i][value.end() + len(a) :]) for a, b in RETURNS if value and lines[i].startswith(a, value.end())]
-        for kind, line in made:
-            new = "\n".join([*lines[:i], line, *lines[i + 1 :]])
-            if new not in seen and semantic(new) is not None:
-                seen.add(new)
-                out.append((i + 1, kind, new))
+        line = lines[i]
+        made = [(t, d, line[: m.start()] + r + line[m.end() :]) for p, r, t, d in _REWRITES for m in p.finditer(line)]
+        made += [("off_by_one", m.expand(d), line[: m.start()] + m.expand(r) + line[m.end() :]) for p, r, d in _OFF_BY_ONE if (m := p.search(line))]
+        value = re.match(r"\s*return ", line)
+        made += [("return", f"return {a} -> {b}", value[0] + b + line[value.end() + len(a) :]) for a, b in RETURNS if value and line.startswith(a, value.end())]
+        for kind, description, new in made:
+            mutant = "\n".join([*lines[:i], new, *lines[i + 1 :]])
+            if is_clean(code, mutant):
+                out.append((i + 1, kind, f"{description} (line {i + 1})", mutant))
     return out
 
 
+def mutants(code: str | None) -> list[tuple[int, str, str]]:
+    """(line, type, mutated code) of the first-order mutants, each code once."""
+    firsts: dict[str, tuple[int, str, str]] = {}
+    for line, kind, _, mutant in described_mutants(code):
+        firsts.setdefault(mutant, (line, kind, mutant))
+    return list(firsts.values())
+
+
 def _per_row(f: Callable, schema) -> Callable:
     """A pandas UDF over an iterator of batches that applies f to each row."""
 
@@ -235,6 +255,21 @@ def semantic_hash(code):
     return _per_row(lambda c: None if (t := semantic(c)) is None else sha256(t), StringType())(code)
 
 
+def compiles(code: str | None) -> bool:
+    """Whether a source compiles as a module."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", SyntaxWarning)
+            compile(code or "", "<fragment>", "exec")
+    except (SyntaxError, ValueError):
+        return False
+    return code is not None
+
+
+def compiles_column(code):
+    return _per_row(lambda c: compiles(c), BooleanType())(code)
+
+
 def policy_column(code, entry_point):
     return _per_row(lambda c, e: candidate_reason(c, e), StringType())(code, entry_point)
 
@@ -243,16 +278,18 @@ def assertions_column(source, entry_point):
     return _per_row(lambda s, e: assertions(s, e), ArrayType(StringType()))(source, entry_point)
 
 
-@F.udtf(returnType="line int, mutation_type string, mutant_code string")
-class Mutants:
-    """Every first-order mutant of a source, one row each."""
-
-    def eval(self, code: str):
-        yield from mutants(code)
+MUTANTS = "array<struct<line:int,mutation_type:string,description:string,mutant_code:string>>"
 
 
-def with_mutants(functions, code: str = "code"):
-    """functions with one row for each mutant, joined laterally."""
-    return functions.lateralJoin(Mutants(F.col(code).outer()))
+def mutants_column(code):
+    """Every first-order mutant of a source, in order; equal codes stay."""
+    names = ("line", "mutation_type", "description", "mutant_code")
+    return _per_row(lambda c: [dict(zip(names, m, strict=True)) for m in described_mutants(c)], MUTANTS)(code)
 
 
+def with_mutants(functions, code: str = "code"):
+    """functions with one row for each distinct mutant (line, mutation_type, mutant_code)."""
+    rows = functions.select("*", F.posexplode(mutants_column(code)).alias("_nth", "_m"))
+    keys = [F.col(c) for c in functions.columns]
+    first = rows.groupBy(*keys, F.col("_m.mutant_code").alias("mutant_code")).agg(F.min_by("_m", "_nth").alias("_m"))
+    return first.select(*keys, "_m.line", "_m.mutation_type", "mutant_code")

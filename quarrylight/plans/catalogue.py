@@ -36,13 +36,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from quarrylight.plans import ledgers  # noqa: F401  registers its own
+    from quarrylight.plans import ledgers, programs  # noqa: F401  they register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from quarrylight.plans import ledgers  # noqa: F401
+    from quarrylight.plans import ledgers, programs  # noqa: F401
 
     return dict(_SQL)
 
