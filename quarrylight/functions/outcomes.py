@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.functions.pycode import policy_column
+
 # What a message of a failed launch says when credit has run out.
 CREDIT = r"(?is)(insufficient|exceeded|out of).{0,40}(credit|budget|balance|quota)|(credit|spend).{0,20}limit"
 
@@ -22,13 +24,25 @@ def same_outcome(ok_a: Column, ok_b: Column, error_a: Column, error_b: Column, v
     return (ok_a == ok_b) & F.when(ok_a, value_a.eqNullSafe(value_b)).otherwise(error_a.eqNullSafe(error_b))
 
 
-def usable_line(text: Column, entry_point: Column) -> Column:
-    """The first line of a generation that begins with an assertion, else the first that assigns a result or a call, else the
-    first that is not blank, else the first 200 characters."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+def usable_line(text: Column) -> Column:
+    """The line of a generation that may be a test: the first that begins with `assert `, else the first that assigns a result
+    or an output or holds brackets and a =, else the first that is not blank. A blank generation is empty."""
+    lines = F.transform(F.split(_stripped(text), "\n"), _stripped)
     first = lambda keep: F.try_element_at(F.filter(lines, keep), F.lit(1))
-    assigned = first(lambda x: x.startswith("result =") | (F.contains(x, F.concat(entry_point, F.lit("("))) & F.contains(x, F.lit("="))))
-    return F.coalesce(first(lambda x: x.startswith("assert ")), assigned, first(lambda x: x != ""), F.substring(text, 1, 200))
+    holds = lambda x, part: F.contains(x, F.lit(part))
+    assigned = first(lambda x: x.startswith("result = ") | x.startswith("output = ") | (holds(x, "(") & holds(x, ")") & holds(x, "=")))
+    return F.coalesce(first(lambda x: x.startswith("assert ")), assigned, first(lambda x: x != ""), F.lit(""))
+
+
+def generated(generations: DataFrame, ident: str, text: str, entry_point: str) -> DataFrame:
+    """(ident, test, valid, reason): the usable line of each generation, and why the policy refuses it; a line that it allows is valid."""
+    rows = generations.select(ident, entry_point, usable_line(F.coalesce(F.col(text), F.lit(""))).alias("test"))
+    judged = rows.withColumn("reason", policy_column(F.col("test"), F.col(entry_point)))
+    return judged.select(ident, "test", (F.col("reason") == "").alias("valid"), "reason")
+
+
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
 
 
 def json_safe(value: Column, kind: Column) -> Column:
@@ -62,7 +76,7 @@ def training_scope(limit: Column, stage: Column, mode: Column) -> Column:
 def selector_parts(selector: Column) -> Column:
     """{path, names, target, parameter} of a test selector."""
     parts = F.split(selector, "::")
-    bare = F.transform(F.slice(parts, 2, 64), lambda x: F.regexp_replace(x, r"\[.*\]$", ""))
+    bare = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.regexp_replace(x, r"\[.*\]$", ""))
     return F.struct(F.element_at(parts, 1).alias("path"), F.array_join(bare, ".").alias("names"), F.try_element_at(bare, F.lit(-1)).alias("target"), F.nullif(F.regexp_extract(selector, r"\[(.*)\]$", 1), F.lit("")).alias("parameter"))
 
 

@@ -23,7 +23,7 @@ from quarrylight.operators.sandbox import ALLOWED_BUILTINS, ALLOWED_IMPORTS, sou
 ARC = 1 << 20
 
 # The child: limits itself, then runs each statement on a fresh copy of the source and notes what ran and what `result` (or
-# `output`) holds. Values of plain types are given in full, others up to 2,000 characters.
+# `output`) holds. Values that JSON can hold are given in full (a tuple stays one), others up to 2,000 characters.
 _CHILD = """
 import builtins, contextlib, io, json, random, resource, signal, sys
 job = json.load(sys.stdin)
@@ -65,8 +65,11 @@ def run(call):
         exec(code, space)
         sys.settrace(None)
         found = space.get("result", space.get("output"))
-        text = None if found is None else repr(found)
-        value = text if text is None or type(found) in (bool, int, float, str) else text[:2000]
+        value = None if found is None else repr(found)
+        try:
+            json.dumps(found)
+        except (TypeError, ValueError, OverflowError):
+            value = value[:2000]
         ok = True
     except Late:
         error = "TIMEOUT"

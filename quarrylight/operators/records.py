@@ -1,21 +1,17 @@
-"""Canonical records: flattening, and the gate of named rules that a corpus must pass."""
+"""Canonical records as flat rows, tests that compile or are short enough, and the audit of mutation pairs."""
 
 from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.functions.pycode import defines, group_identity
-
-# Execution modes, and the task types of the repository modes.
+# Execution modes.
 FUNCTION_MODE = "function_assertion"
 REPOSITORY_MODES = ("repository_pytest_fragment", "repository_unittest_fragment")
-REPOSITORY_TASKS = ("bugsinpy", "swebench_verified")
 
 
 def _or(*columns: Column) -> Column:
@@ -71,108 +67,38 @@ def within_tokens(pairs: DataFrame, tests: str, limit: int, tokens) -> tuple[Dat
     return kept, gone.select("id", "test", tokens(F.col("test")).alias("tokens"), F.lit("completion_exceeds_limit").alias("reason"))
 
 
-_SYNTAX = "struct<target:boolean,reference:boolean,defined:boolean,tests:boolean,identity:string>"
-
-
-def _syntax(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-    for code, reference, entry, tests in batches:
-        rows = []
-        for c, r, e, t in zip(code, reference, entry, tests, strict=True):
-            ok = bool(c) and _parses(c), bool(r) and _parses(r)
-            rows.append((*ok, defines(c, e) and defines(r, e), all(map(_parses, [] if t is None else t)), group_identity(r, e or "") if ok[1] else None))
-        yield pd.DataFrame(rows, columns=["target", "reference", "defined", "tests", "identity"])
-
-
-def content_hash(records: DataFrame) -> Column:
-    """SHA-256 of what a record teaches: its code, reference, specification, entry point and tests."""
-    return F.sha2(F.to_json(F.struct("code_under_test", "reference_code", "specification", "entry_point", F.transform("tests", lambda t: t["code"]).alias("tests"))), 256)
-
-
-def record_violations(records: DataFrame) -> DataFrame:
-    """(rule, id) of every rule that a record breaks by itself."""
-    mode, tests, source = _or(F.col("quality")["execution_mode"], F.lit(FUNCTION_MODE)), F.col("tests"), F.col("provenance")
-    repository = is_repository(mode)
-    seen = records.withColumn("syntax", F.pandas_udf(_syntax, _SYNTAX)("code_under_test", "reference_code", "entry_point", F.transform("tests", lambda t: t["code"])))
-    s = F.col("syntax")
-    missing = reduce(Column.__or__, [_or(F.col(c)).isNull() for c in ("id", "task_type", "language", "group_id", "code_under_test", "reference_code", "content_hash")])
-    well_formed = F.forall(tests, lambda t: F.coalesce((F.trim(t["code"]) != "") & (t["format"] == F.when(repository, "fragment").otherwise("assert")) & (t["oracle"] == F.when(repository, "fail_to_pass").otherwise("reference")), F.lit(False)))
-    rules = {
-        "missing_field": missing,
-        "schema_version": F.col("schema_version") != 1,
-        "language": F.col("language") != "python",
-        "content_hash": F.col("content_hash") != content_hash(records),
-        "target_does_not_parse": ~s["target"],
-        "reference_does_not_parse": ~s["reference"],
-        "unknown_mode": ~(repository | (mode == FUNCTION_MODE)),
-        "repository_task_type": repository & ~F.col("task_type").isin(*REPOSITORY_TASKS),
-        "repository_entry_point": repository & _or(F.col("entry_point")).isNotNull(),
-        "repository_project": repository & _or(source["project"], F.element_at(F.split(source["repository"], "/"), -1)).isNull(),
-        "entry_point_not_defined": (mode == FUNCTION_MODE) & s["target"] & s["reference"] & ~s["defined"],
-        "group_is_not_the_identity": (mode == FUNCTION_MODE) & s["identity"].isNotNull() & (F.col("group_id") != s["identity"]),
-        "no_tests": F.coalesce(F.size(tests), F.lit(0)) < 1,
-        "malformed_test": ~well_formed,
-        "test_does_not_compile": ~s["tests"],
-    }
-    broken = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), name) for name, c in rules.items())))
-    return seen.select(F.explode(broken).alias("rule"), F.col("id").cast("string").alias("id"))
-
-
-def corpus_violations(records: DataFrame, splits: DataFrame, exclusions: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(rule, id) of every broken rule over records, splits (id, split), exclusions (record_id) and tasks (id, status, training_record_ids).
-
-    An empty result is the approval. Nothing is collected; each rule is a query of its own.
-    """
-    flat = flatten(records).join(splits.select(F.col("id").alias("split_id"), "split"), F.col("id") == F.col("split_id"), "left")
-    # What a record asks for, and that with its answer; a record's own marker keeps nulls apart.
-    prompt = records.select("id", F.sha2(F.concat_ws("\u0001", "code_under_test", "specification", "entry_point"), 256).alias("prompt"), F.sha2("reference_code", 256).alias("answer"))
-    named = lambda rule, df, key: df.select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("id"))
-    many = lambda df, key, value: df.groupBy(key).agg(F.count_distinct(value).alias("n")).filter("n > 1")
-    ids = records.select("id")
-    declared = tasks.select(F.col("id").alias("task"), "status", F.explode_outer("training_record_ids").alias("declared"))
-    parts = [
-        record_violations(records),
-        named("repeated_id", records.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "id"),
-        named("repeated_supervision", prompt.groupBy("prompt", "answer").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n > 1"), "id"),
-        named("prompt_with_two_answers", prompt.groupBy("prompt").agg(F.count_distinct("answer").alias("n"), F.min("id").alias("id")).filter("n > 1"), "id"),
-        named("split_name", splits.filter(~F.col("split").isin("train", "val", "test")), "split"),
-        named("record_in_no_split", ids.join(splits, "id", "left_anti"), "id"),
-        named("record_in_two_splits", splits.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "id"),
-        named("unknown_split_id", splits.join(ids, "id", "left_anti"), "id"),
-        named("unknown_exclusion", exclusions.join(ids, F.col("record_id") == F.col("id"), "left_anti"), "record_id"),
-        named("group_in_two_splits", many(flat.filter("split IS NOT NULL"), "group_id", "split"), "group_id"),
-        named("project_in_two_splits", many(flat.filter("split IS NOT NULL").filter(is_repository(F.col("execution_mode"))).withColumn("project", F.lower("project")), "project", "split"), "project"),
-        named("locked_task_in_training", declared.filter("status = 'locked'").join(ids, F.col("declared") == F.col("id"), "left_semi"), "task"),
-        named("materialised_ids_differ", declared.filter("status = 'materialised'").join(ids, F.col("declared") == F.col("id"), "left_anti"), "task"),
-    ]
-    return reduce(DataFrame.unionByName, parts).distinct()
-
-
 def pair_audit(pairs: DataFrame) -> DataFrame:
-    """(id, type, reasons): the rules that a (golden, mutant) pair breaks; none if it is clean.
+    """(id, type, reasons): the faults of a (golden, mutant) pair, in order; none if it is clean.
 
-    Lines are compared by their place: a mutant is equal in none and different in three at most (more if it is compound), keeps
-    its number of lines, its signatures and its imports, parses, and holds no marker of a broken rewrite.
+    Lines are compared by their place as far as both sides go. DEF_LINE and IMPORT_LINE stand once for each such line that
+    differs; more than three lines are a LARGE_DIFF unless the type is compound; a null type is unknown. Null code is empty.
     """
-    golden, mutant = F.split("golden_code", "\n"), F.split("mutant_code", "\n")
-    diff = F.filter(F.arrays_zip(golden.alias("g"), mutant.alias("m")), lambda x: ~x["g"].eqNullSafe(x["m"]))
-    starts = lambda x, *words: reduce(Column.__or__, [F.ltrim(x["g"]).startswith(w) for w in words])
-    kind = F.coalesce("mutation_type", F.lit(""))
-    with_diff = pairs.withColumn("diff", diff).withColumn("parse", F.pandas_udf(_both_parse, "boolean")("golden_code", "mutant_code"))
-    d = F.col("diff")
-    rules = {
-        "empty": (F.trim("golden_code") == "") | (F.trim("mutant_code") == ""),
-        "identical": F.col("golden_code") == F.col("mutant_code"),
-        "line_count_differs": F.size(golden) != F.size(mutant),
-        "too_many_lines": (F.size(d) > 3) & (kind != "compound"),
-        "signature_changed": F.exists(d, lambda x: F.coalesce(starts(x, "def ", "async def ", "class "), F.lit(False))),
-        "import_changed": F.exists(d, lambda x: F.coalesce(starts(x, "import ", "from "), F.lit(False))),
-        "broken_rewrite": F.col("mutant_code").rlike(r"\\[12]") & ~F.col("golden_code").rlike(r"\\[12]"),
-        "does_not_parse": ~F.col("parse"),
-    }
-    reasons = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), name) for name, c in rules.items())))
-    return with_diff.select("id", kind.alias("type"), reasons.alias("reasons"))
-
-
-def _both_parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    code = lambda c: F.coalesce(c, F.lit(""))
+    lines = lambda c: F.split(F.regexp_replace(code(F.col(c)), r"\r?\n\z", ""), r"\r?\n")
+    both = F.arrays_zip(lines("golden_code").alias("g"), lines("mutant_code").alias("m"))
+    diff = F.filter(both, lambda x: x["g"].isNotNull() & x["m"].isNotNull() & (x["g"] != x["m"]))
+    kind = F.coalesce("mutation_type", F.lit("unknown"))
+    seen = pairs.withColumn("_diff", diff).withColumn("_parse", F.pandas_udf(_both_parse, "struct<golden:boolean,mutant:boolean>")("golden_code", "mutant_code"))
+    d, marked = F.col("_diff"), lambda c: code(F.col(c)).rlike(r"\\[12]")
+    one = lambda broken, name: F.when(broken, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+
+    def of_line(x: Column) -> Column:
+        text = F.trim(x["g"], F.lit(" \t\f"))
+        return F.when(text.startswith("def "), "DEF_LINE").when(text.startswith("from ") | text.startswith("import "), "IMPORT_LINE")
+
+    reasons = F.concat(
+        one(code(F.col("golden_code")) == code(F.col("mutant_code")), "IDENTICAL"),
+        one(~F.col("_parse.golden"), "GOLDEN_SYNTAX"),
+        one(~F.col("_parse.mutant"), "MUTANT_SYNTAX"),
+        one(F.coalesce(F.size("test_cases"), F.lit(0)) < 1, "NO_TESTS"),
+        one(_or(F.col("entry_point")).isNull(), "NO_ENTRY"),
+        F.array_compact(F.transform(d, of_line)),
+        one((kind != "compound") & (F.size(d) > 3), "LARGE_DIFF"),
+        one(marked("mutant_code") & ~marked("golden_code"), "REGEX_LEAK"),
+    )
+    return seen.select("id", kind.alias("type"), reasons.alias("reasons"))
+
+
+def _both_parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for a, b in batches:
-        yield pd.Series([_parses(x) and _parses(y) for x, y in zip(a, b, strict=True)])
+        yield pd.DataFrame({"golden": [_parses(x) for x in a], "mutant": [_parses(x) for x in b]})

@@ -65,9 +65,9 @@ def canonical_names(payloads: DataFrame, ident: str, fields: list[str], repo: st
     return payloads.select(ident, F.coalesce(*map(F.col, fields)).alias("name"), F.element_at(F.split(repo, "/"), -1).alias("project"))
 
 
-def seeded(ident: Column, seed: int, place: int) -> Column:
+def seeded(ident: Column, seed: int, place: int | Column) -> Column:
     """A number below 2 ** 32 that every engine can compute from an id, a seed and a place."""
-    return F.conv(F.substring(F.sha2(F.concat_ws(":", ident.cast("string"), F.lit(str(seed)), F.lit(str(place))), 256), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", ident.cast("string"), F.lit(str(seed)), F.lit(place).cast("string")), 256), 1, 8), 16, 10).cast("long")
 
 
 def seeded_literal(kind: Column, number: Column) -> Column:
@@ -76,12 +76,12 @@ def seeded_literal(kind: Column, number: Column) -> Column:
     return F.when(kind == "float", F.concat(small, F.lit(".5"))).when(kind == "str", F.concat(F.lit("'"), F.repeat(F.lit("ab"), (number % 4).cast("int")), F.lit("'"))).when(kind == "bool", F.when(number % 2 == 0, "True").otherwise("False")).when(kind == "list", F.concat(F.lit("["), small, F.lit(", "), (number % 5).cast("string"), F.lit("]"))).otherwise(small)
 
 
-def seeded_calls(functions: DataFrame, ident: str, entry_point: str, kinds: str, n: int, seed: int, most: int = 8) -> DataFrame:
-    """(ident, nth, call): n calls of each function with seeded literals for its kinds, `most` parameters at most."""
+def seeded_calls(functions: DataFrame, ident: str, entry_point: str, kinds: str, n: int, seed: int) -> DataFrame:
+    """(ident, nth, call): n calls of each function with seeded literals for its kinds, any number of them."""
     rows = functions.select(ident, entry_point, kinds, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("nth"))
     key = F.concat_ws("/", F.col(ident).cast("string"), F.col("nth").cast("string"))
-    arguments = [F.when(F.size(kinds) > i, seeded_literal(F.try_element_at(kinds, F.lit(i + 1)), seeded(key, seed, i))) for i in range(most)]
-    return rows.filter(F.size(kinds) <= most).select(ident, "nth", F.concat(F.col(entry_point), F.lit("("), F.array_join(F.array_compact(F.array(*arguments)), ", "), F.lit(")")).alias("call"))
+    arguments = F.transform(kinds, lambda k, i: seeded_literal(k, seeded(key, seed, i)))
+    return rows.select(ident, "nth", F.concat(F.col(entry_point), F.lit("("), F.array_join(arguments, ", "), F.lit(")")).alias("call"))
 
 
 def inert_losers(winners: DataFrame, group: str, order: str, text: str, unit: str, first: int = 2) -> DataFrame:

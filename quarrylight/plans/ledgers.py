@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylight.functions import outcomes, pycode
-from quarrylight.functions.pycode import group_identity
-from quarrylight.operators import ledger, records, sandbox, selection, staging
+from quarrylight.operators import corpus, ledger, records, sandbox, selection, staging
 from quarrylight.plans.catalogue import query
-from quarrylight.schemas import RECORDS
 from quarrylight.sources.tables import table
 
 
@@ -33,73 +31,73 @@ def flat_records(spark, d):
     return records.flatten(rows).select("id", "execution_mode", "project", "bug_family")
 
 
-#: Every part of a generated corpus that breaks a rule: (rule, the key modulo 1,000 that it is planted at).
+#: Where a generated corpus breaks a rule: the key modulo 1,000 that the fault is planted at. Names that end in _2 are second records.
 PLANTED = {
-    "missing_field": 3, "schema_version": 4, "language": 5, "content_hash": 6, "target_does_not_parse": 7, "reference_does_not_parse": 8, "unknown_mode": 9,
-    "repository_task_type": 10, "repository_entry_point": 11, "repository_project": 12, "entry_point_not_defined": 13, "group_is_not_the_identity": 14, "no_tests": 15,
-    "malformed_test": 16, "test_does_not_compile": 17, "record_in_no_split": 18, "record_in_two_splits": 19, "unknown_exclusion": 20, "locked_task_in_training": 21, "materialised_ids_differ": 22,
+    "malformed_record": 30, "schema_or_language": 31, "language": 32, "content_hash": 33, "invalid_python": 34, "unknown_mode": 35, "task_type": 36, "standalone_entry_point": 37, "no_evidence": 38,
+    "entry_point_missing": 39, "project": 40, "project_2": 41, "conflict": 42, "conflict_2": 43, "same": 44, "same_2": 45, "repeated_id": 46, "swebench_project": 47, "project_group": 48, "function_group": 50,
+    "no_tests": 51, "malformed_test": 52, "test_oracle": 53, "test_does_not_compile": 54, "record_in_no_split": 55, "split_repeated_id": 56, "split_unknown_id": 57, "split_names": 58, "exclusion_unknown": 60,
+    "locked_task_in_training": 61, "materialised_ids_differ": 62, "materialised_well": 63, "materialised_nowhere": 64,
 }
 
 
 def planted_corpus(spark, d):
-    """Records, splits, exclusions and tasks made of orders, sound but for what PLANTED says."""
-    k = F.col("o_orderkey")
-    at = lambda rule: k % 1000 == PLANTED[rule]
-    repository = at("repository_task_type") | at("repository_entry_point") | at("repository_project")
-    name = F.concat(F.lit("f"), k)
-    reference = F.concat(F.lit("def "), name, F.lit("(x):\n    return x + "), k, F.lit("\n"))
-    code = F.replace(reference, F.lit("+"), F.lit("-"))
-    identity = F.udf(lambda c, e: group_identity(c, e), "string")
-    oracle, form = F.when(repository, "fail_to_pass").otherwise("reference"), F.when(repository, "fragment").otherwise("assert")
-    text = F.when(at("test_does_not_compile"), "assert (").otherwise(F.concat(F.lit("assert "), name, F.lit("(1) == "), k + 1))
-    test = F.struct(text.alias("code"), F.when(at("malformed_test"), "other").otherwise(oracle).alias("oracle"), form.alias("format"))
-    rows = table(spark, d, "orders").select(
-        k,
-        F.when(at("schema_version"), 2).otherwise(1).alias("schema_version"),
-        k.cast("string").alias("id"),
-        F.when(at("repository_task_type"), "mutation").when(repository, "bugsinpy").otherwise("mutation").alias("task_type"),
-        F.when(at("language"), "java").otherwise("python").alias("language"),
-        F.when(at("target_does_not_parse"), "def (").otherwise(code).alias("code_under_test"),
-        F.when(at("reference_does_not_parse"), "def (").when(at("entry_point_not_defined"), "x = 1\n").otherwise(reference).alias("reference_code"),
-        F.when(at("repository_task_type") | at("repository_project"), "").otherwise(name).alias("entry_point"),
-        F.when(at("missing_field"), F.lit(None).cast("string")).otherwise("what it does").alias("unused"),
-        F.lit("what it does").alias("specification"),
-        F.when(~at("no_tests"), F.array(test)).otherwise(F.array().cast("array<struct<code:string,oracle:string,format:string>>")).alias("tests"),
-        F.struct(F.when(repository & ~at("repository_project"), F.concat(F.lit("p"), k)).alias("project"), F.lit(None).cast("string").alias("repository"), F.lit(None).cast("string").alias("mutation_type"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("official_task_id")).alias("provenance"),
-        F.struct(F.when(at("unknown_mode"), "other").when(repository, "repository_pytest_fragment").alias("execution_mode"), F.lit(1).alias("test_count")).alias("quality"),
-        F.struct(F.lit("s").alias("name"), F.lit("u").alias("upstream")).alias("source"),
-    )
-    rows = rows.withColumn("group_id", F.when(at("group_is_not_the_identity"), F.concat(F.lit("other"), k)).otherwise(identity("reference_code", "entry_point")))
-    rows = rows.withColumn("group_id", F.coalesce("group_id", F.concat(F.lit("none"), k)))
-    rows = rows.withColumn("content_hash", F.when(at("missing_field"), "").when(at("content_hash"), "stale").otherwise(records.content_hash(rows)))
-    names = [x.split(" ")[0] for x in "schema_version id task_type language group_id code_under_test reference_code entry_point specification content_hash source tests provenance quality".split()]
-    assert all(n in RECORDS for n in names)
-    split = F.when(k % 10 < 8, "train").when(k % 10 == 8, "val").otherwise("test")
+    """Records as JSON texts, splits, exclusions and an external index made of orders, sound but for what PLANTED says."""
+    k, thousand = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 1000)
+    at = lambda *rules: (k % 1000).isin(*(PLANTED[r] for r in rules))
+    text = lambda c: F.expr(f"substr(to_json(struct({c} AS a)), 6, length(to_json(struct({c} AS a))) - 6)")
+    repository = at("task_type", "standalone_entry_point", "no_evidence", "project", "project_2", "swebench_project", "project_group", "test_oracle")
+    name = F.when(at("conflict", "conflict_2"), F.concat(F.lit("g"), thousand)).when(at("same", "same_2"), F.concat(F.lit("h"), thousand)).otherwise(F.concat(F.lit("f"), k))
+    number = F.when(at("same", "same_2"), thousand).otherwise(k)
+    define = lambda op, n: F.concat(F.lit("def "), name, F.lit(f"(x):\n    return x {op} "), n, F.lit("\n"))
+    target = F.when(at("invalid_python"), "def (").when(at("entry_point_missing"), "def other(x):\n    return x\n").otherwise(define("-", F.when(at("conflict", "conflict_2"), thousand).otherwise(number)))
+    project = F.when(at("project", "project_2"), F.concat(F.lit("q"), thousand)).otherwise(F.concat(F.lit("p"), k))
+    group = F.when(at("project_group"), F.lit("project:elsewhere")).when(repository, F.concat(F.lit("project:bugsinpy:"), project)).when(at("function_group"), F.concat(F.lit("other"), k)).otherwise(pycode.identity_column("reference_code", "name"))
+    test = F.when(at("test_does_not_compile"), "assert (").otherwise(F.concat(F.lit("assert "), name, F.lit("(1) == "), number))
+    rows = table(spark, d, "orders").select(k, name.alias("name"), target.alias("code_under_test"), define("+", number).alias("reference_code"), project.alias("project"), test.alias("test"))
+    entry = F.when(repository & ~at("standalone_entry_point"), "").otherwise(F.col("name"))
+    rows = rows.withColumn("group_id", group).withColumn("entry_point", entry)
+    task = F.when(at("task_type"), "mutation").when(at("swebench_project"), corpus.SWEBENCH_TASK).when(repository, corpus.REPOSITORY_TASKS["repository_pytest_fragment"][0]).otherwise("mutation")
+    oracle = F.when(repository & ~at("test_oracle"), f'"format":"pytest_fragment","oracle":"{corpus.TEST_ORACLE}"').otherwise('"format":"assert","oracle":"reference"')
+    code = F.when(at("malformed_test"), "5").otherwise(text("test"))
+    tests = F.when(at("no_tests"), "[]").otherwise(F.concat(F.lit('[{"code":'), code, F.lit(","), oracle, F.lit("}]")))
+    mode = F.when(at("unknown_mode"), '"execution_mode":"other",').when(repository, '"execution_mode":"repository_pytest_fragment",').otherwise("")
+    evidence = F.when(repository & ~at("no_evidence"), '"official_targeted_test_fixed_pass_buggy_fail":true,').otherwise("")
+    official = F.when(at("locked_task_in_training", "materialised_ids_differ", "materialised_well"), F.concat(F.lit('"official_task_id":"task'), k, F.lit('",'))).otherwise("")
+    fields = [
+        ("code_under_test", text("code_under_test")), ("entry_point", text("entry_point")), ("group_id", text("group_id")), ("id", F.concat(F.lit('"'), k, F.lit('"'))), ("language", F.when(at("language"), '"java"').otherwise('"python"')),
+        ("provenance", F.concat(F.lit("{"), official, F.lit('"project":'), text("project"), F.lit(',"repository":"org/Elsewhere"}'))), ("quality", F.concat(F.lit("{"), mode, evidence, F.lit('"test_count":1}'))), ("reference_code", text("reference_code")),
+        ("schema_version", F.when(at("schema_or_language"), "2").otherwise("1")), ("source", F.lit('{"name":"s","upstream":"u"}')), ("specification", F.lit('"what it does"')), ("task_type", F.concat(F.lit('"'), task, F.lit('"'))), ("tests", tests),
+    ]
+    whole = F.concat_ws(",", *(F.concat(F.lit(f'"{n}":'), v) for n, v in fields))
+    digest = F.when(at("content_hash"), "stale").otherwise(F.sha2(F.concat(F.lit("{"), whole, F.lit("}")), 256))
+    record = F.concat(F.lit("{"), whole, F.when(at("malformed_record"), "").otherwise(F.concat(F.lit(',"content_hash":"'), digest, F.lit('"'))), F.lit("}"))
+    records_ = rows.select(k, record.alias("record"))
     orders = table(spark, d, "orders").select(k, k.cast("string").alias("id"))
-    splits = orders.filter(~at("record_in_no_split")).select("id", split.alias("split")).unionByName(orders.filter(at("record_in_two_splits")).select("id", F.lit("val").alias("split")))
-    exclusions = orders.filter(at("unknown_exclusion")).select(F.concat(F.lit("gone"), k).alias("record_id"))
-    locked, made = at("locked_task_in_training"), at("materialised_ids_differ")
-    tasks = orders.filter(locked | made).select(F.concat(F.lit("task"), k).alias("id"), F.when(locked, "locked").otherwise("materialised").alias("status"), F.array(F.when(locked, F.col("id")).otherwise(F.concat(F.lit("gone"), k))).alias("training_record_ids"))
-    return rows.select(*names), splits, exclusions, tasks
+    split = F.when(at("project_2"), "test").when(at("split_names"), "extra").when(k % 10 < 8, "train").when(k % 10 == 8, "val").otherwise("test")
+    splits = orders.filter(~at("record_in_no_split")).select("id", split.alias("split")).unionByName(orders.filter(at("split_repeated_id")).select("id", F.lit("train").alias("split"))).unionByName(orders.filter(at("split_unknown_id")).select(F.concat(F.lit("gone"), k).alias("id"), F.lit("val").alias("split")))
+    exclusions = orders.select(F.when(at("exclusion_unknown"), F.concat(F.lit("gone"), k)).otherwise(F.col("id")).alias("record_id"))
+    tasks = orders.filter(at("locked_task_in_training", "materialised_ids_differ", "materialised_well", "materialised_nowhere"))
+    declared = F.when(at("materialised_ids_differ"), F.array(F.concat(F.lit("gone"), k))).when(at("materialised_well"), F.array("id"))
+    index = tasks.select(F.concat(F.lit("task"), k).alias("id"), F.when(at("locked_task_in_training"), corpus.LOCKED[0]).otherwise(corpus.MATERIALISED).alias("status"), declared.alias("training_record_ids"))
+    again = records_.filter(at("repeated_id"))
+    return records_.unionByName(again), splits, exclusions, index
 
 
 def _planted_sql() -> str:
-    """What the gate must find: each rule at its place, with what one fault brings along."""
-    ids = {"unknown_exclusion": "'gone' || o_orderkey", "locked_task_in_training": "'task' || o_orderkey", "materialised_ids_differ": "'task' || o_orderkey"}
-    found = [(rule, place, ids.get(rule, "o_orderkey::VARCHAR")) for rule, place in PLANTED.items()]
-    found += [("content_hash", PLANTED["missing_field"], "o_orderkey::VARCHAR")]  # an empty hash is a missing field and a wrong one
-    parts = [f"SELECT '{rule}' AS rule, {i} AS id FROM orders WHERE o_orderkey % 1000 = {place}" for rule, place, i in found]
-    return " UNION ALL ".join(parts)
+    """What the gate must find: each rule at its place."""
+    own = ["malformed_record", "schema_or_language", "content_hash", "invalid_python", "unknown_mode", "task_type", "standalone_entry_point", "no_evidence", "entry_point_missing", "repeated_id", "swebench_project", "project_group", "function_group", "no_tests", "malformed_test", "test_oracle", "test_does_not_compile", "record_in_no_split", "split_repeated_id"]
+    found = [(rule, rule, "o_orderkey::VARCHAR") for rule in own]
+    found += [("schema_or_language", "language", "o_orderkey::VARCHAR"), ("repeated_supervision", "repeated_id", "o_orderkey::VARCHAR"), ("repeated_supervision", "same", "o_orderkey::VARCHAR"), ("conflicting_references", "conflict", "o_orderkey::VARCHAR")]
+    found += [("group_in_two_splits", "project", "'project:bugsinpy:q' || (o_orderkey // 1000)"), ("project_in_two_splits", "project", "'q' || (o_orderkey // 1000)"), ("split_names", "split_names", "'extra'")]
+    found += [(rule, rule, "'gone' || o_orderkey") for rule in ("split_unknown_id", "exclusion_unknown")]
+    found += [("locked_task_in_training", "locked_task_in_training", "'task' || o_orderkey"), ("materialised_ids_differ", "materialised_ids_differ", "'task' || o_orderkey"), ("materialised_ids_differ", "materialised_nowhere", "'task' || o_orderkey")]
+    return " UNION ".join(f"SELECT '{rule}' AS rule, {i} AS id FROM orders WHERE o_orderkey % 1000 = {PLANTED[place]}" for rule, place, i in found)
 
 
 @query(_planted_sql())
 def record_gate(spark, d):
-    """Every rule of the central gate over a corpus with one planted fault of each kind in a thousand records.
-
-    A record in two splits brings its group along; group ids are hashes of syntax trees, which SQL has not, so that rule is
-    left to the tests.
-    """
-    return records.corpus_violations(*planted_corpus(spark, d)).filter("rule <> 'group_in_two_splits'")
+    """Every rule of the gate over records in their own format, with one planted fault of each kind in a thousand records."""
+    return corpus.corpus_violations(*planted_corpus(spark, d))
 
 
 @query("SELECT o_orderkey, c_name, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -278,14 +276,17 @@ def same_outcome(spark, d):
 
 
 @query(
-    r"""WITH l AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS l FROM documents)
-    SELECT doc_id, coalesce(list_filter(l, lambda x: starts_with(x, 'The '))[1], list_filter(l, lambda x: x <> '')[1], substr(text, 1, 200)) AS line FROM l"""
+    """SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'assert f' || p_partkey || '(' || p_size || ') == ' || p_size WHEN 1 THEN 'output = f' || p_partkey || '(' || p_size || ')' WHEN 2 THEN 'x = f' || p_partkey || '(' || p_size || ')' WHEN 3 THEN 'Some words ' || p_size
+    WHEN 4 THEN 'assert g(' || p_size || ')' ELSE '' END AS test, p_size % 6 = 0 AS valid, CASE p_size % 6 WHEN 0 THEN '' WHEN 3 THEN 'syntax_error' WHEN 4 THEN 'target_entry_point_not_called' WHEN 5 THEN 'empty_candidate' ELSE 'candidate_must_be_one_assert' END AS reason FROM part"""
 )
 def usable_line(spark, d):
-    """The first usable line of a text; `The ` stands for the assertions that documents lack."""
-    t = F.replace(F.col("text"), F.lit("The "), F.lit("assert "))
-    line = outcomes.usable_line(F.concat(F.lit(""), t), F.lit("no such name"))
-    return table(spark, d, "documents").select("doc_id", F.replace(line, F.lit("assert "), F.lit("The ")).alias("line"))
+    """The line of a generation that may be a test, by each of the steps, and what the policy says of it."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    call = F.concat(F.lit("f"), k, F.lit("("), s, F.lit(")"))
+    said = F.concat(F.lit("  Some words "), s, F.lit("  \n\n"))
+    last = F.when(s % 6 == 0, F.concat(said, F.lit("output = 1\n   assert "), call, F.lit(" == "), s, F.lit("\nassert 1"))).when(s % 6 == 1, F.concat(said, F.lit("output = "), call)).when(s % 6 == 2, F.concat(said, F.lit("x = "), call)).when(s % 6 == 3, said).when(s % 6 == 4, F.concat(F.lit("assert g("), s, F.lit(")"))).otherwise("  \n ")
+    rows = table(spark, d, "part").select(k, F.concat(F.lit("f"), k).alias("entry"), last.alias("text"))
+    return outcomes.generated(rows, "p_partkey", "text", "entry").withColumn("reason", F.regexp_extract("reason", "^[a-z_]*", 0))
 
 
 @query("SELECT source, n, (-n % 32 + 32) % 32 AS padding, ceil(n / 32.0)::BIGINT AS steps_per_epoch, ceil(n / 32.0)::BIGINT * 3 AS steps, least(10, greatest(ceil(n / 32.0)::BIGINT * 3 - 1, 0)) AS warmup, ceil(n / 32.0)::BIGINT * 3 // 2 AS checkpoints FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)")
@@ -355,18 +356,23 @@ def _turns(spark, d):
     return table(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("id")).agg(F.transform(lists, lambda x: x["text"]).alias("tests"))
 
 
+_AUDIT = {1: "'IDENTICAL'", 2: "'MUTANT_SYNTAX', 'REGEX_LEAK'", 3: "'LARGE_DIFF'", 4: "'DEF_LINE'", 5: "'IMPORT_LINE', 'IMPORT_LINE'", 6: "'GOLDEN_SYNTAX', 'DEF_LINE'", 7: "'MUTANT_SYNTAX'", 9: "'NO_TESTS'", 10: "'NO_ENTRY'"}
+
+
 @query(
-    """SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 8 THEN 'compound' ELSE 'arithmetic' END AS type, CASE p_partkey % 9 WHEN 1 THEN ['identical'] WHEN 2 THEN ['line_count_differs'] WHEN 3 THEN ['too_many_lines'] WHEN 4 THEN ['signature_changed']
-    WHEN 5 THEN ['import_changed'] WHEN 6 THEN ['broken_rewrite', 'does_not_parse'] WHEN 7 THEN ['does_not_parse'] ELSE []::VARCHAR[] END AS reasons FROM part"""
+    f"""SELECT p_partkey AS id, CASE (p_partkey * 7 + p_size) % 12 WHEN 8 THEN 'compound' WHEN 0 THEN 'unknown' ELSE p_type END AS type,
+    CASE (p_partkey * 7 + p_size) % 12 {" ".join(f"WHEN {k} THEN [{v}]" for k, v in _AUDIT.items())} ELSE []::VARCHAR[] END AS reasons FROM part"""
 )
 def pair_audit(spark, d):
-    """The rules that a pair breaks, on pairs made of parts: one fault for each of seven kinds."""
-    k = F.col("p_partkey") % 9
-    golden = F.concat(F.lit("import math\ndef f"), F.col("p_partkey"), F.lit("(x):\n    a = x + 1\n    b = a + 2\n    c = b + 3\n    d = c + 4\n    return d\n"))
+    """The faults of pairs made of parts: each of the nine, and pairs of which one side is longer or the type compound."""
+    k = (F.col("p_partkey") * 7 + F.col("p_size")) % 12
+    golden = F.concat(F.lit("import math\nfrom os import path\ndef f"), F.col("p_partkey"), F.lit("(x):\n    a = x + "), F.col("p_size"), F.lit("\n    b = a + 2\n    c = b + 3\n    d = c + 4\n    return d\n"))
     swap = lambda a, b: F.replace(golden, F.lit(a), F.lit(b))
-    mutant = F.when(k == 1, golden).when(k == 2, F.concat(golden, F.lit("\n"))).when((k == 3) | (k == 8), swap("+", "-")).when(k == 4, swap("(x)", "(x, y=0)")).when(k == 5, swap("import math", "import os"))
-    mutant = mutant.when(k == 6, swap("x + 1", "\\1 + 1")).when(k == 7, swap("x + 1", "x + (")).otherwise(swap("x + 1", "x - 1"))
-    pairs = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(k == 8, "compound").otherwise("arithmetic").alias("mutation_type"), golden.alias("golden_code"), mutant.alias("mutant_code"))
+    mutant = F.when(k == 1, golden).when(k == 2, swap("x + ", "\\1 + ")).when((k == 3) | (k == 8), swap("+", "-")).when(k.isin(4, 6), swap("(x)", "(x, y=0)")).when(k == 5, F.replace(swap("import math", "import cmath"), F.lit("from os"), F.lit("from ntos")))
+    mutant = mutant.when(k == 7, swap("x + ", "x + (")).when(k == 11, F.concat(swap("a + 2", "a - 2"), F.lit("\n\n# more\n"))).otherwise(swap("a + 2", "a - 2"))
+    tests = F.when(k == 9, F.array().cast("array<string>")).otherwise(F.array(F.lit("assert True")))
+    kind = F.when(k == 8, "compound").when(k != 0, F.col("p_type"))
+    pairs = table(spark, d, "part").select(F.col("p_partkey").alias("id"), kind.alias("mutation_type"), F.when(k == 6, swap("(x):", "(x:")).otherwise(golden).alias("golden_code"), mutant.alias("mutant_code"), tests.alias("test_cases"), F.when(k != 10, "f").alias("entry_point"))
     return records.pair_audit(pairs)
 
 

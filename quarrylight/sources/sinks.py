@@ -19,14 +19,34 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_atomic(df: DataFrame, path: str, form: str = "json") -> None:
-    """Write a table beside its place and rename it there; what was there before goes only then."""
-    spark = df.sparkSession
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    """Write a table beside its place and rename it there.
+
+    The table that was there is renamed aside before and deleted last, so that at every moment one of them is whole on disk: a
+    crash between the two renames leaves the old one at `<path>.before`, which the next write, or `recovered`, puts back.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    beside = f"{path}.{uuid.uuid4().hex}"
     df.write.format(form).save(beside)
+    recovered(spark, path)
     at, system = _system(spark, path)
-    system.delete(at, True)
+    before = _system(spark, f"{path}.before")[0]
+    if system.exists(at) and not system.rename(at, before):
+        raise OSError(f"could not rename {path}")
     if not system.rename(_system(spark, beside)[0], at):
         raise OSError(f"could not rename {beside}")
+    system.delete(before, True)
+
+
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Whether a table is at its path, after what a crashed write left aside is put back or removed."""
+    at, system = _system(spark, path.rstrip("/"))
+    before = _system(spark, f"{path.rstrip('/')}.before")[0]
+    if system.exists(before):
+        if system.exists(at):
+            system.delete(before, True)
+        else:
+            system.rename(before, at)
+    return system.exists(at)
 
 
 def write_sources(df: DataFrame, path: str, ident: str, code: str) -> None:
@@ -61,9 +81,19 @@ def guarded(spark: SparkSession, path: str, schema: str, version: int, fallback:
 
 
 def lines_to_array(spark: SparkSession, source: str, path: str) -> None:
-    """JSON lines as one JSON array in one file."""
-    rows = spark.read.json(source)
-    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).write.mode("overwrite").text(path)
+    """JSON lines as one JSON array: the parts of a folder, which make the array when they are put one after another by name.
+
+    Every task writes its own lines with the commas between them; the first line of all opens the array and the last closes
+    it, found by their numbers. Blank lines are left out, as in the source's own reading; no lines make an empty array.
+    """
+    lines = spark.read.text(source).filter(F.trim("value") != "").withColumn("_id", F.monotonically_increasing_id())
+    ends = lines.agg(F.min("_id").alias("first"), F.max("_id").alias("last")).first()
+    if ends["first"] is None:
+        spark.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    head = F.when(F.col("_id") == ends["first"], "[").otherwise("")
+    tail = F.when(F.col("_id") == ends["last"], "]").otherwise(",")
+    lines.select(F.concat(head, F.trim("value"), tail).alias("value")).write.mode("overwrite").text(path)
 
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -2,44 +2,92 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarrylight.sources.sinks import exists
 
-def batch_writer(path: str, every: int = 1) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: every `every`-th batch is written under its id, so that a batch that is tried again replaces itself."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        if batch_id % every == 0:
-            batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+class BatchWriter:
+    """For foreachBatch: rows are gathered and written every `every` batches, under the id of the last of them.
 
-    return write
-
-
-def buffered(stream: DataFrame, key: str, ident: str, size: int = 8) -> DataFrame:
-    """(key, group, ids): the ids of each key in groups of `size`, as they fill; a smaller rest waits in the state.
+    Each batch waits under its own id, so a batch that is tried again replaces itself, and so does a group that is written
+    again after a restart. `flush` writes what still waits; no row is lost whatever `every` is. The folder belongs to one
+    scope (what is trained on what): a writer of another scope is refused.
+    """
 
-    The state holds the waiting ids of one key, fewer than `size`, and the number of the next group.
+    def __init__(self, path: str, every: int = 1, scope: str | None = None) -> None:
+        self.path, self.every, self.scope = path.rstrip("/"), every, scope
+
+    def _checked(self, spark: SparkSession) -> None:
+        if self.scope is None:
+            return
+        place = f"{self.path}/_scope"
+        if exists(spark, place):
+            known = spark.read.text(place, wholetext=True).first()[0].rstrip("\n")
+            if known != self.scope:
+                raise ValueError(f"{self.path} belongs to {known}, not to {self.scope}")
+        else:
+            spark.createDataFrame([(self.scope,)], "value string").coalesce(1).write.text(place)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        self._checked(spark)
+        if self.every == 1:
+            batch.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+            return
+        batch.write.mode("overwrite").parquet(f"{self.path}/_waiting/{batch_id}")
+        if (batch_id + 1) % self.every == 0:
+            self._write(spark, batch_id)
+
+    def _write(self, spark: SparkSession, last: int) -> None:
+        first = last - last % self.every
+        waiting = [f"{self.path}/_waiting/{i}" for i in range(first, last + 1) if exists(spark, f"{self.path}/_waiting/{i}")]
+        if waiting:
+            spark.read.parquet(*waiting).write.mode("overwrite").parquet(f"{self.path}/batch={last - last % self.every + self.every - 1}")
+
+    def flush(self, spark: SparkSession, last: int) -> None:
+        """Write the group of batch `last`, the last one, though it isn't full. The next batch of the group writes it anew."""
+        if self.every > 1:
+            self._write(spark, last)
+
+
+def batch_writer(path: str, every: int = 1, scope: str | None = None) -> BatchWriter:
+    return BatchWriter(path, every, scope)
+
+
+def buffered(stream: DataFrame, key: str, ident: str, size: int = 8, idle_ms: int | None = None) -> DataFrame:
+    """(key, nth, ids): the ids of each key in groups of `size`, as they fill; a smaller rest waits in the state.
+
+    A row with a null id ends a key: what waits is given as a last, smaller group. With idle_ms, so does a key to which nothing
+    has come for that time. The state holds the waiting ids of one key, fewer than `size`, and the number of the next group.
     """
 
     def fill(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         waiting, nth = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        new = sorted(int(x) for b in batches for x in b[ident])
+        rows = [x for b in batches for x in b[ident]]
+        new = sorted(int(x) for x in rows if not pd.isna(x))
         waiting += new
         full = []
         while len(waiting) >= size:
             full.append((k[0], nth, waiting[:size]))
             waiting, nth = waiting[size:], nth + 1
+        if waiting and (state.hasTimedOut or len(new) < len(rows)):
+            full.append((k[0], nth, waiting))
+            waiting, nth = [], nth + 1
         state.update((waiting, nth))
+        if idle_ms is not None and waiting:
+            state.setTimeoutDuration(idle_ms)
         if full:
             yield pd.DataFrame(full, columns=["key", "nth", "ids"])
 
-    return stream.select(F.col(key).cast("string").alias("key"), F.col(ident).cast("long").alias(ident)).groupBy("key").applyInPandasWithState(fill, "key string, nth long, ids array<long>", "waiting array<long>, nth long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return stream.select(F.col(key).cast("string").alias("key"), F.col(ident).cast("long").alias(ident)).groupBy("key").applyInPandasWithState(fill, "key string, nth long, ids array<long>", "waiting array<long>, nth long", "append", timeout)
 
 
 def novel(stream: DataFrame, key: str, ident: str, vector: str, threshold: float) -> DataFrame:

@@ -1,47 +1,111 @@
-import pytest
-from pyspark.sql import functions as F
-
-from quarrylight.functions import outcomes
-from quarrylight.operators import findings, ledger, records
-from quarrylight.plans import ledgers
-
-
-def corpus(spark, sf_dir):
-    """The generated corpus without its faults: a few hundred sound records."""
-    rows, splits, exclusions, tasks = ledgers.planted_corpus(spark, sf_dir)
-    k = F.col("id").try_cast("long")
-    sound = F.coalesce((k % 1000 > 22) & (k < 300), F.lit(True))
-    return rows.filter(sound), splits.filter(sound), exclusions.limit(0), tasks.limit(0)
-
-
-def rules(parts):
-    found = {}
-    for r in records.corpus_violations(*parts).collect():
-        found.setdefault(r["rule"], set()).add(r["id"])
-    return found
-
-
-def test_a_sound_corpus_passes(spark, sf_dir):
-    parts = corpus(spark, sf_dir)
-    assert parts[0].count() > 50 and rules(parts) == {}
+import json
 
+import pytest
 
-def test_rules_between_records(spark, sf_dir):
-    rows, splits, exclusions, tasks = corpus(spark, sf_dir)
-    ids = sorted((int(r["id"]) for r in rows.select("id").collect()))
-    a, b, c = ids[:3]
-    again = rows.filter(F.col("id") == str(a))
-    found = rules((rows.unionByName(again), splits, exclusions, tasks))
-    assert found["repeated_id"] == {str(a)} and found["repeated_supervision"] == {str(a)}
-    other = again.withColumn("id", F.lit("new")).withColumn("reference_code", F.concat("reference_code", F.lit("\n# other\n")))
-    found = rules((rows.unionByName(other), splits.unionByName(spark.createDataFrame([("new", "elsewhere"), ("lost", "val")], "id string, split string")), exclusions, tasks))
-    assert found["prompt_with_two_answers"] == {min(str(a), "new")} and found["content_hash"] == {"new"}
-    assert found["split_name"] == {"elsewhere"} and found["unknown_split_id"] == {"lost"} and len(found["group_in_two_splits"]) == 1
-    project = F.struct(F.lit("P").alias("project"), *(F.lit(None).cast("string").alias(x) for x in ("repository", "mutation_type", "category", "official_task_id")))
-    quality = F.struct(F.lit("repository_pytest_fragment").alias("execution_mode"), F.lit(1).alias("test_count"))
-    two = rows.withColumn("provenance", F.when(F.col("id").isin(str(b), str(c)), project).otherwise(F.col("provenance"))).withColumn("quality", F.when(F.col("id").isin(str(b), str(c)), quality).otherwise(F.col("quality")))
-    apart = splits.withColumn("split", F.when(F.col("id") == str(b), "train").when(F.col("id") == str(c), "test").otherwise(F.col("split")))
-    assert rules((two, apart, exclusions, tasks))["project_in_two_splits"] == {"p"}
+from quarrylight.functions import outcomes, pycode
+from quarrylight.operators import corpus, findings, ledger, records
+
+
+def record(i, **changes):
+    """A sound function record, as a dict with its hash."""
+    reference = f"def f{i}(x):\n    return x + {i}\n"
+    out = {
+        "schema_version": 1, "id": f"r{i}", "task_type": "mutation", "language": "python", "source": {"name": "s"}, "code_under_test": reference.replace("+", "-"), "reference_code": reference, "entry_point": f"f{i}",
+        "specification": "é " + "x" * 3, "tests": [{"code": f"assert f{i}(1) == {i + 1}", "oracle": "reference", "format": "assert"}], "provenance": {"weight": 1.5, "none": None}, "quality": {}, "group_id": pycode.group_identity(reference, f"f{i}"),
+    }
+    out |= changes
+    return {**out, "content_hash": corpus.content_hash(out)}
+
+
+def repository(i, **changes):
+    """A sound repository record."""
+    base = {
+        "task_type": "official_repository_unittest_reproduction", "entry_point": "", "group_id": f"project:bugsinpy:p{i}", "provenance": {"project": f"P{i}", "official_task_id": f"t{i}"},
+        "quality": {"execution_mode": "repository_unittest_fragment", "official_targeted_test_fixed_pass_buggy_fail": True}, "tests": [{"code": "class A:\n    pass\n", "oracle": corpus.TEST_ORACLE, "format": "unittest_fragment"}],
+    }
+    return record(i, **{**base, **changes})
+
+
+def rules(spark, rows, splits=None, exclusions=(), index=(), gate=None):
+    texts = spark.createDataFrame([(r if isinstance(r, str) or r is None else json.dumps(r),) for r in rows], "record string")
+    placed = [(r["id"], "train") for r in rows if isinstance(r, dict)] if splits is None else splits
+    frames = (spark.createDataFrame(placed, "id string, split string"), spark.createDataFrame([(x,) for x in exclusions], "record_id string"), spark.createDataFrame(list(index), "id string, status string, training_record_ids array<string>"))
+    return {(r["rule"], r["id"]) for r in corpus.corpus_violations(texts, *frames, gate).collect()}
+
+
+def test_a_sound_corpus_passes(spark):
+    rows = [record(i) for i in range(4)] + [repository(9)]
+    assert rules(spark, rows, exclusions=["r1"], index=[("t9", corpus.MATERIALISED, ["r9"]), ("t8", corpus.LOCKED[1], None)]) == set()
+    assert rules(spark, [], []) == set()
+
+
+@pytest.mark.parametrize(
+    ("row", "rule"),
+    [
+        (record(1, schema_version=2), "schema_or_language"),
+        (record(1) | {"content_hash": "x"}, "content_hash"),
+        (record(1, reference_code="def ("), "invalid_python"),
+        (record(1, quality={"execution_mode": "other"}), "unknown_mode"),
+        (record(1, entry_point="g", group_id=pycode.group_identity(record(1)["reference_code"], "g")), "entry_point_missing"),
+        (record(1, group_id="x"), "function_group"),
+        (record(1, tests=[]), "no_tests"),
+        (record(1, tests=[{"code": 5}]), "malformed_test"),
+        (record(1, tests=["x"]), "malformed_test"),
+        (record(1, tests=[{"code": "assert ("}]), "test_does_not_compile"),
+        (record(1, tests=[{"code": "return 1"}]), "test_does_not_compile"),
+        (repository(1, task_type="official_repository_pytest_reproduction"), "task_type"),
+        (repository(1, entry_point="f1"), "standalone_entry_point"),
+        (repository(1, quality={"execution_mode": "repository_unittest_fragment"}), "no_evidence"),
+        (repository(1, provenance={"project": "Q"}), "project_group"),
+        (repository(1, tests=[{"code": "x = 1", "oracle": corpus.TEST_ORACLE, "format": "assert"}]), "test_oracle"),
+    ],
+)
+def test_each_rule_of_a_record(spark, row, rule):
+    assert rules(spark, [row, record(5)]) == {(rule, "r1")}
+
+
+def test_records_that_are_none(spark):
+    lacking = {k: v for k, v in record(1).items() if k != "specification"}
+    assert rules(spark, ["[1]", "{", None, lacking], [("r1", "train")]) == {("malformed_record", ""), ("malformed_record", "r1")}
+    swe = repository(2, task_type=corpus.SWEBENCH_TASK, quality={"execution_mode": "repository_pytest_fragment", "official_targeted_test_fixed_pass_buggy_fail": True}, tests=[{"code": "", "oracle": corpus.TEST_ORACLE, "format": "pytest_fragment"}])
+    assert rules(spark, [swe]) == {("swebench_project", "r2")}
+    sound = {**swe, "provenance": {"project": "p2", "repository": "Org/P2"}}
+    assert rules(spark, [{**sound, "content_hash": corpus.content_hash(sound)}]) == set()
+
+
+def test_rules_between_records(spark):
+    a = record(1)
+    layout = record(1, id="s1", code_under_test=a["code_under_test"] + "# a comment\n", specification="é\n  xxx ")
+    assert rules(spark, [a, layout]) == {("repeated_supervision", "r1")}
+    assert rules(spark, [a, layout], gate=corpus.Gate(deduplicated=False)) == set()
+    other = "def f1(x):\n    return x * 1\n"
+    two = record(1, id="s1", reference_code=other, group_id=pycode.group_identity(other, "f1"))
+    assert rules(spark, [a, two]) == {("conflicting_references", "r1")}
+    more_tests = record(1, id="s1", tests=a["tests"] + [{"code": "assert f1(2) == 3", "oracle": "", "format": ""}])
+    assert rules(spark, [a, more_tests], [("r1", "train"), ("s1", "val")]) == {("group_in_two_splits", a["group_id"])}
+    p, q = repository(1), repository(2, group_id="project:bugsinpy:p1", provenance={"project": "p1"})
+    assert rules(spark, [p, q], [("r1", "train"), ("r2", "test")]) == {("group_in_two_splits", "project:bugsinpy:p1"), ("project_in_two_splits", "p1")}
+    assert rules(spark, [a, a], [("r1", "train"), ("r1", "val"), ("x", "new")], ["y", None]) == {
+        ("repeated_id", "r1"), ("repeated_supervision", "r1"), ("split_repeated_id", "r1"), ("split_unknown_id", "x"), ("split_names", "new"), ("exclusion_unknown", "y"), ("exclusion_unknown", ""), ("group_in_two_splits", a["group_id"]),
+    }
+    assert rules(spark, [p], index=[("t1", corpus.LOCKED[0], None)]) == {("locked_task_in_training", "t1")}
+    assert rules(spark, [p], index=[("t1", corpus.MATERIALISED, []), ("t2", corpus.MATERIALISED, []), ("t3", "other", [])]) == {("materialised_ids_differ", "t2")}
+
+
+def test_the_manifest(spark, tmp_path):
+    import hashlib
+
+    files = {n: {"sha256": hashlib.sha256(b"[]\n").hexdigest()} for n in corpus.CORPUS_FILES}
+    for n in files:
+        (tmp_path / n).write_bytes(b"[]\n")
+    manifest = lambda **k: (tmp_path / "manifest.json").write_text(json.dumps({"schema_version": 1, "quality_gate": {"all_training_records_verified": True}, "files": files} | k))
+    found = lambda: {tuple(r) for r in corpus.manifest_violations(spark, str(tmp_path)).collect()}
+    manifest()
+    assert found() == set()
+    manifest(schema_version=2, quality_gate={}, files={**files, "training_exclusions.json": {"sha256": "x"}})
+    assert found() == {("manifest_version", "manifest.json"), ("manifest_unverified", "manifest.json"), ("file_differs", "training_exclusions.json")}
+    manifest(files={})
+    assert {i for r, i in found() if r == "file_differs"} == set(corpus.CORPUS_FILES)
 
 
 def test_a_missing_key_fails_the_lookup(spark):
@@ -57,8 +121,8 @@ def test_empty_and_null_inputs(spark):
     assert ledger.best_and_worst(spark.createDataFrame([("a", 1.0)], none.schema), "k", "m").isEmpty()
     assert tuple(ledger.best_and_worst(spark.createDataFrame([("b", 0.0), ("a", 0.0)], none.schema), "k", "m").first()) == (None, "a", 0.0)
     assert ledger.diverse(none, "k", 5, ["m"]).isEmpty()
-    pairs = spark.createDataFrame([("1", None, None, None)], "id string, golden_code string, mutant_code string, mutation_type string")
-    assert records.pair_audit(pairs).first()["reasons"]
+    pairs = spark.createDataFrame([("1", None, None, None, None, None)], "id string, golden_code string, mutant_code string, mutation_type string, test_cases array<string>, entry_point string")
+    assert tuple(records.pair_audit(pairs).first()) == ("1", "unknown", ["IDENTICAL", "NO_TESTS", "NO_ENTRY"])
 
 
 def test_lengths_are_found_by_doubling():

@@ -40,6 +40,28 @@ def test_guarded_reads(spark, tmp_path):
         sinks.guarded(spark, path, schema, 2)
 
 
+def test_a_crashed_write_is_recovered(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_atomic(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t.before")  # as a crash between the two renames leaves it
+    assert not sinks.exists(spark, path) and sinks.recovered(spark, path) and spark.read.json(path).count() == 3
+    (tmp_path / "t").rename(tmp_path / "t.before")
+    sinks.write_atomic(spark.range(5), path)
+    assert spark.read.json(path).count() == 5 and not (tmp_path / "t.before").exists()
+
+
+def test_lines_of_many_parts_become_an_array(spark, tmp_path):
+    import json
+
+    spark.range(50).selectExpr("to_json(struct(id)) AS value").repartition(5).write.text(str(tmp_path / "lines"))
+    sinks.lines_to_array(spark, str(tmp_path / "lines"), str(tmp_path / "out"))
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    assert sorted(x["id"] for x in json.loads("".join(p.read_text() for p in parts))) == list(range(50))
+    (tmp_path / "empty.jsonl").write_text("\n")
+    sinks.lines_to_array(spark, str(tmp_path / "empty.jsonl"), str(tmp_path / "none"))
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "none").glob("part-*"))) == []
+
+
 def test_lines_become_an_array(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
     sinks.lines_to_array(spark, str(tmp_path / "x.jsonl"), str(tmp_path / "out"))

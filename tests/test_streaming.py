@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from quarrylight.sources.tables import table
 from quarrylight.streaming import events, state
 
@@ -64,12 +68,44 @@ def test_runs_stop_early(spark, tmp_path):
 
 def test_batches_resume_and_replace_themselves(spark, tmp_path):
     source = files(spark, tmp_path, [[(1,)], [(2,)], [(3,)], [(4,)]], "i long")
-    write = state.batch_writer(str(tmp_path / "out"), every=2)
+    out = str(tmp_path / "out")
+    write = state.batch_writer(out, every=3)
     for _ in range(2):  # the second query finds nothing left to do
         q = source.writeStream.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).foreachBatch(write).start()
         q.awaitTermination()
-    write(spark.createDataFrame([(9,)], "i long"), 1)
+    assert [r["batch"] for r in spark.read.parquet(out).select("batch").distinct().collect()] == [2] and spark.read.parquet(out).count() == 3
+    write.flush(spark, 3)
+    rows = lambda: sorted((r["i"], r["batch"]) for r in spark.read.parquet(out).collect())
+    assert len(rows()) == 4 and {i for i, _ in rows()} == {1, 2, 3, 4}
+    one = lambda i: spark.createDataFrame([(i,)], "i long")
+    for _ in range(2):  # a batch that is tried again replaces itself
+        write(one(50), 4)
+        write(one(60), 5)
+    assert [i for i, b in rows() if b == 5 and i >= 50] == [50, 60] and len(rows()) == 6
+
+
+def test_a_folder_belongs_to_one_scope(spark, tmp_path):
+    one = spark.createDataFrame([(1,)], "i long")
+    state.batch_writer(str(tmp_path / "out"), scope="a:1")(one, 0)
+    state.batch_writer(str(tmp_path / "out"), scope="a:1")(one, 1)
+    with pytest.raises(ValueError, match="belongs to a:1"):
+        state.batch_writer(str(tmp_path / "out"), scope="b:1")(one, 2)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
-    write(spark.createDataFrame([(9,)], "i long"), 2)
-    write(spark.createDataFrame([(9,)], "i long"), 2)
-    assert spark.read.parquet(str(tmp_path / "out")).filter("batch = 2").count() == 1
+
+
+def test_the_rest_is_flushed(spark, tmp_path):
+    source = files(spark, tmp_path, [[("a", i) for i in range(10)] + [("b", 1)], [("a", 10), ("a", None)], [("a", 11), ("b", None), ("c", None)]], "k string, i long")
+    got = {(r["key"], r["nth"]): list(r["ids"]) for r in drain(state.buffered(source, "k", "i"), "flushed").collect()}
+    groups = sorted((k, len(v)) for (k, _), v in got.items())
+    assert {x for v in got.values() for x in v} >= set(range(11)) and groups.count(("a", 8)) == 1 and ("b", 1) in groups and not any(k == "c" for k, _ in groups)
+
+
+def test_idle_keys_are_flushed(spark, tmp_path):
+    source = files(spark, tmp_path, [[("a", 1), ("a", 2)]], "k string, i long")
+    q = state.buffered(source, "k", "i", idle_ms=200).writeStream.format("memory").queryName("idle").trigger(processingTime="100 milliseconds").start()
+    for _ in range(100):
+        time.sleep(0.2)
+        if spark.table("idle").count():
+            break
+    q.stop()
+    assert [list(r["ids"]) for r in spark.table("idle").collect()] == [[1, 2]]
