@@ -18,6 +18,8 @@ from quarrylight.llm.common import cut_lineage, read_table, shared_folder
 
 SLOTS = 4096
 SHARDS = 16
+#: Equal rows that share a slot, and the most blocks that equal rows are dealt in.
+COPIES, BLOCKS = 64, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -133,7 +135,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
 
     Size is the text's UTF-8 bytes plus 1; a null text has size 1 and crc 0. A row's slot comes from its doc_id, size and
     crc, so that many texts under one doc_id, or under none, spread over all slots. Equal rows (in all three) are counted
-    before the shuffle and expanded at the end, so that a hot document is never gathered; they share a slot. A null doc_id
+    before the shuffle and expanded at the end, so that a hot document is never gathered; they go in blocks of COPIES rows (of
+    more, if there are more than BLOCKS such blocks), each with a slot of its own, so that they spread too. A null doc_id
     is a key like others. No row is dropped; an empty table gives an empty result and version 2 of the initial map.
     Columns other than doc_id and text are ignored.
     """
@@ -142,7 +145,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
         docs.select(F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
         .groupBy("doc_id", "size", "text_crc32")
         .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("vslot", slot_of("doc_id", "size", "text_crc32", slots=slots))
+        .withColumn("blocks", F.least(F.ceil(F.col("copies") / COPIES), F.lit(BLOCKS)))
+        .withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        .withColumn("copies", F.expr("(block + 1) * copies div blocks - block * copies div blocks"))
+        .withColumn("vslot", F.when(F.col("block") == 0, slot_of("doc_id", "size", "text_crc32", slots=slots)).otherwise(slot_of("doc_id", "size", "text_crc32", "block", slots=slots)))
+        .drop("blocks")
     )
     records = cut_lineage(records)
     load, rows = slot_loads(records, slots)
@@ -152,7 +159,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
         base[s] = first[shard]
         first[shard] += rows[s]
     vslot = F.col("vslot")
-    ahead = Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32", "block").rowsBetween(Window.unboundedPreceding, -1)
     start = F.split(F.lit(",".join(map(str, base))), ",")[vslot].cast("long") + F.coalesce(F.sum("copies").over(ahead), F.lit(0))
     placed = (
         records.withColumn("start", start)

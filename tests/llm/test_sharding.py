@@ -1,6 +1,7 @@
 import zlib
 
 from helpers import awkward, documents, empty
+from pyspark.sql import functions as F
 
 from quarrylight.llm import sharding as S
 
@@ -72,3 +73,14 @@ def test_query_follows_the_stored_map(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     check(rows, [(r["doc_id"], r["text"]) for r in docs])
     assert {r["law"] for r in rows} == {"bytes"} and {r["map_version"] for r in rows} == {2}
+
+
+def test_equal_rows_spread(spark):
+    """Many copies of one row: shards differ by no more than a block of them, and slots stay gapless."""
+    hot = spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("12345678").alias("text"))
+    docs = hot.unionByName(spark.range(3_000).select((F.col("id") + 100).alias("doc_id"), F.concat(F.lit("t"), F.repeat(F.lit("x"), (F.col("id") % 30).cast("int"))).alias("text")))
+    placed, _ = S.shard_documents(docs)
+    rows = placed.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("slot").alias("top"), F.count_distinct("slot").alias("slots")).collect()
+    sizes = [r["bytes"] for r in rows]
+    assert len(rows) == 16 and sum(r["n"] for r in rows) == 53_000 and all(r["top"] + 1 == r["n"] == r["slots"] for r in rows)
+    assert max(sizes) - min(sizes) <= 64 * 9
