@@ -217,18 +217,18 @@ def fit(rows: list[tuple[str, str]], p: LanguageParams) -> LanguageModel | None:
 def training_rows(docs: DataFrame, p: LanguageParams) -> list[tuple[str, str]]:
     """The bounded sample to fit on, from rows with text and lang outside the held-out quarter.
 
-    Rows of each language are counted; a threshold on a hash of the row lets about four times as many pass as are needed, at
+    Distinct rows of each language are counted; a threshold on a hash of the row lets about four times as many pass as are needed, at
     any size of the corpus; repeated rows are one; and only of those are the first taken in hash order. The driver gets one
     number for each language, and the sample.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    own = own.filter("lang IS NOT NULL").filter(~held_out())
-    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()
+    h = F.xxhash64("doc_id", "text")
+    own = own.filter("lang IS NOT NULL AND text IS NOT NULL").filter(~held_out()).withColumn("h", h)
+    sizes = own.select("lang", "doc_id", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()
     if not sizes:
         return []
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * p.rows_each / r["rows"])) for r in sizes], "lang string, share double")
-    h = F.xxhash64("doc_id", "text")
-    likely = own.filter("text IS NOT NULL").withColumn("h", h).join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    likely = own.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
     first = likely.dropDuplicates(["lang", "doc_id", "h"]).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= p.rows_each)
     before = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from helpers import awkward, documents, empty
+from pyspark.sql import functions as F
 
 from quarrylight.llm import languages as L
 
@@ -107,3 +108,13 @@ def test_awkward(spark):
     assert L.identify(empty(spark), shared).count() == 0
     nothing = L.fitted(empty(spark))
     assert {r["lang_pred"] for r in L.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_null_texts_and_copies_do_not_starve_a_language(spark):
+    rows = [(i, f"text number {i} of the language", "aa") for i in range(300)] + [(1000 + i, f"texte numero {i} de la langue", "bb") for i in range(300)]
+    docs = documents(spark, rows)
+    empty_rows = spark.range(60_000).select((F.col("id") + 10_000).alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("aa").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    copies = docs.filter("doc_id = 1").crossJoin(spark.range(20_000)).drop("id")
+    found = L.training_rows(docs.unionByName(empty_rows).unionByName(copies), L.LanguageParams())
+    count = lambda lang: sum(x == lang for _, x in found)
+    assert count("aa") > 200 and count("bb") > 200 and len(set(found)) == len(found)
