@@ -72,6 +72,21 @@ def shapes_for(sizes: Iterable[int]) -> list[tuple[str, int, int]]:
     return [(m, LONG, 1 << 62) for m in MASKS] + [(m, MIDDLE, LONG - 1) for m in MIDDLE_MASKS] + [(m, n, n) for n in short for m in short_masks(n)]
 
 
+#: Hits of one key in one text from which the differences of places are not formed one by one, and hits formed at a time.
+HEAVY, CHUNK = 1 << 14, 1 << 20
+
+
+def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct values of x - y for x in a and y in b (not negative), sorted, in the time of a Fourier transform."""
+    low, top = int(a.min()), int(b.max())
+    size = int(a.max()) - low + top + 1
+    length = 1 << size.bit_length()
+    x, y = np.zeros(length), np.zeros(length)
+    x[a - low] = 1
+    y[top - b] = 1
+    return np.flatnonzero(np.fft.irfft(np.fft.rfft(x) * np.fft.rfft(y), length)[:size] > 0.5) + low - top
+
+
 @dataclass
 class SeedIndex:
     """Benchmark items as tokens, and for each seed the sorted keys with their places and a bitmap of the keys."""
@@ -106,6 +121,30 @@ class SeedIndex:
             seeds.append((chosen, span, keys[order], places[order], bitmap, 64 - bits))
         return SeedIndex(tokens, item, first, size, np.array([i for i, _ in items], np.int64), seeds)
 
+    def _diagonals(self, at: np.ndarray, text: np.ndarray, lo: np.ndarray, n: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+        """Distinct (text, item, place of the item's first word) of hits: at in a text, n places from lo on.
+
+        A key that stands often in a text and often in items would meet itself as often as the product says; where that is
+        much, the differences of its places come from one product of transforms for each item instead.
+        """
+        found = []
+        _, group, times = np.unique(text * (len(places) + 1) + lo, return_inverse=True, return_counts=True)
+        heavy = (times[group] * n) > HEAVY
+        order = np.flatnonzero(heavy)[np.argsort(group[heavy], kind="stable")]
+        for hits in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
+            q = places[lo[hits[0]] : lo[hits[0]] + n[hits[0]]]
+            for i in np.unique(self.item[q]):
+                shifts = differences(at[hits], q[self.item[q] == i] - self.first[i])
+                found.append(np.stack([np.full(len(shifts), text[hits[0]]), np.full(len(shifts), i), shifts], 1))
+        light = np.flatnonzero(~heavy)
+        for part in np.split(light, np.searchsorted(np.cumsum(n[light]), np.arange(CHUNK, int(n[light].sum()), CHUNK))):
+            m = n[part]
+            if m.sum():
+                q = places[np.repeat(lo[part], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+                rows = np.stack([np.repeat(text[part], m), self.item[q], np.repeat(at[part], m) - (q - self.first[self.item[q]])], 1)
+                found.append(np.unique(rows, axis=0) if m.sum() > len(part) else rows)
+        return found
+
     def overlaps(self, tokens: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text's number, item id, first word, words, agreeing words) of verified overlaps in texts that end at `ends`."""
         begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
@@ -114,13 +153,9 @@ class SeedIndex:
             probe = seed_keys(tokens, chosen, span)
             at = np.flatnonzero(bitmap[(probe >> np.uint64(shift)).astype(np.int64)])
             lo, hi = np.searchsorted(keys, probe[at], "left"), np.searchsorted(keys, probe[at], "right")
-            n = hi - lo
-            p = np.repeat(at, n)
-            q = places[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] if n.sum() else np.zeros(0, np.int64)
-            text = np.searchsorted(ends, p, "right")
-            inside = p + span <= ends[np.minimum(text, len(ends) - 1)]
-            i = self.item[q]
-            found.append(np.stack([text, i, p - (q - self.first[i])], 1)[inside])
+            text = np.searchsorted(ends, at, "right")
+            there = (hi > lo) & (at + span <= ends[np.minimum(text, len(ends) - 1)])
+            found += self._diagonals(at[there], text[there], lo[there], (hi - lo)[there], places)
         out = []
         for text, i, shift in np.unique(np.concatenate(found), axis=0).tolist() if found else []:
             a, b = max(0, int(begins[text]) - shift), min(int(self.size[i]), int(ends[text]) - shift)

@@ -101,3 +101,37 @@ def test_rows_of_one_id_are_judged_each_by_its_text(spark, monkeypatch, tokens):
     assert got == [(0, []), (0, [4]), (1, []), (1, []), (1, [0]), (2, [2, 3])]
     kept = D.drop_contaminated(documents(spark, rows), benchmark(spark, items)).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "nothing"), (1, "nothing here"), (1, "nothing here")]
+
+
+def test_repeated_words_cost_no_product_of_places():
+    import time
+
+    index = D.SeedIndex.of([(1, [b"w"] * 800), (2, [b"w", b"v"] * 40)])
+    start = time.process_time()
+    (found,) = D._searched(index, ["w " * 20_000])
+    assert time.process_time() - start < 5
+    assert len({s for i, s, _, _ in found if i == 1}) > 15_000 and {i for i, *_ in found} == {1}
+
+
+def test_differences_of_places():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = np.unique(rng.integers(50, 400, 30)), np.unique(rng.integers(0, 60, 8))
+        assert D.differences(a, b).tolist() == np.unique(a[:, None] - b).tolist()
+
+
+def test_heavy_and_light_keys_find_the_same(monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    words = [b"a", b"b", b"c"]
+    items = [(i, [rng.choice(words) for _ in range(rng.randrange(5, 60))]) for i in range(12)]
+    texts = [" ".join(rng.choice(words).decode() for _ in range(rng.randrange(200))) for _ in range(20)]
+    want = D._searched(D.SeedIndex.of(items), texts)
+    for heavy, chunk in ((0, 1 << 20), (1 << 60, 7), (50, 100)):
+        monkeypatch.setattr(D, "HEAVY", heavy)
+        monkeypatch.setattr(D, "CHUNK", chunk)
+        assert D._searched(D.SeedIndex.of(items), texts) == want
+    assert any(want)
