@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrylight.functions.parts import parts_column
-from quarrylight.operators import candidates, coverage, fragments, mutation, swaps
+from quarrylight.operators import candidates, coverage, fragments, mutation, submissions, swaps
 from quarrylight.plans.catalogue import query
 from quarrylight.sources.tables import table
 
@@ -268,3 +268,42 @@ def coverage_search(spark, d):
     found = coverage.explore(functions.repartition(spark.sparkContext.defaultParallelism), "n_nationkey", "code", "seeds", 20, steps=200, width=50)
     pair = lambda a: F.array(F.floor(a / coverage.ARC).cast("int"), (a % coverage.ARC).cast("int"))
     return found.select("n_nationkey", "lines", F.transform("arcs", pair).alias("branches"))
+
+
+# ---- submissions and commands
+
+_ACTIONS = {"purchase": "submit", "view": "complete", "error": "fail", "click": "cancel", "signup": "promote"}
+_NEXT = "[" + ", ".join("[" + ", ".join(str(-1 if t is None else submissions.STATES.index(t)) for t in submissions.TRANSITIONS[a]) + "]" for a in _ACTIONS.values()) + "]"
+_NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in submissions.STATES) + "]"
+
+
+@query(
+    f"""WITH e AS (SELECT user_id, list(event_id * 10 + CASE event_type {" ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(_ACTIONS))} END ORDER BY event_id) AS l FROM events GROUP BY 1),
+    f AS (SELECT user_id, list_reduce(list_prepend(0::BIGINT, l), lambda a, x: CASE WHEN {_NEXT}[x % 10 + 1][a % 10 + 1] < 0 THEN a + 10 WHEN x % 10 = 0 AND a % 10 <> 1 AND {_NEXT}[1][a % 10 + 1] = 1 THEN (x // 10) * 1000000 + (a % 1000000) // 10 * 10 + 1
+      ELSE a // 10 * 10 + {_NEXT}[x % 10 + 1][a % 10 + 1] END) AS a FROM e)
+    SELECT user_id, {_NAMES_SQL}[a % 10 + 1] AS state, CASE WHEN a >= 1000000 THEN 'c' || (a // 1000000) END AS call, a % 1000000 // 10 AS rejected FROM f"""
+)
+def submission_replay(spark, d):
+    """The state of each user's submission after all events, the call that is open or was last opened, and how many events were not legal."""
+    action = F.create_map(*(F.lit(x) for pair in _ACTIONS.items() for x in pair))[F.col("event_type")]
+    events = table(spark, d, "events").select("user_id", "event_id", action.alias("action"), F.concat(F.lit("c"), "event_id").alias("call"))
+    return submissions.replayed(events, "user_id", ["event_id"], "action", "call").select("user_id", "state", "call", "rejected")
+
+
+@query(
+    """SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN [['python', '-m', 'pytest', 'tests/t' || p_partkey || '.py::case ' || p_size, '-k', 'a"b']] WHEN 1 THEN [['python', '-m', 'unittest', 'pkg.T' || p_partkey], ['python', '-m', 'pytest', '', p_type]]
+    WHEN 2 THEN [['python', '-m', 'pytest', 't' || p_partkey || '.py::A']] END AS commands FROM part"""
+)
+def task_commands(spark, d):
+    """Argument lists of scripts of test commands; scripts of other programs, with pipes or with open quotes have none."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    scripts = [
+        "#!/bin/sh\n\npytest tests/t<k>.py::'case <s>' -k \"a\\\"b\"\n",
+        "python3.7 -m unittest pkg.T<k>\n# done\npy.test '' '<t>'",
+        "tox t<k>.py::A",
+        "pytest t<k>.py | tee log",
+        "make test<k>",
+        "pytest 'open <k>",
+    ]
+    text = F.element_at(F.array(*(_text(x, k=k, s=s, t=F.col("p_type")) for x in scripts)), (s % 6 + 1).cast("int"))
+    return table(spark, d, "part").select(k, submissions.commands(text).alias("commands"))
