@@ -70,9 +70,13 @@ def supervision_keys(record: dict, mode: str, tests: list[str]) -> tuple[str, st
 def facts(text: str | None) -> dict:
     """What a record says of itself. A text that isn't a record with all fields has no facts but its id, if any."""
     try:
-        record = json.loads(text or "")
+        return facts_of(json.loads(text or ""))
     except ValueError:
-        record = None
+        return facts_of(None)
+
+
+def facts_of(record: object) -> dict:
+    """The facts of a parsed record."""
     out: dict = dict.fromkeys(_NAMES)
     if not isinstance(record, dict):
         return {**out, "whole": False}

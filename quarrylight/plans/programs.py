@@ -3,11 +3,13 @@ what must come of them from the same columns."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrylight.functions.parts import parts_column
-from quarrylight.operators import candidates, coverage, fragments, mutation, submissions, swaps
+from quarrylight.operators import audits, candidates, corpus, coverage, fragments, mutation, submissions, swaps
 from quarrylight.plans.catalogue import query
 from quarrylight.sources.tables import table
 
@@ -307,3 +309,65 @@ def task_commands(spark, d):
     ]
     text = F.element_at(F.array(*(_text(x, k=k, s=s, t=F.col("p_type")) for x in scripts)), (s % 6 + 1).cast("int"))
     return table(spark, d, "part").select(k, submissions.commands(text).alias("commands"))
+
+
+# ---- audits
+
+_FAULTS = {1: "fingerprint", 2: "adapter", 3: "split", 4: "test_split_unused", 5: "seed", 6: "tests_per_function", 7: "function_kill_rate", 8: "candidate_kill_rate", 9: "function_count", 10: "function_scope", 11: "repository_count"}
+
+
+@query(f"SELECT p_partkey, CASE p_size % 13 {' '.join(f'''WHEN {k} THEN ['{v}']''' for k, v in _FAULTS.items())} WHEN 12 THEN ['{_FAULTS[5]}', '{_FAULTS[9]}'] ELSE []::VARCHAR[] END AS faults FROM part")
+def result_conditions(spark, d):
+    """The conditions that stored validation results, made of parts, fail before they may be compared with."""
+    k = F.col("p_size") % 13
+    at = lambda *places: k.isin(*places)
+    rate = F.round(F.col("p_size") / 100, 2)
+    fields = F.struct(
+        F.when(at(1), "other").otherwise("corpus").alias("dataset_fingerprint"), F.when(at(2), "base").otherwise("sft_adapter").alias("adapter"), F.when(at(3), "test").otherwise("val").alias("evaluation_split"), at(4).alias("final_test_measurement"),
+        F.when(at(5, 12), F.col("p_partkey") + 100).otherwise(42).alias("seed"), F.when(at(6), 7).otherwise(8).alias("tests_per_function"), F.when(at(7), rate + 1.01).otherwise(rate).alias("function_kill_rate"), F.when(~at(8), rate).alias("candidate_kill_rate"),
+        F.when(at(9, 12), 1).otherwise(2).alias("function_validation_records"), F.when(at(10), "stale").alias("evaluation_scope_sha256"), F.when(at(11), 0).otherwise(3).alias("repository_validation_records_held"),
+    )
+    expected = audits.Expected("corpus", function_ids=("a", "b"), repository_records=3)
+    return table(spark, d, "part").select("p_partkey", audits.result_faults(F.to_json(fields), expected).alias("faults"))
+
+
+_IDENTITY = {"dataset": "d", "split": "test", "source_parquet_sha256": "s"}
+_REPOSITORY = {
+    "schema_version": 1, "id": "r<k>", "task_type": "official_repository_swebench_reproduction", "language": "python", "source": {}, "group_id": "project:bugsinpy:p", "code_under_test": "def f():\n    return <c>\n",
+    "reference_code": "def f():\n    return <s>\n", "entry_point": "", "specification": "", "tests": [{"code": "assert f() == <t>"}], "quality": {"execution_mode": "repository_pytest_fragment"},
+    "provenance": {"fail_to_pass": ["a"], "pass_to_pass": [], "official_test_evidence": {"buggy_fail_verified": True, "fixed_pass_verified": True, "base_log_sha256": "b<k>", "fixed_log_sha256": "f<k>",
+        "base_counts": {"f2p_failure": 1, "f2p_success": 0, "p2p_failure": 0, "p2p_success": 0}, "fixed_counts": {"f2p_failure": 0, "f2p_success": 1, "p2p_failure": 0, "p2p_success": 0}}},
+}
+_ROUTES = """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 3 AS s, o_orderkey % 5 AS t, o_orderkey % 17 AS fault FROM orders), v AS (SELECT * FROM o WHERE fault > 3), b AS (SELECT c_custkey AS c, c_custkey % 3 AS s, c_custkey % 5 AS t FROM customer WHERE c_custkey % 4 = 0),
+x AS (SELECT v.*, b.c IS NOT NULL AS known, b.c IS NOT NULL AND v.s = b.s AND v.t = b.t AS same, CASE WHEN b.c IS NOT NULL THEN v.s = b.s ELSE v.s = first_value(v.s) OVER (PARTITION BY v.c ORDER BY v.k) END AS fits FROM v LEFT JOIN b USING (c)),
+y AS (SELECT *, min(k) FILTER (fits AND NOT same) OVER (PARTITION BY c, s, t) AS taker FROM x),
+z AS (SELECT k, CASE WHEN same THEN 'duplicate_semantic_supervision_baseline' WHEN taker < k THEN 'duplicate_semantic_supervision_selected_results' WHEN NOT fits THEN 'conflicting_semantic_supervision' END AS audit FROM y)
+SELECT k AS nth, CASE fault WHEN 0 THEN 'invalid' WHEN 1 THEN 'invalid' WHEN 2 THEN 'excluded' WHEN 3 THEN 'invalid' ELSE CASE WHEN audit IS NULL THEN 'accepted' ELSE 'audit_excluded' END END AS route,
+CASE fault WHEN 0 THEN 'source_identity' WHEN 1 THEN 'record_schema_or_hash' WHEN 2 THEN 'excluded in ' || k WHEN 3 THEN 'evidence_logs' ELSE audit END AS reason FROM o LEFT JOIN z USING (k)"""
+
+
+@query(_ROUTES)
+def result_audit(spark, d):
+    """Result payloads made of orders, one prompt for each customer, against a corpus that holds one record of every fourth."""
+    canonical = lambda record: json.dumps(record, sort_keys=True, separators=(",", ":"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    fault = k % 17
+    whole = _text(canonical(_REPOSITORY), k=k, c=c, s=k % 3, t=k % 5)
+    hashed = F.concat(F.lit('{"content_hash":"'), F.when(fault == 1, "stale").otherwise(F.sha2(whole, 256)), F.lit('",'), F.substring(whole, F.lit(2), F.length(whole)))
+    head = _text('{"schema_version":1,"source_identity":<identity>,"summary":{"instance_id":"i<k>","status":"<status>"<reason>},"record":', k=k, status=F.when(fault == 2, "excluded").otherwise("accepted"), reason=F.when(fault == 2, F.concat(F.lit(',"reason":"excluded in '), k, F.lit('"'))).otherwise(""), identity=F.when(fault == 0, "{}").otherwise(_text(canonical({**_IDENTITY, "instance_id": "i<k>"}), k=k)))
+    payloads = table(spark, d, "orders").select(k.alias("nth"), F.concat(head, F.when(fault == 2, "null").otherwise(hashed), F.lit("}")).alias("payload"))
+    kept = _text(canonical(_REPOSITORY), k=F.lit(0), c=F.col("c_custkey"), s=F.col("c_custkey") % 3, t=F.col("c_custkey") % 5)
+    record = F.concat(F.lit('{"content_hash":"","unused":0,'), F.substring(kept, F.lit(2), F.length(kept)))
+    baseline = corpus.record_facts(table(spark, d, "customer").filter("c_custkey % 4 = 0").select(record.alias("record"))).select(F.col("id").alias("record_id"), "prompt_key", "supervision_key", "reference_key")
+    logs = table(spark, d, "orders").select(F.concat(F.lit("i"), k).alias("instance_id"), F.concat(F.lit("b"), k).alias("base"), F.when(fault == 3, "changed").otherwise(F.concat(F.lit("f"), k)).alias("fixed"))
+    return audits.audited_results(payloads.repartition(spark.sparkContext.defaultParallelism), baseline, logs, _IDENTITY, F.length, 1000).select("nth", "route", "reason")
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'golden_fixture_failure' WHEN s_nationkey % 4 = 0 THEN 'surviving_mutant' ELSE 'ok' END AS reason FROM supplier")
+def behaviour_filter(spark, d):
+    """Pairs made of suppliers: tests that the golden code fails, mutants that no test kills, and sound pairs."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    code = lambda by: _text("def f(x):\n    return x * <k> + <by>\n", k=k % 13, by=by)
+    tests = F.array(_text("assert f(2) == <v>", v=(k % 13) * 2 + n), _text("assert f(0) == <v>", v=n + F.when(k % 5 == 0, 1).otherwise(0)))
+    pairs = table(spark, d, "supplier").select(k.alias("id"), code(n).alias("golden_code"), F.when(n % 4 == 0, code(n)).otherwise(code(n + 1)).alias("mutant_code"), tests.alias("test_cases"))
+    return audits.behaving(pairs.repartition(spark.sparkContext.defaultParallelism))
