@@ -17,7 +17,7 @@ def strict_lookup(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     joined = df.join(lookup.withColumn("_there", F.lit(True)), key, "left")
     message = F.concat(F.lit(f"no {key} "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")), F.lit(" in the lookup"))
     sure = lambda c: F.when(F.col("_there"), F.col(c)).otherwise(F.raise_error(message).cast(joined.schema[c].dataType))
-    return joined.select(*df.columns, *(sure(c).alias(c) for c in there))
+    return joined.select(*(sure(c).alias(c) if c == key else F.col(c) for c in df.columns), *(sure(c).alias(c) for c in there))
 
 
 def merge_sources(sources: list[DataFrame], key: str, volatile: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -41,6 +41,14 @@ def requested(ids: DataFrame, known: DataFrame, key: str, place: str) -> DataFra
     return first.join(known.select(key).distinct().withColumn("known", F.lit(True)), key, "left").select(key, place, F.coalesce("known", F.lit(False)).alias("known"))
 
 
+def selected(ids: DataFrame, known: DataFrame, key: str, place: str) -> DataFrame:
+    """The requested ids, each once, in the order of their first places. One that isn't known fails the query where it is met."""
+    found = requested(ids, known, key, place)
+    message = F.concat(F.lit(f"unknown {key} "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
+    sure = F.when(F.col("known"), F.col(place)).otherwise(F.raise_error(message).cast(found.schema[place].dataType))
+    return found.select(key, sure.alias(place)).orderBy(place)
+
+
 def audited_payloads(audit: DataFrame, payloads: DataFrame, key: str, count: str) -> DataFrame:
     """Audit rows whose recorded count is not that of their payload rows, either side missing included."""
     own = payloads.groupBy(key).agg(F.count(F.lit(1)).alias("payloads"))

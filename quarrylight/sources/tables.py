@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylight import schemas
 from quarrylight.functions.code_text import category, complexity
+from quarrylight.operators.ledger import strict_lookup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,8 +112,9 @@ def split_rows(splits: DataFrame) -> DataFrame:
 
 
 def split_records(records: DataFrame, splits: DataFrame, split: str) -> DataFrame:
-    """The records of a split in its own order."""
-    return split_rows(splits).filter(F.col("split") == split).join(records, F.col("record_id") == records["id"]).orderBy("pos").drop("record_id", "split")
+    """The records of a split in its own order. An id without a record fails the query where it is met."""
+    ids = split_rows(splits).filter(F.col("split") == split).select("pos", F.col("record_id").alias("id"))
+    return strict_lookup(ids, records, "id").orderBy("pos").select(*records.columns, "pos")
 
 
 def write_once(df: DataFrame, path: str) -> None:

@@ -115,6 +115,13 @@ def test_a_missing_key_fails_the_lookup(spark):
         ledger.strict_lookup(left, right, "k").collect()
 
 
+def test_unknown_ids_fail_a_selection(spark):
+    ids, known = spark.createDataFrame([("b", 0), ("a", 1), ("b", 2)], "id string, n int"), spark.createDataFrame([("a",), ("b",)], "id string")
+    assert [r["id"] for r in ledger.selected(ids, known, "id", "n").collect()] == ["b", "a"]
+    with pytest.raises(Exception, match="unknown id b"):
+        ledger.selected(ids, known.filter("id = 'a'"), "id", "n").collect()
+
+
 def test_empty_and_null_inputs(spark):
     none = spark.createDataFrame([], "k string, m double")
     assert ledger.best_and_worst(none, "k", "m").isEmpty()

@@ -43,6 +43,8 @@ def test_split_order_is_kept(spark):
     splits = spark.createDataFrame([(["b", "a"], ["c"], [])], schemas.SPLITS)
     records = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     assert [r["id"] for r in tables.split_records(records, splits, "train").collect()] == ["b", "a"]
+    with pytest.raises(Exception, match="no id b in the lookup"):
+        tables.split_records(records.filter("id <> 'b'"), splits, "train").collect()
 
 
 def test_write_once(spark, tmp_path):
