@@ -12,7 +12,8 @@ shingles that share bits, or because all of them are of one component. Pairs of
 
 Links are found in two rounds. The first takes few shingles of each prefix and confirms a forest of the pairs that each tree
 leaves; near copies are then one component. The second takes all prefixes, but only buckets that still hold several
-components, and confirms what the trees leave across components, with full sets fetched once for each cell of a bucket.
+components. There, rows that the trees leave a partner of another component are looked at again by finer bitmaps, and those
+that still have one bring their full sets to the cell, where pairs across components are confirmed.
 """
 
 from __future__ import annotations
@@ -309,23 +310,26 @@ def _forests(p: JaccardJoin):
     return propose
 
 
-#: A cell with more likely pairs than this for each of its rows is dense.
-DENSE = 64
-
-
-def _partners(p: JaccardJoin):
-    """The likely pairs across components of each cell. A dense cell names its rows instead, each with itself, and its pairs are
-    tested where its sets are."""
+def _partners(p: JaccardJoin, fine: bool):
+    """(gid, rep) of the rows that may have a partner of another component in their cell: by the trees, or, for rows that carry
+    them, by bitmaps as fine as the sets ask for. A pair is only looked at while one of its rows has no partner yet."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches, "gid"):
-            gid, rep = np.asarray(batch.column("gid")), np.asarray(batch.column("rep"))
-            for s, e, i, j in _trees(batch, p, across=True):
-                _, of, rows = np.unique(gid[s:e], return_inverse=True, return_counts=True)
-                dense = (np.bincount(of[i], minlength=len(rows)) > DENSE * rows)[of[i]] if len(i) else np.zeros(0, bool)
-                seen = s + np.unique(np.concatenate([i[dense], j[dense]]))
-                i, j = s + i[~dense], s + j[~dense]
-                yield _pairs(np.concatenate([gid[i], gid[seen]]), np.concatenate([rep[i], rep[seen]]), np.concatenate([rep[j], rep[seen]]))
+            seen = np.zeros(batch.num_rows, bool)
+            n = np.asarray(batch.column("n")).tolist()
+            held = batch.column("fine").to_pylist() if fine else []
+            coarse = batch.column("bits").to_pylist() if fine else []
+            for s, _, i, j in _trees(batch, p, across=True):
+                if not fine:
+                    seen[s + i] = seen[s + j] = True
+                    continue
+                for x, y in zip((s + i).tolist(), (s + j).tolist(), strict=True):
+                    if seen[x] and seen[y]:
+                        continue
+                    if (held[x] is None and held[y] is None) or may_link(n[x], held[x] or coarse[x], n[y], held[y] or coarse[y], p.percent):
+                        seen[x] = seen[y] = True
+            yield batch.select(["gid", "rep"]).filter(pa.array(seen))
 
     return find
 
@@ -455,12 +459,12 @@ def jaccard_join(docs: DataFrame, params: JaccardJoin | None = None) -> DataFram
     cells = cut_lineage(_cells(named.join(split, "bkey"), p))
     release(spark)
     marked = cells.join(reps, "rep").select("gid", "rep", "n", "comp", "stray", "bits")
-    met = cut_lineage(marked.repartition("gid").sortWithinPartitions("gid", "n").mapInArrow(_partners(p), "gid long, a long, b long"))
-    links = links.unionByName(cut_lineage(verified(_screened(met.filter("a <> b"), classes, p), docs, p, shingle_sets)))
+    met = cut_lineage(marked.repartition("gid").sortWithinPartitions("gid", "n").mapInArrow(_partners(p, fine=False), "gid long, rep long").distinct())
+    finer = marked.join(met, ["gid", "rep"], "left_semi").join(classes.select("rep", "n", "fine"), ["rep", "n"]).select(*marked.columns, "fine")
+    met = cut_lineage(finer.repartition("gid").sortWithinPartitions("gid", "n").mapInArrow(_partners(p, fine=True), "gid long, rep long").distinct())
     release(spark)
-    dense = met.filter("a = b").select("gid", F.col("a").alias("rep")).distinct()
-    sets = _shingles_of(_texts_of(docs, cut_lineage(dense.select(F.col("rep").alias("doc_id")).distinct())), p).dropDuplicates(["rep", "shingles"])
-    crossing = marked.join(dense, ["gid", "rep"], "left_semi").join(sets, ["rep", "n"]).repartition("gid").sortWithinPartitions("gid", "n")
+    sets = _shingles_of(_texts_of(docs, cut_lineage(met.select(F.col("rep").alias("doc_id")).distinct())), p).dropDuplicates(["rep", "shingles"])
+    crossing = marked.join(met, ["gid", "rep"], "left_semi").join(sets, ["rep", "n"]).repartition("gid").sortWithinPartitions("gid", "n")
     across = cut_lineage(crossing.mapInArrow(_crossings(p), "a long, b long").distinct())
     release(spark)
 
