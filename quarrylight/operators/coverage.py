@@ -3,6 +3,7 @@ search for calls that reach more."""
 
 from __future__ import annotations
 
+import ast
 import json
 import random
 import re
@@ -232,3 +233,64 @@ def explore(functions: DataFrame, ident: str, code: str, seeds: str, n: int, ste
             break
     tests = F.transform(F.slice("corpus", 1, n), lambda c: assertion(c["call"], c["ok"], c["value"]))
     return state.select(ident, F.array_sort("lines").alias("lines"), F.array_sort("arcs").alias("arcs"), tests.alias("tests"))
+
+
+# ---- branches that calls leave out
+
+
+def possible_branches(source: str | None, entry_point: str | None) -> list[int]:
+    """The branches (from * ARC + to) that a function's tests and loops can take from one line to another, sorted.
+
+    A way that leaves the function, and one to another statement of the same line, is no branch, as no line is seen there.
+    """
+    try:
+        tree = ast.parse(source or "")
+    except (SyntaxError, ValueError):
+        return []
+    function = next((n for n in tree.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and n.name == entry_point), None)
+    found: set[tuple[int, int | None]] = set()
+
+    def walk(block: list[ast.stmt], after: int | None, loop: tuple[int | None, int | None]) -> None:
+        """after: the line that follows the block; loop: the lines that continue and break lead to."""
+        for i, s in enumerate(block):
+            follows = block[i + 1].lineno if i + 1 < len(block) else after
+            if isinstance(s, (ast.If, ast.While, ast.For, ast.AsyncFor)):
+                back = s.lineno if not isinstance(s, ast.If) else follows
+                inner = (s.lineno, follows) if not isinstance(s, ast.If) else loop
+                found.add((s.lineno, s.body[0].lineno))
+                found.add((s.lineno, s.orelse[0].lineno if s.orelse else follows))
+                walk(s.body, back, inner)
+                walk(s.orelse, follows, loop)
+            elif isinstance(s, (ast.With, ast.AsyncWith)):
+                walk(s.body, follows, loop)
+            elif isinstance(s, ast.Try):
+                end = s.finalbody[0].lineno if s.finalbody else follows
+                walk(s.body, s.orelse[0].lineno if s.orelse else end, loop)
+                for part in (s.orelse, *(h.body for h in s.handlers)):
+                    walk(part, end, loop)
+                walk(s.finalbody, follows, loop)
+            elif isinstance(s, ast.Match):
+                for case in s.cases:
+                    walk(case.body, follows, loop)
+
+    if function:
+        walk(function.body, None, (None, None))
+    return sorted(a * ARC + b for a, b in found if b is not None and a != b)
+
+
+def branches_column(source: str, entry_point: str) -> Column:
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for sources, entries in batches:
+            yield pd.Series([possible_branches(s, e) for s, e in zip(sources, entries, strict=True)])
+
+    return F.pandas_udf(find, "array<long>")(source, entry_point)
+
+
+def branch_coverage(functions: DataFrame, ident: str, code: str, entry_point: str, calls: str, timeout: float = 0.5) -> DataFrame:
+    """(ident, branches, reached, missing): how many branches a function has, how many its calls take, and those that none takes,
+    as (from, to) lines in order. A function without branches misses none."""
+    ran = functions.select(ident, branches_column(code, entry_point).alias("_all"), runs_column(code, calls, timeout).alias("_runs"))
+    taken = F.array_distinct(F.flatten(F.transform("_runs", lambda r: r["arcs"])))
+    pair = lambda a: F.struct(F.floor(a / ARC).cast("int").alias("from"), (a % ARC).cast("int").alias("to"))
+    missing = F.array_sort(F.array_except("_all", taken))
+    return ran.select(ident, F.size("_all").alias("branches"), (F.size("_all") - F.size(missing)).alias("reached"), F.transform(missing, pair).alias("missing"))

@@ -371,3 +371,16 @@ def behaviour_filter(spark, d):
     tests = F.array(_text("assert f(2) == <v>", v=(k % 13) * 2 + n), _text("assert f(0) == <v>", v=n + F.when(k % 5 == 0, 1).otherwise(0)))
     pairs = table(spark, d, "supplier").select(k.alias("id"), code(n).alias("golden_code"), F.when(n % 4 == 0, code(n)).otherwise(code(n + 1)).alias("mutant_code"), tests.alias("test_cases"))
     return audits.behaving(pairs.repartition(spark.sparkContext.defaultParallelism))
+
+
+@query(
+    """SELECT s_suppkey, 6 AS branches, 6 - len(m) AS reached, m AS missing FROM (SELECT s_suppkey, list_filter([[3, 4], [3, 6], [4, 3], [4, 5], [6, 7], [6, 8]],
+    lambda b: CASE WHEN b = [3, 4] OR b = [4, 3] THEN s_suppkey % 4 = 0 WHEN b = [4, 5] THEN s_suppkey % 4 < 3 WHEN b = [6, 7] THEN s_suppkey % 4 <> 1 WHEN b = [6, 8] THEN s_suppkey % 4 = 1 ELSE false END) AS m FROM supplier)"""
+)
+def branch_coverage(spark, d):
+    """Branches of a loop and two tests that one call leaves out; how often it goes round follows the supplier's key."""
+    k = F.col("s_suppkey")
+    code = _text("def f(n):\n    total = <k>\n    for i in range(n):\n        if i == 2:\n            total += 1\n    if n == 1:\n        total = 0\n    return total\n", k=k)
+    functions = table(spark, d, "supplier").select(k, code.alias("code"), F.lit("f").alias("entry"), F.array(_text("f(<n>)", n=k % 4)).alias("calls"))
+    found = coverage.branch_coverage(functions.repartition(spark.sparkContext.defaultParallelism), "s_suppkey", "code", "entry", "calls")
+    return found.withColumn("missing", F.transform("missing", lambda b: F.array(b["from"], b["to"])))

@@ -176,3 +176,47 @@ def test_changes_keep_calls_calls():
     call = 'result = f(-3, [1, 2], "a", True, x1)'
     made = {V.varied(call, rng) for _ in range(300)}
     assert call in made and len(made) > 40 and all("x1" in c for c in made)
+
+
+BRANCHING = '''def f(n, m):
+    total = 0
+    for i in range(n):
+        if i == m:
+            break
+        elif i > 3:
+            total += 2
+            continue
+        total += 1
+    while total > 10:
+        total -= 5
+    else:
+        total += 0
+    try:
+        total = 1 // m
+    except ZeroDivisionError:
+        if n:
+            total = -1
+    with_else = 0
+    if total: with_else = 1
+    else:
+        with_else = 2
+    return with_else
+'''
+
+
+def test_branches_are_those_that_runs_can_take():
+    possible = set(V.possible_branches(BRANCHING, "f"))
+    rng = random.Random(1)
+    runs = V.run_calls(BRANCHING, [f"f({rng.randrange(12)}, {rng.randrange(20)})" for _ in range(120)])
+    taken = {a for r in runs for a in r["arcs"]}
+    lines = {a // V.ARC for a in possible}
+    assert lines == {3, 4, 6, 10, 17, 20} and possible <= taken
+    assert {a for a in taken if a // V.ARC in lines} - possible <= {20 * V.ARC + 23, 3 * V.ARC + 10}
+    assert V.possible_branches("def (", "f") == V.possible_branches(None, None) == V.possible_branches("x = 1", "f") == []
+
+
+def test_missing_branches(spark):
+    code = "def f(x):\n    if x > 1:\n        return 1\n    if x < 0:\n        x = 0\n    return x\n"
+    df = spark.createDataFrame([(1, code, "f", ["f(0)"]), (2, code, "f", ["f(2)", "f(-1)", "f(0)"]), (3, "def f():\n    return 1\n", "f", []), (4, None, None, None)], "id int, code string, entry string, calls array<string>")
+    got = {r["id"]: (r["branches"], r["reached"], [tuple(m) for m in r["missing"]]) for r in V.branch_coverage(df, "id", "code", "entry", "calls").collect()}
+    assert got == {1: (4, 2, [(2, 3), (4, 5)]), 2: (4, 4, []), 3: (0, 0, []), 4: (0, 0, [])}
