@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrylight.functions.parts import parts_column
-from quarrylight.operators import audits, candidates, corpus, coverage, fragments, mutation, submissions, swaps
+from quarrylight.operators import audits, candidates, corpus, coverage, fragments, mutation, preflight, submissions, swaps
 from quarrylight.plans.catalogue import query
 from quarrylight.sources.tables import table
 
@@ -384,3 +384,24 @@ def branch_coverage(spark, d):
     functions = table(spark, d, "supplier").select(k, code.alias("code"), F.lit("f").alias("entry"), F.array(_text("f(<n>)", n=k % 4)).alias("calls"))
     found = coverage.branch_coverage(functions.repartition(spark.sparkContext.defaultParallelism), "s_suppkey", "code", "entry", "calls")
     return found.withColumn("missing", F.transform("missing", lambda b: F.array(b["from"], b["to"])))
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey AS id, o_orderpriority = '1-URGENT' AS real, o_orderkey % 3 AS n, 'p' || (o_custkey % 50) AS prompt, floor(o_totalprice)::BIGINT % 40 AS size FROM orders),
+    w AS (SELECT id, real, prompt, unnest(list_transform(range(n), lambda i: repeat('x', (size + i * 7)::INT))) AS c FROM p), k AS (SELECT DISTINCT real, prompt, c FROM w WHERE length(c) <= CASE WHEN real THEN 40 ELSE 25 END),
+    c AS (SELECT (SELECT count(*) FROM p) AS selected, (SELECT count(*) FROM p WHERE real) AS repository_selected, (SELECT count(*) FROM p WHERE n = 0) AS without_winner, (SELECT count(*) FROM w) AS winners, (SELECT count(*) FROM w WHERE length(c) > CASE WHEN real THEN 40 ELSE 25 END) AS over_limit,
+      (SELECT count(*) FROM k WHERE NOT real) AS synthetic, (SELECT count(*) FROM k WHERE real) AS repository, 0 AS overflows), e AS (SELECT *, greatest(synthetic, least(ceil(synthetic * 1.25)::BIGINT, synthetic * 2)) AS effective_synthetic FROM c),
+    f AS (SELECT *, winners - over_limit - synthetic - repository AS repeats, greatest(repository, least(ceil(effective_synthetic * 0.5 / 0.5)::BIGINT, repository * 3)) AS effective_repository FROM e), g AS (SELECT *, ceil((effective_synthetic + effective_repository) / 32.0)::BIGINT * 3 AS optimizer_steps FROM f)
+    SELECT 'count' AS kind, name, value::BIGINT AS value FROM (UNPIVOT g ON selected, repository_selected, without_winner, winners, over_limit, synthetic, repository, overflows, repeats, effective_synthetic, effective_repository, optimizer_steps INTO NAME name VALUE value)
+    UNION ALL SELECT 'gate', unnest(['corpus_verified', 'locked_train_readiness', 'verified_supervision_exclusions_accounted', 'verified_synthetic_supervision_present', 'generation_compatible_supervision_present', 'zero_sequence_overflows', 'minimum_monitor_schedule_reached', 'repository_supervision_present', 'real_fraction_target_reached']),
+      unnest([1, 0, (without_winner = 0)::INT, (synthetic > 0)::INT, (effective_synthetic + effective_repository > 0)::INT, 1, (optimizer_steps >= 150)::INT, (repository > 0)::INT, (effective_repository * 1.0 / (effective_synthetic + effective_repository) + 1e-12 >= 0.5)::INT]) FROM g"""
+)
+def preflight_gates(spark, d):
+    """The counts of every stage of a dry run over pairs made of orders, and its nine gates."""
+    k = F.col("o_orderkey")
+    size = (F.floor("o_totalprice") % 40).cast("int")
+    winners = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.repeat(F.lit("x"), size + i * 7))
+    mode = F.when(F.col("o_orderpriority") == "1-URGENT", "repository_pytest_fragment").otherwise("function_assertion")
+    pairs = table(spark, d, "orders").select(k.alias("id"), mode.alias("mode"), F.col("o_orderpriority").alias("project"), F.col("o_custkey").cast("string").alias("group"), F.concat(F.lit("p"), F.col("o_custkey") % 50).alias("prompt"), F.slice(winners, 1, (k % 3).cast("int")).alias("winners"))
+    run = preflight.Run(completion_limit=25, repository_limit=40, synthetic_balance=0.25, real_fraction=0.5)
+    return preflight.dry_run(pairs, run, F.length, corpus_verified=True, locked_ready=False, excluded=0).report()
