@@ -68,9 +68,35 @@ def credit_failure(message: Column, remaining: Column, reserve: float) -> Column
     return F.coalesce(message.rlike(CREDIT), F.lit(False)) | F.coalesce(remaining <= reserve, F.lit(False))
 
 
-def training_scope(limit: Column, stage: Column, mode: Column) -> Column:
-    """The fingerprint of what a run trains on."""
-    return F.concat_ws(":", F.concat(F.lit("pairs="), F.coalesce(limit.cast("string"), F.lit("all"))), F.concat(F.lit("sft="), stage.cast("string")), F.concat(F.lit("mode="), F.coalesce(mode, F.lit("all"))))
+# How a prompt is made shorter, and what a run's numbers are where they aren't recorded.
+COMPACTION = "head_tail_preserve_chat_suffix_v1"
+RUN_DEFAULTS = {"balanced_sampling_enabled": "false", "synthetic_balance_fraction": "0.0", "max_synthetic_repeats": "2", "lr_scheduler_type": "cosine", "min_function_kill_rate": "0.5"}
+
+
+def training_scope(limit: Column, stage: Column, mode: Column, completion: int = 1536, prompt: int = 512, generation: int = 128, repository: int = 1024) -> Column:
+    """What the supervised stage of a run trains on, as text. A bound on pairs counts only where that stage runs; null or 0 is no bound."""
+    bound = F.when(stage & (limit > 0), limit)
+    scope = F.coalesce(F.concat(F.lit("first_"), bound.cast("string"), F.lit("_train_records:bounded_selection=stratified_generation_compatible_v2")), F.lit("full_train_split"))
+    fields = [
+        ("execution_mode", F.coalesce(F.nullif(mode, F.lit("")), F.lit("all"))), ("repository_completion_limit", F.lit(str(completion))), ("prompt_token_limit", F.lit(str(prompt))), ("prompt_compaction", F.lit(COMPACTION)),
+        ("generation_completion_limit", F.lit(str(generation))), ("repository_generation_completion_limit", F.lit(str(repository))),
+    ]
+    return F.concat_ws(":", scope, *(F.concat(F.lit(f"{n}="), v) for n, v in fields))
+
+
+def dataset_fingerprint(corpus: Column, scope: Column, frozen: Column, stage: Column) -> Column:
+    """The fingerprint of a corpus and a scope; where the supervised stage doesn't run, the frozen one that is on record, which
+    must be of the same corpus (another one raises). corpus is `<id>:<schema version>:<records' digest>:<splits' digest>:`."""
+    kept = F.trim(frozen, F.lit(" \t\r\n"))
+    foreign = F.raise_error(F.concat(F.lit("the recorded fingerprint is of another corpus: "), kept)).cast("string")
+    return F.when(stage | frozen.isNull(), F.concat(corpus, F.lit("sft_scope="), scope)).otherwise(F.when(kept.startswith(corpus), kept).otherwise(foreign))
+
+
+def with_run_defaults(recorded: Column) -> Column:
+    """A run's recorded numbers (map of strings) with defaults for those that older runs didn't record."""
+    given = F.coalesce(recorded, F.create_map().cast("map<string,string>"))
+    defaults = F.create_map(*(F.lit(x) for pair in RUN_DEFAULTS.items() for x in pair))
+    return F.map_concat(given, F.map_filter(defaults, lambda k, _: ~F.map_contains_key(given, k)))
 
 
 def selector_parts(selector: Column) -> Column:

@@ -95,3 +95,23 @@ def first_rewrites(functions: DataFrame, ident: str, code: str, rules: list[tupl
     """(ident, type, mutant): each literal rule (old, new, type) at the first place where it applies; none where it doesn't."""
     made = F.array(*(F.when(F.locate(old, F.col(code)) > 0, F.struct(F.lit(kind).alias("type"), F.expr(f"overlay(`{code}` PLACING '{new}' FROM locate('{old}', `{code}`) FOR {len(old)})").alias("mutant"))) for old, new, kind in rules))
     return functions.select(ident, F.inline(F.array_compact(made)))
+
+
+# Patterns of which the first match is replaced.
+FIRST_RULES = (
+    ("==", "!="), ("!=", "=="), (">=", ">"), ("<=", "<"), (">", ">="), ("<", "<="), (r"\+", "-"), ("-", "+"), (r"\*", "/"), ("/", "*"), ("True", "False"), ("False", "True"), ("and", "or"), ("or", "and"), ("return ", "return None  # "),
+)
+
+
+def synthetic_mutants(functions: DataFrame, ident: str, code: str, count: int = len(FIRST_RULES)) -> DataFrame:
+    """(id, ident, number, type, mutant): each of the first `count` patterns at its first match; none where it has no match."""
+    text = F.col(code)
+
+    def made(i: int, pattern: str, new: str) -> Column:
+        at = F.regexp_instr(text, F.lit(pattern))
+        length = len(pattern.replace("\\", ""))
+        mutant = F.concat(F.substring(text, F.lit(1), at - 1), F.lit(new), F.substring(text, at + length, F.length(text)))
+        return F.when(at > 0, F.struct(F.lit(i).alias("number"), F.lit(f"{pattern} -> {new}").alias("type"), mutant.alias("mutant")))
+
+    rows = functions.select(ident, F.inline(F.array_compact(F.array(*(made(i + 1, p, r) for i, (p, r) in enumerate(FIRST_RULES[:count]))))))
+    return rows.select(F.concat(F.col(ident).cast("string"), F.lit("_synthetic_"), "number").alias("id"), ident, "number", "type", "mutant")

@@ -307,10 +307,17 @@ def credit_failures(spark, d):
     return table(spark, d, "events").select("event_id", outcomes.credit_failure(message, F.col("value"), 5.0).alias("failed"))
 
 
-@query("SELECT n_nationkey, 'pairs=' || CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey::VARCHAR ELSE 'all' END || ':sft=' || (n_nationkey % 3 = 0) || ':mode=' || CASE WHEN n_regionkey < 2 THEN n_name ELSE 'all' END AS scope FROM nation")
+_SCOPE = "CASE WHEN n_nationkey % 3 = 0 AND n_nationkey % 2 = 0 AND n_nationkey > 0 THEN 'first_' || n_nationkey || '_train_records:bounded_selection=stratified_generation_compatible_v2' ELSE 'full_train_split' END || ':execution_mode=' || CASE WHEN n_regionkey < 2 THEN n_name ELSE 'all' END || ':repository_completion_limit=1536:prompt_token_limit=512:prompt_compaction=head_tail_preserve_chat_suffix_v1:generation_completion_limit=128:repository_generation_completion_limit=1024'"
+
+
+@query(f"SELECT n_nationkey, {_SCOPE} AS scope, CASE WHEN n_nationkey % 3 <> 0 AND n_nationkey % 5 = 0 THEN 'c' || n_regionkey || ':1:r:s:sft_scope=kept' ELSE 'c' || n_regionkey || ':1:r:s:sft_scope=' || {_SCOPE} END AS fingerprint FROM nation")
 def training_scopes(spark, d):
+    """Scopes of runs, and the fingerprints that are computed or, where only a later stage runs, kept."""
     k = F.col("n_nationkey")
-    return table(spark, d, "nation").select("n_nationkey", outcomes.training_scope(F.when(k % 2 == 0, k), k % 3 == 0, F.when(F.col("n_regionkey") < 2, F.col("n_name"))).alias("scope"))
+    stage, corpus_ = k % 3 == 0, F.concat(F.lit("c"), "n_regionkey", F.lit(":1:r:s:"))
+    scope = outcomes.training_scope(F.when(k % 2 == 0, k), stage, F.when(F.col("n_regionkey") < 2, F.col("n_name")))
+    frozen = F.when(k % 5 == 0, F.concat(corpus_, F.lit("sft_scope=kept\n")))
+    return table(spark, d, "nation").select("n_nationkey", scope.alias("scope"), outcomes.dataset_fingerprint(corpus_, scope, frozen, stage).alias("fingerprint"))
 
 
 @query(
@@ -544,6 +551,23 @@ def inert_losers(spark, d):
     return staging.inert_losers(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", "assert True is True").select("conv_id", "turn", "loser")
 
 
+_FIRST = " UNION ALL ".join(
+    f"SELECT p_partkey, {i + 1} AS number, '{p} -> {r}' AS type, code[:strpos(code, '{x}') - 1] || '{r}' || code[strpos(code, '{x}') + {len(x)}:] AS mutant FROM c WHERE contains(code, '{x}')" for i, (p, r) in enumerate(staging.FIRST_RULES) for x in [p.replace("\\", "")]
+)
+
+
+@query(
+    f"""WITH c AS (SELECT p_partkey, 'def f(a):' || chr(10) || '    if a ' || CASE p_size % 4 WHEN 0 THEN '==' WHEN 1 THEN '>=' WHEN 2 THEN '<' ELSE '!=' END || ' ' || p_size || CASE WHEN p_size % 3 = 0 THEN ' and ok' ELSE '' END || ':' || chr(10) || '        return a ' || CASE WHEN p_size % 2 = 0 THEN '+' ELSE '*' END || ' True' AS code FROM part)
+    SELECT p_partkey || '_synthetic_' || number AS id, p_partkey, number, type, mutant FROM ({_FIRST})"""
+)
+def synthetic_mutants(spark, d):
+    """Fifteen patterns, each at its first match, on functions whose operators follow the part's size."""
+    s = F.col("p_size")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (s % len(x) + 1).cast("int"))
+    code = F.concat(F.lit("def f(a):\n    if a "), pick("==", ">=", "<", "!="), F.lit(" "), s, F.when(s % 3 == 0, " and ok").otherwise(""), F.lit(":\n        return a "), pick("+", "*"), F.lit(" True"))
+    return staging.synthetic_mutants(table(spark, d, "part").select("p_partkey", code.alias("code")), "p_partkey", "code")
+
+
 @query(
     """WITH c AS (SELECT p_partkey, 'if a < ' || p_size || ' and b == 1:' || CASE WHEN p_partkey % 2 = 0 THEN ' return a + b + 1' ELSE ' return b == 1' END AS x FROM part)
     SELECT p_partkey, 'comparison' AS type, regexp_replace(x, '==', '!=') AS mutant FROM c UNION ALL SELECT p_partkey, 'logical', regexp_replace(x, ' and ', ' or ') FROM c UNION ALL SELECT p_partkey, 'arithmetic', regexp_replace(x, ' [+] ', ' - ') FROM c WHERE p_partkey % 2 = 0"""

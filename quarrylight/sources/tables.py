@@ -86,6 +86,21 @@ def append_missing(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame
     return old.unionByName(new.join(old.select(key), key, "left_anti"))
 
 
+def golden_functions(spark: SparkSession, path: str) -> DataFrame:
+    """Functions that were prepared before, with defaults for what they lack; a missing file gives no rows."""
+    raw = read_json(spark, path, schemas.FUNCTIONS)
+    text = lambda c, d="": F.coalesce(c, F.lit(d)).alias(c)
+    tests = F.coalesce("test_cases", F.array().cast("array<string>")).alias("test_cases")
+    return raw.select(text("id"), text("source", "golden"), text("code"), text("signature"), text("entry_point"), text("docstring"), tests, text("category", "general"), F.coalesce("complexity_score", F.lit(5)).alias("complexity_score"))
+
+
+def system_functions(rows: DataFrame) -> DataFrame:
+    """Library functions (id, name, wrapper_code, signature, docstring, category, complexity_score) as functions without tests;
+    the entry point is the last part of the dotted name."""
+    code = F.coalesce("wrapper_code", F.lit("")).alias("code")
+    return rows.select("id", F.lit("system").alias("source"), code, "signature", F.element_at(F.split("name", r"\."), -1).alias("entry_point"), "docstring", F.array().cast("array<string>").alias("test_cases"), "category", "complexity_score")
+
+
 def assignments(spark: SparkSession, path: str) -> DataFrame:
     """(path, values) of `key=value` files below a path; quotes around a value are dropped."""
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: x.contains("="))

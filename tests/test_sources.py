@@ -58,3 +58,24 @@ def test_write_once(spark, tmp_path):
 def test_append_missing(spark):
     old, new = spark.createDataFrame([(1, "a")], "id int, v string"), spark.createDataFrame([(1, "x"), (2, "b")], "id int, v string")
     assert sorted(map(tuple, tables.append_missing(old, new).collect())) == [(1, "a"), (2, "b")]
+
+
+def test_prepared_and_library_functions(spark, tmp_path):
+    (tmp_path / "g.json").write_text('[{"id": "a", "code": "x = 1"}, {"source": "s", "test_cases": ["t"], "complexity_score": 2}]')
+    got = sorted((tuple(r) for r in tables.golden_functions(spark, str(tmp_path / "g.json")).collect()), reverse=True)
+    assert got == [("a", "golden", "x = 1", "", "", "", [], "general", 5), ("", "s", "", "", "", "", ["t"], "general", 2)]
+    assert tables.golden_functions(spark, str(tmp_path / "none.json")).count() == 0
+    rows = spark.createDataFrame([("1", "lib.part.merge", None, "merge(a)", "doc", "data", 7)], "id string, name string, wrapper_code string, signature string, docstring string, category string, complexity_score int")
+    assert tuple(tables.system_functions(rows).first()) == ("1", "system", "", "merge(a)", "merge", "doc", [], "data", 7)
+
+
+def test_fingerprints_and_defaults(spark):
+    from quarrylight.functions import outcomes
+
+    df = spark.createDataFrame([("c:", "s", None, False), ("c:", "s", "c:old\n", False), ("c:", "s", "c:old", True)], "c string, s string, f string, run boolean")
+    print_ = lambda d: [r[0] for r in d.select(outcomes.dataset_fingerprint(*map(F.col, ("c", "s", "f", "run")))).collect()]
+    assert print_(df) == ["c:sft_scope=s", "c:old", "c:sft_scope=s"]
+    with pytest.raises(Exception, match="of another corpus"):
+        print_(df.withColumn("f", F.lit("d:old")))
+    maps = spark.createDataFrame([({"lr_scheduler_type": "linear", "x": "1"},), (None,)], "m map<string,string>")
+    assert [r[0] for r in maps.select(outcomes.with_run_defaults(F.col("m"))).collect()] == [{**outcomes.RUN_DEFAULTS, "lr_scheduler_type": "linear", "x": "1"}, outcomes.RUN_DEFAULTS]
