@@ -12,8 +12,7 @@ shingles that share bits, or because all of them are of one component. Pairs of
 
 Links are found in two rounds. The first takes few shingles of each prefix and confirms a forest of the pairs that each tree
 leaves; near copies are then one component. The second takes all prefixes, but only buckets that still hold several
-components. There, rows that the trees leave a partner of another component are looked at again by finer bitmaps, and those
-that still have one bring their full sets to the cell, where pairs across components are confirmed.
+components, and confirms what the trees leave across components, with full sets fetched once for each cell of a bucket.
 """
 
 from __future__ import annotations
@@ -310,26 +309,33 @@ def _forests(p: JaccardJoin):
     return propose
 
 
-def _partners(p: JaccardJoin, fine: bool):
-    """(gid, rep) of the rows that may have a partner of another component in their cell: by the trees, or, for rows that carry
-    them, by bitmaps as fine as the sets ask for. A pair is only looked at while one of its rows has no partner yet."""
+#: A cell with more likely pairs than this for each of its rows is dense.
+DENSE = 64
+
+
+def _partners(p: JaccardJoin):
+    """The likely pairs across components of the cells. A dense cell names its rows instead, each with itself, and its pairs are
+    tested where its sets are. Cells with the same first row come together, and what several of them hold is given once."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches, "gid"):
-            seen = np.zeros(batch.num_rows, bool)
-            n = np.asarray(batch.column("n")).tolist()
-            held = batch.column("fine").to_pylist() if fine else []
-            coarse = batch.column("bits").to_pylist() if fine else []
-            for s, _, i, j in _trees(batch, p, across=True):
-                if not fine:
-                    seen[s + i] = seen[s + j] = True
+            gid, rep = np.asarray(batch.column("gid")), np.asarray(batch.column("rep"))
+            out = []
+            for s, e, i, j in _trees(batch, p, across=True):
+                if not len(i):
                     continue
-                for x, y in zip((s + i).tolist(), (s + j).tolist(), strict=True):
-                    if seen[x] and seen[y]:
-                        continue
-                    if (held[x] is None and held[y] is None) or may_link(n[x], held[x] or coarse[x], n[y], held[y] or coarse[y], p.percent):
-                        seen[x] = seen[y] = True
-            yield batch.select(["gid", "rep"]).filter(pa.array(seen))
+                _, of, rows = np.unique(gid[s:e], return_inverse=True, return_counts=True)
+                dense = (np.bincount(of[i], minlength=len(rows)) > DENSE * rows)[of[i]]
+                seen = s + np.unique(np.concatenate([i[dense], j[dense]]))
+                i, j = s + i[~dense], s + j[~dense]
+                low, high = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+                first = np.unique(np.stack([low, high], 1), axis=0, return_index=True)[1]
+                out.append((gid[i[first]], low[first], high[first]))
+                out.append((gid[seen], rep[seen], rep[seen]))
+            if out:
+                g, x, y = (np.concatenate(c) for c in zip(*out, strict=True))
+                keep = np.unique(np.stack([np.where(x == y, g, 0), x, y], 1), axis=0, return_index=True)[1]
+                yield _pairs(g[keep], x[keep], y[keep])
 
     return find
 
@@ -407,19 +413,20 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cells(open_: DataFrame, p: JaccardJoin) -> DataFrame:
-    """(gid, rep, comp, stray): open buckets as groups that one tree can hold.
+    """(lead, gid, rep, comp, stray): open buckets as groups that one tree can hold.
 
     A small bucket is one group, and buckets of the same members are taken once. In a large one the strays, all rows but those
     of its greatest component, meet every row in a grid of cells.
     """
     small = open_.filter(F.col("size") <= p.block).groupBy("bkey").agg(F.array_sort(F.collect_set(F.struct("rep", "comp"))).alias("rows")).select("rows").distinct()
-    whole = small.select(F.xxhash64("rows").alias("gid"), F.inline("rows")).select("gid", "rep", "comp", F.lit(True).alias("stray"))
+    whole = small.select(F.element_at("rows", 1)["rep"].alias("lead"), F.xxhash64("rows").alias("gid"), F.inline("rows")).select("lead", "gid", "rep", "comp", F.lit(True).alias("stray"))
     large = open_.filter(F.col("size") > p.block).withColumn("stray", F.col("comp") != F.col("main"))
     cell = lambda name, n: F.pmod(F.xxhash64("rep", "bkey", F.lit(name)), F.ceil(F.col(n) / p.block)).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / p.block).cast("long") - 1))
     one = large.select("bkey", "rep", "comp", F.lit(False).alias("stray"), cell("all", "size").alias("i"), every("strays").alias("j"))
     two = large.filter("stray").select("bkey", "rep", "comp", "stray", every("size").alias("i"), cell("stray", "strays").alias("j"))
-    return whole.unionByName(one.unionByName(two).select(F.xxhash64("bkey", "i", "j").alias("gid"), "rep", "comp", "stray"))
+    gid = F.xxhash64("bkey", "i", "j")
+    return whole.unionByName(one.unionByName(two).select(gid.alias("lead"), gid.alias("gid"), "rep", "comp", "stray"))
 
 
 def jaccard_join(docs: DataFrame, params: JaccardJoin | None = None) -> DataFrame:
@@ -458,13 +465,13 @@ def jaccard_join(docs: DataFrame, params: JaccardJoin | None = None) -> DataFram
     split = groups.groupBy("bkey").agg(F.max_by("comp", greatest).alias("main"), F.count(F.lit(1)).alias("comps"), (F.sum("w") - F.max_by("w", greatest)).alias("strays")).filter("comps > 1")
     cells = cut_lineage(_cells(named.join(split, "bkey"), p))
     release(spark)
-    marked = cells.join(reps, "rep").select("gid", "rep", "n", "comp", "stray", "bits")
-    met = cut_lineage(marked.repartition("gid").sortWithinPartitions("gid", "n").mapInArrow(_partners(p, fine=False), "gid long, rep long").distinct())
-    finer = marked.join(met, ["gid", "rep"], "left_semi").join(classes.select("rep", "n", "fine"), ["rep", "n"]).select(*marked.columns, "fine")
-    met = cut_lineage(finer.repartition("gid").sortWithinPartitions("gid", "n").mapInArrow(_partners(p, fine=True), "gid long, rep long").distinct())
+    marked = cells.join(reps, "rep").select("lead", "gid", "rep", "n", "comp", "stray", "bits")
+    met = cut_lineage(marked.repartition("lead").sortWithinPartitions("lead", "gid", "n").mapInArrow(_partners(p), "gid long, a long, b long"))
+    links = links.unionByName(cut_lineage(verified(_screened(met.filter("a <> b"), classes, p), docs, p, shingle_sets)))
     release(spark)
-    sets = _shingles_of(_texts_of(docs, cut_lineage(met.select(F.col("rep").alias("doc_id")).distinct())), p).dropDuplicates(["rep", "shingles"])
-    crossing = marked.join(met, ["gid", "rep"], "left_semi").join(sets, ["rep", "n"]).repartition("gid").sortWithinPartitions("gid", "n")
+    dense = met.filter("a = b").select("gid", F.col("a").alias("rep")).distinct()
+    sets = _shingles_of(_texts_of(docs, cut_lineage(dense.select(F.col("rep").alias("doc_id")).distinct())), p).dropDuplicates(["rep", "shingles"])
+    crossing = marked.join(dense, ["gid", "rep"], "left_semi").join(sets, ["rep", "n"]).repartition("gid").sortWithinPartitions("gid", "n")
     across = cut_lineage(crossing.mapInArrow(_crossings(p), "a long, b long").distinct())
     release(spark)
 
