@@ -1,4 +1,4 @@
-"""Cutting lineage, and names that clash with none of the caller's."""
+"""Cutting lineage, joins that stay off the driver, and names that clash with none of the caller's."""
 
 from __future__ import annotations
 
@@ -19,6 +19,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that shuffles both sides at every size.
+
+    Sizes behind a parse are estimated from the columns before it, and shuffled texts of few kinds compress to little, so that
+    Spark would broadcast, through the driver, tables of as many rows as the input.
+    """
+    return df.hint("merge")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df.columns}

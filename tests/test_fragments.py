@@ -182,3 +182,17 @@ def test_closure(spark):
         want.add((1, f"n{at}"))
         at = (at * 7 + 3) % 40
     assert got == want | {(2, "n0"), (2, "n1")}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_side_of_changed_definitions_is_broadcast(spark):
+    pairs = spark.createDataFrame([(1, "a.py", BUGGY, FIXED)], "id long, path string, buggy string, fixed string")
+    assert "Broadcast" not in plan_of(G.changed_definitions(pairs))
+
+
+def test_no_side_of_repository_context_is_broadcast(spark):
+    pairs = spark.createDataFrame([(1, "a.py", BUGGY, FIXED)], "id long, path string, buggy string, fixed string")
+    assert "Broadcast" not in plan_of(G.repository_context(pairs))
