@@ -30,31 +30,94 @@ def _blocks(queries: DataFrame, ident: str) -> list[DataFrame]:
     return [queries] if n <= 1 else [queries.filter(F.pmod(F.xxhash64(ident), F.lit(n)) == i) for i in range(n)]
 
 
-def nearest(queries: DataFrame, base: DataFrame, ident: str, vector: str, k: int, allowed: Column | None = None) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k best of base for each row of a bounded query set, itself excluded, ties by id.
+def _vectors(column: pa.Array, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix, held): one row for each vector, zeros where it is null, which held tells."""
+    held = column.is_valid().to_numpy(zero_copy_only=False)
+    flat = np.asarray(column.drop_null().flatten(), np.float64)
+    out = np.zeros((len(held), len(flat) // held.sum() if held.any() else width))
+    out[held] = flat.reshape(held.sum(), -1)
+    return out, held
+
+
+def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The inner products of rows of a and b, summed from the first component to the last as dot() does."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[:, i]
+    return out
+
+
+def _length(m: np.ndarray) -> np.ndarray:
+    n = np.sqrt((m * m).sum(axis=1))
+    return np.where(np.isfinite(n), n, 0.0)
+
+
+#: Query vectors that meet a batch in one matrix product, and rows of a batch (16 MB of doubles at a time).
+STRIP, ROWS = 512, 4096
+_SCORED = "query_id long, vec_id long, score double"
 
-    The queries are the small side and are broadcast only up to BLOCK of them; more are taken block by block.
+
+def _top(ids: np.ndarray, x: np.ndarray, held: np.ndarray, q: np.ndarray, w: np.ndarray, known: np.ndarray, k: int, earlier: bool) -> pa.RecordBatch:
+    """The k best rows for each query: the matrix product screens the pairs, within what its rounding may hide, and what is left
+    is summed again in the order of dot(). Not a number comes first and null last, ties by id, as Spark and the SQL have it."""
+    none = (ids[:, None] >= q) if earlier else (ids[:, None] == q)
+    scores, null = x @ w.T, ~(held[:, None] & known)
+    scores[none | null] = -np.inf
+    least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else np.full(len(q), -np.inf)
+    i, j = np.nonzero(~none & ((scores >= least - 1e-12 * _length(x).max() * _length(w)) | np.isnan(scores)))
+    exact = np.concatenate([_summed(x[i[s : s + ROWS]], w[j[s : s + ROWS]]) for s in range(0, len(i), ROWS)] or [np.zeros(0)])
+    gone = null[i, j]
+    order = np.lexsort((ids[i], -exact, ~np.isnan(exact), gone, j))
+    i, j = i[order], j[order]
+    kept = np.arange(len(j)) - np.searchsorted(j, j) < k
+    order, i, j = order[kept], i[kept], j[kept]
+    return pa.RecordBatch.from_arrays([pa.array(q[j], pa.int64()), pa.array(ids[i], pa.int64()), pa.array(exact[order], pa.float64(), mask=gone[order], from_pandas=False)], names=["query_id", "vec_id", "score"])
+
+
+def _best(queries: DataFrame, base: DataFrame, ident: str, vector: str, k: int, earlier: bool) -> DataFrame:
+    """(query_id, vec_id, score): for each query the k best of each batch of base, or of its rows with smaller ids.
+
+    base is dealt out, and the driver passes on one block of the bounded query set at a time. A vector that holds a null counts
+    as null.
     """
-    out = None
-    for block in _blocks(queries, ident):
-        q = block.select(F.col(ident).alias("query_id"), F.col(vector).alias("_q"))
-        score = base.join(F.broadcast(q), (F.col("query_id") != F.col(ident)) if allowed is None else (F.col("query_id") != F.col(ident)) & allowed)
-        score = score.select("query_id", F.col(ident).alias("vec_id"), dot(F.col("_q"), F.col(vector)).alias("score"))
-        top = score.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
-        out = top if out is None else out.unionByName(top)
+    sound = F.when(~F.exists(F.col(vector), lambda x: x.isNull()), F.col(vector).cast("array<double>"))
+    as_rows = lambda df: df.select(F.col(ident).cast("long").alias("id"), sound.alias("v")).filter("id IS NOT NULL")
+    rows = as_rows(base).repartition(base.sparkSession.sparkContext.defaultParallelism)
+
+    def against(shared):
+        def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, v, known = shared.value
+            for whole in batches:
+                for start in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(start, ROWS)
+                    x, held = _vectors(batch.column("v"), v.shape[1])
+                    w = v if v.shape[1] else np.zeros((len(own), x.shape[1]))
+                    for s in range(0, len(own), STRIP):
+                        yield _top(np.asarray(batch.column("id")), x, held, own[s : s + STRIP], w[s : s + STRIP], known[s : s + STRIP], k, earlier)
+
+        return compare
+
+    out = base.sparkSession.createDataFrame([], _SCORED)
+    for block in _blocks(as_rows(queries), "id"):
+        table = block.toArrow().combine_chunks()
+        if table.num_rows:
+            shared = base.sparkSession.sparkContext.broadcast((np.asarray(table.column("id")), *_vectors(table.column("v").combine_chunks())))
+            out = out.unionByName(rows.mapInArrow(against(shared), _SCORED))
     return out
 
 
+def nearest(queries: DataFrame, base: DataFrame, ident: str, vector: str, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k best of base for each row of a bounded query set, itself excluded, ties by id; null scores last."""
+    top = _best(queries, base, ident, vector, k, earlier=False)
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+
+
 def novelty(queries: DataFrame, base: DataFrame, ident: str, vector: str, threshold: float) -> DataFrame:
     """(id, best, novel): the greatest similarity of a query to any base vector of a smaller id, 0 without one.
 
-    The base is scanned once for each block of the bounded query set, which is broadcast.
+    The base is scanned once for each block of the bounded query set.
     """
-    best = None
-    for block in _blocks(queries, ident):
-        q = block.select(F.col(ident).alias("_i"), F.col(vector).alias("_v"))
-        seen = base.join(F.broadcast(q), F.col(ident) < F.col("_i")).groupBy("_i").agg(F.max(dot(F.col(vector), F.col("_v"))).alias("best"))
-        best = seen if best is None else best.unionByName(seen)
+    best = _best(queries, base, ident, vector, 1, earlier=True).groupBy(F.col("query_id").alias("_i")).agg(F.max("score").alias("best"))
     found = queries.select(ident).join(best, F.col(ident) == F.col("_i"), "left")
     return found.select(ident, F.coalesce("best", F.lit(0.0)).alias("best"), (F.col("best").isNull() | (F.col("best") < threshold)).alias("novel"))
 
