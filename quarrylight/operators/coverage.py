@@ -8,8 +8,6 @@ import json
 import random
 import re
 import subprocess
-import sys
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions.pycode import compiles
 from quarrylight.operators.lineage import checkpointed
-from quarrylight.operators.sandbox import ALLOWED_BUILTINS, ALLOWED_IMPORTS, source_violations
+from quarrylight.operators.sandbox import ALLOWED_BUILTINS, ALLOWED_IMPORTS, run_job, source_violations
 
 #: A branch (from, to) of lines is one number: from * ARC + to.
 ARC = 1 << 20
@@ -98,9 +96,7 @@ def run_calls(source: str | None, calls: list[str], timeout: float = 0.5) -> lis
     if not fault:
         job = {"source": source or "", "calls": calls, "timeout": timeout, "arc": ARC, "imports": ALLOWED_IMPORTS, "builtins": ALLOWED_BUILTINS}
         try:
-            with tempfile.TemporaryDirectory() as empty:  # of this process alone; nothing of it is read again
-                done = subprocess.run([sys.executable, "-I", "-S", "-c", _CHILD], input=json.dumps(job), capture_output=True, text=True, timeout=timeout * len(calls) + 5, check=False, env={"PYTHONHASHSEED": "0"}, cwd=empty)
-            rows = json.loads(done.stdout.rsplit("\n", 1)[-1])
+            rows = json.loads(run_job(_CHILD, job, timeout * len(calls) + 5).rsplit("\n", 1)[-1])
         except subprocess.TimeoutExpired:
             fault = "TIMEOUT"
         except (ValueError, OSError) as e:
