@@ -126,7 +126,7 @@ def similar_pairs(vectors: DataFrame, ident: str, vector: str, threshold: float)
     """(a, b), a < b, of the ids whose vectors' inner product reaches the threshold; null vectors have none.
 
     All pairs are compared, as the definition asks: block by block of at most BLOCK vectors, which the driver passes on one at a
-    time, each against all rows in one matrix product for each batch.
+    time, each against all rows in matrix products of ROWS by STRIP.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     rows = checkpointed(vectors.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL"))
@@ -135,12 +135,14 @@ def similar_pairs(vectors: DataFrame, ident: str, vector: str, threshold: float)
     def against(shared):
         def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, own = shared.value
-            for batch in batches:
-                if batch.num_rows:
-                    other = np.asarray(batch.column("id"))
-                    i, j = np.nonzero(matrix(batch.column("v"), batch.num_rows) @ own.T >= threshold)
-                    later = other[i] < ids[j]
-                    yield pa.RecordBatch.from_arrays([pa.array(other[i][later]), pa.array(ids[j][later])], schema=schema)
+            for whole in batches:
+                for start in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(start, ROWS)
+                    other, x = np.asarray(batch.column("id")), matrix(batch.column("v"), batch.num_rows)
+                    for at in range(0, len(ids), STRIP):
+                        i, j = np.nonzero(x @ own[at : at + STRIP].T >= threshold)
+                        later = other[i] < ids[at + j]
+                        yield pa.RecordBatch.from_arrays([pa.array(other[i][later]), pa.array(ids[at + j][later])], schema=schema)
 
         return compare
 

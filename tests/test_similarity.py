@@ -42,3 +42,12 @@ def test_pairs_are_compared_in_batches_not_in_joins(spark):
     _, df = vectors(spark)
     for found in (similarity.nearest(df.filter("id % 10 = 0"), df, "id", "v", 4), similarity.novelty(df.filter("id % 10 = 0"), df, "id", "v", 0.45)):
         assert "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_meet_in_products_of_bounded_size(spark, monkeypatch):
+    _, df = vectors(spark)
+    want = sorted(map(tuple, similarity.similar_pairs(df, "id", "v", 0.6).collect()))
+    monkeypatch.setattr(similarity, "STRIP", 7)
+    monkeypatch.setattr(similarity, "ROWS", 5)
+    assert sorted(map(tuple, similarity.similar_pairs(df, "id", "v", 0.6).collect())) == want
+    assert {"STRIP", "ROWS"} <= set(similarity.similar_pairs.__code__.co_names) | {n for c in similarity.similar_pairs.__code__.co_consts if hasattr(c, "co_consts") for x in c.co_consts if hasattr(x, "co_names") for n in x.co_names}
