@@ -43,7 +43,8 @@ def places(code: Column, pattern: str) -> Column:
 
 
 def literal_places(code: Column, text: str) -> Column:
-    return places(code, rf"\Q{text}\E")
+    """The same for a text; a source without it is not taken apart."""
+    return F.when(F.contains(code, F.lit(text)), places(code, rf"\Q{text}\E")).when(code.isNotNull(), F.array().cast("array<struct<offset:int,text:string>>"))
 
 
 def _count(text: Column, part: str) -> Column:

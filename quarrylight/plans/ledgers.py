@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import outcomes, pycode
 from quarrylight.operators import corpus, ledger, records, sandbox, selection, staging
 from quarrylight.plans.catalogue import query
-from quarrylight.sources.tables import table
+from quarrylight.sources.tables import dealt, table
 
 
 @query(
@@ -379,7 +379,7 @@ def pair_audit(spark, d):
     mutant = mutant.when(k == 7, swap("x + ", "x + (")).when(k == 11, F.concat(swap("a + 2", "a - 2"), F.lit("\n\n# more\n"))).otherwise(swap("a + 2", "a - 2"))
     tests = F.when(k == 9, F.array().cast("array<string>")).otherwise(F.array(F.lit("assert True")))
     kind = F.when(k == 8, "compound").when(k != 0, F.col("p_type"))
-    pairs = table(spark, d, "part").select(F.col("p_partkey").alias("id"), kind.alias("mutation_type"), F.when(k == 6, swap("(x):", "(x:")).otherwise(golden).alias("golden_code"), mutant.alias("mutant_code"), tests.alias("test_cases"), F.when(k != 10, "f").alias("entry_point"))
+    pairs = dealt(spark, d, "part").select(F.col("p_partkey").alias("id"), kind.alias("mutation_type"), F.when(k == 6, swap("(x):", "(x:")).otherwise(golden).alias("golden_code"), mutant.alias("mutant_code"), tests.alias("test_cases"), F.when(k != 10, "f").alias("entry_point"))
     return records.pair_audit(pairs)
 
 

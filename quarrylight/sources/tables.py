@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows cost far more to work on than to read, dealt out to all cores: a small file is read by few tasks."""
+    return table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism)
+
+
 def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """A JSON array or JSONL file (compressed by extension); a missing path gives no rows."""
     try:

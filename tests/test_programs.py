@@ -232,3 +232,15 @@ def test_pair_names_are_those_of_the_sql_at_any_number(spark):
     got = [r["name"] for r in df.select(_pair_name(F.col("id"), F.col("kind"), F.col("seq")).alias("name")).collect()]
     kinds = {"arithmetic": "mut", "compound": "cmp"}
     assert got == [duckdb.execute(f"SELECT {i} || '_{kinds[k]}_' || lpad('{n}', 5, '0')").fetchone()[0] for i, k, n in rows]
+
+
+@pytest.mark.parametrize("name", ["diverse_mutants", "operator_swaps", "pair_audit", "task_commands", "result_conditions", "repository_fragments"])
+def test_rows_are_dealt_out_before_the_work(spark, sf_dir, name, monkeypatch):
+    from quarrylight.plans import catalogue
+
+    asked = []
+    frame = type(spark.range(0))
+    before = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: asked.append(a) or before(self, *a))
+    catalogue.queries()[name](spark, sf_dir)
+    assert (spark.sparkContext.defaultParallelism,) in asked
