@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions.pycode import canonical_json, compiles, group_identity, semantic, sha256
-from quarrylight.operators.lineage import checkpointed
+from quarrylight.operators.lineage import checkpointed, shuffled
 from quarrylight.sources.sinks import file_digests
 
 # The record format.
@@ -178,17 +178,17 @@ def corpus_violations(records: DataFrame, splits: DataFrame, exclusions: DataFra
     broken = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), name) for name, c in _record_rules(gate))))
     ids = every.filter("id IS NOT NULL").select("id").distinct()
     counted = splits.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    placed = whole.join(splits, "id").select("id", "split", "group_id", "project", "mode")
+    placed = whole.join(shuffled(splits), "id").select("id", "split", "group_id", "project", "mode")
     many = lambda df, key: df.groupBy(key).agg(F.count_distinct("split").alias("n")).filter("n > 1")
     parts = [
         named("malformed_record", every.filter("NOT whole"), "id"),
         whole.select(F.explode(broken).alias("rule"), "id"),
         named("repeated_id", every.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "id"),
         named("split_names", splits.filter(~F.col("split").isin(*SPLITS)), "split"),
-        named("record_in_no_split", ids.join(splits, "id", "left_anti"), "id"),
+        named("record_in_no_split", ids.join(shuffled(splits), "id", "left_anti"), "id"),
         named("split_repeated_id", counted.filter("n > 1"), "id"),
-        named("split_unknown_id", counted.join(ids, "id", "left_anti"), "id"),
-        named("exclusion_unknown", exclusions.join(ids, F.col("record_id") == F.col("id"), "left_anti"), "record_id"),
+        named("split_unknown_id", counted.join(shuffled(ids), "id", "left_anti"), "id"),
+        named("exclusion_unknown", exclusions.join(shuffled(ids), F.col("record_id") == F.col("id"), "left_anti"), "record_id"),
         named("group_in_two_splits", many(placed, "group_id"), "group_id"),
         named("project_in_two_splits", many(placed.filter(F.col("mode").isin(*REPOSITORY_TASKS)), "project"), "project"),
     ]
@@ -198,7 +198,7 @@ def corpus_violations(records: DataFrame, splits: DataFrame, exclusions: DataFra
         parts.append(named("conflicting_references", whole.filter("prompt_key IS NOT NULL").groupBy("prompt_key").agg(F.count_distinct("reference_key").alias("n"), F.min("id").alias("id")).filter("n > 1"), "id"))
     if gate.locked:
         trained = whole.filter("official_task IS NOT NULL").groupBy(F.col("official_task").alias("id")).agg(F.array_sort(F.collect_set("id")).alias("trained"))
-        tasks = index.join(trained, "id", "left")
+        tasks = index.join(shuffled(trained), "id", "left")
         declared = F.array_sort(F.array_distinct(F.coalesce("training_record_ids", F.array().cast("array<string>"))))
         differ = F.col("trained").isNull() | ((F.size(declared) > 0) & (declared != F.col("trained")))
         parts += [named("locked_task_in_training", tasks.filter(F.col("status").isin(*LOCKED) & F.col("trained").isNotNull()), "id"), named("materialised_ids_differ", tasks.filter((F.col("status") == MATERIALISED) & differ), "id")]

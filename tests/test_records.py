@@ -146,3 +146,13 @@ def test_findings_and_coverage():
     assert found == [("potential", "TIMEOUT", "f(0)")] and share > 0
     assert findings.analyse(None, None, [], None) == ([("observation", "no_entry_point", "")], 0.0)
     assert findings.analyse("import os\ndef f(): pass\n", "f", [], None)[0] == [("observation", "not_run", "source_import_not_allowed:os")]
+
+
+def test_no_side_of_the_gate_is_broadcast(spark):
+    from quarrylight.operators import corpus
+
+    records_ = spark.createDataFrame([("{}",)], "record string")
+    splits = spark.createDataFrame([("train", "a")], "split string, id string")
+    index = spark.createDataFrame([("t", "s", ["a"])], "id string, status string, training_record_ids array<string>")
+    found = corpus.corpus_violations(records_, splits, spark.createDataFrame([("a",)], "record_id string"), index)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
