@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.operators.corpus import facts_of
-from quarrylight.operators.lineage import checkpointed
+from quarrylight.operators.corpus import facts_of, quiet
+from quarrylight.operators.lineage import checkpointed, shuffled
 from quarrylight.operators.sandbox import classify
 from quarrylight.operators.staging import failures
 
@@ -97,7 +97,8 @@ def result_faults(result: Column, expected: Expected) -> Column:
 
 # ---- result payloads
 
-_PAYLOAD = "instance_id string, status string, reason string, fault string, record_id string, group_id string, prompt_key string, supervision_key string, reference_key string, codes array<string>, base_log string, fixed_log string"
+_PAYLOAD = "instance_id string, status string, reason string, fault string, record_id string, prompt_key string, supervision_key string, reference_key string, codes array<string>, base_log string, fixed_log string"
+_NAMES = [f.split()[0] for f in _PAYLOAD.split(", ")]
 _COUNTS = ("f2p_failure", "f2p_success", "p2p_failure", "p2p_success")
 
 
@@ -115,7 +116,7 @@ def payload_facts(text: str | None, identity: dict[str, str]) -> dict:
         payload = json.loads(text or "")
     except ValueError:
         payload = None
-    out: dict = dict.fromkeys(f.split()[0] for f in _PAYLOAD.split(", "))
+    out: dict = dict.fromkeys(_NAMES)
     if not isinstance(payload, dict) or payload.get("schema_version") != 1:
         return {**out, "fault": "unsupported_schema"}
     summary, record = payload.get("summary") or {}, payload.get("record")
@@ -136,7 +137,7 @@ def payload_facts(text: str | None, identity: dict[str, str]) -> dict:
     provenance = record["provenance"] if isinstance(record["provenance"], dict) else {}
     evidence = provenance.get("official_test_evidence") or {}
     return out | {
-        "fault": None if _evidence_holds(provenance) else "evidence", "record_id": found["id"], "group_id": found["group_id"], "codes": [t["code"].strip() for t in record["tests"]],
+        "fault": None if _evidence_holds(provenance) else "evidence", "record_id": found["id"], "codes": [t["code"].strip() for t in record["tests"]],
         "base_log": evidence.get("base_log_sha256"), "fixed_log": evidence.get("fixed_log_sha256"), **{k: found[k] for k in ("prompt_key", "supervision_key", "reference_key")},
     }
 
@@ -152,31 +153,34 @@ def audited_results(payloads: DataFrame, baseline: DataFrame, logs: DataFrame, i
     prompt that the baseline doesn't know the first sound result counts, and later ones with its reference. An accepted record
     with a test of `limit` tokens or more stays, but isn't eligible for training.
     """
-    names = [f.split()[0] for f in _PAYLOAD.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = pd.DataFrame([payload_facts(t, identity) for t in batch["payload"]], columns=names)
+            with quiet():
+                rows = pd.DataFrame([payload_facts(t, identity) for t in batch["payload"]], columns=_NAMES)
             rows.insert(0, "nth", batch["nth"].to_numpy())
             yield rows
 
     read_ = checkpointed(payloads.select(F.col("nth").cast("long").alias("nth"), F.col("payload").cast("string").alias("payload")).mapInPandas(read, f"nth long, {_PAYLOAD}"))
     firsts = read_.filter("instance_id IS NOT NULL").groupBy("instance_id").agg(F.min("nth").alias("first"))
     held = logs.select("instance_id", "base", "fixed").dropDuplicates(["instance_id"])
-    rows = read_.join(firsts, "instance_id", "left").join(held, "instance_id", "left")
-    lost = (F.col("status") == "accepted") & ~(F.coalesce(F.col("base") == F.col("base_log"), F.lit(False)) & F.coalesce(F.col("fixed") == F.col("fixed_log"), F.lit(False)))
+    rows = read_.join(shuffled(firsts), "instance_id", "left").join(shuffled(held), "instance_id", "left")
+    accepted = F.col("status").eqNullSafe(F.lit("accepted"))
+    lost = accepted & ~(F.coalesce(F.col("base") == F.col("base_log"), F.lit(False)) & F.coalesce(F.col("fixed") == F.col("fixed_log"), F.lit(False)))
     fault = F.coalesce("fault", F.when(F.col("first") < F.col("nth"), "repeated_instance"), F.when(lost, "evidence_logs"))
     rows = checkpointed(rows.withColumn("fault", fault).drop("first", "base", "fixed", "base_log", "fixed_log"))
-    sound = rows.filter("fault IS NULL AND status = 'accepted'")
-    known = baseline.groupBy("supervision_key").agg(F.min("record_id").alias("same"))
-    prompts = baseline.groupBy("prompt_key").agg(F.min("reference_key").alias("low"), F.max("reference_key").alias("high"))
-    own = sound.select("nth", "prompt_key", "supervision_key", "reference_key").join(known, "supervision_key", "left").join(prompts, "prompt_key", "left")
+    keys = checkpointed(baseline.select("record_id", "prompt_key", "supervision_key", "reference_key"))
+    known = keys.groupBy("supervision_key").agg(F.min("record_id").alias("same"))
+    prompts = keys.groupBy("prompt_key").agg(F.min("reference_key").alias("low"), F.max("reference_key").alias("high"))
+    fit = F.forall("codes", lambda c: tokens(F.concat(c, F.lit("<|endoftext|>"))) < limit)
+    sound = rows.filter(F.col("fault").isNull() & accepted).select("nth", "instance_id", "record_id", fit.alias("fit"), "prompt_key", "supervision_key", "reference_key")
+    own = sound.join(shuffled(known), "supervision_key", "left").join(shuffled(prompts), "prompt_key", "left")
     leads = own.filter("same IS NULL").groupBy("prompt_key").agg(F.min_by("reference_key", "nth").alias("lead"))
-    fits = own.join(leads, "prompt_key", "left").withColumn("fits", F.when(F.col("low").isNotNull(), (F.col("low") == F.col("high")) & (F.col("low") == F.col("reference_key"))).otherwise(F.col("lead") == F.col("reference_key")))
+    fits = own.join(shuffled(leads), "prompt_key", "left").withColumn("fits", F.when(F.col("low").isNotNull(), (F.col("low") == F.col("high")) & (F.col("low") == F.col("reference_key"))).otherwise(F.col("lead") == F.col("reference_key")))
     takers = fits.filter("same IS NULL AND fits").groupBy("supervision_key").agg(F.min("nth").alias("taker"))
-    judged = fits.join(takers, "supervision_key", "left").select("nth", F.when(F.col("same").isNotNull(), "duplicate_semantic_supervision_baseline").when(F.col("taker") < F.col("nth"), "duplicate_semantic_supervision_selected_results").when(~F.col("fits"), "conflicting_semantic_supervision").alias("audit"))
-    out = rows.join(judged, "nth", "left")
-    route = F.when(F.col("fault").isNotNull(), "invalid").when(F.col("status") != "accepted", "excluded").when(F.col("audit").isNotNull(), "audit_excluded").otherwise("accepted")
-    why = F.coalesce("fault", F.when(F.col("status") != "accepted", F.col("reason")), "audit")
-    fit = F.when(route == "accepted", F.forall("codes", lambda c: tokens(F.concat(c, F.lit("<|endoftext|>"))) < limit))
-    return out.select("nth", "instance_id", "record_id", route.alias("route"), why.alias("reason"), fit.alias("eligible"))
+    audit = F.when(F.col("same").isNotNull(), "duplicate_semantic_supervision_baseline").when(F.col("taker") < F.col("nth"), "duplicate_semantic_supervision_selected_results").when(~F.col("fits"), "conflicting_semantic_supervision")
+    judged = fits.join(shuffled(takers), "supervision_key", "left").withColumn("reason", audit)
+    counted = judged.select("nth", "instance_id", "record_id", F.when(F.col("reason").isNull(), "accepted").otherwise("audit_excluded").alias("route"), "reason", F.when(F.col("reason").isNull(), F.col("fit")).alias("eligible"))
+    route = F.when(F.col("fault").isNotNull(), "invalid").otherwise("excluded").alias("route")
+    others = rows.filter(F.col("fault").isNotNull() | ~accepted).select("nth", "instance_id", "record_id", route, F.coalesce("fault", "reason").alias("reason"), F.lit(None).cast("boolean").alias("eligible"))
+    return counted.unionByName(others)

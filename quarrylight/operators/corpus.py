@@ -11,6 +11,7 @@ import json
 import re
 import warnings
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.functions.pycode import canonical_json, compiles, group_identity, semantic, sha256
+from quarrylight.functions.pycode import canonical_json, compiles, dumped, semantic, sha256, tree_identity
 from quarrylight.operators.lineage import checkpointed, shuffled
 from quarrylight.sources.sinks import file_digests
 
@@ -57,14 +58,13 @@ def content_hash(record: dict) -> str:
     return sha256(canonical_json({k: v for k, v in record.items() if k != "content_hash"}))
 
 
-def supervision_keys(record: dict, mode: str, tests: list[str]) -> tuple[str, str] | None:
-    """(prompt, supervision): hashes of what a record asks and of that with its answer and tests, by syntax trees; None if a part does not parse."""
-    trees = [semantic(t) for t in (record["code_under_test"], record["reference_code"], *tests)]
-    if None in trees:
+def supervision_keys(record: dict, mode: str, target: str | None, reference: str | None, tests: list[str | None]) -> tuple[str, str] | None:
+    """(prompt, supervision): hashes of what a record asks and of that with its answer and tests, by their syntax trees; None if a part has none."""
+    if None in (target, reference, *tests):
         return None
     text = re.sub(r"\s+", " ", record.get("specification") or "").strip()
-    prompt = {"execution_mode": mode, "target_ast": trees[0], "entry_point": record.get("entry_point") or "", "specification": text}
-    return sha256(canonical_json(prompt)), sha256(canonical_json({**prompt, "reference_ast": trees[1], "test_asts": sorted(trees[2:])}))
+    prompt = {"execution_mode": mode, "target_ast": target, "entry_point": record.get("entry_point") or "", "specification": text}
+    return sha256(canonical_json(prompt)), sha256(canonical_json({**prompt, "reference_ast": reference, "test_asts": sorted(tests)}))
 
 
 def facts(text: str | None) -> dict:
@@ -87,45 +87,53 @@ def facts_of(record: object) -> dict:
         return out
     quality, provenance = parts["quality"], parts["provenance"]
     mode, entry = quality.get("execution_mode", FUNCTION_MODE), record["entry_point"] or ""
+    try:
+        tree = ast.parse(record["code_under_test"])
+    except (SyntaxError, ValueError):
+        tree = None
+    reference = semantic(record["reference_code"])
+    tests = record["tests"] if isinstance(record["tests"], list) else []
+    codes = [t["code"] for t in tests if isinstance(t, dict) and isinstance(t.get("code"), str)]
+    keys = supervision_keys(record, mode, dumped(tree) if tree else None, reference, [semantic(c) for c in codes]) if len(codes) == len(tests) else None
+    names = {n.name for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))} if tree and entry else set()
+    expected = TEST_FORMATS.get(mode)
+    return out | {
+        "versioned": record["schema_version"] == 1 and record["language"] == "python",
+        "hashed": content_hash(record) == record["content_hash"],
+        "parsed": tree is not None and reference is not None,
+        "mode": mode,
+        "task_type": record["task_type"],
+        "entry_point": entry,
+        "evidence": bool(quality.get("official_targeted_test_fixed_pass_buggy_fail")),
+        "project": (provenance.get("project") or "").lower(),
+        "repository": (provenance.get("repository") or "").lower(),
+        "group_id": record["group_id"],
+        "defined": entry in names,
+        "identity": tree_identity(reference, entry),
+        "tests": len(tests),
+        "malformed": len(codes) < len(tests),
+        "oracle": expected is None or all(isinstance(t, dict) and t.get("format") == expected and t.get("oracle") == TEST_ORACLE for t in tests),
+        "compiled": all(map(compiles, codes)),
+        "prompt_key": keys[0] if keys else None,
+        "supervision_key": keys[1] if keys else None,
+        "reference_key": sha256(reference) if reference is not None else None,
+        "official_task": provenance.get("official_task_id") or None,
+    }
+
+
+@contextmanager
+def quiet() -> Iterator[None]:
+    """What the sources of a batch make the parser warn of is not said."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore", SyntaxWarning)
-        try:
-            tree = ast.parse(record["code_under_test"])
-        except (SyntaxError, ValueError):
-            tree = None
-        reference = semantic(record["reference_code"])
-        tests = record["tests"] if isinstance(record["tests"], list) else []
-        codes = [t["code"] for t in tests if isinstance(t, dict) and isinstance(t.get("code"), str)]
-        keys = supervision_keys(record, mode, codes) if len(codes) == len(tests) else None
-        names = {n.name for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))} if tree else set()
-        expected = TEST_FORMATS.get(mode)
-        return out | {
-            "versioned": record["schema_version"] == 1 and record["language"] == "python",
-            "hashed": content_hash(record) == record["content_hash"],
-            "parsed": tree is not None and reference is not None,
-            "mode": mode,
-            "task_type": record["task_type"],
-            "entry_point": entry,
-            "evidence": bool(quality.get("official_targeted_test_fixed_pass_buggy_fail")),
-            "project": (provenance.get("project") or "").lower(),
-            "repository": (provenance.get("repository") or "").lower(),
-            "group_id": record["group_id"],
-            "defined": entry in names,
-            "identity": group_identity(record["reference_code"], entry) if reference is not None else None,
-            "tests": len(tests),
-            "malformed": len(codes) < len(tests),
-            "oracle": expected is None or all(isinstance(t, dict) and t.get("format") == expected and t.get("oracle") == TEST_ORACLE for t in tests),
-            "compiled": all(map(compiles, codes)),
-            "prompt_key": keys[0] if keys else None,
-            "supervision_key": keys[1] if keys else None,
-            "reference_key": sha256(reference) if reference is not None else None,
-            "official_task": provenance.get("official_task_id") or None,
-        }
+        yield
 
 
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame([facts(t) for t in batch["record"]], columns=_NAMES).astype({"tests": "Int32"})
+        with quiet():
+            rows = [facts(t) for t in batch["record"]]
+        yield pd.DataFrame(rows, columns=_NAMES).astype({"tests": "Int32"})
 
 
 def record_facts(records: DataFrame) -> DataFrame:

@@ -78,6 +78,23 @@ def test_exclusions_repeats_and_long_tests(spark):
     assert audit(spark, []) == {}
 
 
+def test_what_is_not_accepted_is_excluded(spark):
+    assert audit(spark, [(0, payload(1, None, status=None)), (1, payload(2, None, status="other"))]) == {n: (f"i{n + 1}", None, "excluded", "why", None) for n in (0, 1)}
+
+
+def test_rows_are_dealt_out_before_payloads_are_made_and_no_side_is_broadcast(spark, sf_dir, monkeypatch):
+    from quarrylight.plans import catalogue
+
+    dealt = []
+    frame = type(spark.range(0))
+    before = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: dealt.append(set(self.columns)) or before(self, *a))
+    found = catalogue.queries()["result_audit"](spark, sf_dir)
+    assert len(dealt) == 2 and all({"o_orderkey"} <= c or {"c_custkey"} <= c for c in dealt)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "MapInPandas" not in plan
+
+
 def test_behaviour(spark):
     golden = "def f(x):\n    return x + 1\n"
     rows = [(1, golden, golden.replace("+", "-"), ["assert f(1) == 2"]), (2, golden, golden, ["assert f(1) == 2"]), (3, golden, golden.replace("+", "-"), ["assert f(1) == 2", "assert f(1) == 3"]), (4, "while True:\n    pass\n", golden, ["assert f(1)"]), (5, golden, golden, []), (6, None, None, None)]

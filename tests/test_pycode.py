@@ -1,3 +1,4 @@
+import ast
 import time
 
 import pytest
@@ -69,3 +70,37 @@ def test_source_policy():
     assert sandbox.source_violations("from typing import List\n") == []
     assert sandbox.source_violations("import os\n") == ["source_import_not_allowed:os"]
     assert sandbox.classify(["assert f()"], "import os\ndef f(): return 1", "def f(): return 1")[0][3] == "source_import_not_allowed:os"
+
+
+EVERY_FORM = """
+@d
+async def f(a, /, b: int = 1, *c, k=None, **e) -> None:
+    async with x as y, z: yield
+    return [i async for i in a if i], {**b, 'k': 1}, {1, 2}, f"{a!r:>{k}} {b=}", b"\\x00", 1.5e300j, ..., -0.0
+class C[T: int, *U, **V](B, metaclass=M):
+    '''text'''
+    type A[T] = list[T]
+    x: int
+try: pass
+except* (E, F) as e: raise G from None
+else: global q
+match v:
+    case None | True: del a[1:, ::2]
+    case {"k": [1, *_], **r} if (n := r): pass
+    case P(1, y=-1): assert n, None
+for i, *j in (): break
+else: (lambda *, a: (yield a))(*i, **j)
+import a.b as c; from .. import d; x = y = 'it\\'s "q" \\ud800'; z @= not w
+"""
+
+
+@pytest.mark.parametrize("code", [EVERY_FORM, "", "None", "x = ()", "def f(): return", open(ast.__file__).read()])
+def test_trees_as_text_are_those_of_the_library(code):
+    assert pycode.dumped(ast.parse(code)) == ast.dump(ast.parse(code)) == pycode.semantic(code)
+
+
+def test_short_sources_are_remembered():
+    seen = []
+    found = pycode.remembered(lambda source: seen.append(source) or len(seen))
+    long = "x" * (pycode.SHORT + 1)
+    assert [found(s) for s in ("a", "a", None, None, long, long)] == [1, 1, 2, 3, 4, 5]

@@ -156,3 +156,18 @@ def test_no_side_of_the_gate_is_broadcast(spark):
     index = spark.createDataFrame([("t", "s", ["a"])], "id string, status string, training_record_ids array<string>")
     found = corpus.corpus_violations(records_, splits, spark.createDataFrame([("a",)], "record_id string"), index)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_source_of_a_record_is_parsed_once(monkeypatch):
+    import ast
+
+    from quarrylight.operators import corpus
+
+    one = record(977)
+    parsed, parse = [], ast.parse
+    monkeypatch.setattr(ast, "parse", lambda source, *a: parsed.append(source) or parse(source, *a))
+    corpus.facts_of(one)  # making its group_id has parsed the reference
+    assert sorted(parsed) == sorted([one["code_under_test"], one["tests"][0]["code"]])
+    parsed.clear()
+    corpus.facts_of({**one, "code_under_test": "x = 977\n"})
+    assert parsed == ["x = 977\n"]
