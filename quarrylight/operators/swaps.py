@@ -6,12 +6,14 @@ an offset tells whether it is inside a string or a comment. A mutant is the sour
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions import pycode
+from quarrylight.operators.lineage import fresh
 
 # Operators and what they become.
 ARITHMETIC = (("+", "-"), ("-", "+"), ("*", "/"), ("/", "*"), ("//", "/"), ("/", "//"), ("%", "/"), ("**", "*"))
@@ -133,14 +135,17 @@ def _conditions(code: Column) -> Column:
     return F.transform(places(code, pattern), made)
 
 
-def swaps(functions: DataFrame, ident: str, code: str) -> DataFrame:
-    """(ident, nth, kind, offset, line, original, replacement, description) of every swap in a source.
+def swaps_of(code: Column) -> Column:
+    """array<struct<kind, offset, original, replacement, description>>: every swap in a source: kind by kind, rule by rule, place by
+    place. A null or empty source has none."""
+    made = F.concat(*_operators(code, 0, ARITHMETIC), *_operators(code, 1, COMPARISON), *_operators(code, 2, LOGICAL), *_bounds(code), _returns(code), _conditions(code))
+    return F.filter(made, lambda s: ~in_string_or_comment(code, s["offset"]))
 
-    nth counts a source's swaps from 0: kind by kind, rule by rule, place by place. A null or empty source has none.
-    """
+
+def swaps(functions: DataFrame, ident: str, code: str) -> DataFrame:
+    """(ident, nth, kind, offset, line, original, replacement, description) of every swap in a source; nth counts a source's swaps from 0."""
     text = F.col(code)
-    made = F.concat(*_operators(text, 0, ARITHMETIC), *_operators(text, 1, COMPARISON), *_operators(text, 2, LOGICAL), *_bounds(text), _returns(text), _conditions(text))
-    rows = functions.select(ident, code, F.posexplode(F.filter(made, lambda s: ~in_string_or_comment(text, s["offset"]))).alias("nth", "s"))
+    rows = functions.select(ident, code, F.posexplode(swaps_of(text)).alias("nth", "s"))
     return rows.select(ident, "nth", "s.kind", "s.offset", line_of(text, F.col("s.offset")).alias("line"), "s.original", "s.replacement", "s.description")
 
 
@@ -156,24 +161,59 @@ def seeded_order(ident: str, nth: Column, seed: int) -> Column:
     return F.sha2(F.concat_ws(":", F.col(ident).cast("string"), F.lit(str(seed)), nth.cast("string")), 256)
 
 
+def _drawn(name: str, kinds: list[str], n: int, seed: int) -> list[int]:
+    """Which of a function's swaps are taken, by their numbers, in the order of their places."""
+    if len(kinds) <= n:
+        return list(range(len(kinds)))
+    order = [pycode.sha256(f"{name}:{seed}:{i}") for i in range(len(kinds))]
+    own: dict[str, list[int]] = {}
+    for i, kind in enumerate(kinds):
+        own.setdefault(kind, []).append(i)
+    each, first, rest = max(1, n // len(own)), [], []
+    for numbers in own.values():
+        numbers.sort(key=order.__getitem__)
+        first += numbers[:each]
+        rest += numbers[each:]
+    return [*first, *sorted(rest, key=order.__getitem__)][: max(0, n)]
+
+
+def _mutant(code: str, offset: int, original: str, replacement: str) -> str:
+    """What applied() gives."""
+    if not code.startswith(original, offset):
+        raise ValueError(f"no '{original}' at offset {offset}")
+    return code[:offset] + replacement + code[offset + len(original) :]
+
+
+MUTANTS = "array<struct<place:int,kind:string,offset:int,line:int,original:string,replacement:string,description:string,mutant_code:string>>"
+_MUTANT = pa.list_(pa.struct([(n, pa.int32() if n in ("place", "offset", "line") else pa.string()) for n in ("place", "kind", "offset", "line", "original", "replacement", "description", "mutant_code")]))
+
+
+def _mutants(name: str | None, code: str | None, found: list[dict] | None, n: int, seed: int) -> list[dict]:
+    out = []
+    for place, i in enumerate(_drawn(name, [s["kind"] for s in found or []], n, seed), 1):
+        s = found[i]
+        mutant = None if s["replacement"] is None else _mutant(code, s["offset"], s["original"], s["replacement"])
+        if mutant is not None and pycode.parses(mutant):
+            out.append({**s, "place": place, "line": code.count("\n", 0, s["offset"]) + 1, "mutant_code": mutant})
+    return out
+
+
 def diverse_mutants(functions: DataFrame, ident: str, code: str, n: int, seed: int = 42) -> DataFrame:
     """(id, ident, place, kind, ..., mutant_code): at most n swaps of each function, spread over their kinds.
 
     With n swaps or fewer, all of them in order. Else max(1, n // kinds) of each kind, kinds in the order in which they first
-    appear and swaps in a seeded order, then others in that order until n. Those whose code parses get the id
+    appear and swaps in a seeded order (seeded_order), then others in that order until n. Those whose code parses get the id
     `<ident>_mutant_<place>`, places from 1 in three digits; the places of those that don't stay empty.
+
+    A row is a function, and its mutants are made where it is: nothing is joined, shuffled or broadcast. A null ident has none.
     """
-    every = swaps(functions, ident, code).withColumn("_order", seeded_order(ident, F.col("nth"), seed))
-    own = Window.partitionBy(ident)
-    counted = every.withColumn("_all", F.count(F.lit(1)).over(own)).withColumn("_first", F.min("nth").over(Window.partitionBy(ident, "kind")))
-    counted = counted.withColumn("_kinds", F.size(F.collect_set("kind").over(own)))
-    each = F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("_kinds")))
-    ranked = counted.withColumn("_nth", F.row_number().over(Window.partitionBy(ident, "kind").orderBy("_order")))
-    few, drawn = F.col("_all") <= n, F.col("_nth") <= each
-    key = F.when(few, F.struct(F.lit(0).alias("a"), F.col("nth").alias("b"), F.lit("").alias("c"))).when(drawn, F.struct(F.lit(0).alias("a"), F.col("_first").alias("b"), F.col("_order").alias("c"))).otherwise(F.struct(F.lit(1).alias("a"), F.lit(0).alias("b"), F.col("_order").alias("c")))
-    placed = ranked.withColumn("place", F.row_number().over(own.orderBy(key))).filter(F.col("place") <= n)
-    sources = functions.select(ident, F.col(code).alias("_code"))
-    made = placed.join(sources, ident).withColumn("mutant_code", applied(F.col("_code"), F.col("offset"), F.col("original"), F.col("replacement")))
-    sound = made.filter(pycode.semantic_hash(F.col("mutant_code")).isNotNull())
-    name = F.format_string("%s_mutant_%03d", F.col(ident).cast("string"), "place")
-    return sound.select(name.alias("id"), ident, "place", "kind", "offset", "line", "original", "replacement", "description", "mutant_code")
+
+    def made(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            yield pa.array([_mutants(*row, n, seed) for row in zip(*(c.to_pylist() for c in columns), strict=True)], _MUTANT)
+
+    own, found = F.col(ident), fresh(functions, "found")
+    # A column of its own: inside the call, Spark does not take it out of what it explodes.
+    rows = functions.filter(own.isNotNull()).select(ident, code, swaps_of(F.col(code)).alias(found))
+    rows = rows.select(ident, F.explode(F.arrow_udf(made, MUTANTS)(own.cast("string"), F.col(code), F.col(found))).alias("m"))
+    return rows.select(F.format_string("%s_mutant_%03d", own.cast("string"), "m.place").alias("id"), ident, "m.*")

@@ -75,6 +75,13 @@ def test_diverse_mutants_keep_the_places_of_those_that_do_not_parse(spark):
     assert got == again
 
 
+def test_diverse_mutants_are_made_where_their_functions_are(spark, sf_dir):
+    from quarrylight.plans import catalogue
+
+    plan = catalogue.queries()["diverse_mutants"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan and "Window" not in plan and "hashpartitioning" not in plan
+
+
 def test_pairs_reach_the_target_at_any_number_of_partitions(spark):
     rows = [(i, f"def f{i}(a, b):\n    total = a + b\n    return total * {i + 2}\n") for i in range(20)] + [(50, "tiny"), (51, None)]
     functions = frame(spark, rows).withColumn("at", F.col("id") * 2)
