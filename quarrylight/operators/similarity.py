@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.operators.lineage import checkpointed
+from quarrylight.operators.lineage import checkpointed, shuffled
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -57,10 +57,10 @@ STRIP, ROWS = 512, 4096
 _SCORED = "query_id long, vec_id long, score double"
 
 
-def _top(ids: np.ndarray, x: np.ndarray, held: np.ndarray, q: np.ndarray, w: np.ndarray, known: np.ndarray, k: int, earlier: bool) -> pa.RecordBatch:
+def _top(ids: np.ndarray, x: np.ndarray, held: np.ndarray, q: np.ndarray, w: np.ndarray, known: np.ndarray, k: int) -> pa.RecordBatch:
     """The k best rows for each query: the matrix product screens the pairs, within what its rounding may hide, and what is left
     is summed again in the order of dot(). Not a number comes first and null last, ties by id, as Spark and the SQL have it."""
-    none = (ids[:, None] >= q) if earlier else (ids[:, None] == q)
+    none = ids[:, None] == q
     scores, null = x @ w.T, ~(held[:, None] & known)
     scores[none | null] = -np.inf
     least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else np.full(len(q), -np.inf)
@@ -74,8 +74,8 @@ def _top(ids: np.ndarray, x: np.ndarray, held: np.ndarray, q: np.ndarray, w: np.
     return pa.RecordBatch.from_arrays([pa.array(q[j], pa.int64()), pa.array(ids[i], pa.int64()), pa.array(exact[order], pa.float64(), mask=gone[order], from_pandas=False)], names=["query_id", "vec_id", "score"])
 
 
-def _best(queries: DataFrame, base: DataFrame, ident: str, vector: str, k: int, earlier: bool) -> DataFrame:
-    """(query_id, vec_id, score): for each query the k best of each batch of base, or of its rows with smaller ids.
+def _best(queries: DataFrame, base: DataFrame, ident: str, vector: str, k: int) -> DataFrame:
+    """(query_id, vec_id, score): for each query the k best of each batch of base.
 
     base is dealt out, and the driver passes on one block of the bounded query set at a time. A vector that holds a null counts
     as null.
@@ -93,7 +93,7 @@ def _best(queries: DataFrame, base: DataFrame, ident: str, vector: str, k: int,
                     x, held = _vectors(batch.column("v"), v.shape[1])
                     w = v if v.shape[1] else np.zeros((len(own), x.shape[1]))
                     for s in range(0, len(own), STRIP):
-                        yield _top(np.asarray(batch.column("id")), x, held, own[s : s + STRIP], w[s : s + STRIP], known[s : s + STRIP], k, earlier)
+                        yield _top(np.asarray(batch.column("id")), x, held, own[s : s + STRIP], w[s : s + STRIP], known[s : s + STRIP], k)
 
         return compare
 
@@ -108,18 +108,60 @@ def _best(queries: DataFrame, base: DataFrame, ident: str, vector: str, k: int,
 
 def nearest(queries: DataFrame, base: DataFrame, ident: str, vector: str, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best of base for each row of a bounded query set, itself excluded, ties by id; null scores last."""
-    top = _best(queries, base, ident, vector, k, earlier=False)
+    top = _best(queries, base, ident, vector, k)
     return top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
 
 
+def _raise(best: np.ndarray, ids: np.ndarray, x: np.ndarray, held: np.ndarray, q: np.ndarray, w: np.ndarray) -> None:
+    """Raise the best score of each query to that of the rows with smaller ids, screened and summed as in _top; not a number is the greatest."""
+    scores, open_ = x @ w.T, held[:, None] & (ids[:, None] < q)
+    scores[~open_] = -np.inf
+    least = np.maximum(scores.max(axis=0), best) - 1e-12 * _length(x).max() * _length(w)
+    i, j = np.nonzero(open_ & ((scores >= least) | np.isnan(scores)))
+    for s in range(0, len(i), ROWS):
+        np.maximum.at(best, j[s : s + ROWS], _summed(x[i[s : s + ROWS]], w[j[s : s + ROWS]]))
+
+
 def novelty(queries: DataFrame, base: DataFrame, ident: str, vector: str, threshold: float) -> DataFrame:
-    """(id, best, novel): the greatest similarity of a query to any base vector of a smaller id, 0 without one.
+    """(id, best, novel) of each id of queries: the greatest similarity to any base vector of a smaller id, 0 without one.
 
-    The base is scanned once for each block of the bounded query set.
+    All pairs are compared, as the definition asks. The driver passes on one block of at most BLOCK queries at a time; each task
+    keeps one number for each of them while it scans its share of base, in the order of ids, so that strips of queries which are
+    all earlier than a batch are left out. Scores that have been found are written before the next block.
     """
-    best = _best(queries, base, ident, vector, 1, earlier=True).groupBy(F.col("query_id").alias("_i")).agg(F.max("score").alias("best"))
-    found = queries.select(ident).join(best, F.col(ident) == F.col("_i"), "left")
-    return found.select(ident, F.coalesce("best", F.lit(0.0)).alias("best"), (F.col("best").isNull() | (F.col("best") < threshold)).alias("novel"))
+    spark = base.sparkSession
+    sound = F.when(~F.exists(F.col(vector), lambda x: x.isNull()), F.col(vector).cast("array<double>"))
+    as_rows = lambda df: df.select(F.col(ident).cast("long").alias("id"), sound.alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
+    rows = checkpointed(as_rows(base).repartition(spark.sparkContext.defaultParallelism).sortWithinPartitions("id"))
+
+    def against(shared):
+        def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, w = shared.value
+            best, met = np.full(len(own), -np.inf), np.zeros(len(own), bool)
+            for whole in batches:
+                for start in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(start, ROWS)
+                    ids = np.asarray(batch.column("id"))
+                    x, held = _vectors(batch.column("v"))
+                    met |= own > ids.min()
+                    for s in range(0, len(own), STRIP):
+                        if ids.min() < own[s : s + STRIP].max():
+                            _raise(best[s : s + STRIP], ids, x, held, own[s : s + STRIP], w[s : s + STRIP])
+            yield pa.RecordBatch.from_arrays([pa.array(own[met], pa.int64()), pa.array(best[met], pa.float64(), from_pandas=False)], names=["query_id", "score"])
+
+        return compare
+
+    found = spark.createDataFrame([], "query_id long, score double")
+    for block in _blocks(as_rows(queries), "id"):
+        table = block.toArrow().combine_chunks().sort_by("id")
+        if table.num_rows:
+            shared = spark.sparkContext.broadcast((np.asarray(table.column("id")), _vectors(table.column("v").combine_chunks())[0]))
+            scored = rows.mapInArrow(against(shared), "query_id long, score double")
+            found = found.unionByName(checkpointed(scored.groupBy("query_id").agg(F.max("score").alias("score"))))
+            shared.destroy()
+    best = found.groupBy(F.col("query_id").alias("_i")).agg(F.max("score").alias("best"))
+    of_ids = queries.select(ident).distinct().join(shuffled(best), F.col(ident) == F.col("_i"), "left")
+    return of_ids.select(ident, F.coalesce("best", F.lit(0.0)).alias("best"), (F.col("best").isNull() | (F.col("best") < threshold)).alias("novel"))
 
 
 def similar_pairs(vectors: DataFrame, ident: str, vector: str, threshold: float) -> DataFrame:

@@ -38,6 +38,24 @@ def test_novelty_is_the_exact_maximum(spark):
     assert got == {i: max((s for j, b in rows if j < i and (s := product(a, b)) is not None), default=0.0) for i, a in rows if i % 10 == 0}
 
 
+def test_every_vector_gets_its_novelty_in_blocks_of_any_size(spark, sf_dir, monkeypatch):
+    from quarrylight.plans import catalogue
+
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    assert catalogue.queries()["novelty_flag"](spark, sf_dir).count() == e.select("vec_id").distinct().count()
+    rows, df = vectors(spark)
+    rows += [(7, [9.0] * 6), (None, [1.0] * 6), (300, [float("nan")] * 6), (301, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    monkeypatch.setattr(similarity, "BLOCK", 50)
+    got = similarity.novelty(df, df, "id", "v", 0.45).collect()
+    assert len(got) == len({i for i, _ in rows})
+    for r in got:
+        own = [a for i, a in rows if i == r["id"] and i is not None]
+        scored = [s for a in own for j, b in rows if j is not None and j < r["id"] and (s := product(a, b)) is not None]
+        best = float("nan") if any(map(np.isnan, scored)) else max(scored, default=0.0)
+        assert (r["best"] == best or np.isnan(r["best"]) and np.isnan(best)) and r["novel"] == (not scored or best < 0.45)
+
+
 def test_pairs_are_compared_in_batches_not_in_joins(spark):
     _, df = vectors(spark)
     for found in (similarity.nearest(df.filter("id % 10 = 0"), df, "id", "v", 4), similarity.novelty(df.filter("id % 10 = 0"), df, "id", "v", 0.45)):
