@@ -67,6 +67,12 @@ def supervision_keys(record: dict, mode: str, target: str | None, reference: str
     return sha256(canonical_json(prompt)), sha256(canonical_json({**prompt, "reference_ast": reference, "test_asts": sorted(tests)}))
 
 
+def _defined(tree: ast.Module, name: str) -> bool:
+    """Whether a function of a name is defined anywhere; most are found at the top, without a walk."""
+    made = lambda n: isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and n.name == name
+    return any(map(made, tree.body)) or any(map(made, ast.walk(tree)))
+
+
 def facts(text: str | None) -> dict:
     """What a record says of itself. A text that isn't a record with all fields has no facts but its id, if any."""
     try:
@@ -95,7 +101,6 @@ def facts_of(record: object) -> dict:
     tests = record["tests"] if isinstance(record["tests"], list) else []
     codes = [t["code"] for t in tests if isinstance(t, dict) and isinstance(t.get("code"), str)]
     keys = supervision_keys(record, mode, dumped(tree) if tree else None, reference, [semantic(c) for c in codes]) if len(codes) == len(tests) else None
-    names = {n.name for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))} if tree and entry else set()
     expected = TEST_FORMATS.get(mode)
     return out | {
         "versioned": record["schema_version"] == 1 and record["language"] == "python",
@@ -108,7 +113,7 @@ def facts_of(record: object) -> dict:
         "project": (provenance.get("project") or "").lower(),
         "repository": (provenance.get("repository") or "").lower(),
         "group_id": record["group_id"],
-        "defined": entry in names,
+        "defined": bool(tree and entry) and _defined(tree, entry),
         "identity": tree_identity(reference, entry),
         "tests": len(tests),
         "malformed": len(codes) < len(tests),

@@ -182,3 +182,15 @@ def test_records_are_dealt_out_before_they_are_parsed(spark, sf_dir, monkeypatch
     monkeypatch.setattr(frame, "repartition", lambda self, *a: dealt.append(a) or before(self, *a))
     ledgers.planted_corpus(spark, sf_dir)
     assert dealt == [(spark.sparkContext.defaultParallelism,)]
+
+
+def test_functions_at_the_top_are_found_without_a_walk(monkeypatch):
+    import ast
+
+    from quarrylight.operators import corpus
+
+    record = dict.fromkeys(corpus.FIELDS) | {"id": "1", "code_under_test": "def f(x):\n    return x\n", "reference_code": "x", "entry_point": "f", "tests": []}
+    nested = record | {"code_under_test": "class A:\n    async def f(self):\n        pass\n"}
+    assert corpus.facts_of(nested)["defined"] and not corpus.facts_of(record | {"entry_point": "g"})["defined"]
+    monkeypatch.setattr(ast, "walk", lambda tree: 1 / 0)
+    assert corpus.facts_of(record)["defined"]
